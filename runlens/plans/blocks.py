@@ -69,6 +69,11 @@ class Scan:
         self._asked.append(("total", name, value))
         return self
 
+    def rest(self, name: str, value: Column) -> "Scan":
+        """Sum from the row to the end of its group."""
+        self._asked.append(("rest", name, value))
+        return self
+
     def result(self) -> DataFrame:
         inside = W.partitionBy(*self.keys, BLOCK)
         forward = inside.orderBy(*self.order)
@@ -83,6 +88,7 @@ class Scan:
             "previous": lambda v: F.last(v, ignorenulls=True).over(before),
             "next": lambda v: F.last(v, ignorenulls=True).over(onward),
             "total": lambda v: F.sum(v).over(upto),
+            "rest": lambda v: F.sum(v).over(onward),
         }
         rank = F.struct(*self.order)
         edge = {
@@ -90,6 +96,7 @@ class Scan:
             "previous": lambda v: F.max_by(v, F.when(v.isNotNull(), rank)),
             "next": lambda v: F.min_by(v, F.when(v.isNotNull(), rank)),
             "total": F.sum,
+            "rest": F.sum,
         }
         blocks = W.partitionBy(*self.keys).orderBy(BLOCK)
         earlier = blocks.rowsBetween(W.unboundedPreceding, -1)
@@ -99,6 +106,7 @@ class Scan:
             "previous": lambda c: F.last(c, ignorenulls=True).over(earlier),
             "next": lambda c: F.last(c, ignorenulls=True).over(later),
             "total": lambda c: F.sum(c).over(earlier),
+            "rest": lambda c: F.sum(c).over(later),
         }
         where = [*self.keys, BLOCK]
         edges = self.df.groupBy(*where).agg(*[edge[k](v).alias(f"_edge_{n}") for k, n, v in self._asked])
@@ -108,7 +116,7 @@ class Scan:
         out = []
         for kind, name, _ in self._asked:
             here, there = F.col(f"_local_{name}"), F.col(f"_carry_{name}")
-            if kind == "total":
+            if kind in ("total", "rest"):
                 value = F.when(there.isNull(), here).when(here.isNull(), there).otherwise(here + there)
             else:
                 value = F.coalesce(here, there)

@@ -1 +1,6 @@
-"""registry"""
+"""Registered queries over the given tables."""
+
+from . import ordered  # noqa: F401
+from .base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
