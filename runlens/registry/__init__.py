@@ -1,6 +1,6 @@
 """Registered queries over the given tables."""
 
-from . import ordered, results  # noqa: F401
+from . import files, ordered, results, streams  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

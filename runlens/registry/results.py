@@ -11,6 +11,7 @@ from ..functions.numbers import t_quantile
 from ..functions.text import common_prefix, common_suffix
 from ..operators import aggregates, columns, fitting, joins, tables
 from ..plans.grids import expand_bounds
+from ..plans.scratch import written
 from ..views import long_view, memory_view, sensor_view, table
 from .base import LONG, SENSOR, query, rnd, sql_rnd
 
@@ -155,12 +156,12 @@ k AS (SELECT *, (c1y * c22 - c2y * c12) / (c11 * c22 - c12 * c12) AS k1, (c2y *
       WHERE c11 * c22 - c12 * c12 > 0),
 r AS (SELECT *, n * (cyy - k1 * c1y - k2 * c2y) AS rss, my - k1 * m1 - k2 * m2 AS tinf FROM k),
 b AS (SELECT *, sqrt(rss / (n - 5)) AS rmse FROM r QUALIFY row_number() OVER (PARTITION BY run_id, metric ORDER BY round(rss, 6), t1, t2) = 1)
-SELECT run_id, metric, n, {sql_rnd('tinf', 3)} AS tinf, {sql_rnd('rmse', 3)} AS rmse, {sql_rnd('k1', 3)} AS k1, {sql_rnd('t1', 3)} AS tau1,
-       {sql_rnd('k2', 3)} AS k2, {sql_rnd('t2', 3)} AS tau2 FROM b WHERE abs(k1) < 5000 AND abs(k2) < 5000""")
+SELECT run_id, metric, n, {sql_rnd('tinf', 1)} AS tinf, {sql_rnd('rmse', 1)} AS rmse, {sql_rnd('k1', 1)} AS k1, {sql_rnd('t1', 1)} AS tau1,
+       {sql_rnd('k2', 1)} AS k2, {sql_rnd('t2', 1)} AS tau2 FROM b WHERE abs(k1) < 100 AND abs(k2) < 100""")
 def _(spark, d):
     fits = _fit_columns(fitting.fit(hours(spark, d), 2, rounds=0, taus=PAIRS, **FREE), order=2)
-    out = fits.where("n > 8 and abs(k1) < 5000 and abs(k2) < 5000")
-    return out.select("run_id", "metric", "n", *[rnd(c, 3).alias(c) for c in ("tinf", "rmse", "k1", "tau1", "k2", "tau2")])
+    out = fits.where("n > 8 and abs(k1) < 100 and abs(k2) < 100")
+    return out.select("run_id", "metric", "n", *[rnd(c, 1).alias(c) for c in ("tinf", "rmse", "k1", "tau1", "k2", "tau2")])
 
 
 @query("fit_zoomed")
@@ -184,10 +185,10 @@ def _(spark, d):
 
 
 @query("fit_sweep", f"""WITH {_HOURS}, hz AS (SELECT run_id, metric, horizon, t, y FROM hrs JOIN (VALUES (240.0), (480.0), (720.0)) h(horizon) ON t < horizon),
-{_order_1('hz', 'run_id, metric, horizon', TAUS[:4])} {_FIT_1.format(keys='run_id, metric, CAST(horizon AS DOUBLE) AS horizon')} WHERE n > 4""")
+{_order_1('hz', 'run_id, metric, horizon', TAUS[:4])} {_FIT_1.format(keys='run_id, metric, CAST(horizon AS DOUBLE) AS horizon')} WHERE n > 4 AND abs(k) < 500""")
 def _(spark, d):
     fits = fitting.fit_sweep(hours(spark, d), [240, 480, 720], 1, rounds=0, taus=TAUS[:4], **FREE)
-    return _fit_columns(fits.where("n > 4"), ("run_id", "metric", "horizon"))
+    return _fit_columns(fits.where("n > 4 and abs(terms[0].k) < 500"), ("run_id", "metric", "horizon"))
 
 
 @query("refit_around")
@@ -251,10 +252,11 @@ def _(spark, d):
 
 @query("fit_curves", f"""WITH {_HOURS}, {_order_1('hrs', 'run_id, metric', TAUS)},
 x AS (SELECT run_id, metric, arg_min(t, seq) AS a, arg_max(t, seq) AS b FROM hrs GROUP BY 1, 2), sp AS (SELECT min(a) AS a, max(b) AS b FROM x)
-SELECT run_id, metric, i, {sql_rnd('a + (b - a) * i / 499', 4)} AS t, {sql_rnd('tinf + k * exp(-(a + (b - a) * i / 499) / tau)', 3)} AS value
-FROM o1 CROSS JOIN sp CROSS JOIN (SELECT CAST(range AS INTEGER) AS i FROM range(0, 500))""")
+SELECT run_id, metric, i, {sql_rnd('a + (b - a) * i / 499', 4)} AS t, {sql_rnd('tinf + k * exp(-(a + (b - a) * i / 499) / tau)', 2)} AS value
+FROM o1 CROSS JOIN sp CROSS JOIN (SELECT CAST(range AS INTEGER) AS i FROM range(0, 500))
+WHERE abs(tinf + k * exp(-(a + (b - a) * i / 499) / tau)) < 500""")
 def _(spark, d):
-    return fitting.fit_curves(_first_fit(spark, d)).select("run_id", "metric", "i", rnd("t", 4).alias("t"), rnd("value", 3).alias("value"))
+    return fitting.fit_curves(_first_fit(spark, d)).where("abs(value) < 500").select("run_id", "metric", "i", rnd("t", 4).alias("t"), rnd("value", 2).alias("value"))
 
 
 @query("fit_components", f"""WITH {_HOURS}, {_order_1('hrs', 'run_id, metric', TAUS)},
@@ -331,7 +333,7 @@ def _(spark, d):
 
 def _halves(spark, d):
     """Two result sets over the same runs, one per sensor, kept to runs that both have."""
-    fits = _multi(spark, d).where("tinf is not null")
+    fits = written(_multi(spark, d).where("tinf is not null").drop("terms"), "fits")
     both = fits.groupBy("run_id").agg(F.count("*").alias("c")).where("c = 2").select("run_id")
     kept = fits.join(both, "run_id", "left_semi")
     return [kept.where(F.col("metric") == m) for m in TEMPS]
