@@ -103,7 +103,7 @@ def general_format(value: Column) -> Column:
     exponent = F.when(value == 0, F.lit(0)).otherwise(F.regexp_extract(text, "e(.*)$", 1).cast("int"))
     mantissa = F.regexp_replace(F.regexp_extract(text, "^(.*)e", 1), r"\.?0+$", "")
     scientific = F.concat(mantissa, F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")),
-                          F.lpad(F.abs(exponent).cast("string"), 2, "0"))
+                          F.format_string("%02d", F.abs(exponent)))
     fixed = F.element_at(F.array(*[F.format_string(f"%.{d}f", value) for d in range(0, 10)]),
                          (F.greatest(F.least(5 - exponent, F.lit(9)), F.lit(0)) + 1).cast("int"))
     fixed = F.when(F.instr(fixed, ".") > 0, F.regexp_replace(fixed, r"\.?0+$", "")).otherwise(fixed)

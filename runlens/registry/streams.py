@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.lines import pack_rows, parse_lines
-from ..plans.scratch import scratch_path
+from ..plans.scratch import scratch_path, written
 from ..sources import runfiles
 from ..streaming import sinks, stateful, windows
 from ..views import counter_view, line_view, table
@@ -143,7 +143,7 @@ def _stream_columns(spark, path):
     lines = runfiles._lines(spark, path).where(~F.col("line").startswith("#"))
     heads = lines.groupBy("file").agg(F.min_by("line", F.struct("start", "id")).alias("line"))
     each = heads.select("file", F.posexplode(runfiles.split_cells(F.col("line"))).alias("pos", "raw"))
-    return each.select("file", "pos", F.split("raw", "/")[0].alias("metric"))
+    return written(each.select("file", "pos", F.split("raw", "/")[0].alias("metric")), "headers")
 
 
 @query("write_runs_stream", f"""SELECT CAST(user_id AS VARCHAR) AS run_id, event_type AS metric, count(*) AS n, {sql_rnd('sum(value)', 3)} AS total FROM events GROUP BY 1, 2""")

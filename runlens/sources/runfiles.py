@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.numbers import general_format
 from ..functions.text import base_name
 from ..operators.columns import BASE_UNITS, NO_UNIT, _unit_case
 from ..plans.blocks import BLOCK_ROWS, attach, block_of, last_seq
@@ -165,21 +166,24 @@ def comment_line() -> Column:
     return F.concat(F.lit("# "), F.array_join(F.filter(parts, lambda p: p.isNotNull()), ", "))
 
 
-def run_lines(samples: DataFrame, columns: DataFrame, runs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def run_lines(samples: DataFrame, columns: DataFrame, runs: DataFrame, block_rows: int = BLOCK_ROWS,
+              compact: bool = False) -> DataFrame:
     """All lines of all files: (run_id, part, seq, value) with seq -2 for the comment and -1 for the header.
 
     ``columns(run_id, pos, raw_name, metric)`` gives the order after the time
-    column; ``runs`` the comment facts.
+    column; ``runs`` the comment facts.  ``compact`` writes six significant
+    digits, as a live collector does, else numbers keep full precision.
     """
+    number = general_format if compact else (lambda c: c.cast("string"))
     order = F.array_sort(F.collect_list(F.struct("pos", "raw_name", "metric")))
     heads = columns.groupBy("run_id").agg(order.alias("cols"))
-    cell = F.coalesce(F.col("text"), F.col("value").cast("string"))
+    cell = F.coalesce(F.col("text"), number(F.col("value")))
     lines = (samples.groupBy("run_id", "seq").agg(
         F.min("t").alias("t"), F.map_from_entries(F.collect_list(F.struct("metric", cell.alias("cell")))).alias("cells")))
     sized = samples.groupBy("run_id").agg(last_seq()).join(heads, "run_id")
     lines = attach(lines, sized, ["run_id"], block_rows=block_rows)
     texts = F.transform("cols", lambda c: F.coalesce(csv_cell(F.try_element_at("cells", c["metric"])), F.lit("")))
-    time = (F.col("t") * 1000).cast("string")
+    time = number(F.col("t") * 1000)
     data = lines.select("run_id", block_of("seq", block_rows).alias("part"), "seq",
                         F.array_join(F.concat(F.array(time), texts), ",").alias("value"))
     zero = F.lit(0).cast("long")
@@ -190,9 +194,9 @@ def run_lines(samples: DataFrame, columns: DataFrame, runs: DataFrame, block_row
 
 
 def write_runs(samples: DataFrame, columns: DataFrame, runs: DataFrame, path: str, block_rows: int = BLOCK_ROWS,
-               mode: str = "errorifexists") -> None:
+               mode: str = "errorifexists", compact: bool = False) -> None:
     """One folder per run; a run is one file unless it has more than ``block_rows`` rows, then one per part."""
-    lines = run_lines(samples, columns, runs, block_rows).withColumn("part", F.format_string("%08d", "part"))
+    lines = run_lines(samples, columns, runs, block_rows, compact).withColumn("part", F.format_string("%08d", "part"))
     (lines.repartition("run_id", "part").sortWithinPartitions("run_id", "part", "seq")
      .select("value", "run_id", "part").write.mode(mode).partitionBy("run_id", "part").text(path))
 

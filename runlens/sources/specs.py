@@ -15,7 +15,7 @@ FIELDS = [f.split()[0] for f in RECORD.split(", ")]
 
 def read_specs(spark: SparkSession, paths) -> DataFrame:
     """One row per record; data paths are taken relative to their spec file."""
-    raw = spark.read.schema(SCHEMA).option("multiLine", "true").json(paths)
+    raw = spark.read.schema(SCHEMA).option("multiLine", "true").option("recursiveFileLookup", "true").json(paths)
     folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
     rows = raw.select(F.col("_metadata.file_path").alias("spec_file"), folder.alias("folder"), "x_axis_title", "y_axis_title", "figure_title",
                       F.posexplode("list_of_records").alias("spec_no", "r")).select("*", "r.*").drop("r")
@@ -25,7 +25,7 @@ def read_specs(spark: SparkSession, paths) -> DataFrame:
 
 
 def write_specs(specs: DataFrame, path: str, titles=("x_axis_title", "y_axis_title", "figure_title"), folder: str | None = None) -> None:
-    """One JSON document per figure; data paths become relative to ``folder``."""
+    """One JSON file per figure; data paths become relative to ``folder``."""
     out = specs
     if folder is not None:
         prefix = folder.rstrip("/") + "/"
@@ -34,7 +34,8 @@ def write_specs(specs: DataFrame, path: str, titles=("x_axis_title", "y_axis_tit
     record = F.struct("spec_no", F.struct(*FIELDS).alias("r"))
     # A figure holds the few records a person has drawn.
     documents = out.groupBy(*titles).agg(F.transform(F.array_sort(F.collect_list(record)), lambda x: x["r"]).alias("list_of_records"))
-    documents.write.json(path)
+    figure = F.md5(F.concat_ws("|", *titles)).alias("figure")
+    documents.select(F.to_json(F.struct(*titles, "list_of_records")).alias("value"), figure).write.partitionBy("figure").text(path)
 
 
 def apply_specs(samples: DataFrame, specs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:

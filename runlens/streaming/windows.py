@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def _slot(events: DataFrame, period_s: float):
     width = f"{int(round(period_s * 1e6))} microseconds"
     if events.isStreaming:
-        events = events.withWatermark("ts", f"{int(round(2 * period_s * 1e6))} microseconds")
+        # Watermarks want an instant; a time without zone counts as session time.
+        events = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", f"{int(round(2 * period_s * 1e6))} microseconds")
     return events, F.window("ts", width)
 
 
