@@ -54,12 +54,12 @@ def summarize(samples: DataFrame, keys: list[str], floor: float) -> DataFrame:
     powers = [F.lit(1.0)]
     for _ in range(1, MOMENTS):
         powers.append(powers[-1] * F.col("_d"))
-    end = F.struct("seq", "t", "value")
     return (rows.groupBy(*keys, "_bin").agg(
         *[F.sum(p).alias(f"m{i}") for i, p in enumerate(powers)],
         *[F.sum(p * F.col("value")).alias(f"y{i}") for i, p in enumerate(powers)],
         F.sum(F.col("value") * F.col("value")).alias("yy"),
-        F.min(end).alias("head"), F.max(end).alias("tail"))
+        F.min("seq").alias("seq_first"), F.min_by("t", "seq").alias("t_first"),
+        F.max("seq").alias("seq_last"), F.max_by("t", "seq").alias("t_last"))
         .withColumn("centre", centre))
 
 
@@ -167,8 +167,8 @@ def _finish(best: DataFrame, ends: DataFrame, keys: list[str], order: int, compa
 
 def _ends(summary: DataFrame, keys: list[str]) -> DataFrame:
     return (summary.repartition(*keys).groupBy(*keys)
-            .agg(F.sum("m0").cast("long").alias("points"), F.min("head").alias("h"), F.max("tail").alias("l"))
-            .select(*keys, "points", F.col("h.t").alias("t_first"), F.col("l.t").alias("t_last")))
+            .agg(F.sum("m0").cast("long").alias("points"), F.min_by("t_first", "seq_first").alias("t_first"),
+                 F.max_by("t_last", "seq_last").alias("t_last")))
 
 
 def fit(samples: DataFrame, order: int = 2, tau_bounds=TAU_BOUNDS, k_bounds=K_BOUNDS, t_bounds=T_BOUNDS,
@@ -182,9 +182,7 @@ def fit(samples: DataFrame, order: int = 2, tau_bounds=TAU_BOUNDS, k_bounds=K_BO
     """
     rounds = ROUNDS[order] if rounds is None else rounds
     floor = min(lo for lo, _ in expand_bounds(tau_bounds, order))
-    summary = summarize(_from_origin(samples, keys, t_origin, block_rows), keys, floor)
-    if rounds:
-        summary = written(summary, "moments")
+    summary = written(summarize(_from_origin(samples, keys, t_origin, block_rows), keys, floor), "moments")
     best = _search(summary, keys, order, tau_bounds, k_bounds, t_bounds, points, rounds, taus)
     return _finish(best, _ends(summary, keys), keys, order, compat_rmse)
 
@@ -228,12 +226,10 @@ def fit_sweep(samples: DataFrame, horizons: list[float], order: int = 2, tau_bou
     known = samples.where(F.col("value").isNotNull() & (F.col("t") < edges[-1]))
     segment = F.size(F.filter(F.array(*[F.lit(h) for h in edges]), lambda h: F.col("t") >= h))
     floor = min(lo for lo, _ in expand_bounds(tau_bounds, order))
-    summary = summarize(known.withColumn("_segment", segment), [*SERIES, "_segment"], floor)
+    summary = written(summarize(known.withColumn("_segment", segment), [*SERIES, "_segment"], floor), "moments")
     later = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(h).alias("h")) for i, h in enumerate(edges)])
     under = F.transform(F.filter(later, lambda x: x["i"] >= F.col("_segment")), lambda x: x["h"])
     summary = summary.select("*", F.explode(under).alias("horizon")).drop("_segment")
-    if rounds:
-        summary = written(summary, "moments")
     keys = [*SERIES, "horizon"]
     best = _search(summary, keys, order, tau_bounds, k_bounds, t_bounds, points, rounds, taus)
     return _finish(best, _ends(summary, keys), keys, order, compat_rmse)

@@ -13,14 +13,17 @@ COUNTERS = ["user", "nice", "system", "idle", "iowait", "irq", "softirq", "steal
 IDLE = ["idle", "iowait"]
 
 
-def wide(samples: DataFrame, metrics: list[str], block_rows: int = BLOCK_ROWS, carry: list[str] = ()) -> DataFrame:
-    """One row per file line with a column per metric, kept in (run, block) partitions."""
+def wide(samples: DataFrame, metrics: list[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """One row per file line with a column per metric, in (run, block) partitions.
+
+    The block column stays, so that a following scan needs no other shuffle;
+    the explicit filter lets both its branches use the same one.
+    """
     cells = [F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in metrics]
-    extra = [F.max(c).alias(c) for c in carry]
     return (samples.withColumn(BLOCK, block_of("seq", block_rows))
+            .where(F.col("run_id").isNotNull() & F.col(BLOCK).isNotNull())
             .repartition("run_id", BLOCK)
-            .groupBy("run_id", BLOCK, "seq").agg(F.min("t").alias("t"), *extra, *cells)
-            .drop(BLOCK))
+            .groupBy("run_id", BLOCK, "seq").agg(F.min("t").alias("t"), *cells))
 
 
 def long(table: DataFrame, metrics: list[str], keep: list[str] = ("run_id", "seq", "t")) -> DataFrame:
@@ -36,8 +39,8 @@ def _line(t: Column, here: Column, before: Column, after: Column) -> Column:
 def _with_neighbours(table: DataFrame, metrics: list[str], block_rows: int) -> DataFrame:
     scan = Scan(table, ["run_id"], ["seq"], block_rows=block_rows)
     for m in metrics:
-        known = F.when(F.col(m).isNotNull(), F.struct(F.col("t").alias("t"), F.col(m).alias("v")))
-        scan.last(f"_before_{m}", known).next(f"_after_{m}", known)
+        known = {"t": F.col("t"), "v": F.col(m)}
+        scan.last(f"_before_{m}", known, F.col(m).isNotNull()).next(f"_after_{m}", known, F.col(m).isNotNull())
     return scan.result()
 
 
@@ -50,7 +53,7 @@ def interpolate_wide(table: DataFrame, metrics: list[str], clamped: bool = False
         before, after = F.col(f"_before_{m}"), F.col(f"_after_{m}")
         value = _line(F.col("t"), F.col(m), before, after)
         filled[m] = F.coalesce(value, before["v"], after["v"]) if clamped else value
-    return near.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in table.columns])
+    return near.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in table.columns if c != BLOCK])
 
 
 def interpolate(samples: DataFrame, metrics: list[str], clamped: bool = False,
@@ -75,9 +78,9 @@ def ffill_bfill(samples: DataFrame, metrics: list[str], block_rows: int = BLOCK_
     return long(filled, metrics)
 
 
-def position(samples: DataFrame, name: str = "pos", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def position(samples: DataFrame, name: str = "pos", block_rows: int = BLOCK_ROWS, keep_block: bool = False) -> DataFrame:
     """Dense row number of the known values of each (run, metric)."""
-    counted = (Scan(samples.where(F.col("value").isNotNull()), SERIES, ["seq"], block_rows=block_rows)
+    counted = (Scan(samples.where(F.col("value").isNotNull()), SERIES, ["seq"], block_rows=block_rows, keep_block=keep_block)
                .total(name, F.lit(1).cast("long")).result())
     return counted.withColumn(name, F.col(name) - 1)
 
@@ -89,24 +92,25 @@ def smooth(samples: DataFrame, width: int = 10, block_rows: int = BLOCK_ROWS) ->
     return mean.drop("pos").withColumn("label", F.concat(F.col("metric"), F.lit(f"-smooth{width}")))
 
 
-def decimate(samples: DataFrame, n: int = 1, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def decimate(samples: DataFrame, n: int = 1, block_rows: int = BLOCK_ROWS, keep_block: bool = False) -> DataFrame:
     """Every n-th known value of each series; 0 keeps the first and the last."""
     known = samples.where(F.col("value").isNotNull())
     if n == 1:
         return known
     if n == 0:
-        row = F.struct(*[c for c in known.columns if c not in SERIES])
-        ends = known.groupBy(*SERIES).agg(F.min_by(row, "seq").alias("a"), F.max_by(row, "seq").alias("b"))
-        both = F.when(F.col("a.seq") == F.col("b.seq"), F.array("a")).otherwise(F.array("a", "b"))
+        cells = [c for c in known.columns if c not in SERIES]
+        ends = known.groupBy(*SERIES).agg(*[F.min_by(c, "seq").alias(f"_a_{c}") for c in cells], *[F.max_by(c, "seq").alias(f"_b_{c}") for c in cells])
+        first, final = (F.struct(*[F.col(f"_{e}_{c}").alias(c) for c in cells]) for e in "ab")
+        both = F.when(F.col("_a_seq") == F.col("_b_seq"), F.array(first)).otherwise(F.array(first, final))
         return ends.select(*SERIES, F.inline(both)).select(*known.columns)
-    return position(known, "_pos", block_rows).where(F.col("_pos") % n == 0).drop("_pos")
+    return position(known, "_pos", block_rows, keep_block).where(F.col("_pos") % n == 0).drop("_pos")
 
 
 def ops_per_sec(samples: DataFrame, regex: str = "work_done", decimate_by: int = 1, drop_inf: bool = False,
                 block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Work per second between consecutive known values of each matching series."""
-    work = decimate(samples.where(F.col("metric").rlike(regex)), decimate_by, block_rows)
-    before = Scan(work, SERIES, ["seq"], block_rows=block_rows).previous("_p", F.struct("t", "value")).result()
+    work = decimate(samples.where(F.col("metric").rlike(regex)), decimate_by, block_rows, keep_block=True)
+    before = Scan(work, SERIES, ["seq"], block_rows=block_rows).previous("_p", {"t": F.col("t"), "value": F.col("value")}).result()
     speed = ieee_divide(F.col("value") - F.col("_p.value"), F.col("t") - F.col("_p.t"))
     out = before.where(F.col("_p").isNotNull()).select(*SERIES, "seq", "t", speed.alias("ops"))
     if drop_inf:
@@ -117,7 +121,7 @@ def ops_per_sec(samples: DataFrame, regex: str = "work_done", decimate_by: int =
 def cpu_load(counters: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Percent of non-idle ticks between two rows of 32-bit counters per (run, cpu)."""
     before = (Scan(counters, ["run_id", "cpu"], ["seq"], block_rows=block_rows)
-              .previous("_p", F.struct(*COUNTERS)).result().where(F.col("_p").isNotNull()))
+              .previous("_p", {c: F.col(c) for c in COUNTERS}).result().where(F.col("_p").isNotNull()))
 
     def ticks(names):
         now = sum((F.col(n) for n in names), F.lit(0).cast("long"))
@@ -135,20 +139,17 @@ def low_pass(samples: DataFrame, period: float, tau: float, y0: float | None = N
     """First-order filter y = (1-a)*y + a*u with a = period/(tau + period), starting at y0 or the first value."""
     alpha = period / (tau + period)
     placed = position(samples, "_pos", block_rows)
-    start = (placed.groupBy(*SERIES).agg(F.min_by("value", "seq").alias("_start"), last_seq())
-             if y0 is None else None)
-    if start is not None:
-        placed = attach(placed, start, SERIES, block_rows=block_rows)
-    else:
-        placed = placed.withColumn("_start", F.lit(float(y0)))
-    placed = placed.withColumn("_u", F.col("value") * alpha)
-    return affine_scan(placed, SERIES, "_pos", "_u", 1.0 - alpha, "_start", "filtered", block_rows).drop("_pos", "_u", "_start")
+    # The first row takes the start value along, so that every series starts at zero.
+    first = F.col("value") if y0 is None else (1 - alpha) * F.lit(float(y0)) + alpha * F.col("value")
+    placed = placed.withColumn("_u", F.when(F.col("_pos") == 0, first).otherwise(F.col("value") * alpha))
+    return affine_scan(placed.withColumn("_start", F.lit(0.0)), SERIES, "_pos", "_u", 1.0 - alpha, "_start", "filtered",
+                       block_rows).drop("_pos", "_u", "_start")
 
 
 def energy(samples: DataFrame, scale: float = 1e-6, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Energy step and running total: power of the row times the gap before it."""
     known = samples.where(F.col("value").isNotNull())
-    gap = Scan(known, SERIES, ["seq"], block_rows=block_rows).previous("_pt", F.col("t")).result()
+    gap = Scan(known, SERIES, ["seq"], block_rows=block_rows, keep_block=True).previous("_pt", F.col("t")).result()
     step = gap.withColumn("step", F.coalesce(F.col("value") * scale * (F.col("t") - F.col("_pt")), F.lit(0.0))).drop("_pt")
     return Scan(step, SERIES, ["seq"], block_rows=block_rows).total("energy", F.col("step")).result()
 
@@ -164,8 +165,7 @@ def throttle(samples: DataFrame, period: float, block_rows: int = BLOCK_ROWS) ->
     timed = attach(known, start, SERIES, block_rows=block_rows)
     slot = F.floor((F.col("t") - F.col("_t0")) / F.lit(float(period))).cast("long")
     return (timed.groupBy(*SERIES, slot.alias("slot"))
-            .agg(F.min_by(F.struct("seq", "t", "value"), "seq").alias("r"))
-            .select(*SERIES, "slot", "r.seq", "r.t", "r.value"))
+            .agg(F.min_by("t", "seq").alias("t"), F.min_by("value", "seq").alias("value"), F.min("seq").alias("seq")))
 
 
 def time_to_threshold(samples: DataFrame, threshold: float, timeout: float, poll: float | None = None) -> DataFrame:

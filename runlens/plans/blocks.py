@@ -37,91 +37,88 @@ class Scan:
     """Ordered expressions over ``keys`` groups, evaluated block by block.
 
     ``order`` is a list of columns that orders the rows of a group totally and
-    in which ``block`` never decreases.
+    in which the block never decreases.  A table that has a block column keeps
+    it (and with it its partitioning); else the block is cut from the order
+    column.  A value is a column, or a dict of plain columns that yields a
+    struct; ``when`` tells the rows that have the value (default: not null).
     """
 
     def __init__(self, df: DataFrame, keys: list[str], order: list[str], block: Column | None = None,
-                 block_rows: int = BLOCK_ROWS):
-        if block is None:
+                 block_rows: int = BLOCK_ROWS, keep_block: bool = False):
+        if block is None and BLOCK not in df.columns:
             block = block_of(order[0], block_rows)
-        self.df = df.withColumn(BLOCK, block)
+        self.df = df if block is None else df.withColumn(BLOCK, block)
         self.keys = keys
         self.order = order
-        self._asked: list[tuple[str, str, Column]] = []
+        self.keep_block = keep_block
+        self._asked: list[tuple[str, str, Column | dict[str, Column], Column | None]] = []
 
-    def last(self, name: str, value: Column) -> "Scan":
-        """Latest non-null ``value`` up to and including the row."""
-        self._asked.append(("last", name, value))
+    def _ask(self, kind: str, name: str, value, when: Column | None = None) -> "Scan":
+        if when is None and isinstance(value, Column):
+            when = value.isNotNull()
+        self._asked.append((kind, name, value, F.lit(True) if when is None else when))
         return self
 
-    def previous(self, name: str, value: Column) -> "Scan":
-        """Latest non-null ``value`` strictly before the row."""
-        self._asked.append(("previous", name, value))
-        return self
+    def last(self, name: str, value, when: Column | None = None) -> "Scan":
+        """Latest value up to and including the row."""
+        return self._ask("last", name, value, when)
 
-    def next(self, name: str, value: Column) -> "Scan":
-        """Earliest non-null ``value`` from the row on."""
-        self._asked.append(("next", name, value))
-        return self
+    def previous(self, name: str, value, when: Column | None = None) -> "Scan":
+        """Latest value strictly before the row."""
+        return self._ask("previous", name, value, when)
+
+    def next(self, name: str, value, when: Column | None = None) -> "Scan":
+        """Earliest value from the row on."""
+        return self._ask("next", name, value, when)
 
     def total(self, name: str, value: Column) -> "Scan":
         """Running sum up to and including the row."""
-        self._asked.append(("total", name, value))
-        return self
+        return self._ask("total", name, value)
 
     def rest(self, name: str, value: Column) -> "Scan":
         """Sum from the row to the end of its group."""
-        self._asked.append(("rest", name, value))
-        return self
+        return self._ask("rest", name, value)
 
     def result(self) -> DataFrame:
-        inside = W.partitionBy(*self.keys, BLOCK)
-        forward = inside.orderBy(*self.order)
+        where = [*self.keys, BLOCK]
+        inside = W.partitionBy(*where)
         # A frame that reaches to the end of its partition is re-read for every
         # row; the same frame over the reversed order is a single pass.
-        backward = inside.orderBy(*[F.col(o).desc() for o in self.order])
-        upto = forward.rowsBetween(W.unboundedPreceding, 0)
-        before = forward.rowsBetween(W.unboundedPreceding, -1)
-        onward = backward.rowsBetween(W.unboundedPreceding, 0)
-        local = {
-            "last": lambda v: F.last(v, ignorenulls=True).over(upto),
-            "previous": lambda v: F.last(v, ignorenulls=True).over(before),
-            "next": lambda v: F.last(v, ignorenulls=True).over(onward),
-            "total": lambda v: F.sum(v).over(upto),
-            "rest": lambda v: F.sum(v).over(onward),
-        }
-        rank = F.struct(*self.order)
-        edge = {
-            "last": lambda v: F.max_by(v, F.when(v.isNotNull(), rank)),
-            "previous": lambda v: F.max_by(v, F.when(v.isNotNull(), rank)),
-            "next": lambda v: F.min_by(v, F.when(v.isNotNull(), rank)),
-            "total": F.sum,
-            "rest": F.sum,
-        }
-        blocks = W.partitionBy(*self.keys).orderBy(BLOCK)
-        earlier = blocks.rowsBetween(W.unboundedPreceding, -1)
+        forward = inside.orderBy(*self.order).rowsBetween(W.unboundedPreceding, 0)
+        before = inside.orderBy(*self.order).rowsBetween(W.unboundedPreceding, -1)
+        onward = inside.orderBy(*[F.col(o).desc() for o in self.order]).rowsBetween(W.unboundedPreceding, 0)
+        frame = {"last": forward, "previous": before, "next": onward, "total": forward, "rest": onward}
+        earlier = W.partitionBy(*self.keys).orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
         later = W.partitionBy(*self.keys).orderBy(F.col(BLOCK).desc()).rowsBetween(W.unboundedPreceding, -1)
-        carry = {
-            "last": lambda c: F.last(c, ignorenulls=True).over(earlier),
-            "previous": lambda c: F.last(c, ignorenulls=True).over(earlier),
-            "next": lambda c: F.last(c, ignorenulls=True).over(later),
-            "total": lambda c: F.sum(c).over(earlier),
-            "rest": lambda c: F.sum(c).over(later),
-        }
-        where = [*self.keys, BLOCK]
-        edges = self.df.groupBy(*where).agg(*[edge[k](v).alias(f"_edge_{n}") for k, n, v in self._asked])
-        edges = edges.select(*where, *[carry[k](F.col(f"_edge_{n}")).alias(f"_carry_{n}") for k, n, _ in self._asked])
-        rows = self.df.select("*", *[local[k](v).alias(f"_local_{n}") for k, n, v in self._asked])
-        joined = rows.join(edges, where)
-        out = []
-        for kind, name, _ in self._asked:
+        beyond = {"last": earlier, "previous": earlier, "next": later, "total": earlier, "rest": later}
+
+        # Edges of a block as plain numbers, so that they aggregate by hash.
+        at = F.col(self.order[0]) if len(self.order) == 1 else F.struct(*self.order)
+        edges, carries, locals_, out = [], [], [], []
+        for kind, name, value, when in self._asked:
             here, there = F.col(f"_local_{name}"), F.col(f"_carry_{name}")
             if kind in ("total", "rest"):
-                value = F.when(there.isNull(), here).when(here.isNull(), there).otherwise(here + there)
-            else:
-                value = F.coalesce(here, there)
-            out.append(value.alias(name))
-        return joined.select(*[c for c in self.df.columns if c != BLOCK], *out)
+                edges.append(F.sum(value).alias(f"_e_{name}"))
+                carries.append(F.sum(f"_e_{name}").over(beyond[kind]).alias(f"_carry_{name}"))
+                locals_.append(F.sum(value).over(frame[kind]).alias(f"_local_{name}"))
+                out.append(F.when(there.isNull(), here).when(here.isNull(), there).otherwise(here + there).alias(name))
+                continue
+            fields = value if isinstance(value, dict) else {"v": value}
+            pick = F.min_by if kind == "next" else F.max_by
+            edges += [pick(c, F.when(when, at)).alias(f"_e_{name}_{f}") for f, c in fields.items()]
+            edges.append(F.count_if(when).alias(f"_n_{name}"))
+            held = F.struct(*[F.col(f"_e_{name}_{f}").alias(f) for f in fields])
+            row = F.struct(*[c.alias(f) for f, c in fields.items()])
+            if not isinstance(value, dict):
+                held, row = F.col(f"_e_{name}_v"), value
+            carries.append(F.last(F.when(F.col(f"_n_{name}") > 0, held), ignorenulls=True).over(beyond[kind]).alias(f"_carry_{name}"))
+            locals_.append(F.last(F.when(when, row), ignorenulls=True).over(frame[kind]).alias(f"_local_{name}"))
+            out.append(F.coalesce(here, there).alias(name))
+
+        carried = self.df.groupBy(*where).agg(*edges).select(*where, *carries)
+        joined = self.df.select("*", *locals_).join(carried, where)
+        kept = [c for c in self.df.columns if c != BLOCK or self.keep_block]
+        return joined.select(*kept, *out)
 
 
 def lay_out(df: DataFrame, keys: list[str], order: list[str], rows: int, block_rows: int) -> DataFrame:

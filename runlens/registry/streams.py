@@ -83,7 +83,7 @@ def _(spark, d):
     return sinks.drain(windows.latest(event_stream(spark, d), ["metric"]), "latest", "complete").drop("batch")
 
 
-@query("sample_per_period", """SELECT user_id AS run_id, time_bucket(INTERVAL 1 DAY, ts) AS period, event_type AS metric, arg_min(value, md5(CAST(event_id AS VARCHAR))) AS value
+@query("sample_per_period", """SELECT user_id AS run_id, time_bucket(INTERVAL 1 DAY, ts) AS period, event_type AS metric, arg_min(value, CAST(concat('0x', substring(md5(CAST(event_id AS VARCHAR)), 1, 15)) AS BIGINT)) AS value
 FROM events GROUP BY 1, 2, 3""")
 def _(spark, d):
     return windows.sample_per_period(static_events(spark, d), DAY)

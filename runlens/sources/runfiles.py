@@ -95,9 +95,14 @@ def read_runs(spark: SparkSession, paths, comment: str = "#", normalize: bool =
     """
     lines = _lines(spark, paths)
     body = ~F.col("line").startswith(comment)
+    # Data lines start with a number; the few others of a block may be its header or comment.
+    odd = F.expr("try_cast(substring_index(line, ',', 1) as double) is null")
     blocks = lines.groupBy("run_id", "file", "start").agg(
         F.min("id").alias("first_id"), F.count("*").alias("count"),
-        F.min(F.when(body, F.struct("id", "line"))).alias("head"), F.min(F.when(~body, F.struct("id", "line"))).alias("note"))
+        F.collect_list(F.when(odd, F.struct("id", "line"))).alias("odd"))
+    note = F.array_min(F.filter("odd", lambda x: x["line"].startswith(comment)))
+    head = F.array_min(F.filter("odd", lambda x: ~x["line"].startswith(comment)))
+    blocks = blocks.withColumn("head", head).withColumn("note", note).drop("odd")
     order = W.partitionBy("run_id").orderBy("file", "start")
     whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     offset = F.coalesce(F.sum("count").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))

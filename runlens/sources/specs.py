@@ -52,14 +52,14 @@ def apply_specs(samples: DataFrame, specs: DataFrame, block_rows: int = BLOCK_RO
     plain = (samples.join(key.where("y_subtract is null"), "run_id").where("metric = y_col_name and value is not null")
              .select(*keys, "seq", (F.col("t") * F.col("x_scale")).alias("x"), (F.col("value") * F.col("y_scale")).alias("y"),
                      "y_label", "smoothing_window_size"))
-    both = samples.join(key.where("y_subtract is not null"), "run_id").groupBy(*keys, "seq").agg(
+    carried = ["x_scale", "y_scale", "sub_scale", "y_label", "smoothing_window_size"]
+    both = samples.join(key.where("y_subtract is not null"), "run_id").groupBy(*keys, "seq", *carried).agg(
         F.min("t").alias("t"), F.max(F.when(F.col("metric") == F.col("y_col_name"), F.col("value"))).alias("_y"),
-        F.max(F.when(F.col("metric") == F.col("y_subtract"), F.col("value"))).alias("_s"),
-        *[F.first(c).alias(c) for c in ("x_scale", "y_scale", "sub_scale", "y_label", "smoothing_window_size")])
+        F.max(F.when(F.col("metric") == F.col("y_subtract"), F.col("value"))).alias("_s"))
     scan = Scan(both, keys, ["seq"], block_rows=block_rows)
     for c in ("_y", "_s"):
-        known = F.when(F.col(c).isNotNull(), F.struct("t", F.col(c).alias("v")))
-        scan.last(f"{c}p", known).next(f"{c}n", known)
+        known = {"t": F.col("t"), "v": F.col(c)}
+        scan.last(f"{c}p", known, F.col(c).isNotNull()).next(f"{c}n", known, F.col(c).isNotNull())
     near = scan.result()
 
     def held(c):

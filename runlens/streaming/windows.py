@@ -24,7 +24,8 @@ def sync_sample_stream(events: DataFrame, period_s: float) -> DataFrame:
 def sample_per_period(events: DataFrame, period_s: float, row_id: str = "event_id") -> DataFrame:
     """One pseudo-random value per period and series: the row whose id has the smallest hash."""
     events, slot = _slot(events, period_s)
-    rank = F.md5(F.col(row_id).cast("string"))
+    # 60 bits of the hash as a number, which aggregates by hash where text would be sorted.
+    rank = F.conv(F.substring(F.md5(F.col(row_id).cast("string")), 1, 15), 16, 10).cast("long")
     out = events.groupBy(slot.alias("w"), "run_id", "metric").agg(F.min_by("value", rank).alias("value"))
     return out.select("run_id", F.col("w.start").alias("period"), "metric", "value")
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .plans.blocks import BLOCK_ROWS, Scan, attach, last_seq, number_rows
+from .plans.blocks import BLOCK_ROWS, Scan, attach, number_rows
 
 NAMES = {"view": "ambient", "click": "cpu_0_temp", "purchase": "cpu_1_temp", "signup": "cam_cpu", "error": "work_done"}
 
@@ -29,7 +29,7 @@ def long_view(spark: SparkSession, sf_dir: str, block_rows: int = BLOCK_ROWS) ->
         F.col("user_id").alias("run_id"), micros(F.col("ts")).alias("us"), "event_id",
         F.col("event_type").alias("metric"), "value")
     numbered = number_rows(events, ["run_id"], ["us", "event_id"], "seq", block_rows)
-    start = numbered.groupBy("run_id").agg(F.min("us").alias("us0"), last_seq())
+    start = events.groupBy("run_id").agg(F.min("us").alias("us0"), (F.count("*") - 1).alias("last_seq"))
     timed = attach(numbered, start, ["run_id"], block_rows=block_rows)
     return timed.select("run_id", "seq", ((F.col("us") - F.col("us0")) / F.lit(1e6)).alias("t"), "metric", "value", "event_id")
 
