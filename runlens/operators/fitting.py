@@ -85,8 +85,8 @@ def _linear_sums(candidates: DataFrame, keys: list[str], order: int) -> DataFram
             .agg(*[F.expr(f"sum({e})").alias(n) for n, e in sums.items()]))
 
 
-def _tuples(values: list[tuple[float, ...]], prefix: str) -> str:
-    rows = ", ".join("struct(" + ", ".join(f"{float(v)!r}D as {prefix}{i}" for i, v in enumerate(tup)) + ")" for tup in values)
+def _tuples(values: list[tuple[float, ...]]) -> str:
+    rows = ", ".join("struct(" + ", ".join(f"{float(v)!r}D as x{i}" for i, v in enumerate(tup)) + ")" for tup in values)
     return f"array({rows})"
 
 
@@ -117,25 +117,34 @@ def _best(sums: DataFrame, keys: list[str], order: int, boxes: list[tuple[float,
     schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "n double", "rss double", *[f"{c} double" for c in [*coefs, *taus]]])
     some = sums.mapInPandas(solved, schema)
     row = F.struct("n", "rss", *coefs, *taus)
-    return some.groupBy(*keys).agg(F.min_by(row, F.struct(F.round("rss", 9), *taus)).alias("p")).select(*keys, "p.*")
+    return some.repartition(_width(sums), *keys).groupBy(*keys).agg(F.min_by(row, F.struct(F.round("rss", 9), *taus)).alias("p")).select(*keys, "p.*")
 
 
 def _around(order: int, reach: int, tau_boxes: list[tuple[str, str]]) -> Column:
     """Tau tuples around each series' best, ``reach`` times column ``step`` to each side, inside the boxes."""
-    offsets = _tuples(list(product(range(-reach, reach + 1), repeat=order)), "d")
-    cells = ", ".join(f"greatest(least(x{i} * exp(o.d{i} * step), {hi}), {lo}) as x{i}" for i, (lo, hi) in enumerate(tau_boxes))
-    tuples = f"array_distinct(transform({offsets}, o -> struct({cells})))"
+    offsets = ", ".join(f"{float(d)!r}D" for d in range(-reach, reach + 1))
+    axes = [f"array_distinct(transform(array({offsets}), d -> greatest(least(x{i} * exp(d * step), {hi}), {lo})))"
+            for i, (lo, hi) in enumerate(tau_boxes)]
+    tuples = "struct(" + ", ".join(f"p{i} as x{i}" for i in range(order)) + ")"
+    for i in reversed(range(order)):
+        inner = f"transform({axes[i]}, p{i} -> {tuples})"
+        tuples = inner if i == order - 1 else f"flatten({inner})"
     apart = [f"(t.x{i} / t.x{j} >= {MIN_RATIO}D or t.x{j} / t.x{i} >= {MIN_RATIO}D)" for i in range(order) for j in range(i)]
     return F.expr(f"filter({tuples}, t -> {' and '.join(apart)})" if apart else tuples)
 
 
+def _width(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _search(summary: DataFrame, keys: list[str], order: int, tau_bounds, k_bounds, t_bounds, points, rounds, taus,
             seeds: DataFrame | None = None, frac: float | None = None) -> DataFrame:
     boxes = [tuple(map(float, t_bounds)), *expand_bounds(k_bounds, order)]
-    spread = summary.repartition(*keys)
+    # A given number of partitions: few bytes but much work, so they must not be merged by size.
+    spread = summary.repartition(_width(summary), *keys)
     if seeds is None:
         tau_boxes = [(f"{lo!r}D", f"{hi!r}D") for lo, hi in expand_bounds(tau_bounds, order)]
-        tried = spread.select("*", F.inline(F.expr(_tuples(tau_tuples(order, tau_bounds, points, taus), "x"))))
+        tried = spread.select("*", F.inline(F.expr(_tuples(tau_tuples(order, tau_bounds, points, taus)))))
         best = _best(_linear_sums(tried, keys, order), keys, order, boxes)
         step = spacing(tau_bounds, order, points)
     else:

@@ -237,11 +237,24 @@ def _(spark, d):
                     rnd("jj_1_2", 4).alias("j12"), rnd("rss", 3).alias("rss"))
 
 
-@query("parameter_errors")
-def _(spark, d):
-    series = hours(spark, d).where("metric = 'click'")
-    fits = fitting.fit(series, 1, rounds=0, taus=TAUS)
-    return fitting.parameter_errors(series, fits, 1, "student_t").where("tinf is not null").select("run_id", "metric", "tinf", "tinf_err", "terms")
+# Diagonal of the inverse of the 3x3 normal matrix, by cofactors.
+@query("parameter_errors", f"""WITH {_HOURS}, {_order_1('hrs', 'run_id, metric', TAUS)},
+j AS (SELECT run_id, metric, exp(-t / tau) AS e, k * t * exp(-t / tau) / (tau * tau) AS f FROM hrs JOIN o1 USING (run_id, metric)),
+s AS (SELECT run_id, metric, count(*) AS a, sum(e) AS b, sum(f) AS c, sum(e * e) AS d, sum(e * f) AS g, sum(f * f) AS h FROM j GROUP BY 1, 2),
+i AS (SELECT *, a * (d * h - g * g) - b * (b * h - g * c) + c * (b * g - d * c) AS det FROM s),
+r AS (SELECT run_id, metric, 0.5 * sqrt((d * h - g * g) / det) AS tinf_err, 0.5 * sqrt((a * h - c * c) / det) AS k_err, 0.5 * sqrt((a * d - b * b) / det) AS tau_err
+      FROM i WHERE det > 1e-6 * a * d * h)
+SELECT run_id, metric, {sql_rnd('tinf_err', 4)} AS tinf_err, {sql_rnd('k_err', 4)} AS k_err FROM r WHERE tinf_err < 20 AND k_err < 20""")
+def _(spark, d):
+    series = hours(spark, d)
+    fits = fitting.fit(series, 1, rounds=0, taus=TAUS, **FREE)
+    sums = fitting.normal_sums(series, fits, 1)
+    # The same cut as the twin: normal matrices that are far from singular.
+    det = F.expr("jj_0_0 * (jj_1_1 * jj_2_2 - jj_1_2 * jj_1_2) - jj_0_1 * (jj_0_1 * jj_2_2 - jj_1_2 * jj_0_2) + jj_0_2 * (jj_0_1 * jj_1_2 - jj_1_1 * jj_0_2)")
+    regular = sums.where(det > 1e-6 * F.expr("jj_0_0 * jj_1_1 * jj_2_2")).select("run_id", "metric")
+    errs = fitting.parameter_errors(series, fits.join(regular, ["run_id", "metric"], "left_semi"), 1)
+    out = errs.select("run_id", "metric", "tinf_err", F.col("terms")[0]["k_err"].alias("k_err")).where("tinf_err < 20 and k_err < 20")
+    return out.select("run_id", "metric", rnd("tinf_err", 4).alias("tinf_err"), rnd("k_err", 4).alias("k_err"))
 
 
 @query("fit_text", f"""WITH {_HOURS}, {_order_1('hrs', 'run_id, metric', TAUS)}

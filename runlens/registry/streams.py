@@ -67,10 +67,11 @@ def _(spark, d):
     return windows.sync_sample_stream(static_events(spark, d), DAY)
 
 
-@query("sync_sample_stream")
+# Append mode keeps back the windows that the watermark, two periods behind, has not passed.
+@query("sync_sample_stream", f"SELECT * FROM ({_TICKS}) WHERE tick <= (SELECT max(ts) - INTERVAL 2 DAY FROM events)")
 def _(spark, d):
-    # Append mode keeps back the windows that the watermark has not passed.
-    return sinks.drain(windows.sync_sample_stream(event_stream(spark, d), DAY), "ticks")
+    ticks = sinks.drain(windows.sync_sample_stream(event_stream(spark, d), DAY), "ticks")
+    return ticks.withColumn("tick", F.col("tick").cast("timestamp_ntz"))
 
 
 @query("latest", "SELECT event_type AS metric, arg_max(value, ts) AS value, max(ts) AS ts, count(*) AS readings FROM events GROUP BY 1")
@@ -123,9 +124,17 @@ def _(spark, d):
     return out.select("run_id", rnd("t").alias("t"), rnd("load").alias("load"))
 
 
-@query("throttled_stream")
+@query("throttled_stream", f"""WITH RECURSIVE {_SECONDS}, e AS (
+  SELECT run_id, metric, min(t) AS mark, min(t) AS last FROM sec GROUP BY 1, 2
+  UNION ALL
+  SELECT run_id, metric, mark + {DAY} AS mark, nt AS last FROM (
+    SELECT e.run_id, e.metric, e.mark, (SELECT min(s.t) FROM sec s WHERE s.run_id = e.run_id AND s.metric = e.metric AND s.t > e.last AND s.t > e.mark + {DAY}) AS nt FROM e) x
+  WHERE nt IS NOT NULL),
+f AS (SELECT *, min(mark) OVER (PARTITION BY run_id, metric) AS first FROM e)
+SELECT f.run_id, f.metric, {sql_rnd('f.last')} AS t, s.value FROM f JOIN sec s ON s.run_id = f.run_id AND s.metric = f.metric AND s.t = f.last WHERE f.mark > f.first""")
 def _(spark, d):
-    return sinks.drain(stateful.throttled(_timed_stream(spark, d), DAY), "throttled")
+    out = sinks.drain(stateful.throttled(_timed_stream(spark, d), DAY), "throttled")
+    return out.select("run_id", "metric", rnd("t").alias("t"), "value")
 
 
 @query("read_runs_stream", f"""WITH {LONG}, s AS (SELECT CASE metric WHEN 'view' THEN 'ambient' WHEN 'click' THEN 'cpu_0_temp' ELSE 'cam_cpu' END AS metric, value
