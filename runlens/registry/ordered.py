@@ -209,7 +209,7 @@ def _(spark, d):
   SELECT s_suppkey AS run_no, concat('bench-', CAST(256 * power(2, s_suppkey % 4) AS BIGINT), '-', CAST(power(2, s_suppkey % 9) AS BIGINT), '-', s_suppkey, '.csv') AS name FROM supplier),
 grid AS (SELECT CAST(power(2, a) AS BIGINT) AS wi, CAST(power(2, b) AS BIGINT) AS wg FROM range(8, 12) x(a), range(0, 9) y(b)),
 ok AS (SELECT * FROM grid WHERE wi / wg BETWEEN 64 AND 1024)
-SELECT ok.wi, ok.wg, runs.name, runs.run_no FROM ok
+SELECT ok.wi, ok.wg, runs.name FROM ok
 LEFT JOIN runs ON CAST(regexp_extract(name, 'bench-([0-9]+)-([0-9]+)-', 1) AS BIGINT) = wi AND CAST(regexp_extract(name, 'bench-([0-9]+)-([0-9]+)-', 2) AS BIGINT) = wg""")
 def _(spark, d):
     key = F.col("s_suppkey")
@@ -217,7 +217,7 @@ def _(spark, d):
         F.lit("bench-"), (256 * F.pow(F.lit(2.0), key % 4)).cast("long").cast("string"), F.lit("-"),
         F.pow(F.lit(2.0), key % 9).cast("long").cast("string"), F.lit("-"), key.cast("string"), F.lit(".csv")).alias("name"))
     grid = joins.power_grid(spark, (8, 11), (0, 8), lambda wi, wg: (wi / wg).between(64, 1024), ("wi", "wg"))
-    return joins.sweep_runs(runs, grid, "bench-([0-9]+)-([0-9]+)-").select("wi", "wg", "name", "run_no")
+    return joins.sweep_runs(runs, grid, "bench-([0-9]+)-([0-9]+)-").select("wi", "wg", "name")
 
 
 @query("horizon_sweep", f"""WITH {LONG}, h AS (SELECT unnest([86400.0, 604800.0, 1209600.0]) AS horizon)

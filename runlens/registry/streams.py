@@ -33,10 +33,22 @@ def _(spark, d):
     return sinks.drain(parse_lines(lines, ["view=", "click="]), "lines").select("run_id", "event_id", "metric", "text")
 
 
-@query("pack_rows")
+@query("pack_rows", f"""WITH RECURSIVE {LONG}, ev AS (
+  SELECT run_id, seq // 8 AS batch, seq, CASE WHEN metric IN ('view', 'click', 'error') THEN metric ELSE 'stdout' END AS metric,
+         CASE WHEN metric IN ('view', 'click', 'error') THEN CAST(value AS VARCHAR) WHEN metric = 'signup' THEN concat('note ', event_id) ELSE concat(metric, '=', value) END AS text
+  FROM lng),
+st AS (
+  SELECT run_id, batch, seq, metric, text, 0 AS row_no, [metric] AS seen FROM ev WHERE seq % 8 = 0
+  UNION ALL
+  SELECT e.run_id, e.batch, e.seq, e.metric, e.text,
+         CASE WHEN s.metric = 'stdout' OR (e.metric <> 'stdout' AND list_contains(s.seen, e.metric)) THEN s.row_no + 1 ELSE s.row_no END,
+         CASE WHEN s.metric = 'stdout' OR (e.metric <> 'stdout' AND list_contains(s.seen, e.metric)) THEN [e.metric] ELSE list_append(s.seen, e.metric) END
+  FROM st s JOIN ev e ON e.run_id = s.run_id AND e.batch = s.batch AND e.seq = s.seq + 1)
+SELECT run_id, batch, row_no, metric, text FROM st""")
 def _(spark, d):
     events = parse_lines(line_view(spark, d), ["view=", "click=", "error="], stdout="stdout")
-    return pack_rows(events.withColumn("batch", F.floor(F.col("seq") / 8)), ["run_id", "batch"])
+    packed = pack_rows(events.withColumn("batch", F.floor(F.col("seq") / 8)), ["run_id", "batch"])
+    return packed.select("run_id", "batch", "row_no", F.explode("cells").alias("metric", "text"))
 
 
 # A run of single-key batches packs to one row per value.

@@ -12,7 +12,8 @@ sys.path.insert(0, str(ROOT / "tests"))
 def spark():
     from runlens.session import session
 
-    s = session("tests", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
+    # Tiny inputs: interpreted plans start faster than compiled ones; compare.py runs them compiled.
+    s = session("tests", "local[8]", **{"spark.sql.shuffle.partitions": "4", "spark.sql.codegen.wholeStage": "false", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
                                         "spark.ui.showConsoleProgress": "false"})
     s.sparkContext.setLogLevel("ERROR")
     return s
