@@ -52,3 +52,42 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_tree import suffix_tree_scores
+
+    return suffix_tree_scores(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "is_kept")
+
+
+@query
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .neighbours import nearest_rows
+
+    return nearest_rows(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, 5)
+
+
+#: Shares of the words of a mix that documents of these labels are to have.
+TARGETS = {"good": 0.97, "poor": 0.02, "toxic": 0.01}
+
+
+def domains(labels: DataFrame) -> DataFrame:
+    """(doc_id, domain) of the labelled documents: toxic, else by quality."""
+    return labels.selectExpr("doc_id", "CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 0 THEN 'poor' WHEN quality = 1 THEN 'good' END AS domain")
+
+
+@query
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), domains(table(spark, sf_dir, "labels")), TARGETS)
