@@ -5,29 +5,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import packing, quality_rules
+from runlens.llm import minhash, mixing, packing, quality_rules, suffix_array
 from runlens.llm.common import table
+from runlens.llm.queries import TARGETS, domains
 from runlens.plans.scratch import scratch_path
 
-#: No stage after the first can be stated in SQL; tests hold each stage against a brute-force version.
+#: Signatures, fitted models and token ids are beyond SQL; tests hold every stage against a brute-force version.
 ORACLE_SQL = None
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return quality_rules.kept_documents(docs).select(COLUMNS)
+    return quality_rules.kept_documents(docs)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return minhash.deduplicated(docs)
+
+
+def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 200 bytes that occur twice go from the texts; every document stays, with its new length."""
+    return suffix_array.deduplicated(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents stay as often as the mix of domains asks for, at most once."""
+    return mixing.mixed_documents(docs, domains(table(spark, sf_dir, "labels")), TARGETS, most=1.0)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packed sequences of at most 2048 tokens."""
+    """Packed sequences of at most 2048 tokens, one row per piece."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("quality rules", rules_stage), ("packing", packing_stage)]
+STAGES = [
+    ("quality rules", rules_stage),
+    ("near-dedup", near_dedup_stage),
+    ("suffix dedup", suffix_dedup_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

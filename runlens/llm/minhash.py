@@ -97,7 +97,7 @@ def signatures(doc: np.ndarray, key: np.ndarray, times: np.ndarray, docs: int, s
         at, x, n = seed[live], np.zeros(len(live)), 0
         while len(live):
             n += 1
-            h = mixed(at + np.uint64(n) * _A)
+            h = mixed(at + np.uint64(n * int(_A) % (1 << 64)))
             x = x - np.log(_unit(h)) / length[live]
             on = x <= limit[p_doc[live]]
             live, at, x, h = live[on], at[on], x[on], h[on]

@@ -5,14 +5,14 @@ labelled table and gives every document posterior probabilities of the domains.
 document then gets a nonnegative rate, how often it is to be used.  With t_i words of document i, p_ik
 its posteriors, D all words, s_k = sum_i t_i p_ik / D and goals b_k, the rates solve
 
-    minimise  sum_k (sum_i r_i t_i p_ik / D - b_k)^2 / s_k + pull * sum_i t_i (r_i - 1)^2 / D,   r_i >= 0,
+    minimise  sum_k (sum_i r_i t_i p_ik / D - b_k)^2 / s_k + pull * sum_i t_i (r_i - 1)^2 / D,   0 <= r_i <= most,
 
 by projected gradient steps.  A step needs one number per domain from all documents: an
 aggregate over the stored posteriors.  Every document's own rate is a chain of these steps, one
 column expression, so that a step stores nothing.
 
 The goals are the targets times a total.  By default the total is the largest for which no domain has
-to grow, so rates stay at about 1 or below; ``total`` sets it as a part of all words.
+to grow; ``total`` sets it as a part of all words.  ``most`` is the highest rate, None for no bound.
 
 Defined cases: a null or empty text has no words; its posteriors are the domains' shares of
 the sample and its rate is that of such a document.  A word bucket unseen in a domain is smoothed.  Null domains and ids
@@ -87,7 +87,8 @@ def posteriors(docs: DataFrame, weights: DataFrame, domains: list[str]) -> DataF
     return written(raw.select("doc_id", "n_words", *[F.when(total > 0, F.col(f"e{k}") / total).otherwise(0.0).alias(f"p{k}") for k in each]), "posteriors")
 
 
-def solve(placed: DataFrame, targets: list[float], total: float | None = None, pull: float = PULL, rounds: int = ROUNDS) -> Column:
+def solve(placed: DataFrame, targets: list[float], total: float | None = None, most: float | None = None, pull: float = PULL,
+          rounds: int = ROUNDS) -> Column:
     """The rate of each row of ``placed(n_words, p0, ...)`` as a column."""
     each, t = range(len(targets)), F.col("n_words")
     first = placed.agg(F.sum(t).alias("d"), *[F.sum(t * F.col(f"p{k}")).alias(f"s{k}") for k in each]).first()
@@ -106,6 +107,7 @@ def solve(placed: DataFrame, targets: list[float], total: float | None = None, p
     for _ in range(rounds):
         push = sum((F.col(f"p{k}") * F.lit(step * (held[k] - goal[k]) / share[k]) for k in use), F.lit(0.0))
         rate = F.greatest(F.lit(0.0), rate * F.lit(1.0 - step * pull) + F.lit(step * pull) - push)
+        rate = rate if most is None else F.least(F.lit(float(most)), rate)
         row = placed.agg(*[F.sum(t * F.col(f"p{k}") * rate).alias(f"a{k}") for k in use]).first()
         before, held = held, {k: float(row[f"a{k}"]) / words for k in use}
         if max(abs(held[k] - before[k]) for k in use) < TOLERANCE:
@@ -113,11 +115,11 @@ def solve(placed: DataFrame, targets: list[float], total: float | None = None, p
     return rate
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total: float | None = None) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total: float | None = None, most: float | None = None) -> DataFrame:
     """(doc_id, n_words, p_<domain> ..., rate) per row of ``docs``; ``labelled(doc_id, domain)`` names the domains of some."""
     domains = sorted(targets)
     placed = posteriors(docs, word_weights(docs, labelled, domains), domains)
-    rate = solve(placed, [targets[d] for d in domains], total)
+    rate = solve(placed, [targets[d] for d in domains], total, most)
     return placed.select("doc_id", "n_words", *[F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(domains)], rate.alias("rate"))
 
 
@@ -127,9 +129,9 @@ def copies(rate: Column, key: Column) -> Column:
     return (F.floor(rate) + (unit < rate - F.floor(rate)).cast("long")).cast("int")
 
 
-def mixed_documents(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total: float | None = None) -> DataFrame:
+def mixed_documents(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total: float | None = None, most: float | None = None) -> DataFrame:
     """The rows of ``docs``, each as often as its rate says, with all their columns."""
-    rated = mix(docs, labelled, targets, total).groupBy(F.col("doc_id").alias("_id")).agg(F.avg("rate").alias("_rate"))
+    rated = mix(docs, labelled, targets, total, most).groupBy(F.col("doc_id").alias("_id")).agg(F.avg("rate").alias("_rate"))
     rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_key"))
     joined = rows.join(rated, F.col("_key").eqNullSafe(F.col("_id")))
     return joined.where(copies(F.col("_rate"), F.col("_key")) > 0).select(

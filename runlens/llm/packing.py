@@ -30,58 +30,64 @@ WINDOW = 2048
 OPEN = 64
 FAN_IN = 16
 END = 1
-CACHED_WORDS = 400_000
+CACHED_WORDS = 500_000
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 _WHITE = re.compile("[\t\n\x0b\x0c\r ]+")
-#: Words whose normal form is their lower case: printable ASCII and Latin-1 letters.
-_PLAIN = re.compile("[!-~\xc0-\xff]+")
+#: Letters whose normal form is their lower case.
+_PLAIN = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+_MARKS = ".,;:!?"
+#: How the tokenizer writes the bytes of Latin-1 letters: printable bytes as themselves, the others from 256 on.
+_ODD = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+_BYTE = {b: chr(256 + _ODD.index(b)) if b in _ODD else chr(b) for b in range(256)}
 
 
 class Words:
-    """Token ids of words, with a bounded table of words seen before.
+    """Token ids of words, with two bounded generations of words seen before.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are
-    its words' ids in order.
+    The tokenizer drops white space and never joins across it, so a text's ids are its
+    words' ids in order.  It splits letters from marks too, so a plain word with marks behind it is
+    the word's ids and the marks'.
     """
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
+        self.model = self.tokenizer.model
         self.seen: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def ids(self, text: str) -> np.ndarray:
-        words = [w for w in _WHITE.split(text) if w]
+        words = _WHITE.split(text)
+        if len(self.seen) > CACHED_WORDS:
+            self.seen, self.older = {"": b""}, self.seen
         seen = self.seen
-        new = [w for w in dict.fromkeys(words) if w not in seen]
-        if new:
-            if len(seen) > CACHED_WORDS:
-                seen.clear()
-                new = list(dict.fromkeys(words))
-            self.learn(new)
+        try:
+            return np.frombuffer(b"".join([seen[w] for w in words]), "<u4")
+        except KeyError:
+            for w in words:
+                if w not in seen:
+                    seen[w] = self.older.get(w) or self.learn(w)
         return np.frombuffer(b"".join([seen[w] for w in words]), "<u4")
 
-    def learn(self, words: list[str]) -> None:
-        """Encodes words as one text; offsets tell which ids belong to which word.
-
-        Only words that normalisation leaves in place go into the common text.
-        """
-        plain = [w for w in words if _PLAIN.fullmatch(w)]
-        for w in words:
-            if not _PLAIN.fullmatch(w):
-                self.seen[w] = np.asarray(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-        if not plain:
-            return
-        found = self.tokenizer.encode(" ".join(plain), add_special_tokens=False)
-        ids = np.asarray(found.ids, "<u4")
-        at = np.fromiter((a for a, _ in found.offsets), np.int64, len(ids))
-        starts = np.cumsum([0, *(len(w) + 1 for w in plain)])
-        cuts = np.searchsorted(at, starts)
-        raw = ids.tobytes()
-        for w, a, b in zip(plain, cuts[:-1].tolist(), cuts[1:].tolist()):
-            self.seen[w] = raw[4 * a:4 * b]
+    def learn(self, word: str) -> bytes:
+        core = word.rstrip(_MARKS)
+        if not _PLAIN.fullmatch(core):
+            return np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        low = core.lower()
+        made = self.seen.get(low) or self.older.get(low)
+        if not made:
+            spelled = low if low.isascii() else "".join([_BYTE[b] for b in low.encode()])
+            made = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+        self.seen[low] = made
+        return made if len(core) == len(word) else made + self.marks(word[len(core):])
+
+    def marks(self, run: str) -> bytes:
+        if run not in self.seen:
+            self.seen[run] = np.asarray(self.tokenizer.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.seen[run]
 
 
 _loaded: dict[int, Words] = {}

@@ -90,4 +90,12 @@ def domains(labels: DataFrame) -> DataFrame:
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
-    return mix(table(spark, sf_dir, "documents"), domains(table(spark, sf_dir, "labels")), TARGETS)
+    return mix(table(spark, sf_dir, "documents"), domains(table(spark, sf_dir, "labels")), TARGETS, most=1.0)
+
+
+@query
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_array import without_repeats
+
+    cut = without_repeats(table(spark, sf_dir, "documents"), ["doc_id"])
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
