@@ -57,12 +57,12 @@ def bare(word: bytes) -> str:
     return w[a:b]
 
 
-def copy_groups(words: list[set[str]], bands: int = 12, rows: int = 4) -> np.ndarray:
-    """A group number per document; documents that share a band of min-hashes of their longer words are of one group.
+def copy_groups(texts: list[str], bands: int = 12, rows: int = 4) -> np.ndarray:
+    """A group number per document; documents that share a band of min-hashes of their word pairs are of one group.
 
     Copies of a text repeat its chance words, and must not count as several witnesses.
     """
-    group = list(range(len(words)))
+    group = list(range(len(texts)))
 
     def root(i: int) -> int:
         while group[i] != i:
@@ -72,15 +72,16 @@ def copy_groups(words: list[set[str]], bands: int = 12, rows: int = 4) -> np.nda
 
     first: dict[tuple, int] = {}
     seeds = mixed(np.arange(bands * rows, dtype=np.uint64) + np.uint64(1))
-    for i, own in enumerate(words):
-        h = np.array([crc32(w.encode("utf-8", "replace")) for w in own if len(w) >= 8], np.uint64)
+    for i, text in enumerate(texts):
+        w = text.lower().encode("utf-8", "replace").split()
+        h = np.array([crc32(b" ".join(pair)) for pair in {*zip(w, w[1:])}], np.uint64)
         if not len(h):
             continue
         least = mixed(h[:, None] + seeds).min(axis=0).reshape(bands, rows)
         for k in range(bands):
             other = root(first.setdefault((k, *least[k].tolist()), i))
             group[max(other, root(i))] = min(other, root(i))
-    return np.array([root(i) for i in range(len(words))])
+    return np.array([root(i) for i in range(len(texts))])
 
 
 def learn_terms(texts: list[str], toxic: np.ndarray, least: int = 5, share: float = 0.9, part: float = 0.01) -> dict[str, bool]:
@@ -91,7 +92,7 @@ def learn_terms(texts: list[str], toxic: np.ndarray, least: int = 5, share: floa
     the longest of those with the same.
     """
     words = [{bare(w) for w in set(t.encode("utf-8", "surrogatepass").split())} for t in texts]
-    groups = copy_groups(words)
+    groups = copy_groups(texts)
     held: dict[bool, defaultdict[str, set]] = {True: defaultdict(set), False: defaultdict(set)}
     ends: defaultdict[str, set] = defaultdict(set)
     for own, bad, group in zip(words, toxic, groups.tolist()):
