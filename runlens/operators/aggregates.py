@@ -30,8 +30,7 @@ def mean_speed(samples: DataFrame, regex: str = "work_done", drop_inf: bool = Fa
     return ops_per_sec(samples, regex, 1, drop_inf, block_rows).groupBy(*SERIES).agg(F.avg("ops").alias("speed"))
 
 
-def quantiles(df: DataFrame, value: str, probabilities: list[float], keys: list[str] = (),
-              block_rows: int = BLOCK_ROWS) -> DataFrame:
+def quantiles(df: DataFrame, value: str, probabilities: list[float], keys: list[str] = ()) -> DataFrame:
     """Exact quantiles with linear interpolation between order statistics, per group of ``keys``.
 
     Equal values are counted first; their running counts give every rank, so no
@@ -40,7 +39,7 @@ def quantiles(df: DataFrame, value: str, probabilities: list[float], keys: list[
     keys = list(keys)
     counts = (df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v"))
               .agg(F.count("*").alias("_c")))
-    ranked = (ordered_scan(counts, keys, ["_v"], block_rows)
+    ranked = (ordered_scan(counts, keys, ["_v"])
               .total("_upto", F.col("_c")).rest("_from", F.col("_c")).result())
     last = F.col("_upto") + F.col("_from") - F.col("_c") - 1
     cells = []
@@ -55,20 +54,20 @@ def quantiles(df: DataFrame, value: str, probabilities: list[float], keys: list[
                                    for i in range(len(probabilities))])
 
 
-def flag_bad(fits: DataFrame, rmse: str = "rmse", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def flag_bad(fits: DataFrame, rmse: str = "rmse") -> DataFrame:
     """Marks fits whose rmse is above twice the third quartile of all."""
-    q3 = quantiles(fits, rmse, [0.75], block_rows=block_rows).select("q0").scalar()
+    q3 = quantiles(fits, rmse, [0.75]).select("q0").scalar()
     return fits.withColumn("bad", F.coalesce(F.col(rmse) > 2 * q3, F.lit(False)))
 
 
-def describe(df: DataFrame, columns: list[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
+def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row per column: count, missing, mean, std, min, quartiles, max."""
     pairs = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("v")) for c in columns])
     cells = df.select(F.inline(pairs))
     stats = cells.groupBy("variable").agg(
         F.count("v").alias("n"), F.count_if(F.col("v").isNull()).alias("missing"), F.avg("v").alias("mean"),
         F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
-    parts = quantiles(cells, "v", [0.25, 0.5, 0.75], ["variable"], block_rows)
+    parts = quantiles(cells, "v", [0.25, 0.5, 0.75], ["variable"])
     return stats.join(parts.toDF("variable", "q25", "median", "q75"), "variable", "left")
 
 

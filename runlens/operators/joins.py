@@ -61,7 +61,7 @@ def sync_sample(events: DataFrame, ticks: DataFrame, keys: list[str], block_rows
         "run_id", "t", F.lit(0).alias("kind"), "seq", "metric", "value")
     marks = ticks.select("run_id", "t", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("seq"),
                          F.lit(None).cast("string").alias("metric"), F.lit(None).cast("double").alias("value"))
-    both = number_rows(used.unionByName(marks), ["run_id"], ["t", "kind", "seq"], "_at", block_rows)
+    both = number_rows(used.unionByName(marks), ["run_id"], ["t", "kind", "seq"], "_at")
     counted = Scan(both, ["run_id"], ["_at"], block_rows=block_rows).total("_ticks", F.col("kind").cast("long")).result()
     slot = F.col("_ticks") - F.col("kind")
     cells = [F.max_by("value", F.when(F.col("metric") == k, F.col("_at"))).alias(k) for k in keys]

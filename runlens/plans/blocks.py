@@ -8,14 +8,16 @@ one small row per block that is scanned per group and joined back.  A small
 group is simply a group with one block, so there is a single code path.
 
 * ``block_of`` cuts a group by its dense row number.
-* ``number_rows`` makes dense row numbers for data that has none.
+* ``number_rows`` makes dense row numbers for data that has none: the rows are laid out in
+  ranges of (key, order), whatever their number, and stored once, so that all later
+  branches of a plan agree on the ranges.
 * ``Scan`` evaluates the ordered expressions.
 * ``attach`` joins one row per group to all rows of the group, by block.
 """
 
 from __future__ import annotations
 
-from math import ceil, log
+from math import log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -24,7 +26,8 @@ from pyspark.sql import functions as F
 from .scratch import written
 
 BLOCK_ROWS = 2_000_000
-MAX_RANGES = 50_000
+# Exponent that the weights of a running sum reach in a block.
+REACH = 100.0
 BLOCK = "_block"
 
 
@@ -121,41 +124,25 @@ class Scan:
         return joined.select(*kept, *out)
 
 
-def lay_out(df: DataFrame, keys: list[str], order: list[str], rows: int, block_rows: int) -> DataFrame:
-    """Rows in key-and-order ranges of about ``block_rows``, stored, with their range number.
+def lay_out(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows in key-and-order ranges, stored, with their range number.
 
     Range partitioning splits a hot key because the order columns are part of
-    the range key.  The stored table pins the range numbers.
+    the range key; adaptive execution settles the number of ranges by their size.  The
+    stored table pins the range numbers.
     """
-    ranges = max(1, min(MAX_RANGES, ceil(rows / block_rows)))
-    laid = df.repartitionByRange(ranges, *keys, *order).withColumn(BLOCK, F.spark_partition_id().cast("long"))
+    laid = df.repartitionByRange(*keys, *order).withColumn(BLOCK, F.spark_partition_id().cast("long"))
     return written(laid, "ranges")
 
 
-def largest_group(df: DataFrame, keys: list[str]) -> tuple[int, int]:
-    """(rows of the largest group, rows in all)."""
-    row = df.groupBy(*keys).count().agg(F.max("count"), F.sum("count")).first()
-    return row[0] or 0, row[1] or 0
+def ordered_scan(df: DataFrame, keys: list[str], order: list[str]) -> Scan:
+    """A Scan over data without row numbers."""
+    return Scan(lay_out(df, keys, order), keys, order, F.col(BLOCK))
 
 
-def ordered_scan(df: DataFrame, keys: list[str], order: list[str], block_rows: int = BLOCK_ROWS) -> Scan:
-    """A Scan over data without row numbers: one block per group where all groups are small."""
-    largest, rows = largest_group(df, keys)
-    if largest <= block_rows:
-        return Scan(df, keys, order, F.lit(0).cast("long"))
-    laid = lay_out(df, keys, order, rows, block_rows)
-    return Scan(laid, keys, order, F.col(BLOCK))
-
-
-def number_rows(df: DataFrame, keys: list[str], order: list[str], name: str = "seq",
-                block_rows: int = BLOCK_ROWS) -> DataFrame:
+def number_rows(df: DataFrame, keys: list[str], order: list[str], name: str = "seq") -> DataFrame:
     """Dense row numbers from 0 inside each group."""
-    largest, rows = largest_group(df, keys)
-    if largest <= block_rows:
-        place = W.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(place).cast("long") - 1)
-    laid = lay_out(df, keys, order, rows, block_rows)
-    counted = Scan(laid, keys, order, F.col(BLOCK)).total(name, F.lit(1).cast("long")).result()
+    counted = ordered_scan(df, keys, order).total(name, F.lit(1).cast("long")).result()
     return counted.withColumn(name, F.col(name) - 1)
 
 
@@ -196,28 +183,25 @@ def affine_scan(df: DataFrame, keys: list[str], pos: str, value: str, decay: flo
     """y[i] = decay*y[i-1] + value[i], y[-1] = start (constant per group), pos dense from 0.
 
     Inside a block the recurrence is a weighted running sum; the block length is
-    chosen so that the weights decay**-i stay finite.  Each block then hands its
-    end value, faded, to the blocks after it, as far as it still counts in double
-    precision (a remainder below e**-50).
+    chosen so that the weights decay**-i stay finite.  The block ends follow the same
+    recurrence with decay**length, and are summed the same way, level by level, until a
+    whole block fades to zero in double precision.  Nothing is cut off before.
     """
-    if decay <= 0.0:
-        return df.withColumn(name, F.col(value))
     if decay >= 1.0:
         raise ValueError("decay must be below 1; use a running total instead")
+    if decay <= 1e-300:  # of an earlier row nothing is left
+        return df.withColumn(name, F.col(value))
     rate = -log(decay)
-    length = int(max(1, min(block_rows, 200.0 / rate)))
-    reach = max(2, ceil(50.0 / (rate * length)) + 1)
-    whole = F.lit(decay ** length)
+    length = int(max(2, min(block_rows, REACH / rate)))
     at = F.col(pos) % length
     inside = W.partitionBy(*keys, "_blk").orderBy(pos).rowsBetween(W.unboundedPreceding, 0)
     scaled = F.sum(F.col(value) * F.pow(F.lit(decay), -at)).over(inside)
     rows = df.withColumn("_blk", block_of(pos, length)).withColumn("_local", scaled * F.pow(F.lit(decay), at))
     ends = rows.groupBy(*keys, "_blk").agg(F.max_by("_local", pos).alias("_end"), F.min(start).alias("_y0"))
-    initial = F.struct(F.col("_blk"), (F.col("_y0") * F.pow(whole, F.col("_blk"))).alias("_in"))
-    handed = F.transform(F.sequence(F.lit(1), F.lit(reach)), lambda j: F.struct(
-        (F.col("_blk") + j).alias("_blk"), (F.col("_end") * F.pow(whole, j - 1)).alias("_in")))
-    into = (ends.select(*keys, F.inline(F.concat(F.array(initial), handed)))
-            .groupBy(*keys, "_blk").agg(F.sum("_in").alias("_in")))
+    summed = affine_scan(ends.withColumnsRenamed({"_blk": "_pos0"}), keys, "_pos0", "_end", decay ** length, "_y0", "_sum", block_rows)
+    handed = F.struct((F.col("_pos0") + 1).alias("_blk"), F.col("_sum").alias("_in"))
+    initial = F.struct(F.lit(0).cast("long").alias("_blk"), F.col("_y0").alias("_in"))
+    into = summed.select(*keys, F.inline(F.when(F.col("_pos0") == 0, F.array(initial, handed)).otherwise(F.array(handed))))
     return (rows.join(into, [*keys, "_blk"])
             .withColumn(name, F.col("_local") + F.col("_in") * F.pow(F.lit(decay), at + 1))
             .drop("_blk", "_local", "_in"))

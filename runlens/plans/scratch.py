@@ -1,8 +1,10 @@
 """Intermediate tables in the folder the cluster shares.
 
-The folder comes from ``spark.checkpoint.dir``.  Only a local session that has
-none gets a fresh one of its own; on a cluster a missing setting is an error,
+The folder is that of ``spark.checkpoint.dir``, else the one given to
+``SparkContext.setCheckpointDir``.  Only a local session that has neither
+gets a fresh one of its own; on a cluster a missing setting is an error,
 because a machine-local folder would not survive the loss of an executor.
+Tables stay until ``clear`` is called, since a retried job may read them again.
 """
 
 from __future__ import annotations
@@ -13,22 +15,25 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_folder: dict[str, str] = {}
+_made: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
     if not spark.conf.get("spark.master", "local").startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _local_folder:
-        _local_folder[app] = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    return _local_folder[app]
+    if context.applicationId not in _local_folder:
+        _local_folder[context.applicationId] = tempfile.mkdtemp(prefix="run-")
+    return _local_folder[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -41,3 +46,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete this application's stored tables; call it when no result that reads them is in use.  Returns their number."""
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    hadoop, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(hadoop).delete(where, True)
+    return len(paths)

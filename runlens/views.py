@@ -28,7 +28,7 @@ def long_view(spark: SparkSession, sf_dir: str, block_rows: int = BLOCK_ROWS) ->
     events = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("run_id"), micros(F.col("ts")).alias("us"), "event_id",
         F.col("event_type").alias("metric"), "value")
-    numbered = number_rows(events, ["run_id"], ["us", "event_id"], "seq", block_rows)
+    numbered = number_rows(events, ["run_id"], ["us", "event_id"])
     start = events.groupBy("run_id").agg(F.min("us").alias("us0"), (F.count("*") - 1).alias("last_seq"))
     timed = attach(numbered, start, ["run_id"], block_rows=block_rows)
     return timed.select("run_id", "seq", ((F.col("us") - F.col("us0")) / F.lit(1e6)).alias("t"), "metric", "value", "event_id")

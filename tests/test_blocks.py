@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from runlens import views
@@ -44,8 +45,6 @@ CASES = {
     "subtract_clamped": lambda s, b: joins.subtract_clamped(s, "cpu_0_temp", "ambient", block_rows=b),
     "sync": lambda s, b: joins.sync_sample(s, s.where("metric = 'ambient'").select("run_id", "t"), ["cpu_0_temp", "cam_cpu"], b),
     "thermocam": lambda s, b: joins.thermocam_correct(s, block_rows=b),
-    "quantiles": lambda s, b: aggregates.quantiles(s, "value", [0.1, 0.5, 0.75], ["metric"], b),
-    "quantiles_all": lambda s, b: aggregates.quantiles(s, "value", [0.25], block_rows=b),
 }
 
 
@@ -54,10 +53,30 @@ def test_cuts_do_not_matter(hot, name):
     assert table(CASES[name](hot, TINY)) == table(CASES[name](hot, blocks.BLOCK_ROWS))
 
 
-def test_number_rows_over_ranges(spark, hot):
-    plain = blocks.number_rows(hot.drop("seq"), ["run_id"], ["t", "metric", "value"], "n")
-    ranged = blocks.number_rows(hot.drop("seq"), ["run_id"], ["t", "metric", "value"], "n", block_rows=TINY)
-    assert table(plain) == table(ranged)
+@pytest.fixture(params=[1, 7, 60])
+def ranges(spark, request):
+    """As many ranges, however small, so that runs are cut."""
+    settings = {"spark.sql.shuffle.partitions": str(request.param), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    saved = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield request.param
+    for k, v in saved.items():
+        spark.conf.set(k, v)
+
+
+def test_number_rows_over_ranges(hot, ranges):
+    order = ["t", "metric", "value"]
+    plain = hot.drop("seq").withColumn("n", F.row_number().over(W.partitionBy("run_id").orderBy(*order)).cast("long") - 1)
+    assert table(blocks.number_rows(hot.drop("seq"), ["run_id"], order, "n")) == table(plain)
+
+
+def test_quantiles_over_ranges(hot, ranges):
+    pdf = hot.toPandas()
+    got = aggregates.quantiles(hot, "value", [0.1, 0.5, 0.75], ["metric"]).toPandas().set_index("metric")
+    want = pdf.groupby("metric").value.quantile([0.1, 0.5, 0.75]).unstack()
+    np.testing.assert_allclose(got.sort_index().to_numpy(), want.sort_index().to_numpy(), rtol=1e-12)
+    assert aggregates.quantiles(hot, "value", [0.25]).first().q0 == pytest.approx(pdf.value.quantile(0.25), rel=1e-12)
 
 
 def test_views_over_ranges(spark, small):
@@ -78,6 +97,18 @@ def test_affine_scan_follows_the_recurrence(spark, decay):
         np.testing.assert_allclose(got, want, rtol=1e-9, atol=1e-12)
 
 
+@pytest.mark.parametrize("decay", [0.05, 0.5, 1e-40, 1e-200])
+def test_nothing_is_cut_off_a_fading_value(spark, decay):
+    df = spark.createDataFrame([("a", i, 1e30 if i == 0 else 0.0, 0.0) for i in range(400)], "k string, pos long, u double, y0 double")
+    got = [r.y for r in blocks.affine_scan(df, ["k"], "pos", "u", decay, "y0", "y", 4).orderBy("pos").collect()]
+    y, want = 0.0, []
+    for i in range(400):
+        y = decay * y + (1e30 if i == 0 else 0.0)
+        want.append(y)
+    for g, w in zip(got, want):
+        assert g == pytest.approx(w, rel=1e-9, abs=1e-280)
+
+
 def test_specs_over_blocks(spark, hot):
     rows = [("0", 0, "cpu_0_temp", 0.5, "CPU", None, None, 4), ("0", 1, "cpu_1_temp", 1.0, "B", "ambient", 0.25, None), ("7", 2, "cam_cpu", 2.0, "C", "ambient", 1.0, 3)]
     spec = spark.createDataFrame(rows, "data_path string, spec_no int, y_col_name string, y_scale double, y_label string, y_subtract string, y_subtract_scale double, smoothing_window_size int").withColumn("x_scale", F.lit(1.0))
