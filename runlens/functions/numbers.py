@@ -96,18 +96,18 @@ def ratio_err(num: Column, num_err: Column, den: Column, den_err: Column) -> Col
     return F.abs(q) * F.sqrt(F.pow(F.try_divide(num_err, num), F.lit(2.0)) + F.pow(F.try_divide(den_err, den), F.lit(2.0)))
 
 
-def general_format(value: Column) -> Column:
-    """Six significant digits with trailing zeros removed, like C's %g."""
+def general_format(value: Column, digits: int = 6) -> Column:
+    """Six (or ``digits``) significant digits with trailing zeros removed, like C's %g."""
     # The exponent is that of the rounded value: 999999.5 prints as 1e+06.
-    text = F.format_string("%.5e", value)
+    text = F.format_string(f"%.{digits - 1}e", value)
     exponent = F.when(value == 0, F.lit(0)).otherwise(F.regexp_extract(text, "e(.*)$", 1).cast("int"))
     mantissa = F.regexp_replace(F.regexp_extract(text, "^(.*)e", 1), r"\.?0+$", "")
     scientific = F.concat(mantissa, F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")),
                           F.format_string("%02d", F.abs(exponent)))
     fixed = F.element_at(F.array(*[F.format_string(f"%.{d}f", value) for d in range(0, 10)]),
-                         (F.greatest(F.least(5 - exponent, F.lit(9)), F.lit(0)) + 1).cast("int"))
+                         (F.greatest(F.least(digits - 1 - exponent, F.lit(9)), F.lit(0)) + 1).cast("int"))
     fixed = F.when(F.instr(fixed, ".") > 0, F.regexp_replace(fixed, r"\.?0+$", "")).otherwise(fixed)
     return (F.when(value.isNull(), F.lit(None).cast("string"))
             .when(F.isnan(value), F.lit("nan"))
             .when(value == float("inf"), F.lit("inf")).when(value == float("-inf"), F.lit("-inf"))
-            .when((exponent < -4) | (exponent >= 6), scientific).otherwise(fixed))
+            .when((exponent < -4) | (exponent >= digits), scientific).otherwise(fixed))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import mean_est, ratio_err
 from ..plans.blocks import BLOCK_ROWS, ordered_scan
+from .columns import TIME
 from .windows import SERIES, ops_per_sec
 
 CACHE_LINE = 64
@@ -107,6 +108,9 @@ def coverage(samples: DataFrame, categories: dict[str, str], x: list[str]) -> Da
     """
     have = samples.where(F.col("value").isNotNull()).select("run_id", "metric").distinct()
     axes = have.where(F.col("metric").isin(x)).select("run_id", F.col("metric").alias("x"))
+    for name in x:
+        if name in TIME:  # every run has it
+            axes = axes.union(have.select("run_id", F.lit(name).alias("x")).distinct())
     pairs = F.array(*[F.struct(F.lit(k).alias("pat"), F.lit(v).alias("category")) for k, v in categories.items()])
     hits = F.filter(pairs, lambda p: F.contains(F.col("metric"), p["pat"]))
     cats = have.select("run_id", "metric", F.inline(hits))

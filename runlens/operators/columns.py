@@ -6,17 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import common_prefix
-from ..plans.blocks import BLOCK_ROWS, attach, last_seq
+from ..plans.blocks import BLOCK_ROWS, attach, last_seq, number_rows
 
 # Unit suffixes that the loader strips, and unit factors.
 STRIPPED = ["ms", "s", "m°C", "°C", "Hz", "%"]
-BASE_UNITS = {"ms": ("s", 1e-3), "m°C": ("°C", 1e-3), "mC": ("°C", 1e-3)}
+BASE_UNITS = {"m°C": ("°C", 1e-3), "mC": ("°C", 1e-3)}
 REPORT_UNITS = {"mC": ("°C", 1e-3), "per-mille": ("%", 0.1), "Hz": ("MHz", 1e-6), "kHz": ("MHz", 1e-3),
                 "GHz": ("MHz", 1e3), "uV": ("mV", 1e-3), "V": ("mV", 1e3)}
 # Default report categories, substring to title.
 CATEGORIES = {"temp": "Temperature", "load": "Load", "freq": "Frequency", "current": "Current",
               "voltage": "Voltage", "power": "Power", "cpu_work_done": "CPU work done"}
 NO_UNIT = "no unit"
+# Names of the time axis, which is the column ``t`` of all samples.
+TIME = ("t", "time")
 
 
 def split_units(run_columns: DataFrame, raw: str = "raw_name") -> DataFrame:
@@ -45,7 +47,7 @@ def _unit_case(units: dict, index: int, unit: Column, other: Column) -> Column:
 
 
 def normalize_units(samples: DataFrame) -> DataFrame:
-    """Milliseconds and milli-degrees to seconds and degrees (value and unit columns)."""
+    """Milli-degrees to degrees (value and unit columns); of times only the time axis is brought to seconds, by the reader."""
     unit = F.col("unit")
     return (samples.withColumn("value", F.col("value") * _unit_case(BASE_UNITS, 1, unit, F.lit(1.0)))
             .withColumn("unit", _unit_case(BASE_UNITS, 0, unit, unit)))
@@ -126,25 +128,31 @@ def by_category(samples: DataFrame, categories: dict[str, str], x: str, block_ro
 
     A category that equals the x axis is left out, as is one no column falls in.
     """
+    timed = x in TIME
     axis = samples.where(F.col("metric") == x).select("run_id", "seq", F.col("value").alias("x_value"))
     pairs = F.array(*[F.struct(F.lit(k).alias("pat"), F.lit(v).alias("category"))
                       for k, v in categories.items() if k != x])
     hits = F.filter(pairs, lambda p: F.contains(F.col("metric"), p["pat"]))
     placed = (samples.where((F.col("metric") != x) & F.col("value").isNotNull())
-              .select("run_id", "seq", "metric", F.col("value").alias("y_value"),
+              .select("run_id", "seq", "metric", *([F.col("t").alias("x_value")] if timed else []), F.col("value").alias("y_value"),
                       F.explode(F.transform(hits, lambda p: p["category"])).alias("category")))
-    return placed.join(axis, ["run_id", "seq"]).withColumn("x", F.lit(x))
+    return (placed if timed else placed.join(axis, ["run_id", "seq"])).withColumn("x", F.lit(x))
 
 
-def series_titles(fits: DataFrame) -> DataFrame:
-    """Titles that show the run name and the column only where they differ over the result."""
+def series_titles(fits: DataFrame, order: list[str] = ("name", "metric")) -> DataFrame:
+    """Titles that show the run name and the column only where they differ over the result.
+
+    Where both differ the row's number in ``order``, from 1, is added.
+    """
+    fits = number_rows(fits, [], list(order), "_no")
     same = fits.agg((F.min("name") == F.max("name")).alias("same_names"), (F.min("metric") == F.max("metric")).alias("same_cols"))
     names, cols = same.select("same_names").scalar(), same.select("same_cols").scalar()
     title = F.concat(
         F.when(~names | cols, F.col("name")).otherwise(F.lit("")),
         F.when(~names & ~cols, F.lit(", ")).otherwise(F.lit("")),
-        F.when(cols, F.lit("")).otherwise(F.col("metric")))
-    return fits.withColumn("title", title)
+        F.when(cols, F.lit("")).otherwise(F.col("metric")),
+        F.when(~names & ~cols, (F.col("_no") + 1).cast("string")).otherwise(F.lit("")))
+    return fits.withColumn("title", title).drop("_no")
 
 
 def result_title(runs: DataFrame, name: str = "name") -> DataFrame:

@@ -210,16 +210,21 @@ def fit_saturating(samples: DataFrame, **options) -> DataFrame:
 
 
 def refit_around(samples: DataFrame, fits: DataFrame, order: int, frac: float = 0.05, k_bounds=K_BOUNDS,
-                 t_bounds=T_BOUNDS, rounds: int = 3, compat_rmse: bool = False) -> DataFrame:
-    """Fit again with every tau kept within ``frac`` of an earlier fit."""
+                 t_bounds=T_BOUNDS, rounds: int = 3, compat_rmse: bool = False, t_origin: str = "absolute", keys: list[str] = SERIES,
+                 block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Fit again with every tau kept within ``frac`` of an earlier fit.
+
+    The time bins are as fine as the smallest tau asks for.
+    """
     seeds = fits.where(F.col("terms").isNotNull())
     for i in range(order):
         tau = F.col("terms")[i]["tau"]
         seeds = (seeds.withColumn(f"x{i}", tau).withColumn(f"lo{i}", tau * (1 - frac)).withColumn(f"hi{i}", tau * (1 + frac)))
-    seeds = seeds.select(*SERIES, *[f"{n}{i}" for i in range(order) for n in ("x", "lo", "hi")])
-    summary = written(summarize(_from_origin(samples, SERIES, "absolute", BLOCK_ROWS), SERIES, 1.0), "moments")
-    best = _search(summary, SERIES, order, None, k_bounds, t_bounds, None, rounds, None, seeds, frac)
-    return _finish(best, _ends(summary, SERIES), SERIES, order, compat_rmse)
+    seeds = seeds.select(*keys, *[f"{n}{i}" for i in range(order) for n in ("x", "lo", "hi")])
+    floor = seeds.agg(F.min(F.least(*[F.col(f"lo{i}") for i in range(order)]) if order > 1 else F.col("lo0"))).first()[0] or 1.0
+    summary = written(summarize(_from_origin(samples, keys, t_origin, block_rows), keys, floor), "moments")
+    best = _search(summary, keys, order, None, k_bounds, t_bounds, None, rounds, None, seeds, frac)
+    return _finish(best, _ends(summary, keys), keys, order, compat_rmse)
 
 
 def fit_sweep(samples: DataFrame, horizons: list[float], order: int = 2, tau_bounds=TAU_BOUNDS, k_bounds=K_BOUNDS,

@@ -81,32 +81,34 @@ def calibrate(samples: DataFrame, y: str = "cpu_0_temp", x: str = "cam_cpu", blo
 
 def thermocam_correct(samples: DataFrame, y: str = "cpu_0_temp", x: str = "cam_cpu", prefix: str = "cam_",
                       block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Camera metrics mapped by the run's calibration line, the others unchanged."""
+    """Camera metrics mapped by the run's calibration line, the others unchanged, as are those of a run without a line."""
     line = calibrate(samples, y, x, block_rows).drop("n")
     sized = samples.groupBy("run_id").agg(last_seq()).join(line, "run_id", "left")
     joined = attach(samples, sized, ["run_id"], block_rows=block_rows)
-    fixed = F.when(F.col("metric").startswith(prefix), F.col("value") * F.col("slope") + F.col("intercept")).otherwise(F.col("value"))
+    line_value = F.col("value") * F.col("slope") + F.col("intercept")
+    fixed = F.when(F.col("metric").startswith(prefix), F.coalesce(line_value, F.col("value"))).otherwise(F.col("value"))
     return joined.withColumn("value", fixed).drop("slope", "intercept")
 
 
-def compare_tinf(*results: DataFrame, order: list[str] = ("name", "metric"), labels: list[str] | None = None) -> DataFrame:
-    """T_inf of several result sets side by side, paired by rank.
+def compare_tinf(*results: DataFrame, on: list[str] = ("name", "metric"), labels: list[str] | None = None) -> DataFrame:
+    """T_inf of several result sets side by side, one row per ``on`` that any set has; a set without it has NULL.
 
-    Sets must have equally many rows and the same ``subtract``.
+    All sets must have the same ``subtract``: a set that differs fails the query when it runs.
     """
     labels = labels or [f"tinf_{i + 1}" for i in range(len(results))]
-    facts = [r.agg(F.count("*").alias("n"), F.bool_or("subtract").alias("some"), F.bool_and("subtract").alias("all")).first()
-             for r in results]
-    if len({f["n"] for f in facts}) != 1:
-        raise ValueError("result sets differ in their number of rows")
-    if len({f["some"] for f in facts} | {f["all"] for f in facts}) > 1:
-        raise ValueError("result sets differ in subtract")
+    on = list(on)
     out = None
     for label, fits in zip(labels, results):
-        ranked = number_rows(fits.select(*order, F.col("tinf").alias(label)), [], list(order), "pos")
-        part = ranked.select("pos", "name", label) if out is None else ranked.select("pos", label)
-        out = part if out is None else out.join(part, "pos")
-    return out
+        part = fits.select(*on, F.col("tinf").alias(label), F.col("subtract").alias("_next"))
+        if out is None:
+            out = part.withColumnRenamed("_next", "_subtract")
+            continue
+        out = out.join(part, on, "full")
+        differs = F.col("_subtract") != F.col("_next")
+        same = F.when(differs, F.raise_error(F.lit("result sets differ in subtract"))).otherwise(F.coalesce("_subtract", "_next"))
+        out = out.withColumn("_subtract", same).drop("_next")
+    # Filtered on, so that the comparison is not pruned away.
+    return out.where("_subtract is null or _subtract or not _subtract").drop("_subtract")
 
 
 def sweep_runs(runs: DataFrame, grid: DataFrame, pattern: str) -> DataFrame:

@@ -192,7 +192,7 @@ def _(spark, d):
 
 
 @query("thermocam_correct", f"""WITH {_LINE}
-SELECT run_id, seq, metric, {sql_rnd("CASE WHEN metric = 'cam_cpu' THEN value * slope + intercept ELSE value END")} AS value
+SELECT run_id, seq, metric, {sql_rnd("CASE WHEN metric = 'cam_cpu' THEN coalesce(value * slope + intercept, value) ELSE value END")} AS value
 FROM sen LEFT JOIN cal USING (run_id)""")
 def _(spark, d):
     return joins.thermocam_correct(sensor_view(spark, d)).select("run_id", "seq", "metric", rnd("value").alias("value"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numbers import t_quantile
+from ..functions.model import model_expr
 from ..functions.text import common_prefix, common_suffix
 from ..operators import aggregates, columns, fitting, joins, tables
 from ..plans.grids import expand_bounds
@@ -20,7 +21,7 @@ PAIRS = [50.0, 120.0, 300.0]
 INF = float("inf")
 FREE = {"k_bounds": [(-INF, INF)], "t_bounds": (-INF, INF)}
 TEMPS = ["cpu_0_temp", "cpu_1_temp"]
-T_TABLE = "tq AS (SELECT * FROM (VALUES " + ", ".join(f"({d}, {t_quantile(d)!r})" for d in range(1, 200)) + ") q(dof, crit))"
+T_TABLE = "tq AS (SELECT * FROM (VALUES " + ", ".join(f"({d}, {t_quantile(d)!r})" for d in range(1, 400)) + ") q(dof, crit))"
 
 
 def hours(spark, d):
@@ -36,20 +37,20 @@ spd AS (
   SELECT run_id, metric, seq, (value - lag(value) OVER w) / nullif(t - lag(t) OVER w, 0) * 3600 AS ops
   FROM sen WHERE metric = 'work_done' WINDOW w AS (PARTITION BY run_id, metric ORDER BY seq)),
 est AS (SELECT run_id, avg(ops) AS val, count(ops) AS n, stddev_samp(ops) AS sd FROM spd WHERE ops IS NOT NULL GROUP BY 1),
-ops AS (SELECT run_id, val AS ops, sd * crit AS ops_err FROM est LEFT JOIN tq ON tq.dof = n - 1)"""
+ops AS (SELECT run_id, val AS ops, CASE WHEN n = 1 THEN CAST('Infinity' AS DOUBLE) ELSE sd * crit END AS ops_err FROM est LEFT JOIN tq ON tq.dof = n - 1)"""
 
 
 @query("mean_est", f"""WITH {T_TABLE}, {LONG}, a AS (SELECT run_id, metric, avg(value) AS val, stddev_samp(value) AS sd, count(*) AS n FROM lng GROUP BY 1, 2)
-SELECT run_id, metric, n, {sql_rnd('val')} AS val, {sql_rnd('sd * crit')} AS err FROM a JOIN tq ON dof = n - 1 WHERE n > 1""")
+SELECT run_id, metric, n, {sql_rnd('val')} AS val, CASE WHEN n = 1 THEN CAST('Infinity' AS DOUBLE) ELSE {sql_rnd('sd * crit')} END AS err FROM a LEFT JOIN tq ON dof = n - 1""")
 def _(spark, d):
     est = aggregates.mean_estimate(long_view(spark, d), ["run_id", "metric"], "value")
-    return est.where("n > 1").select("run_id", "metric", "n", rnd("val").alias("val"), rnd("err").alias("err"))
+    return est.select("run_id", "metric", "n", rnd("val").alias("val"), rnd("err").alias("err"))
 
 
-@query("ops_est", f"WITH {T_TABLE}, {_SPEED} SELECT run_id, {sql_rnd('ops', 5)} AS ops, {sql_rnd('ops_err', 5)} AS ops_err FROM ops WHERE ops_err IS NOT NULL")
+@query("ops_est", f"WITH {T_TABLE}, {_SPEED} SELECT run_id, {sql_rnd('ops', 5)} AS ops, {sql_rnd('ops_err', 5)} AS ops_err FROM ops")
 def _(spark, d):
     est = aggregates.ops_est(sensor_hours(spark, d), drop_inf=True)
-    return est.where(F.abs("ops_err") < INF).select("run_id", rnd("ops", 5).alias("ops"), rnd("ops_err", 5).alias("ops_err"))
+    return est.select("run_id", rnd("ops", 5).alias("ops"), rnd("ops_err", 5).alias("ops_err"))
 
 
 @query("mean_speed", f"WITH {T_TABLE}, {_SPEED} SELECT run_id, metric, {sql_rnd('avg(ops)', 5)} AS speed FROM spd WHERE ops IS NOT NULL GROUP BY 1, 2")
@@ -90,6 +91,13 @@ def _(spark, d):
     return aggregates.coverage(sensor_view(spark, d), {"temp": "Temperature", "cam": "Camera", "freq": "Frequency"}, ["ambient"])
 
 
+@query("coverage_time", f"""WITH {SENSOR}, h AS (SELECT DISTINCT run_id, metric FROM sen)
+SELECT 'time' AS x, run_id, CASE WHEN bool_or(contains(metric, 'temp')) THEN 'yes' ELSE 'N/A' END AS "Temperature",
+       CASE WHEN bool_or(contains(metric, 'freq')) THEN 'yes' ELSE 'N/A' END AS "Frequency" FROM h GROUP BY 2""")
+def _(spark, d):
+    return aggregates.coverage(sensor_view(spark, d), {"temp": "Temperature", "freq": "Frequency"}, ["time"])
+
+
 @query("memory_bandwidth", f"""SELECT l_suppkey AS size, count(*) AS threads, {sql_rnd('sum(64 / (l_extendedprice / l_quantity) * 1e9 / 1048576)', 3)} AS bandwidth,
 {sql_rnd('avg(l_extendedprice / l_quantity)', 4)} AS latency FROM lineitem GROUP BY 1""")
 def _(spark, d):
@@ -115,13 +123,15 @@ def _fit_columns(fits, keys=("run_id", "metric"), order=1):
     cells = [rnd("tinf", 4).alias("tinf"), rnd("rmse", 4).alias("rmse")]
     for i in range(order):
         cells += [rnd(F.col("terms")[i]["k"], 4).alias(f"k{i + 1}"), rnd(F.col("terms")[i]["tau"], 4).alias(f"tau{i + 1}")]
-    return fits.where("tinf is not null").select(*keys, "n", *cells)
+    return fits.select(*keys, "n", *cells)
 
 
-_FIT_1 = f"SELECT {{keys}}, n, {sql_rnd('tinf', 4)} AS tinf, {sql_rnd('rmse', 4)} AS rmse, {sql_rnd('k', 4)} AS k1, {sql_rnd('tau', 4)} AS tau1 FROM o1"
+# Series with too few rows for a fit stay, without results.
+_ALL = "(SELECT {keys}, count(*) AS n FROM {source} GROUP BY {keys}) LEFT JOIN (SELECT * EXCLUDE (n) FROM o1) USING ({keys})"
+_FIT_1 = f"SELECT {{keys}}, n, {sql_rnd('tinf', 4)} AS tinf, {sql_rnd('rmse', 4)} AS rmse, {sql_rnd('k', 4)} AS k1, {sql_rnd('tau', 4)} AS tau1 FROM {_ALL}"
 
 
-@query("fit_order_1", f"WITH {_HOURS}, {_order_1('hrs', 'run_id, metric', TAUS)} {_FIT_1.format(keys='run_id, metric')}")
+@query("fit_order_1", f"WITH {_HOURS}, {_order_1('hrs', 'run_id, metric', TAUS)} {_FIT_1.format(keys='run_id, metric', source='hrs')}")
 def _(spark, d):
     return _fit_columns(fitting.fit(hours(spark, d), 1, rounds=0, taus=TAUS, **FREE))
 
@@ -141,7 +151,7 @@ o1 AS (SELECT *, sqrt(rss / (n - 3)) AS rmse FROM f QUALIFY row_number() OVER (P
 """
 
 
-@query("fit_order_1_boxed", _BOXED + _FIT_1.format(keys="run_id, metric"))
+@query("fit_order_1_boxed", _BOXED + _FIT_1.format(keys="run_id, metric", source="hrs"))
 def _(spark, d):
     return _fit_columns(fitting.fit(hours(spark, d), 1, rounds=0, taus=TAUS))
 
@@ -151,17 +161,18 @@ def _(spark, d):
 m AS (SELECT run_id, metric, t1, t2, count(*) AS n, avg(y) AS my, avg(exp(-t / t1)) AS m1, avg(exp(-t / t2)) AS m2,
         var_pop(exp(-t / t1)) AS c11, var_pop(exp(-t / t2)) AS c22, covar_pop(exp(-t / t1), exp(-t / t2)) AS c12,
         covar_pop(exp(-t / t1), y) AS c1y, covar_pop(exp(-t / t2), y) AS c2y, var_pop(y) AS cyy
-      FROM hrs CROSS JOIN g GROUP BY 1, 2, 3, 4 HAVING count(*) > 8),
+      FROM hrs CROSS JOIN g GROUP BY 1, 2, 3, 4 HAVING count(*) > 5),
 k AS (SELECT *, (c1y * c22 - c2y * c12) / (c11 * c22 - c12 * c12) AS k1, (c2y * c11 - c1y * c12) / (c11 * c22 - c12 * c12) AS k2 FROM m
       WHERE c11 * c22 - c12 * c12 > 0),
 r AS (SELECT *, n * (cyy - k1 * c1y - k2 * c2y) AS rss, my - k1 * m1 - k2 * m2 AS tinf FROM k),
-b AS (SELECT *, sqrt(rss / (n - 5)) AS rmse FROM r QUALIFY row_number() OVER (PARTITION BY run_id, metric ORDER BY round(rss, 6), t1, t2) = 1)
-SELECT run_id, metric, n, {sql_rnd('tinf', 1)} AS tinf, {sql_rnd('rmse', 1)} AS rmse, {sql_rnd('k1', 1)} AS k1, {sql_rnd('t1', 1)} AS tau1,
-       {sql_rnd('k2', 1)} AS k2, {sql_rnd('t2', 1)} AS tau2 FROM b WHERE abs(k1) < 100 AND abs(k2) < 100""")
+b AS (SELECT *, sqrt(greatest(rss, 0) / (n - 5)) AS rmse FROM r QUALIFY row_number() OVER (PARTITION BY run_id, metric ORDER BY round(rss, 6), t1, t2) = 1),
+e AS (SELECT run_id, metric, count(*) AS n, arg_min(t, seq) AS ta, arg_max(t, seq) AS tb FROM hrs GROUP BY 1, 2)
+SELECT run_id, metric, e.n, {sql_rnd('rmse', 4)} AS rmse, {sql_rnd('tinf + k1 * exp(-ta / t1) + k2 * exp(-ta / t2)', 4)} AS start,
+       {sql_rnd('tinf + k1 * exp(-tb / t1) + k2 * exp(-tb / t2)', 4)} AS finish FROM e LEFT JOIN b USING (run_id, metric)""")
 def _(spark, d):
-    fits = _fit_columns(fitting.fit(hours(spark, d), 2, rounds=0, taus=PAIRS, **FREE), order=2)
-    out = fits.where("n > 8 and abs(k1) < 100 and abs(k2) < 100")
-    return out.select("run_id", "metric", "n", *[rnd(c, 1).alias(c) for c in ("tinf", "rmse", "k1", "tau1", "k2", "tau2")])
+    fits = fitting.fit(hours(spark, d), 2, rounds=0, taus=PAIRS, **FREE)
+    at = lambda t: rnd(model_expr(F.col(t), F.col("tinf"), F.col("terms")), 4)
+    return fits.select("run_id", "metric", "n", rnd("rmse", 4).alias("rmse"), at("t_first").alias("start"), at("t_last").alias("finish"))
 
 
 @query("fit_zoomed")
@@ -171,24 +182,26 @@ def _(spark, d):
 
 
 @query("fit_quick", f"""WITH {_HOURS}, sh AS (SELECT run_id, metric, t - first_value(t) OVER (PARTITION BY run_id, metric ORDER BY seq) AS t, y FROM hrs),
-{_order_1('sh', 'run_id, metric', TAUS)} {_FIT_1.format(keys='run_id, metric')}""")
+{_order_1('sh', 'run_id, metric', TAUS)} {_FIT_1.format(keys='run_id, metric', source='sh')}""")
 def _(spark, d):
     return _fit_columns(fitting.fit_quick(hours(spark, d), 1, rounds=0, taus=TAUS, **FREE))
 
 
 @query("fit_saturating", f"""WITH {_HOURS}, {_order_1('hrs', 'run_id, metric', TAUS)}
-SELECT run_id, metric, n, {sql_rnd('rmse', 4)} AS rmse, {sql_rnd('tinf', 4)} AS a, {sql_rnd('-k / tinf', 4)} AS b, {sql_rnd('1 / tau')} AS c
-FROM o1 WHERE abs(tinf) > 1""")
+SELECT run_id, metric, n, {sql_rnd('rmse', 4)} AS rmse, {sql_rnd('tinf', 4)} AS a, {sql_rnd('-k', 4)} AS ab, {sql_rnd('1 / tau')} AS c
+FROM {_ALL.format(keys='run_id, metric', source='hrs')}""")
 def _(spark, d):
     fits = fitting.fit_saturating(hours(spark, d), rounds=0, taus=TAUS)
-    return fits.where("abs(a) > 1").select("run_id", "metric", "n", *[rnd(c, 4).alias(c) for c in ("rmse", "a", "b")], rnd("c").alias("c"))
+    return fits.select("run_id", "metric", "n", rnd("rmse", 4).alias("rmse"), rnd("a", 4).alias("a"), rnd(F.col("a") * F.col("b"), 4).alias("ab"), rnd("c").alias("c"))
 
 
 @query("fit_sweep", f"""WITH {_HOURS}, hz AS (SELECT run_id, metric, horizon, t, y FROM hrs JOIN (VALUES (240.0), (480.0), (720.0)) h(horizon) ON t < horizon),
-{_order_1('hz', 'run_id, metric, horizon', TAUS[:4])} {_FIT_1.format(keys='run_id, metric, CAST(horizon AS DOUBLE) AS horizon')} WHERE n > 4 AND abs(k) < 500""")
+{_order_1('hz', 'run_id, metric, horizon', TAUS[:4])} SELECT run_id, metric, CAST(horizon AS DOUBLE) AS horizon, n, {sql_rnd('rmse', 4)} AS rmse,
+{sql_rnd('tinf + k * exp(-horizon / tau)', 2)} AS finish, {sql_rnd('tau', 4)} AS tau1 FROM {_ALL.format(keys='run_id, metric, horizon', source='hz')}""")
 def _(spark, d):
     fits = fitting.fit_sweep(hours(spark, d), [240, 480, 720], 1, rounds=0, taus=TAUS[:4], **FREE)
-    return _fit_columns(fits.where("n > 4 and abs(terms[0].k) < 500"), ("run_id", "metric", "horizon"))
+    finish = model_expr(F.col("horizon"), F.col("tinf"), F.col("terms"))
+    return fits.select("run_id", "metric", "horizon", "n", rnd("rmse", 4).alias("rmse"), rnd(finish, 2).alias("finish"), rnd(F.col("terms")[0]["tau"], 4).alias("tau1"))
 
 
 @query("refit_around")
@@ -243,18 +256,20 @@ j AS (SELECT run_id, metric, exp(-t / tau) AS e, k * t * exp(-t / tau) / (tau *
 s AS (SELECT run_id, metric, count(*) AS a, sum(e) AS b, sum(f) AS c, sum(e * e) AS d, sum(e * f) AS g, sum(f * f) AS h FROM j GROUP BY 1, 2),
 i AS (SELECT *, a * (d * h - g * g) - b * (b * h - g * c) + c * (b * g - d * c) AS det FROM s),
 r AS (SELECT run_id, metric, 0.5 * sqrt((d * h - g * g) / det) AS tinf_err, 0.5 * sqrt((a * h - c * c) / det) AS k_err, 0.5 * sqrt((a * d - b * b) / det) AS tau_err
-      FROM i WHERE det > 1e-6 * a * d * h)
-SELECT run_id, metric, {sql_rnd('tinf_err', 4)} AS tinf_err, {sql_rnd('k_err', 4)} AS k_err FROM r WHERE tinf_err < 20 AND k_err < 20""")
+      FROM i WHERE det > 1e-6 * a * d * h),
+u AS (SELECT run_id, metric FROM hrs GROUP BY 1, 2)
+SELECT run_id, metric, CASE WHEN tinf_err < 20 THEN {sql_rnd('tinf_err', 4)} END AS tinf_err, CASE WHEN k_err < 20 THEN {sql_rnd('k_err', 4)} END AS k_err
+FROM u LEFT JOIN r USING (run_id, metric)""")
 def _(spark, d):
     series = hours(spark, d)
     fits = fitting.fit(series, 1, rounds=0, taus=TAUS, **FREE)
     sums = fitting.normal_sums(series, fits, 1)
-    # The same cut as the twin: normal matrices that are far from singular.
+    # As in the twin, large errors and those from a nearly singular normal matrix are compared as unknown.
     det = F.expr("jj_0_0 * (jj_1_1 * jj_2_2 - jj_1_2 * jj_1_2) - jj_0_1 * (jj_0_1 * jj_2_2 - jj_1_2 * jj_0_2) + jj_0_2 * (jj_0_1 * jj_1_2 - jj_1_1 * jj_0_2)")
-    regular = sums.where(det > 1e-6 * F.expr("jj_0_0 * jj_1_1 * jj_2_2")).select("run_id", "metric")
-    errs = fitting.parameter_errors(series, fits.join(regular, ["run_id", "metric"], "left_semi"), 1)
-    out = errs.select("run_id", "metric", "tinf_err", F.col("terms")[0]["k_err"].alias("k_err")).where("tinf_err < 20 and k_err < 20")
-    return out.select("run_id", "metric", rnd("tinf_err", 4).alias("tinf_err"), rnd("k_err", 4).alias("k_err"))
+    regular = sums.where(det > 1e-6 * F.expr("jj_0_0 * jj_1_1 * jj_2_2")).select("run_id", "metric", F.lit(True).alias("regular"))
+    errs = fitting.parameter_errors(series, fits, 1).join(regular, ["run_id", "metric"], "left")
+    shown = lambda c: F.when(F.col("regular") & (c < 20), rnd(c, 4))
+    return errs.select("run_id", "metric", shown(F.col("tinf_err")).alias("tinf_err"), shown(F.col("terms")[0]["k_err"]).alias("k_err"))
 
 
 @query("fit_text", f"""WITH {_HOURS}, {_order_1('hrs', 'run_id, metric', TAUS)}
@@ -265,11 +280,12 @@ def _(spark, d):
 
 @query("fit_curves", f"""WITH {_HOURS}, {_order_1('hrs', 'run_id, metric', TAUS)},
 x AS (SELECT run_id, metric, arg_min(t, seq) AS a, arg_max(t, seq) AS b FROM hrs GROUP BY 1, 2), sp AS (SELECT min(a) AS a, max(b) AS b FROM x)
-SELECT run_id, metric, i, {sql_rnd('a + (b - a) * i / 499', 4)} AS t, {sql_rnd('tinf + k * exp(-(a + (b - a) * i / 499) / tau)', 2)} AS value
-FROM o1 CROSS JOIN sp CROSS JOIN (SELECT CAST(range AS INTEGER) AS i FROM range(0, 500))
-WHERE abs(tinf + k * exp(-(a + (b - a) * i / 499) / tau)) < 500""")
+SELECT run_id, metric, i, {sql_rnd('a + (b - a) * i / 499', 4)} AS t, CASE WHEN abs(tinf + k * exp(-(a + (b - a) * i / 499) / tau)) < 500 THEN {sql_rnd('tinf + k * exp(-(a + (b - a) * i / 499) / tau)', 2)} END AS value
+FROM o1 CROSS JOIN sp CROSS JOIN (SELECT CAST(range AS INTEGER) AS i FROM range(0, 500))""")
 def _(spark, d):
-    return fitting.fit_curves(_first_fit(spark, d)).where("abs(value) < 500").select("run_id", "metric", "i", rnd("t", 4).alias("t"), rnd("value", 2).alias("value"))
+    # Curves of short series far outside their time range are compared by their presence.
+    value = F.when(F.abs("value") < 500, rnd("value", 2))
+    return fitting.fit_curves(_first_fit(spark, d)).select("run_id", "metric", "i", rnd("t", 4).alias("t"), value.alias("value"))
 
 
 @query("fit_components", f"""WITH {_HOURS}, {_order_1('hrs', 'run_id, metric', TAUS)},
@@ -293,13 +309,13 @@ def _multi(spark, d, metrics=TEMPS, **options):
     return fitting.multi_fit(samples, list(metrics), _runs(samples), 1, rounds=0, taus=TAUS, drop_inf=True, **{**FREE, **options})
 
 
-_MULTI = f"{T_TABLE}, {_SPEED}, {_SEN_HOURS}, {_order_1('sh', 'run_id, metric', TAUS)}, mf AS (SELECT concat('run-', run_id, '.csv') AS name, * FROM o1 LEFT JOIN ops USING (run_id))"
+_MULTI = f"{T_TABLE}, {_SPEED}, {_SEN_HOURS}, {_order_1('sh', 'run_id, metric', TAUS)}, mf AS (SELECT concat('run-', run_id, '.csv') AS name, * FROM {_ALL.format(keys='run_id, metric', source='sh')} LEFT JOIN ops USING (run_id))"
 
 
 @query("multi_fit", f"""WITH {_MULTI} SELECT name, metric, n, {sql_rnd('rmse', 4)} AS rmse, {sql_rnd('ops', 4)} AS ops, {sql_rnd('tinf', 4)} AS tinf,
-{sql_rnd('k', 4)} AS k1, {sql_rnd('tau', 4)} AS tau1, 'run-' AS title FROM mf WHERE ops IS NOT NULL""")
+{sql_rnd('k', 4)} AS k1, {sql_rnd('tau', 4)} AS tau1, 'run-' AS title FROM mf""")
 def _(spark, d):
-    out = _multi(spark, d).where("tinf is not null and ops is not null")
+    out = _multi(spark, d)
     return out.select("name", "metric", "n", *[rnd(c, 4).alias(c) for c in ("rmse", "ops", "tinf", "k1", "tau1")], "title")
 
 
@@ -311,9 +327,9 @@ mi AS (SELECT run_id, metric, t, y - (pv + (nv - pv) * (t - pt) / (nt - pt)) AS
 
 
 @query("multi_fit_subtract", f"""WITH {SENSOR}, {_MINUS}, {_order_1('mi', 'run_id, metric', TAUS)}
-SELECT concat('run-', run_id, '.csv') AS name, metric, n, {sql_rnd('rmse', 3)} AS rmse, {sql_rnd('tinf', 3)} AS tinf, {sql_rnd('tau', 3)} AS tau1 FROM o1 WHERE n > 4""")
+SELECT concat('run-', run_id, '.csv') AS name, metric, n, {sql_rnd('rmse', 3)} AS rmse, {sql_rnd('tinf', 3)} AS tinf, {sql_rnd('tau', 3)} AS tau1 FROM {_ALL.format(keys='run_id, metric', source='mi')}""")
 def _(spark, d):
-    out = _multi(spark, d, ["cpu_0_temp"], subtract="ambient").where("tinf is not null and n > 4")
+    out = _multi(spark, d, ["cpu_0_temp"], subtract="ambient")
     return out.select("name", "metric", "n", *[rnd(c, 3).alias(c) for c in ("rmse", "tinf", "tau1")])
 
 
@@ -325,50 +341,50 @@ def _(spark, d):
 
 
 @query("repeatability", f"""WITH {_HOURS}, {_order_1('hrs', 'run_id, metric', TAUS)}
-SELECT metric AS variant, count(tinf) AS n, {sql_rnd('avg(tinf)', 3)} AS mean, {sql_rnd('stddev_samp(tinf)', 3)} AS std FROM o1 WHERE abs(tinf) < 1000 GROUP BY 1""")
+SELECT metric AS variant, count(tinf) AS n, {sql_rnd('avg(tinf)', 3)} AS mean, {sql_rnd('stddev_samp(tinf)', 3)} AS std FROM o1 GROUP BY 1""")
 def _(spark, d):
-    fits = _first_fit(spark, d).where("abs(tinf) < 1000").withColumn("variant", F.col("metric"))
+    fits = _first_fit(spark, d).withColumn("variant", F.col("metric"))
     return aggregates.repeatability(fits).select("variant", "n", rnd("mean", 3).alias("mean"), rnd("std", 3).alias("std"))
 
 
-@query("perf_per_temp", f"""WITH {_MULTI} SELECT name, metric, {sql_rnd('ops / tinf', 4)} AS perf, {sql_rnd('abs(ops / tinf) * sqrt(power(ops_err / ops, 2))', 4)} AS perf_err
-FROM mf WHERE ops_err IS NOT NULL AND abs(tinf) > 1""")
+@query("perf_per_temp", f"""WITH {_MULTI} SELECT name, metric, CASE WHEN abs(tinf) > 1 THEN {sql_rnd('ops / tinf', 4)} END AS perf,
+CASE WHEN abs(tinf) > 1 THEN {sql_rnd('abs(ops / tinf) * sqrt(power(ops_err / ops, 2))', 4)} END AS perf_err FROM mf""")
 def _(spark, d):
-    out = aggregates.perf_per_temp(_multi(spark, d).where(F.col("ops_err").isNotNull() & (F.abs("ops_err") < INF) & (F.abs("tinf") > 1)))
+    # A ratio to a temperature near zero is compared by its presence.
+    fits = _multi(spark, d)
+    out = aggregates.perf_per_temp(fits.withColumn("tinf", F.when(F.abs("tinf") > 1, F.col("tinf"))))
     return out.select("name", "metric", rnd("perf", 4).alias("perf"), rnd("perf_err", 4).alias("perf_err"))
 
 
-@query("tinf_and_ops", f"""WITH {_MULTI} SELECT name, metric, {sql_rnd('tinf', 4)} AS tinf, {sql_rnd('ops', 4)} AS performance FROM mf WHERE ops IS NOT NULL""")
+@query("tinf_and_ops", f"""WITH {_MULTI} SELECT name, metric, {sql_rnd('tinf', 4)} AS tinf, {sql_rnd('ops', 4)} AS performance FROM mf""")
 def _(spark, d):
-    out = aggregates.tinf_and_ops(_multi(spark, d).where("tinf is not null and ops is not null"))
+    out = aggregates.tinf_and_ops(_multi(spark, d))
     return out.select("name", "metric", rnd("tinf", 4).alias("tinf"), rnd("performance", 4).alias("performance"))
 
 
 def _halves(spark, d):
-    """Two result sets over the same runs, one per sensor, kept to runs that both have."""
-    fits = written(_multi(spark, d).where("tinf is not null").drop("terms"), "fits")
-    both = fits.groupBy("run_id").agg(F.count("*").alias("c")).where("c = 2").select("run_id")
-    kept = fits.join(both, "run_id", "left_semi")
-    return [kept.where(F.col("metric") == m) for m in TEMPS]
+    """Two result sets over the same runs, one per sensor."""
+    fits = written(_multi(spark, d).drop("terms"), "fits")
+    return [fits.where(F.col("metric") == m) for m in TEMPS]
 
 
 _PAIRED = f"""WITH {_MULTI}, p AS (SELECT name, max(CASE WHEN metric = 'cpu_0_temp' THEN tinf END) AS a, max(CASE WHEN metric = 'cpu_1_temp' THEN tinf END) AS b
-FROM mf GROUP BY 1 HAVING count(*) = 2)"""
+FROM mf GROUP BY 1)"""
 
 
-@query("compare_tinf", f"{_PAIRED} SELECT name, CAST(row_number() OVER (ORDER BY name) - 1 AS BIGINT) AS pos, {sql_rnd('a', 4)} AS tinf_1, {sql_rnd('b', 4)} AS tinf_2 FROM p")
+@query("compare_tinf", f"{_PAIRED} SELECT name, {sql_rnd('a', 4)} AS tinf_1, {sql_rnd('b', 4)} AS tinf_2 FROM p")
 def _(spark, d):
-    return joins.compare_tinf(*_halves(spark, d)).select("name", "pos", rnd("tinf_1", 4).alias("tinf_1"), rnd("tinf_2", 4).alias("tinf_2"))
+    return joins.compare_tinf(*_halves(spark, d), on=["name"]).select("name", rnd("tinf_1", 4).alias("tinf_1"), rnd("tinf_2", 4).alias("tinf_2"))
 
 
 @query("tinf_bars", f"{_PAIRED} SELECT name AS label, {sql_rnd('a', 4)} AS cpu_0, {sql_rnd('b', 4)} AS cpu_1 FROM p")
 def _(spark, d):
-    return tables.tinf_bars(*_halves(spark, d), labels=["cpu_0", "cpu_1"]).select("label", rnd("cpu_0", 4).alias("cpu_0"), rnd("cpu_1", 4).alias("cpu_1"))
+    return tables.tinf_bars(*_halves(spark, d), on=["name"], labels=["cpu_0", "cpu_1"]).select("label", rnd("cpu_0", 4).alias("cpu_0"), rnd("cpu_1", 4).alias("cpu_1"))
 
 
-@query("tinf_ops_bars", f"WITH {_MULTI} SELECT name AS label, {sql_rnd('tinf', 4)} AS tinf, {sql_rnd('ops', 4)} AS ops, {sql_rnd('ops_err', 4)} AS ops_err FROM mf WHERE ops_err IS NOT NULL")
+@query("tinf_ops_bars", f"WITH {_MULTI} SELECT name AS label, {sql_rnd('tinf', 4)} AS tinf, {sql_rnd('ops', 4)} AS ops, {sql_rnd('ops_err', 4)} AS ops_err FROM mf")
 def _(spark, d):
-    out = tables.tinf_ops_bars(_multi(spark, d).where(F.col("tinf").isNotNull() & F.col("ops_err").isNotNull() & (F.abs("ops_err") < INF)))
+    out = tables.tinf_ops_bars(_multi(spark, d))
     return out.select("label", rnd("tinf", 4).alias("tinf"), rnd("ops", 4).alias("ops"), rnd("ops_err", 4).alias("ops_err"))
 
 
@@ -391,10 +407,10 @@ def _(spark, d):
         common_prefix(F.col("n_name")).alias("prefix"), common_suffix(F.col("n_name")).alias("suffix"))
 
 
-@query("series_titles", f"""WITH {_HOURS}, {_order_1('hrs', 'run_id, metric', TAUS)} SELECT run_id, metric, concat('run-', run_id, ', ', metric) AS title FROM o1""")
+@query("series_titles", f"""WITH {_HOURS}, {_order_1('hrs', 'run_id, metric', TAUS)} SELECT run_id, metric, concat('run-', run_id, ', ', metric, row_number() OVER (ORDER BY run_id, metric)) AS title FROM o1""")
 def _(spark, d):
     fits = _first_fit(spark, d).where("tinf is not null").withColumn("name", F.concat(F.lit("run-"), F.col("run_id").cast("string")))
-    return columns.series_titles(fits).select("run_id", "metric", "title")
+    return columns.series_titles(fits, ["run_id", "metric"]).select("run_id", "metric", "title")
 
 
 @query("series_table", f"""WITH {SENSOR} SELECT run_id, metric, seq, {sql_rnd('t / 60')} AS t, value FROM sen WHERE metric IN ('cpu_0_temp', 'cam_cpu')""")
@@ -428,13 +444,28 @@ def _(spark, d):
 
 
 @query("fit_figure_legend", f"""WITH {_HOURS}, {_order_1('hrs', 'run_id, metric', TAUS)}, q3 AS (SELECT quantile_cont(rmse, 0.75) AS q FROM o1)
-SELECT run_id, metric, concat('run-', run_id, ', ', metric) AS title, rmse > 2 * q AS bad,
-       concat('(±', printf('%.2f', rmse), CASE WHEN rmse > 2 * q THEN ' !!!' ELSE '' END, ')') AS note FROM o1 CROSS JOIN q3""")
+SELECT run_id, metric, concat('run-', run_id, ', ', metric, row_number() OVER (ORDER BY concat('run-', run_id), metric)) AS title, rmse > 2 * q AS bad,
+       concat(printf('%.1f', tinf), CASE WHEN k < 0 THEN ' – ' ELSE ' + ' END, printf('%.1f', abs(k)), '⋅e^{{−t/', printf('%.1f', tau / 60), '}}') AS text,
+       concat('(±', printf('%.2g', rmse), CASE WHEN rmse > 2 * q THEN ' !!!' ELSE '' END, ')') AS note FROM o1 CROSS JOIN q3""")
+def _(spark, d):
+    return _figure(spark, d)[2].select("run_id", "metric", "title", "bad", "text", "note")
+
+
+@query("category_table_time", f"""WITH {SENSOR}
+SELECT run_id, 'time' AS x, c.title AS category, metric, seq, {sql_rnd('t')} AS x_value, {sql_rnd('value')} AS y_value
+FROM sen JOIN (VALUES ('temp', 'Temperature'), ('cam', 'Camera')) c(pat, title) ON contains(metric, pat) WHERE value IS NOT NULL""")
+def _(spark, d):
+    out = tables.category_table(sensor_view(spark, d), {"temp": "Temperature", "cam": "Camera"}, "time")
+    return out.withColumns({"x_value": rnd("x_value"), "y_value": rnd("y_value")})
+
+
+@query("column_table_time", f"""WITH {SENSOR} SELECT run_id, {sql_rnd('t')} AS x, {sql_rnd('arg_max(value, seq)')} AS y FROM sen WHERE metric = 'cpu_0_temp' AND value IS NOT NULL GROUP BY run_id, t""")
 def _(spark, d):
-    return _figure(spark, d)[2].select("run_id", "metric", "title", "bad", "note")
+    out = tables.column_table(sensor_view(spark, d), "cpu_0_temp", "time")
+    return out.select("run_id", rnd("x").alias("x"), rnd("value").alias("y"))
 
 
-@query("sort_results", f"""WITH {_MULTI} SELECT name, metric, {sql_rnd('ops', 4)} AS ops FROM mf WHERE ops IS NOT NULL ORDER BY ops, name, metric""")
+@query("sort_results", f"""WITH {_MULTI} SELECT name, metric, {sql_rnd('ops', 4)} AS ops FROM mf ORDER BY ops NULLS FIRST, name, metric""")
 def _(spark, d):
-    return (_multi(spark, d).where("tinf is not null and ops is not null").select("name", "metric", rnd("ops", 4).alias("ops"))
+    return (_multi(spark, d).select("name", "metric", rnd("ops", 4).alias("ops"))
             .orderBy("ops", "name", "metric"))

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.lines import pack_rows, parse_lines
-from ..plans.scratch import scratch_path, written
+from ..plans.scratch import scratch_path
 from ..sources import runfiles
 from ..streaming import sinks, stateful, windows
 from ..views import counter_view, line_view, table
-from .base import LONG, query, rnd, sql_rnd
+from .base import LONG, SENSOR, query, rnd, sql_rnd
 from .files import _written_runs
 from .ordered import _COUNTERS
 
@@ -60,10 +60,18 @@ def _(spark, d):
     return packed.select("run_id", "batch", "row_no", F.col("cells")["view"].alias("view"))
 
 
+BATCHES = 3
+
+
 def event_stream(spark, d):
-    """The events table as a file stream."""
-    schema = table(spark, d, "events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    """The events table as a file stream of ``BATCHES`` batches, in time order."""
+    events, path = table(spark, d, "events"), scratch_path(spark, "events")
+    cuts = [F.lit(0)] + [events.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), i / BATCHES)).first()[0] for i in range(1, BATCHES)]
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    for i, low in enumerate(cuts):
+        part = events.where(at >= low) if i + 1 == BATCHES else events.where((at >= low) & (at < cuts[i + 1]))
+        part.write.mode("append").parquet(f"{path}/part={i}")
+    raw = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", max(1, events.rdd.getNumPartitions())).parquet(f"{path}/*")
     return raw.select(F.col("user_id").alias("run_id"), F.col("event_type").alias("metric"), "ts", "event_id", "value")
 
 
@@ -93,7 +101,7 @@ def _(spark, d):
 
 @query("latest_stream", "SELECT event_type AS metric, arg_max(value, ts) AS value, max(ts) AS ts, count(*) AS readings FROM events GROUP BY 1")
 def _(spark, d):
-    return sinks.drain(windows.latest(event_stream(spark, d), ["metric"]), "latest", "complete").drop("batch")
+    return sinks.drain(windows.latest(event_stream(spark, d), ["metric"]), "latest", "complete")
 
 
 @query("sample_per_period", """SELECT user_id AS run_id, time_bucket(INTERVAL 1 DAY, ts) AS period, event_type AS metric, arg_min(value, CAST(concat('0x', substring(md5(CAST(event_id AS VARCHAR)), 1, 15)) AS BIGINT)) AS value
@@ -145,26 +153,16 @@ def _(spark, d):
 f AS (SELECT *, min(mark) OVER (PARTITION BY run_id, metric) AS first FROM e)
 SELECT f.run_id, f.metric, {sql_rnd('f.last')} AS t, s.value FROM f JOIN sec s ON s.run_id = f.run_id AND s.metric = f.metric AND s.t = f.last WHERE f.mark > f.first""")
 def _(spark, d):
-    out = sinks.drain(stateful.throttled(_timed_stream(spark, d), DAY), "throttled")
+    out = sinks.drain(stateful.throttled(_timed_stream(spark, d), DAY), "throttled").where("t is not null")
     return out.select("run_id", "metric", rnd("t").alias("t"), "value")
 
 
-@query("read_runs_stream", f"""WITH {LONG}, s AS (SELECT CASE metric WHEN 'view' THEN 'ambient' WHEN 'click' THEN 'cpu_0_temp' ELSE 'cam_cpu' END AS metric, value
-FROM lng WHERE metric IN ('view', 'click', 'signup'))
-SELECT metric, count(*) AS n, {sql_rnd("sum(CASE metric WHEN 'cpu_0_temp' THEN value * 1000 ELSE value END)", 2)} AS total FROM s GROUP BY 1""")
+@query("read_runs_stream", f"""WITH {SENSOR}, s AS (SELECT metric, value FROM sen WHERE NOT (metric = 'cpu_1_temp' AND run_id % 2 = 1)
+UNION ALL SELECT 'note "x", text', NULL FROM sen WHERE metric = 'cam_cpu')
+SELECT metric, count(*) AS n, {sql_rnd("sum(CASE WHEN metric IN ('cpu_0_temp', 'cpu_1_temp') THEN value * 1000 ELSE value END)", 2)} AS total FROM s GROUP BY 1""")
 def _(spark, d):
-    path = _written_runs(spark, d)
-    columns = _stream_columns(spark, path)
-    rows = sinks.drain(runfiles.read_runs_stream(spark, f"{path}/*/*", columns), "rows")
-    return rows.where("metric in ('ambient', 'cpu_0_temp', 'cam_cpu')").groupBy("metric").agg(F.count("*").alias("n"), rnd(F.sum("value"), 2).alias("total"))
-
-
-def _stream_columns(spark, path):
-    """Headers per file, from a first look at the files there are."""
-    lines = runfiles._lines(spark, path).where(~F.col("line").startswith("#"))
-    heads = lines.groupBy("file").agg(F.min_by("line", F.struct("start", "id")).alias("line"))
-    each = heads.select("file", F.posexplode(runfiles.split_cells(F.col("line"))).alias("pos", "raw"))
-    return written(each.select("file", "pos", F.split("raw", "/")[0].alias("metric")), "headers")
+    rows = sinks.drain(runfiles.read_runs_stream(spark, f"{_written_runs(spark, d)}/*/*", max_files=20), "rows")
+    return rows.groupBy("metric").agg(F.count("*").alias("n"), rnd(F.sum("value"), 2).alias("total"))
 
 
 @query("write_runs_stream", f"""SELECT CAST(user_id AS VARCHAR) AS run_id, event_type AS metric, count(*) AS n, {sql_rnd('sum(value)', 3)} AS total FROM events GROUP BY 1, 2""")

@@ -40,7 +40,9 @@ def read_sensor_catalog(spark: SparkSession, paths) -> tuple[DataFrame, DataFram
 
 
 def with_catalog_units(run_columns: DataFrame, sensors: DataFrame) -> DataFrame:
-    """Units from the catalogue for columns whose header names none."""
-    known = sensors.groupBy("name").agg(F.min("unit").alias("_unit"))
-    return (run_columns.join(known, "name", "left")
+    """Units from the catalogue for columns whose header names none; where both tables tell the testbed, from its own list."""
+    on = ["testbed", "name"] if "testbed" in run_columns.columns and "testbed" in sensors.columns else ["name"]
+    units = F.collect_set("unit")  # of one sensor
+    known = sensors.groupBy(*on).agg(F.when(F.size(units) == 1, units[0]).alias("_unit"))
+    return (run_columns.join(known, on, "left")
             .withColumn("unit", F.when(F.col("unit") == "no unit", F.coalesce("_unit", "unit")).otherwise(F.col("unit"))).drop("_unit"))

@@ -29,6 +29,8 @@ COMMAND = "Generated by: (.*)"
 # A cell after its comma: quoted with doubled quotes, or bare.
 CELL = r',("[^"]*+(?:""[^"]*+)*+"|[^,]*+)'
 RUN_FOLDER = "/run_id=([^/]+)/"
+# A line of a whole file; line breaks inside quotes belong to it.
+RECORD = r'(?:[^"\n]|"[^"]*+(?:""[^"]*+)*+")+'
 
 
 @dataclass
@@ -91,33 +93,35 @@ def _lines(spark: SparkSession, paths) -> DataFrame:
 def read_runs(spark: SparkSession, paths, comment: str = "#", normalize: bool = True, name: str | None = None, **meta) -> RunSet:
     """Load run files; files in one ``run_id=`` folder are parts of one run, in path order.
 
-    ``normalize`` turns ms and milli-degrees into s and degrees.
+    A file's first line that is no comment is its header if its first cell is no number, else the file goes
+    on under the header of the part before it.  Data lines are numbered densely over all parts of a
+    run.  ``normalize`` turns milli-degrees into degrees; the time column is always in seconds.
     """
     lines = _lines(spark, paths)
     body = ~F.col("line").startswith(comment)
-    # Data lines start with a number; the few others of a block may be its header or comment.
-    odd = F.expr("try_cast(substring_index(line, ',', 1) as double) is null")
     blocks = lines.groupBy("run_id", "file", "start").agg(
-        F.min("id").alias("first_id"), F.count("*").alias("count"),
-        F.collect_list(F.when(odd, F.struct("id", "line"))).alias("odd"))
-    note = F.array_min(F.filter("odd", lambda x: x["line"].startswith(comment)))
-    head = F.array_min(F.filter("odd", lambda x: ~x["line"].startswith(comment)))
-    blocks = blocks.withColumn("head", head).withColumn("note", note).drop("odd")
+        F.min("id").alias("first_id"), F.count_if(body).alias("bodies"),
+        F.min(F.when(body, F.col("id"))).alias("body_id"), F.min_by("line", F.when(body, F.col("id"))).alias("body_line"),
+        F.min_by("line", F.when(~body, F.col("id"))).alias("note"),
+        F.sort_array(F.collect_list(F.when(~body, F.col("id")))).alias("notes"))  # numbers of comment lines: few
+    in_file = W.partitionBy("run_id", "file").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
+    opens = F.coalesce(F.sum("bodies").over(in_file), F.lit(0)) == 0
+    is_head = opens & F.col("body_line").isNotNull() & F.expr("try_cast(substring_index(body_line, ',', 1) as double) is null")
     order = W.partitionBy("run_id").orderBy("file", "start")
-    whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    offset = F.coalesce(F.sum("count").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    placed = blocks.withColumn("offset", offset).withColumn(
-        "head", F.when(F.col("head").isNotNull(), F.struct((F.col("offset") + F.col("head.id") - F.col("first_id")).alias("at"), F.col("head.line").alias("line"))))
-    placed = (placed.withColumn("header", F.first("head", ignorenulls=True).over(whole))
-              .withColumn("comment", F.first("note.line", ignorenulls=True).over(whole))
-              .withColumn("filename", F.first("file").over(whole)))
-    headers = split_cells(F.col("header.line"))
+    placed = blocks.withColumn("is_head", is_head).withColumn("data", F.col("bodies") - F.col("is_head").cast("long"))
+    placed = (placed.withColumn("offset", F.coalesce(F.sum("data").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long")))
+              .withColumn("header", F.last(F.when(F.col("is_head"), F.col("body_line")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)))
+              .withColumn("head_id", F.when(F.col("is_head"), F.col("body_id")))
+              .withColumn("turn", F.row_number().over(order)))
+    headers = split_cells(F.col("header"))
 
     per_run = placed.groupBy("run_id").agg(
-        F.first("comment", True).alias("comment"), F.min("filename").alias("filename"), F.first("header.line", True).alias("line"),
-        (F.sum("count") - F.min("header.at") - 1).alias("n_rows"))
-    runs = with_name(run_metadata(per_run), name, **meta).drop("line", "comment")
-    columns = per_run.select("run_id", F.posexplode(split_cells(F.col("line"))).alias("pos", "raw_name"))
+        F.min_by("note", F.when(F.col("note").isNotNull(), F.col("turn"))).alias("comment"), F.min("file").alias("filename"), F.sum("data").alias("n_rows"))
+    runs = with_name(run_metadata(per_run), name, **meta).drop("comment")
+    # The columns of all parts, in the order in which they first appear.
+    each = placed.where("is_head").select("run_id", "turn", F.posexplode(headers).alias("at", "raw_name"))
+    first = each.groupBy("run_id", "raw_name").agg(F.min(F.struct("turn", "at")).alias("first"))
+    columns = first.select("run_id", (F.row_number().over(W.partitionBy("run_id").orderBy("first")) - 1).alias("pos"), "raw_name")
     parts = F.split(F.trim("raw_name"), "/")
     columns = columns.select("run_id", "pos", "raw_name", parts[0].alias("name"),
                              F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit(NO_UNIT)).alias("unit"))
@@ -126,14 +130,14 @@ def read_runs(spark: SparkSession, paths, comment: str = "#", normalize: bool =
         F.split(F.trim(h), "/")[0].alias("metric"),
         F.coalesce(F.try_element_at(F.split(F.trim(h), "/"), F.lit(2)), F.lit(NO_UNIT)).alias("unit")))
     rows = lines.where(body).join(placed.select(
-        "file", "start", "first_id", "offset", "header.at", F.col("header.line").alias("header"), named.alias("names")), ["file", "start"])
-    # Later parts of a run repeat the header.
-    rows = rows.where(F.col("line") != F.col("header"))
-    place = F.col("offset") + F.col("id") - F.col("first_id") - F.col("at") - 1
-    rows = rows.select("run_id", place.alias("seq"), "names", split_cells(F.col("line")).alias("cells")).where("seq >= 0")
+        "file", "start", "first_id", "offset", "head_id", "notes", named.alias("names")), ["file", "start"])
+    rows = rows.where("head_id is null or id <> head_id")
+    skipped = F.size(F.filter("notes", lambda n: n < F.col("id"))) + F.when(F.col("head_id") < F.col("id"), 1).otherwise(0)
+    place = F.col("offset") + F.col("id") - F.col("first_id") - skipped
+    rows = rows.select("run_id", place.alias("seq"), "names", split_cells(F.col("line")).alias("cells"))
     cells = F.filter(F.zip_with("names", "cells", lambda n, c: F.struct(n["metric"].alias("metric"), n["unit"].alias("unit"), c.alias("text"))),
                      lambda x: x["text"] != "")
-    time = F.expr("try_cast(cells[0] as double)") * _unit_case(BASE_UNITS, 1, F.col("names")[0]["unit"], F.lit(1.0))
+    time = F.expr("try_cast(cells[0] as double)") * F.when(F.col("names")[0]["unit"] == "ms", 1e-3).otherwise(1.0)
     samples = rows.select("run_id", "seq", time.alias("t"), F.inline(F.slice(cells, F.lit(2), F.greatest(F.size(cells) - 1, F.lit(0)))))
     value = F.expr("try_cast(text as double)")
     if normalize:
@@ -177,12 +181,13 @@ def comment_line() -> Column:
 
 
 def run_lines(samples: DataFrame, columns: DataFrame, runs: DataFrame, block_rows: int = BLOCK_ROWS,
-              compact: bool = False) -> DataFrame:
+              compact: bool = False, drop_unlisted: bool = False) -> DataFrame:
     """All lines of all files: (run_id, part, seq, value) with seq -2 for the comment and -1 for the header.
 
     ``columns(run_id, pos, raw_name, metric)`` gives the order after the time
     column; ``runs`` the comment facts.  ``compact`` writes six significant
-    digits, as a live collector does, else numbers keep full precision.
+    digits, as a live collector does, else numbers keep full precision.  A sample whose
+    metric has no column fails the write, unless ``drop_unlisted`` leaves its cell out.
     """
     number = general_format if compact else (lambda c: c.cast("string"))
     order = F.array_sort(F.collect_list(F.struct("pos", "raw_name", "metric")))
@@ -193,6 +198,8 @@ def run_lines(samples: DataFrame, columns: DataFrame, runs: DataFrame, block_row
     sized = samples.groupBy("run_id").agg(last_seq()).join(heads, "run_id")
     lines = attach(lines, sized, ["run_id"], block_rows=block_rows)
     texts = F.transform("cols", lambda c: F.coalesce(csv_cell(F.try_element_at("cells", c["metric"])), F.lit("")))
+    unknown = F.array_except(F.map_keys("cells"), F.transform("cols", lambda c: c["metric"]))
+    texts = texts if drop_unlisted else F.when(F.size(unknown) > 0, F.raise_error(F.concat(F.lit("no column for metric "), unknown[0]))).otherwise(texts)
     time = number(F.col("t") * 1000)
     data = lines.select("run_id", block_of("seq", block_rows).alias("part"), "seq",
                         F.array_join(F.concat(F.array(time), texts), ",").alias("value"))
@@ -204,25 +211,29 @@ def run_lines(samples: DataFrame, columns: DataFrame, runs: DataFrame, block_row
 
 
 def write_runs(samples: DataFrame, columns: DataFrame, runs: DataFrame, path: str, block_rows: int = BLOCK_ROWS,
-               mode: str = "errorifexists", compact: bool = False) -> None:
+               mode: str = "errorifexists", compact: bool = False, drop_unlisted: bool = False) -> None:
     """One folder per run; a run is one file unless it has more than ``block_rows`` rows, then one per part."""
-    lines = run_lines(samples, columns, runs, block_rows, compact).withColumn("part", F.format_string("%08d", "part"))
+    lines = run_lines(samples, columns, runs, block_rows, compact, drop_unlisted).withColumn("part", F.format_string("%08d", "part"))
     (lines.repartition("run_id", "part").sortWithinPartitions("run_id", "part", "seq")
      .select("value", "run_id", "part").write.mode(mode).partitionBy("run_id", "part").text(path))
 
 
-def read_runs_stream(spark: SparkSession, path: str, columns: DataFrame, max_files: int | None = None) -> DataFrame:
-    """Rows of run files as they appear; ``columns(file, pos, metric)`` is a static table of their headers.
+def read_runs_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """Rows of run files as they appear: (file, seq, t, metric, value, text), each file under its own header.
 
-    Yields (file, t, metric, value, text); rows of a trigger carry no order of their own beyond ``t``.
+    A live collector's file is read whole, as one row, so it has to fit into one (2 GB); so files that
+    appear later need no table of headers made beforehand, and line breaks inside quotes are kept.
     """
-    reader = spark.readStream.option("lineSep", "\n")
+    reader = spark.readStream
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    lines = reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "\r$", "").alias("line"))
-    cells = split_cells(F.col("line"))
-    rows = lines.where(~F.col("line").startswith("#")).select("file", cells.alias("cells"))
-    rows = rows.withColumn("t", F.expr("try_cast(cells[0] as double) / 1000")).where("t is not null")
-    each = rows.select("file", "t", F.posexplode("cells").alias("pos", "text")).where("pos > 0 and text <> ''")
-    return (each.join(columns, ["file", "pos"])
-            .select("file", "t", "metric", F.expr("try_cast(text as double)").alias("value"), "text"))
+    records = F.regexp_extract_all("value", F.lit(RECORD), F.lit(0))
+    body = F.filter(records, lambda r: ~r.startswith("#") & (F.trim(r) != ""))
+    files = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), body.alias("body"))
+    names = F.transform(split_cells(F.col("body")[0]), lambda h: F.split(F.trim(h), "/")[0])
+    rows = files.where(F.size("body") > 1).select("file", names.alias("names"), F.posexplode(F.slice("body", 2, F.size("body") - 1)).alias("seq", "line"))
+    rows = rows.select("file", "names", F.col("seq").cast("long").alias("seq"), split_cells(F.regexp_replace("line", "\r$", "")).alias("cells"))
+    rows = rows.withColumn("t", F.expr("try_cast(cells[0] as double) / 1000"))
+    cells = F.filter(F.zip_with("names", "cells", lambda n, c: F.struct(n.alias("metric"), c.alias("text"))), lambda x: x["text"] != "")
+    each = rows.select("file", "seq", "t", F.inline(F.slice(cells, F.lit(2), F.greatest(F.size(cells) - 1, F.lit(0)))))
+    return each.select("file", "seq", "t", "metric", F.expr("try_cast(text as double)").alias("value"), "text")

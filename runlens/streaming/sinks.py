@@ -12,8 +12,8 @@ from ..sources.runfiles import write_runs
 def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     """Run the stream over all input there is and return what it wrote.
 
-    In ``update`` and ``complete`` mode each batch is kept with its number in
-    ``batch``, newest last.
+    In ``complete`` mode that is the last batch's answer.  In ``update`` mode each batch is
+    kept with its number in ``batch``, newest last.
     """
     spark = stream.sparkSession
     out, checkpoint = scratch_path(spark, label), scratch_path(spark, f"{label}-state")
@@ -23,10 +23,10 @@ def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     else:
         def keep(batch: DataFrame, number: int) -> None:
             # A repeated batch overwrites its own folder.
-            batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+            batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={number}")
         query = writer.foreachBatch(keep).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema if mode == "append" else f"{_ddl(stream)}, batch int").parquet(out)
+    return spark.read.schema(f"{_ddl(stream)}, batch int" if mode == "update" else stream.schema).parquet(out)
 
 
 def _ddl(df: DataFrame) -> str:

@@ -1,5 +1,7 @@
 """Operators that carry a small state per series from one micro-batch to the next.
 
+Rows at the last time of a series still count, whichever batch brings them; rows before it are late.  The
+number of late rows of a batch is in ``late``, on a row without time if the batch has no other.
 A micro-batch is bounded by the source's rate limit (``maxFilesPerTrigger`` or
 the like), so the rows of one key in it are too.
 """
@@ -20,18 +22,22 @@ def _stateful(df: DataFrame, keys: list[str], out: str, state_schema: str, step:
     """``step(rows sorted by time, state or None) -> (result columns, new state)``; state[0] is the last time."""
     types = {f.name: f.dataType.simpleString() for f in df.schema}
     schema = ", ".join([*[f"{k} {types[k]}" for k in keys], out, "late long"])
+    columns = [c.split()[0] for c in out.split(", ")]
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches), ignore_index=True).sort_values("t", kind="stable")
         before = state.get if state.exists else None
         late = 0
         if before is not None:
-            fresh = rows[rows["t"] > before[0]]
+            fresh = rows[rows["t"] >= before[0]]
             late, rows = len(rows) - len(fresh), fresh
         if rows.empty:
-            return
-        result, after = step(rows, before)
-        state.update(after)
+            result = pd.DataFrame({c: [None] for c in columns})
+        else:
+            result, after = step(rows, before)
+            state.update(after)
+            if result.empty and late:
+                result = pd.DataFrame({c: [None] for c in columns})
         result = result.assign(late=late)
         for name, part in reversed(list(zip(keys, key))):
             result.insert(0, name, part)
