@@ -35,6 +35,51 @@ def test_files_with_different_headers(spark, tmp_path):
     assert ("b.csv", 1, "comma,comma") in names and ("a.csv", 2, "stdout") in names
 
 
+def test_parts_of_a_run_have_their_own_headers(spark, tmp_path):
+    write(tmp_path / "run_id=7", "part-1.csv", "# Version: 3\ntime/ms,a,b\n0,1,2\n1000,3,4\n")
+    write(tmp_path / "run_id=7", "part-2.csv", "# more\ntime/ms,b,c\n# a remark\n2000,5,6\n")
+    write(tmp_path / "run_id=7", "part-3.csv", "3000,7,8\n")
+    got = runfiles.read_runs(spark, str(tmp_path))
+    rows = {(r.seq, r.t, r.metric, r.value) for r in got.samples.collect()}
+    assert rows == {(0, 0.0, "a", 1.0), (0, 0.0, "b", 2.0), (1, 1.0, "a", 3.0), (1, 1.0, "b", 4.0), (2, 2.0, "b", 5.0), (2, 2.0, "c", 6.0), (3, 3.0, "b", 7.0), (3, 3.0, "c", 8.0)}
+    assert [(r.run_id, r.n_rows, r.version) for r in got.runs.collect()] == [("7", 4, "3")]
+    assert [r.name for r in got.columns.orderBy("pos").collect()] == ["time", "a", "b", "c"]
+
+
+def test_stream_of_files_that_come_later(spark, tmp_path):
+    write(tmp_path / "in", "a.csv", 'time/ms,v,note\n0,1,"x\ny"\n')
+    stream, out, state = (scratch_path(spark, x) for x in ("s", "later", "later-state"))
+
+    def run():
+        rows = runfiles.read_runs_stream(spark, str(tmp_path / "in"))
+        rows.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
+
+    run()
+    write(tmp_path / "in", "b.csv", "time/ms,w\n# remark\n500,2\n600,3\n")
+    run()
+    got = {(r.file.split("/")[-1], r.seq, r.t, r.metric, r.text) for r in spark.read.parquet(out).collect()}
+    assert got == {("a.csv", 0, 0.0, "v", "1"), ("a.csv", 0, 0.0, "note", "x\ny"), ("b.csv", 0, 0.5, "w", "2"), ("b.csv", 1, 0.6, "w", "3")}
+
+
+def test_a_metric_without_column_fails_the_write(spark):
+    samples = spark.createDataFrame([("r", 0, 0.0, "v", 1.0, None), ("r", 0, 0.0, "w", 2.0, None)], "run_id string, seq long, t double, metric string, value double, text string")
+    columns = spark.createDataFrame([("r", 1, "v", "v")], "run_id string, pos int, raw_name string, metric string")
+    runs = spark.createDataFrame([("r", "1")], "run_id string, version string").select(
+        "*", F.lit(None).cast("timestamp_ntz").alias("started_at"), F.lit(None).cast("string").alias("zone"), F.lit("x").alias("command"))
+    with pytest.raises(Exception, match="no column for metric w"):
+        runfiles.run_lines(samples, columns, runs).collect()
+    assert runfiles.run_lines(samples, columns, runs, drop_unlisted=True).where("seq = 0").first().value == "0.0,1.0"
+
+
+def test_ties_over_a_batch_end_count(spark):
+    schema, path = "run_id long, metric string, t double, value double", scratch_path(spark, "ties")
+    for rows in ([(1, "p", 0.0, 1.0), (1, "p", 1.0, 1.0)], [(1, "p", 1.0, 3.0), (1, "p", 2.0, 1.0)], [(1, "p", 0.5, 9.0)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got = sinks.drain(stateful.low_pass_stream(stream, 10, 333, y0=0.0), "ties").collect()
+    assert sorted(r.t for r in got if r.t is not None) == [0.0, 1.0, 1.0, 2.0] and sum(r.late for r in got) == 1
+
+
 def test_file_cut_into_blocks_keeps_its_order(spark, tmp_path):
     n = 5000
     text = "# Version: 7\ntime/ms,v\n" + "".join(f"{i * 10},{i}\n" for i in range(n))

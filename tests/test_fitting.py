@@ -93,6 +93,15 @@ def test_refit_stays_near(spark):
     assert abs(again.terms[0].tau / start.terms[0].tau - 1) <= 0.05 + 1e-9 and again.rss <= start.rss + 1e-9
 
 
+def test_refit_of_a_small_tau(spark):
+    t = np.arange(0, 0.4, 0.0005)
+    rows = [("r", i, float(a), "m", float(20 - 5 * np.exp(-a / 0.02))) for i, a in enumerate(t)]
+    df = spark.createDataFrame(rows, "run_id string, seq long, t double, metric string, value double")
+    first = fitting.fit(df, 1, tau_bounds=[(0.001, 1)], taus=[0.0203], rounds=0)
+    again = fitting.refit_around(df, first, 1, 0.05).first()
+    assert again.terms[0].tau == pytest.approx(0.02, rel=1e-3) and again.tinf == pytest.approx(20, abs=1e-3)
+
+
 def test_errors(spark):
     df = generated(spark, TRUTH[1])
     fits = fitting.fit(df, 1)

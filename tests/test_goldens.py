@@ -154,12 +154,31 @@ def test_align_keeps_the_last_of_equal_x(spark):
     assert got == {1.0: (2.0, None), 2.0: (None, 3.0)}
 
 
-def test_compare_needs_equal_sets(spark):
-    one = spark.createDataFrame([("a", "m", 1.0, False)], "name string, metric string, tinf double, subtract boolean")
-    with pytest.raises(ValueError):
-        joins.compare_tinf(one, one.union(one))
-    with pytest.raises(ValueError):
-        joins.compare_tinf(one, one.withColumn("subtract", F.lit(True)))
+def test_compare_pairs_by_name(spark):
+    schema = "name string, metric string, tinf double, subtract boolean"
+    one = spark.createDataFrame([("a", "m", 1.0, False), ("b", "m", 2.0, False)], schema)
+    two = spark.createDataFrame([("b", "m", 3.0, False), ("c", "m", 4.0, False)], schema)
+    got = {r.name: (r.tinf_1, r.tinf_2) for r in joins.compare_tinf(one, two).collect()}
+    assert got == {"a": (1.0, None), "b": (2.0, 3.0), "c": (None, 4.0)}
+    with pytest.raises(Exception, match="differ in subtract"):
+        joins.compare_tinf(one, one.withColumn("subtract", F.lit(True))).collect()
+
+
+def test_two_digits_as_printed(spark):
+    values = [0.0031, 12.34, 0.31, 1.0, 99.6, 123.0, 0.00001, 0.0]
+    got = [r.s for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(numbers.general_format(F.col("v"), 2).alias("s")).collect()]
+    assert got == ["%.2g" % v for v in values]
+
+
+def test_titles_carry_the_row_number_where_names_and_columns_differ(spark):
+    fits = spark.createDataFrame([("a", "x"), ("b", "y")], "name string, metric string")
+    assert sorted(r.title for r in columns.series_titles(fits).collect()) == ["a, x1", "b, y2"]
+    assert sorted(r.title for r in columns.series_titles(fits.withColumn("metric", F.lit("x"))).collect()) == ["a", "b"]
+
+
+def test_only_the_time_column_is_in_milliseconds(spark):
+    df = spark.createDataFrame([("lat", "ms", 5000.0), ("temp", "mC", 40000.0)], "metric string, unit string, value double")
+    assert {(r.metric, r.unit, r.value) for r in columns.normalize_units(df).collect()} == {("lat", "ms", 5000.0), ("temp", "°C", 40.0)}
 
 
 def test_bounds_repeat():
