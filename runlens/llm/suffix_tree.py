@@ -36,7 +36,7 @@ from ..plans.scratch import written
 from .common import chunks, held_out, whole_text
 from .words import Coded, Spelled, encoded
 
-DEPTH = 6
+DEPTH = 5
 LEAST = 5e-7
 ENTRY_PART = 64  # next symbols rarer than LEAST / ENTRY_PART are left to the suffix
 COMMON = 1e-6
@@ -221,6 +221,20 @@ def test(candidates: dict[int, pa.Table], places: int) -> Tree:
     return tree
 
 
+def located(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The place of each key in the sorted ``known`` that has them all: by a table of hashes, and by search where two hashes meet."""
+    if not len(keys):
+        return np.zeros(0, np.int64)
+    shift = np.uint64(64 - (len(known).bit_length() + 2))
+    slot = lambda k: ((k * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int64)
+    table = np.zeros(1 << int(np.uint64(64) - shift), np.int32)
+    table[slot(known)] = np.arange(len(known), dtype=np.int32)
+    at = table[slot(keys)]
+    missed = np.flatnonzero(known[at] != keys)
+    at[missed] = np.searchsorted(known, keys[missed])
+    return at
+
+
 def score(docs: DataFrame, tree: Tree, common: tuple[np.ndarray, np.ndarray], tokens: int, distinct: int) -> DataFrame:
     """Stored per row: doc_id, row number, n_tokens, score, the common words' part of the base, and the other words as (hash, times)."""
     shared = docs.sparkSession.sparkContext.broadcast((tree, *common))
@@ -231,10 +245,9 @@ def score(docs: DataFrame, tree: Tree, common: tuple[np.ndarray, np.ndarray], to
         for batch in batches:
             for part, texts in chunks(batch):
                 key, doc, words = spelled(texts)
-                keys = np.sort(key)
-                keys = keys[np.append(True, keys[1:] != keys[:-1])]
+                keys = counted(key)[0]
                 logs = np.log10(np.maximum(model.probabilities(keys), 1e-300))
-                total = np.bincount(doc, weights=logs[np.searchsorted(keys, key)], minlength=len(texts))
+                total = np.bincount(doc, weights=logs[located(keys, key)], minlength=len(texts))
                 coded = Coded(texts, lower=True)
                 h = np.append(word_hashes(coded), END_HASH)
                 at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
