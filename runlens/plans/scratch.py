@@ -11,11 +11,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_folder: dict[str, str] = {}
 _made: dict[str, list[str]] = {}
+_once: dict[tuple[str, str], str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -48,9 +50,22 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def once(spark: SparkSession, label: str, make: Callable[[str], None]) -> str:
+    """The path that ``make(path)`` fills, made once per application and ``label``."""
+    key = (spark.sparkContext.applicationId, label)
+    if key not in _once:
+        path = scratch_path(spark, "once")
+        make(path)
+        _once[key] = path
+    return _once[key]
+
+
 def clear(spark: SparkSession) -> int:
     """Delete this application's stored tables; call it when no result that reads them is in use.  Returns their number."""
-    paths = _made.pop(spark.sparkContext.applicationId, [])
+    app = spark.sparkContext.applicationId
+    paths = _made.pop(app, [])
+    for key in [k for k in _once if k[0] == app]:
+        del _once[key]
     hadoop, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
     for path in paths:
         where = jvm.org.apache.hadoop.fs.Path(path)

@@ -8,7 +8,7 @@ from ..operators import columns as cols
 from ..operators import rows, tables
 from ..operators.columns import split_units, strip_units
 from ..plans.blocks import Scan
-from ..plans.scratch import scratch_path, written
+from ..plans.scratch import once, scratch_path, written
 from ..sources import catalogs, fits, membench, runfiles, specs
 from ..views import long_view, sensor_view, table
 from .base import SENSOR, neighbours, query, rnd, sql_rnd
@@ -37,14 +37,16 @@ def _columns(run_ids):
 
 
 def _written_runs(spark, d):
-    samples = written(_file_rows(spark, d), "rows")
-    starts = table(spark, d, "events").groupBy(F.col("user_id").alias("run_id")).agg(F.min("ts").alias("started_at"))
-    runs = starts.select("run_id", F.date_trunc("second", "started_at").cast("timestamp_ntz").alias("started_at"), F.lit("+0000").alias("zone"),
-                         F.concat(F.lit("v"), F.col("run_id").cast("string")).alias("version"), F.lit("bench -t 5, fast").alias("command"))
-    path = scratch_path(spark, "runs")
-    # Odd runs have no second temperature: those cells are left out, their lines stay.
-    runfiles.write_runs(samples, _columns(runs.select("run_id")), runs, path, drop_unlisted=True)
-    return path
+    """The run files of a data folder, written once per session."""
+    def make(path):
+        samples = written(_file_rows(spark, d), "rows")
+        starts = table(spark, d, "events").groupBy(F.col("user_id").alias("run_id")).agg(F.min("ts").alias("started_at"))
+        runs = starts.select("run_id", F.date_trunc("second", "started_at").cast("timestamp_ntz").alias("started_at"), F.lit("+0000").alias("zone"),
+                             F.concat(F.lit("v"), F.col("run_id").cast("string")).alias("version"), F.lit("bench -t 5, fast").alias("command"))
+        # Odd runs have no second temperature: those cells are left out, their lines stay.
+        runfiles.write_runs(samples, _columns(runs.select("run_id")), runs, path, drop_unlisted=True)
+
+    return once(spark, f"runs of {d}", make)
 
 
 def _read(spark, d, **options):
