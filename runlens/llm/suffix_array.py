@@ -49,31 +49,55 @@ def digest(text: Column) -> Column:
 
 
 def sampled(docs: DataFrame, length: int) -> DataFrame:
-    """Stored per row: its number, text digest, and its samples' grams and triple names, in text order."""
+    """Stored per row: its number, text digest, its samples' places, grams and triple names, and the places known to repeat.
+
+    Equal triples of one chunk are counted before anything is shuffled: the first of them goes on for all,
+    with ``twice`` set.
+    """
     def make(_, texts):
         parts = [encoded(t) for t in texts]
         found = Anchors(parts, length)
         names = Rolling(found.raw).parts(found.first, found.last + length)
         names = mixed(names + (found.at - found.first).astype(np.uint64))
-        ends = np.concatenate([[0], np.cumsum(np.bincount(found.doc, minlength=len(parts)))]).astype(np.int32)
-        lists = lambda x: pa.ListArray.from_arrays(pa.array(ends), pa.array(x.view(np.int64)))
-        return {"gram": lists(found.print), "triple": lists(names)}
+        starts = np.cumsum(np.bincount(found.doc, minlength=len(parts)))
+        place = np.arange(len(names)) - np.concatenate([[0], starts])[found.doc] if len(names) else np.zeros(0, np.int64)
+        order = np.lexsort((names, found.print))
+        new = np.ones(len(order), bool)
+        new[1:] = (names[order][1:] != names[order][:-1]) | (found.print[order][1:] != found.print[order][:-1])
+        first = np.zeros(len(order), bool)
+        first[order[new]] = True  # the sort is stable, so the earliest comes first
+        twice = np.zeros(len(order), bool)
+        heads = np.flatnonzero(new)
+        twice[order[heads[np.diff(np.append(heads, len(order))) > 1]]] = True
+
+        def lists(x, wanted):
+            ends = np.concatenate([[0], np.cumsum(np.bincount(found.doc[wanted], minlength=len(parts)))]).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(x[wanted]))
+
+        return {"at": lists(place.astype(np.int32), first), "gram": lists(found.print.view(np.int64), first), "triple": lists(names.view(np.int64), first),
+                "twice": lists(twice, first), "again": lists(place.astype(np.int32), ~first)}
 
     named = docs.select(whole_text().alias("text")).withColumn("digest", digest(F.col("text")))
-    return written(map_texts(named, make, "gram array<long>, triple array<long>", ["digest"]).withColumn("row", F.monotonically_increasing_id()), "samples")
+    made = map_texts(named, make, "at array<int>, gram array<long>, triple array<long>, twice array<boolean>, again array<int>", ["digest"])
+    return written(made.withColumn("row", F.monotonically_increasing_id()), "samples")
 
 
 def marked(samples: DataFrame) -> DataFrame:
     """(digest, marks(at, kind)) of texts with samples that repeat or may."""
-    each = samples.select("row", F.posexplode(F.arrays_zip("gram", "triple"))).select("row", F.col("pos").alias("at"), "col.gram", "col.triple")
+    each = samples.select("row", F.inline(F.arrays_zip("at", "gram", "triple", "twice")))
     equal, gram = W.partitionBy("gram", "triple"), W.partitionBy("gram")
-    compared = (each.withColumn("n", F.count("*").over(equal)).withColumn("turn", F.row_number().over(equal.orderBy("row", "at")))
+    compared = (each.withColumn("n", F.count("*").over(equal) + F.max(F.col("twice").cast("int")).over(equal)).withColumn("turn", F.row_number().over(equal.orderBy("row", "at")))
                 .withColumn("mixed", F.min("triple").over(gram) < F.max("triple").over(gram)))
     kind = (F.when((F.col("n") > 1) & F.col("mixed") & (F.col("turn") == 1), STANDS).when(F.col("n") > 1, WHOLE).when(F.col("mixed"), PART))
     known = compared.select("row", "at", kind.cast("byte").alias("kind")).where("kind is not null")
     marks = known.groupBy("row").agg(F.collect_list(F.struct("at", "kind")).alias("marks"))  # of one text
-    first = samples.groupBy("digest").agg(F.min("row").alias("row"))  # copies have the same marks
-    return written(marks.join(first, "row").select("digest", "marks"), "marks")
+    # The first of some copies of a text has all marks that stand for others.
+    first = samples.groupBy("digest").agg(F.min("row").alias("row"))
+    again = F.transform("again", lambda a: F.struct(a.alias("at"), F.lit(WHOLE).cast("byte").alias("kind")))
+    none = F.array().cast("array<struct<at: int, kind: tinyint>>")
+    both = (samples.select("row", again.alias("again")).join(first, "row").join(marks, "row", "left")
+            .select("digest", F.concat("again", F.coalesce("marks", none)).alias("marks")).where(F.size("marks") > 0))
+    return written(both, "marks")
 
 
 def spans_of(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
