@@ -41,6 +41,7 @@ LEAST = 5e-7
 ENTRY_PART = 64  # next symbols rarer than LEAST / ENTRY_PART are left to the suffix
 COMMON = 1e-6
 SYMBOLS = 256
+CHUNK_BYTES = 2 << 20  # every byte takes some 40 bytes of numbers while it is handled
 BEFORE, BETWEEN, END = b"\r", b" ", b"\n"  # never part of a word
 
 
@@ -93,7 +94,7 @@ def count(train: DataFrame) -> DataFrame:
         nothing = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         held = {0: [nothing], 1: [nothing]}
         for batch in batches:
-            for _, texts in chunks(batch):
+            for _, texts in chunks(batch, limit=CHUNK_BYTES):
                 held[0].append(counted(spelled(texts)[0]))
                 coded = Coded(texts, lower=True)
                 h = word_hashes(coded)
@@ -103,7 +104,7 @@ def count(train: DataFrame) -> DataFrame:
                 for kind, tables in held.items():
                     while len(tables) > 1 and len(tables[-1][0]) * 2 > len(tables[-2][0]):  # like sizes are merged
                         tables[-2:] = [added(tables[-2], tables[-1])]
-                    if len(tables[0][0]) > 3_000_000:  # bounds the memory; Spark adds up what is sent on
+                    if len(tables[0][0]) > 1_000_000:  # bounds the memory; Spark adds up what is sent on
                         yield sent(kind, tables.pop(0))
                         tables.append(nothing)
         for kind, tables in held.items():
@@ -243,7 +244,7 @@ def score(docs: DataFrame, tree: Tree, common: tuple[np.ndarray, np.ndarray], to
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known, known_n = shared.value
         for batch in batches:
-            for part, texts in chunks(batch):
+            for part, texts in chunks(batch, limit=CHUNK_BYTES):
                 key, doc, words = spelled(texts)
                 keys = counted(key)[0]
                 logs = np.log10(np.maximum(model.probabilities(keys), 1e-300))
