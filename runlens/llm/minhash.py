@@ -14,8 +14,9 @@ Candidates and links.  Documents with the same text are one node.  Nodes that sh
 of components are candidates.  Each member of a band's bucket is first checked against the
 bucket's smallest node; members that are then in one component need no further checks
 among each other.  What is left, pairs of different components in one bucket, is checked
-pair by pair, but for pairs that sizes or distances to the smallest node already exclude (the
-triangle inequality holds for this distance).  All checks count the real multisets.
+pair by pair, but for pairs that bounds already exclude: the sizes, the distances to the smallest node
+(the triangle inequality holds), and the shingles that a text shares with no other text that is
+left, which can't be in any overlap.  All checks count the real multisets.
 
 Defined cases: a text without words (null or empty too) is alone in its class.  A text of one to
 four words is one shingle.  Texts with equal words are similar to degree 1.  Repeated rows are copies.  A null id is kept as it is.
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import written
-from .common import map_texts, whole_text
+from .common import chunks, map_texts, whole_text
 from .components import components
 from .words import Coded, Spelled, mixed
 
@@ -179,6 +180,26 @@ def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.select("a", "b", "text_a", "text").mapInArrow(run, "a long, b long, similarity double")
 
 
+def unshared(texts: DataFrame) -> DataFrame:
+    """(node, own): the weight of each text's shingles that no other of these texts holds."""
+    def run(batches):
+        for batch in batches:
+            for part, chunk in chunks(batch):
+                doc, key, times, _ = shingles(chunk)
+                node = part.column("node").to_numpy()
+                yield pa.RecordBatch.from_pydict({"node": pa.array(node[doc]), "key": pa.array(key.view(np.int64)), "times": pa.array(times)})
+
+    each = texts.select("node", "text").mapInArrow(run, "node long, key long, times long")
+    held = each.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.sum("times").alias("times"))
+    return held.where("n = 1").groupBy("node").agg(F.sum("times").alias("own"))
+
+
+def split_buckets(placed: DataFrame) -> DataFrame:
+    """The rows of ``placed(bucket, component, ...)`` whose bucket holds several components."""
+    split = placed.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("bucket")
+    return placed.join(split, "bucket")
+
+
 def links(docs: DataFrame, similar: float = SIMILAR, count: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, nodes, component of each linked node)."""
     all_rows, known = nodes(docs, count, rows)
@@ -199,8 +220,11 @@ def links(docs: DataFrame, similar: float = SIMILAR, count: int = BANDS, rows: i
     placed = (members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
               .join(first.select(F.col("a").alias("lead"), F.col("b").alias("node"), "similarity"), ["lead", "node"], "left")
               .select("bucket", "node", "weight", "component", (1.0 - F.coalesce("similarity", F.lit(1.0))).alias("far")))
-    split = placed.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("bucket")
-    placed = written(placed.join(split, "bucket"), "split")
+    placed = written(split_buckets(placed), "split")
+    own = unshared(texts.join(placed.select("node").distinct(), "node", "left_semi"))
+    shared = placed.join(own, "node", "left").withColumn("shared", F.col("weight") - F.coalesce("own", F.lit(0))).drop("own")
+    # A pair at ``similar`` overlaps in that part of either text at least.
+    placed = written(split_buckets(shared.where(F.col("shared") >= similar * F.col("weight"))), "split")
     kinds = placed.groupBy("bucket", "component").agg(F.min("weight").alias("w0"), F.max("weight").alias("w1"),
                                                       F.min("far").alias("f0"), F.max("far").alias("f1"))
     x, y = kinds.alias("x"), kinds.alias("y")
@@ -208,8 +232,9 @@ def links(docs: DataFrame, similar: float = SIMILAR, count: int = BANDS, rows: i
             & (F.col("x.f0") <= F.col("y.f1") + (1 - similar) + 1e-9) & (F.col("y.f0") <= F.col("x.f1") + (1 - similar) + 1e-9))
     apart = (x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component")) & near)
              .select(F.col("x.bucket").alias("bucket"), F.col("x.component").alias("ca"), F.col("y.component").alias("cb")))
-    side = lambda c, s: placed.select("bucket", F.col("component").alias(c), F.col("node").alias(s), F.col("weight").alias(f"w{s}"), F.col("far").alias(f"f{s}"))
-    fits = ((F.col("wa") >= similar * F.col("wb")) & (F.col("wb") >= similar * F.col("wa"))
+    side = lambda c, s: placed.select("bucket", F.col("component").alias(c), F.col("node").alias(s), F.col("weight").alias(f"w{s}"), F.col("far").alias(f"f{s}"), F.col("shared").alias(f"s{s}"))
+    overlap = F.least("sa", "sb") * (1 + similar) >= similar * (F.col("wa") + F.col("wb")) - 1e-9
+    fits = (overlap & (F.col("wa") >= similar * F.col("wb")) & (F.col("wb") >= similar * F.col("wa"))
             & (F.abs(F.col("fa") - F.col("fb")) <= (1 - similar) + 1e-9))
     rest = (apart.join(side("ca", "a"), ["bucket", "ca"]).join(side("cb", "b"), ["bucket", "cb"]).where(fits)
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
