@@ -30,8 +30,8 @@ def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stay as often as the mix of domains asks for, at most once."""
-    return mixing.mixed_documents(docs, domains(table(spark, sf_dir, "labels")), TARGETS, most=1.0)
+    """Good documents stay; poor and toxic ones stay up to their part of the mix beside them."""
+    return mixing.mixed_documents(docs, domains(table(spark, sf_dir, "labels")), TARGETS, most=1.0, whole="good")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,11 +13,13 @@ column expression, stored with the posteriors when the chain gets long.
 
 The goals are the targets times a total.  By default the total is the largest for which no domain has
 to grow; ``total`` sets it as a part of all words.  ``most`` is the highest rate, None for no bound.
+With ``whole``, that domain's goal is all its words and the other targets are ceilings in proportion to it: a domain below
+its ceiling has all its words as goal, so that a scarce one does not shrink the others.
 
 Defined cases: a null or empty text has no words; its posteriors are the domains' shares of
 the sample and its rate is that of such a document.  A word bucket unseen in a domain is smoothed.  Null domains and ids
 teach nothing, nor do labels without a document; an id labelled twice teaches twice.  A domain without a sampled word has posterior 0.  Without
-any, or without words, every rate is 1.  Repeated rows get equal rates.  An empty table
+any, or without words, every rate is 1, as it is if the domain that is to be whole has none.  Repeated rows get equal rates.  An empty table
 gives an empty result.  Other columns are ignored (``mixed_documents`` keeps them).
 """
 
@@ -89,8 +91,8 @@ def posteriors(docs: DataFrame, weights: DataFrame, domains: list[str]) -> DataF
 
 
 def solve(placed: DataFrame, targets: list[float], total: float | None = None, most: float | None = None, pull: float = PULL,
-          rounds: int = ROUNDS) -> DataFrame:
-    """``placed(n_words, p0, ...)`` with the rate of each row."""
+          rounds: int = ROUNDS, whole: int | None = None) -> DataFrame:
+    """``placed(n_words, p0, ...)`` with the rate of each row; ``whole`` is the number of the domain that is kept whole."""
     each, t = range(len(targets)), F.col("n_words")
     first = placed.agg(F.sum(t).alias("d"), *[F.sum(t * F.col(f"p{k}")).alias(f"s{k}") for k in each]).first()
     words = float(first["d"] or 0)
@@ -98,12 +100,14 @@ def solve(placed: DataFrame, targets: list[float], total: float | None = None, m
     use = [k for k in each if share[k] > 0]
     asked = sum(targets[k] for k in use)
     at = placed.withColumn("rate", F.lit(1.0))
-    if not use or asked <= 0:
+    if not use or asked <= 0 or (whole is not None and (whole not in use or targets[whole] <= 0)):
         return at
     part = {k: targets[k] / asked for k in use}
-    if total is None:
+    if whole is not None:
+        total = share[whole] / part[whole]
+    elif total is None:
         total = min(share[k] / part[k] for k in use if part[k] > 0)
-    goal = {k: total * part[k] for k in use}
+    goal = {k: total * part[k] if whole is None else min(share[k], total * part[k]) for k in use}
     step = 1.0 / (1.0 + pull)
     rate, held = F.col("rate"), {k: share[k] for k in use}
     for turn in range(1, rounds + 1):
@@ -119,11 +123,12 @@ def solve(placed: DataFrame, targets: list[float], total: float | None = None, m
     return at.withColumn("rate", rate)
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total: float | None = None, most: float | None = None) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total: float | None = None, most: float | None = None,
+        whole: str | None = None) -> DataFrame:
     """(doc_id, n_words, p_<domain> ..., rate) per row of ``docs``; ``labelled(doc_id, domain)`` names the domains of some."""
     domains = sorted(targets)
     placed = posteriors(docs, word_weights(docs, labelled, domains), domains)
-    rated = solve(placed, [targets[d] for d in domains], total, most)
+    rated = solve(placed, [targets[d] for d in domains], total, most, whole=None if whole is None else domains.index(whole))
     return rated.select("doc_id", "n_words", *[F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(domains)], "rate")
 
 
@@ -133,9 +138,10 @@ def copies(rate: Column, key: Column) -> Column:
     return (F.floor(rate) + (unit < rate - F.floor(rate)).cast("long")).cast("int")
 
 
-def mixed_documents(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total: float | None = None, most: float | None = None) -> DataFrame:
+def mixed_documents(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total: float | None = None, most: float | None = None,
+                    whole: str | None = None) -> DataFrame:
     """The rows of ``docs``, each as often as its rate says, with all their columns."""
-    rated = mix(docs, labelled, targets, total, most).groupBy(F.col("doc_id").alias("_id")).agg(F.avg("rate").alias("_rate"))
+    rated = mix(docs, labelled, targets, total, most, whole).groupBy(F.col("doc_id").alias("_id")).agg(F.avg("rate").alias("_rate"))
     rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_key"))
     joined = rows.join(rated, F.col("_key").eqNullSafe(F.col("_id")))
     return joined.where(copies(F.col("_rate"), F.col("_key")) > 0).select(

@@ -80,3 +80,17 @@ def test_stages_of_an_empty_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf).count() == 0
+
+
+def test_mixing_keeps_clean_documents(spark, tmp_path):
+    """Toxic words are 0.1 % of the corpus, below their ceiling; poor ones far above theirs."""
+    rng = random.Random(5)
+    kinds = ["toxic"] + ["poor"] * 200 + ["good"] * 799
+    text = lambda kind: " ".join(f"{kind}{rng.randrange(30)}" for _ in range(60))
+    docs = spark.createDataFrame([(i, text(k)) for i, k in enumerate(kinds)], "doc_id long, text string")
+    spark.createDataFrame([(i, int(k == "good"), int(k == "toxic")) for i, k in enumerate(kinds)], "doc_id long, quality int, toxic int").write.parquet(
+        str(tmp_path / "labels.parquet"))
+    kept = {r.doc_id for r in corpus_pipeline.mixing_stage(spark, docs, str(tmp_path)).collect()}
+    by_kind = {k: [i for i in kept if kinds[i] == k] for k in set(kinds)}
+    assert len(by_kind["good"]) == 799 and len(by_kind["toxic"]) == 1
+    assert len(by_kind["poor"]) < 40
