@@ -141,3 +141,23 @@ def test_neighbours_against_all_pairs(spark):
         assert sorted(k for k, _ in found[q]) == [1, 2, 3, 4, 5]
     assert set(found) == set(range(0, 1500, 50)) and hits / total >= 0.97
     assert [j for _, j in sorted(found[150])] == [100, 101, 102, 103, 104]
+
+
+def recall(spark, x, k=5):
+    """Part of the true neighbours that the answers name, by score."""
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in neighbours.nearest_rows(df, F.col("id") % 50 == 0, k).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    hits = 0
+    for q in range(0, len(x), 50):
+        true = np.argsort(-neighbours.cosine(np.repeat(x[q:q + 1], len(x), axis=0), x), kind="stable")
+        hits += len(set([int(j) for j in true if j != q][:k]) & set(got[q]))
+    return hits / k / len(range(0, len(x), 50))
+
+
+def test_neighbours_among_near_copies(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((3000, 64))
+    x[:2000] = x[0] + 1e-3 * rng.standard_normal((2000, 64))  # cosines of about 1 - 1e-6
+    assert recall(spark, x) >= 0.95
