@@ -161,3 +161,15 @@ def test_neighbours_among_near_copies(spark):
     x = rng.standard_normal((3000, 64))
     x[:2000] = x[0] + 1e-3 * rng.standard_normal((2000, 64))  # cosines of about 1 - 1e-6
     assert recall(spark, x) >= 0.95
+
+
+def test_beam_follows_recall(spark, monkeypatch):
+    """Unclustered vectors and a graph of random links, which a narrow beam gets lost in."""
+    def links(units, k):
+        rng, nodes = np.random.default_rng(4), [r.node for r in units.select("node").orderBy("node").collect()]
+        rows = [(a, nodes[j], 0.0, False) for a in nodes for j in rng.integers(0, len(nodes), 4).tolist()]
+        return spark.createDataFrame(rows, "node long, other long, sim double, new boolean")
+
+    monkeypatch.setattr(neighbours, "descent", links)
+    monkeypatch.setattr(neighbours, "EXPANDED", 256)
+    assert recall(spark, np.random.default_rng(3).standard_normal((2000, 64))) >= 0.9
