@@ -36,7 +36,7 @@ from ..plans.scratch import written
 from .common import chunks, held_out, whole_text
 from .words import Coded, Spelled, encoded
 
-DEPTH = 5
+DEPTH = 6
 LEAST = 5e-7
 ENTRY_PART = 64  # next symbols rarer than LEAST / ENTRY_PART are left to the suffix
 COMMON = 1e-6

@@ -130,6 +130,15 @@ def test_tree_is_a_distribution(spark, tables):
     assert any(len(level.contexts) for level in tree.levels)
 
 
+def test_suffix_tree_sees_six_symbols(spark):
+    """The last letter of every word follows from the sixth symbol before it."""
+    rng = random.Random(6)
+    text = lambda: " ".join(rng.choice(["xabcdep", "yabcdeq"]) for _ in range(40))
+    got = suffix_tree.suffix_tree_scores(spark.createDataFrame([(i, text()) for i in range(400)], "doc_id long, text string"))
+    held = [r.score for r in got.collect() if r.held_out]
+    assert held and min(held) > -18  # 40 free choices of the first letter and the end; 12 more without the sixth symbol
+
+
 def test_suffix_tree_without_training(spark):
     got = suffix_tree.suffix_tree_scores(spark.createDataFrame([], "doc_id long, text string"))
     assert got.count() == 0
