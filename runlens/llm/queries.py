@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, quality_model, quality_rules, toxicity
+from . import language, oracles, quality_model, quality_rules, toxicity
 from .common import held_out, table, whole_text  # noqa: F401
 
 QUERIES: dict = {}
@@ -99,3 +99,16 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     cut = without_repeats(table(spark, sf_dir, "documents"), ["doc_id"])
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from . import merkle
+
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return merkle.verified(table(spark, sf_dir, "documents"), F.when(tampered, merkle.leaf_digest(text=merkle.tampered_text())))
+
+
+ORACLES["op13_merkle_manifest"] = oracles.MERKLE
