@@ -112,3 +112,26 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op13_merkle_manifest"] = oracles.MERKLE
+
+
+@query
+def op12_block_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .block_repeats import without_repeats
+
+    return without_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+ORACLES["op12_block_repeats"] = oracles.BLOCK_REPEATS
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .hard_negatives import hard_negatives
+
+    relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", relabelled), F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op11_hard_negatives"] = oracles.HARD_NEGATIVES
