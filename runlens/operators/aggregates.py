@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import mean_est, ratio_err
-from ..plans.blocks import BLOCK_ROWS, ordered_scan
+from ..plans.blocks import BLOCK_ROWS, meet, ordered_scan
 from .columns import TIME
 from .windows import SERIES, ops_per_sec
 
@@ -73,16 +73,26 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def histogram(df: DataFrame, column: str, nbins: int) -> DataFrame:
-    """Counts in ``nbins`` even bins from the smallest to the largest value, empty bins included."""
-    known = df.where(F.col(column).isNotNull() & (F.abs(column) != float("inf")) & ~F.isnan(column))
-    span = known.agg(F.min(column).cast("double").alias("a"), F.max(column).cast("double").alias("b"))
+    """Counts in ``nbins`` even bins from the smallest to the largest finite value, empty bins included.
+
+    Values that are not finite have rows of their own where there are any: bin -1 for -Infinity, ``nbins`` for
+    Infinity, and no bin for NaN, with that value as ``low``.
+    """
+    infinity = F.lit(float("inf"))
+    value = F.col(column).cast("double")
+    known = df.where(value.isNotNull()).select(value.alias("_v"))
+    finite = ~F.isnan("_v") & (F.abs("_v") != infinity)
+    span = known.agg(F.min(F.when(finite, F.col("_v"))).alias("a"), F.max(F.when(finite, F.col("_v"))).alias("b"))
     low, high = span.select("a").scalar(), span.select("b").scalar()
     width = (high - low) / F.lit(float(nbins))
-    place = F.least(F.floor(F.try_divide(F.col(column) - low, width)), F.lit(nbins - 1))
-    counted = known.groupBy(F.coalesce(place, F.lit(0)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    place = F.when(width > 0, F.least(F.floor((F.col("_v") - low) / width), F.lit(nbins - 1))).otherwise(0)
+    number = F.when(finite, place).when(F.col("_v") == infinity, nbins).when(F.col("_v") == -infinity, -1).cast("int")
+    counted = known.groupBy(number.alias("bin")).agg(F.count("*").alias("n"))
+    inside = F.coalesce(F.col("bin").between(0, nbins - 1), F.lit(False))
+    beyond = counted.where(~inside).select("bin", F.when(F.col("bin") == -1, -infinity).when(F.col("bin") == nbins, infinity).otherwise(float("nan")).alias("low"), "n")
     bins = df.sparkSession.range(nbins).select(F.col("id").cast("int").alias("bin"))
-    return (bins.join(counted, "bin", "left")
-            .select("bin", (low + F.col("bin") * width).alias("low"), F.coalesce("n", F.lit(0).cast("long")).alias("n")))
+    return (bins.join(counted.where(inside), "bin", "left")
+            .select("bin", (low + F.col("bin") * width).alias("low"), F.coalesce("n", F.lit(0).cast("long")).alias("n")).union(beyond))
 
 
 def repeatability(fits: DataFrame, variant: str = "variant", value: str = "tinf") -> DataFrame:
@@ -114,8 +124,8 @@ def coverage(samples: DataFrame, categories: dict[str, str], x: list[str]) -> Da
     pairs = F.array(*[F.struct(F.lit(k).alias("pat"), F.lit(v).alias("category")) for k, v in categories.items()])
     hits = F.filter(pairs, lambda p: F.contains(F.col("metric"), p["pat"]))
     cats = have.select("run_id", "metric", F.inline(hits))
-    seen = cats.join(axes, "run_id").where((F.col("metric") != F.col("x")) & (F.col("pat") != F.col("x")))
-    grid = axes.join(seen.select("run_id", "x", "category").distinct(), ["run_id", "x"], "left")
+    seen = meet(cats, axes, ["run_id"]).where((F.col("metric") != F.col("x")) & (F.col("pat") != F.col("x")))
+    grid = meet(axes, seen.select("run_id", "x", "category").distinct(), ["run_id", "x"], "left")
     table = grid.groupBy("x", "run_id").pivot("category", list(categories.values())).agg(F.first(F.lit("yes")))
     return table.select("x", "run_id", *[F.coalesce(F.col(f"`{c}`"), F.lit("N/A")).alias(c) for c in categories.values()])
 

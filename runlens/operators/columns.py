@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import common_prefix
-from ..plans.blocks import BLOCK_ROWS, attach, last_seq, number_rows
+from ..plans.blocks import BLOCK_ROWS, attach, last_seq, meet, number_rows
 
 # Unit suffixes that the loader strips, and unit factors.
 STRIPPED = ["ms", "s", "m°C", "°C", "Hz", "%"]
@@ -93,8 +93,7 @@ def default_scale(run_columns: DataFrame, raw: str = "raw_name") -> DataFrame:
     milli = header.endswith("/m°C") | header.endswith("/mC") | header.endswith("/ms")
     per_run = run_columns.groupBy("run_id").agg(
         F.coalesce(F.max(F.when(header == "time/ms", header)), F.min(header)).alias("x_column"))
-    return (run_columns.withColumn("scale", F.when(milli, F.lit(1e-3)).otherwise(F.lit(1.0)))
-            .join(per_run, "run_id"))
+    return meet(run_columns.withColumn("scale", F.when(milli, F.lit(1e-3)).otherwise(F.lit(1.0))), per_run, ["run_id"])
 
 
 def prune_columns(samples: DataFrame, keep: list[str], x: list[str]) -> DataFrame:
@@ -136,7 +135,7 @@ def by_category(samples: DataFrame, categories: dict[str, str], x: str, block_ro
     placed = (samples.where((F.col("metric") != x) & F.col("value").isNotNull())
               .select("run_id", "seq", "metric", *([F.col("t").alias("x_value")] if timed else []), F.col("value").alias("y_value"),
                       F.explode(F.transform(hits, lambda p: p["category"])).alias("category")))
-    return (placed if timed else placed.join(axis, ["run_id", "seq"])).withColumn("x", F.lit(x))
+    return (placed if timed else meet(placed, axis, ["run_id", "seq"])).withColumn("x", F.lit(x))
 
 
 def series_titles(fits: DataFrame, order: list[str] = ("name", "metric")) -> DataFrame:

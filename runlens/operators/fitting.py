@@ -20,7 +20,7 @@ from ..functions.boxed import solve_boxed
 from ..functions.model import component_expr, jacobian, model_expr
 from ..functions.numbers import clamp, t_critical
 from ..functions.text import common_prefix, fit_text
-from ..plans.blocks import BLOCK_ROWS, attach, last_seq
+from ..plans.blocks import BLOCK_ROWS, attach, last_seq, meet, opened, sealed
 from ..plans.grids import K_BOUNDS, MIN_RATIO, T_BOUNDS, TAU_BOUNDS, expand_bounds, spacing, tau_tuples
 from ..plans.scratch import written
 from .windows import SERIES
@@ -190,9 +190,10 @@ def fit(samples: DataFrame, order: int = 2, tau_bounds=TAU_BOUNDS, k_bounds=K_BO
     """
     rounds = ROUNDS[order] if rounds is None else rounds
     floor = min(lo for lo, _ in expand_bounds(tau_bounds, order))
-    summary = written(summarize(_from_origin(samples, keys, t_origin, block_rows), keys, floor), "moments")
-    best = _search(summary, keys, order, tau_bounds, k_bounds, t_bounds, points, rounds, taus)
-    return _finish(best, _ends(summary, keys), keys, order, compat_rmse)
+    held, groups = sealed(_from_origin(samples, keys, t_origin, block_rows), keys)
+    summary = written(summarize(held, groups, floor), "moments")
+    best = _search(summary, groups, order, tau_bounds, k_bounds, t_bounds, points, rounds, taus)
+    return opened(_finish(best, _ends(summary, groups), groups, order, compat_rmse), keys)
 
 
 def fit_quick(samples: DataFrame, order: int = 2, **options) -> DataFrame:
@@ -216,15 +217,18 @@ def refit_around(samples: DataFrame, fits: DataFrame, order: int, frac: float =
 
     The time bins are as fine as the smallest tau asks for.
     """
-    seeds = fits.where(F.col("terms").isNotNull())
+    held, groups = sealed(_from_origin(samples, keys, t_origin, block_rows), keys)
+    seeds, flags = sealed(fits.where(F.col("terms").isNotNull()), keys)
+    seeds = seeds.withColumns({f: F.lit(False) for f in groups if f not in flags})
+    held, groups = held.withColumns({f: F.lit(False) for f in flags if f not in groups}), [*groups, *(f for f in flags if f not in groups)]
     for i in range(order):
         tau = F.col("terms")[i]["tau"]
         seeds = (seeds.withColumn(f"x{i}", tau).withColumn(f"lo{i}", tau * (1 - frac)).withColumn(f"hi{i}", tau * (1 + frac)))
-    seeds = seeds.select(*keys, *[f"{n}{i}" for i in range(order) for n in ("x", "lo", "hi")])
+    seeds = seeds.select(*groups, *[f"{n}{i}" for i in range(order) for n in ("x", "lo", "hi")])
     floor = seeds.agg(F.min(F.least(*[F.col(f"lo{i}") for i in range(order)]) if order > 1 else F.col("lo0"))).first()[0] or 1.0
-    summary = written(summarize(_from_origin(samples, keys, t_origin, block_rows), keys, floor), "moments")
-    best = _search(summary, keys, order, None, k_bounds, t_bounds, None, rounds, None, seeds, frac)
-    return _finish(best, _ends(summary, keys), keys, order, compat_rmse)
+    summary = written(summarize(held, groups, floor), "moments")
+    best = _search(summary, groups, order, None, k_bounds, t_bounds, None, rounds, None, seeds, frac)
+    return opened(_finish(best, _ends(summary, groups), groups, order, compat_rmse), keys)
 
 
 def fit_sweep(samples: DataFrame, horizons: list[float], order: int = 2, tau_bounds=TAU_BOUNDS, k_bounds=K_BOUNDS,
@@ -239,13 +243,14 @@ def fit_sweep(samples: DataFrame, horizons: list[float], order: int = 2, tau_bou
     known = samples.where(F.col("value").isNotNull() & (F.col("t") < edges[-1]))
     segment = F.size(F.filter(F.array(*[F.lit(h) for h in edges]), lambda h: F.col("t") >= h))
     floor = min(lo for lo, _ in expand_bounds(tau_bounds, order))
-    summary = written(summarize(known.withColumn("_segment", segment), [*SERIES, "_segment"], floor), "moments")
+    held, groups = sealed(known.withColumn("_segment", segment), SERIES)
+    summary = written(summarize(held, [*groups, "_segment"], floor), "moments")
     later = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(h).alias("h")) for i, h in enumerate(edges)])
     under = F.transform(F.filter(later, lambda x: x["i"] >= F.col("_segment")), lambda x: x["h"])
     summary = summary.select("*", F.explode(under).alias("horizon")).drop("_segment")
-    keys = [*SERIES, "horizon"]
+    keys = [*groups, "horizon"]
     best = _search(summary, keys, order, tau_bounds, k_bounds, t_bounds, points, rounds, taus)
-    return _finish(best, _ends(summary, keys), keys, order, compat_rmse)
+    return opened(_finish(best, _ends(summary, keys), keys, order, compat_rmse), SERIES)
 
 
 def initial_guess(samples: DataFrame, order: int = 2, tau_bounds=TAU_BOUNDS, k_bounds=K_BOUNDS, t_bounds=T_BOUNDS) -> DataFrame:
@@ -263,7 +268,7 @@ def with_fit(samples: DataFrame, fits: DataFrame, block_rows: int = BLOCK_ROWS)
     """The known samples of every fitted series beside its parameters."""
     known = samples.where(F.col("value").isNotNull())
     params = fits.where(F.col("terms").isNotNull()).select(*SERIES, "tinf", "terms")
-    sized = known.groupBy(*SERIES).agg(last_seq()).join(params, SERIES)
+    sized = meet(known.groupBy(*SERIES).agg(last_seq()), params, SERIES)
     return attach(known, sized, SERIES, block_rows=block_rows)
 
 
@@ -321,7 +326,7 @@ def parameter_errors(samples: DataFrame, fits: DataFrame, order: int, err_kind:
     else:
         raise ValueError(f"unknown err_kind {err_kind}")
     errs = diag.select(*SERIES, F.transform("diag", lambda d: F.sqrt(d) * factor).alias("_err"))
-    joined = fits.join(errs, SERIES, "left")
+    joined = meet(fits, errs, SERIES, "left")
     terms = F.transform("terms", lambda x, i: F.struct(
         x["k"].alias("k"), x["tau"].alias("tau"),
         F.try_element_at(F.col("_err"), (2 * i + 2).cast("int")).alias("k_err"),
@@ -357,10 +362,10 @@ def multi_fit(samples: DataFrame, metrics: list[str], runs: DataFrame | None = N
     if err_kind:
         fits = parameter_errors(series, fits, order, err_kind, block_rows=block_rows)
     speed = ops_est(samples, work, drop_inf=drop_inf, block_rows=block_rows)
-    out = fits.join(speed, "run_id", "left")
+    out = meet(fits, speed, ["run_id"], "left")
     labels = (fits.select("run_id").distinct().withColumn("name", F.col("run_id").cast("string")) if runs is None
               else runs.select("run_id", "name"))
-    out = flat_terms(out.join(labels, "run_id", "left"), order)
+    out = flat_terms(meet(out, labels, ["run_id"], "left"), order)
     title = F.lit(name) if name is not None else labels.agg(common_prefix(F.col("name")).alias("p")).scalar()
     return out.withColumn("title", title).withColumn("subtract", F.lit(subtract is not None))
 

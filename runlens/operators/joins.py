@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.blocks import BLOCK_ROWS, Scan, attach, last_seq, number_rows
+from ..plans.blocks import BLOCK_ROWS, Scan, attach, last_seq, meet, number_rows
+from ..plans.scratch import written
 from .windows import interpolate_wide, long, wide
 
+#: Runs that one aggregate turns into columns.
+PIVOT_WIDTH = 500
+
 
 def subtract(samples: DataFrame, metrics: list[str], sub: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Each metric minus the interpolated ``sub``; rows where either is unknown drop out."""
@@ -34,21 +38,38 @@ def with_axis(samples: DataFrame, x: str, metric: str) -> DataFrame:
     if x == "t":
         return y.select("run_id", "seq", F.col("t").alias("x"), "value")
     axis = samples.where((F.col("metric") == x) & F.col("value").isNotNull()).select("run_id", "seq", F.col("value").alias("x"))
-    return y.select("run_id", "seq", "value").join(axis, ["run_id", "seq"]).select("run_id", "seq", "x", "value")
+    return meet(y.select("run_id", "seq", "value"), axis, ["run_id", "seq"]).select("run_id", "seq", "x", "value")
 
 
 def align_runs(samples: DataFrame, x: str, metric: str, runs: list | None = None) -> DataFrame:
-    """One column over many runs keyed by x, the last value per (run, x).
+    """One column over many runs keyed by x, the last value per (run, x), in long rows; with ``runs`` as by ``align_runs_wide``."""
+    if runs is not None:
+        return align_runs_wide(samples, x, metric, runs)
+    return with_axis(samples, x, metric).groupBy("run_id", "x").agg(F.max_by("value", "seq").alias("value"))
+
+
+def align_runs_wide(samples: DataFrame, x: str, metric: str, runs: list | None = None, width: int = PIVOT_WIDTH) -> DataFrame:
+    """The full outer join of one column of all runs: a row per x, a column ``run_<id>`` per run.
 
-    With a list of runs the result has a column per run and a row per x (a full
-    outer join of them); without, it stays long, for any number of runs.
+    The runs are those that have the column, or those given; rows without x drop out.  The names of the result's columns are known to the
+    planner, so their list is the one thing the driver holds.  The values are aggregated in long rows
+    once and stored; then every ``width`` runs are turned into columns by one aggregate, and these blocks of
+    columns are put side by side.
     """
-    points = with_axis(samples, x, metric)
+    points = align_runs(samples, x, metric).where(F.col("x").isNotNull())
+    points = written(points if runs is None else points.where(F.col("run_id").isin(runs)), "aligned")
     if runs is None:
-        return points.groupBy("run_id", "x").agg(F.max_by("value", "seq").alias("value"))
-    wanted = points.where(F.col("run_id").isin(runs))
-    cells = [F.max_by("value", F.when(F.col("run_id") == r, F.col("seq"))).alias(f"run_{r}") for r in runs]
-    return wanted.groupBy("x").agg(*cells)
+        runs = [r[0] for r in points.select("run_id").distinct().orderBy("run_id").collect()]
+    table = points.select("x").distinct()
+    for start in range(0, len(runs), width):
+        part = runs[start:start + width]
+        block = points.groupBy("x").pivot("run_id", [r for r in part if r is not None]).agg(F.first("value"))
+        block = block.toDF("x", *[f"run_{r}" for r in part if r is not None])
+        if None in part:
+            unnamed = points.where("run_id IS NULL").select("x", F.col("value").alias("run_null"))
+            block = block.join(unnamed, "x", "left")
+        table = table.join(block, "x", "left")
+    return table
 
 
 def sync_sample(events: DataFrame, ticks: DataFrame, keys: list[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -83,7 +104,7 @@ def thermocam_correct(samples: DataFrame, y: str = "cpu_0_temp", x: str = "cam_c
                       block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Camera metrics mapped by the run's calibration line, the others unchanged, as are those of a run without a line."""
     line = calibrate(samples, y, x, block_rows).drop("n")
-    sized = samples.groupBy("run_id").agg(last_seq()).join(line, "run_id", "left")
+    sized = meet(samples.groupBy("run_id").agg(last_seq()), line, ["run_id"], "left")
     joined = attach(samples, sized, ["run_id"], block_rows=block_rows)
     line_value = F.col("value") * F.col("slope") + F.col("intercept")
     fixed = F.when(F.col("metric").startswith(prefix), F.coalesce(line_value, F.col("value"))).otherwise(F.col("value"))
@@ -131,5 +152,5 @@ def align_wall_clock(samples: DataFrame, runs: DataFrame, block_rows: int = BLOC
     """Adds ``wall``: seconds since the first start among all runs."""
     first = runs.agg(F.min("started_at").alias("s")).select("s").scalar()
     offset = F.timestamp_diff("SECOND", first, F.col("started_at")).cast("double")
-    sized = samples.groupBy("run_id").agg(last_seq()).join(runs.select("run_id", offset.alias("_off")), "run_id")
+    sized = meet(samples.groupBy("run_id").agg(last_seq()), runs.select("run_id", offset.alias("_off")), ["run_id"])
     return attach(samples, sized, ["run_id"], block_rows=block_rows).withColumn("wall", F.col("t") + F.col("_off")).drop("_off")

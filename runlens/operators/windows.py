@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import ieee_divide
-from ..plans.blocks import (BLOCK, BLOCK_ROWS, Scan, affine_scan, attach, block_of, last_seq, rolling)
+from ..plans.blocks import (BLOCK, BLOCK_ROWS, Scan, affine_scan, block_of, rolling, sealed)
 
 SERIES = ["run_id", "metric"]
 COUNTERS = ["user", "nice", "system", "idle", "iowait", "irq", "softirq", "steal", "guest", "guest_nice"]
@@ -16,14 +16,12 @@ IDLE = ["idle", "iowait"]
 def wide(samples: DataFrame, metrics: list[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per file line with a column per metric, in (run, block) partitions.
 
-    The block column stays, so that a following scan needs no other shuffle;
-    the explicit filter lets both its branches use the same one.
+    The block column stays and the run is sealed, so that a following scan needs no other shuffle
+    and both its branches use the same one.
     """
     cells = [F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in metrics]
-    return (samples.withColumn(BLOCK, block_of("seq", block_rows))
-            .where(F.col("run_id").isNotNull() & F.col(BLOCK).isNotNull())
-            .repartition("run_id", BLOCK)
-            .groupBy("run_id", BLOCK, "seq").agg(F.min("t").alias("t"), *cells))
+    rows, run = sealed(samples.withColumn(BLOCK, block_of("seq", block_rows)).where(F.col(BLOCK).isNotNull()), ["run_id"])
+    return (rows.repartition(*run, BLOCK).groupBy(*run, BLOCK, "seq").agg(F.min("t").alias("t"), *cells))
 
 
 def long(table: DataFrame, metrics: list[str], keep: list[str] = ("run_id", "seq", "t")) -> DataFrame:
@@ -53,7 +51,7 @@ def interpolate_wide(table: DataFrame, metrics: list[str], clamped: bool = False
         before, after = F.col(f"_before_{m}"), F.col(f"_after_{m}")
         value = _line(F.col("t"), F.col(m), before, after)
         filled[m] = F.coalesce(value, before["v"], after["v"]) if clamped else value
-    return near.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in table.columns if c != BLOCK])
+    return near.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in table.columns if c != BLOCK and c in near.columns])
 
 
 def interpolate(samples: DataFrame, metrics: list[str], clamped: bool = False,
@@ -155,17 +153,27 @@ def energy(samples: DataFrame, scale: float = 1e-6, block_rows: int = BLOCK_ROWS
 
 
 def throttle(samples: DataFrame, period: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """First known row of each period, counted from the first row of the series.
+    """Rows later than the mark plus ``period``; the mark starts at the first row and moves on by one period per row.
 
-    Equals catch-up throttling while gaps are shorter than the period; the
-    exact form keeps state and is ``streaming.stateful.throttled``.
+    After a gap rows come closer, until the mark has caught up.  A row before an earlier one's time is passed over.
+
+    The number of marks moved is c = min(c of the row before + 1, a), where a counts the periods that
+    lie wholly before the row.  So c minus the row's number is a running minimum of a minus the
+    number, which blocks hand on as one value; a row comes out if it does not lower it.
     """
-    known = samples.where(F.col("value").isNotNull())
-    start = known.groupBy(*SERIES).agg(F.min_by("t", "seq").alias("_t0"), last_seq())
-    timed = attach(known, start, SERIES, block_rows=block_rows)
-    slot = F.floor((F.col("t") - F.col("_t0")) / F.lit(float(period))).cast("long")
-    return (timed.groupBy(*SERIES, slot.alias("slot"))
-            .agg(F.min_by("t", "seq").alias("t"), F.min_by("value", "seq").alias("value"), F.min("seq").alias("seq")))
+    known = samples.where(F.col("value").isNotNull() & F.col("t").isNotNull())
+    scan = lambda df, keep=True: Scan(df, SERIES, ["seq"], block_rows=block_rows, keep_block=keep)
+    rising = scan(known).greatest_before("_late", F.col("t")).result().where("_late IS NULL OR t >= _late").drop("_late")
+    timed = scan(rising).total("_pos", F.lit(1).cast("long")).least_before("_t0", F.col("t")).result()
+    timed = timed.withColumns({"_t0": F.coalesce("_t0", "t"), "_pos": F.col("_pos") - 1})
+    step = F.lit(float(period))
+    whole = F.ceil((F.col("t") - F.col("_t0")) / step).cast("long") - 1
+    # The quotient is rounded: the greatest whole number of periods that lies before the row is a step away at most.
+    after = lambda n: F.col("t") > F.col("_t0") + n * step
+    whole = F.when(after(whole + 1), whole + 1).when(after(whole), whole).otherwise(whole - 1)
+    ahead = F.greatest(whole, F.lit(0).cast("long")) - F.col("_pos")
+    lowest = scan(timed.withColumn("_ahead", ahead), False).least_before("_low", F.col("_ahead")).result()
+    return lowest.where(F.col("_ahead") >= F.col("_low")).drop("_pos", "_t0", "_ahead", "_low")
 
 
 def time_to_threshold(samples: DataFrame, threshold: float, timeout: float, poll: float | None = None) -> DataFrame:

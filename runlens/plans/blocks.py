@@ -13,6 +13,9 @@ group is simply a group with one block, so there is a single code path.
   branches of a plan agree on the ranges.
 * ``Scan`` evaluates the ordered expressions.
 * ``attach`` joins one row per group to all rows of the group, by block.
+
+A group whose key is NULL is a group like any other: while rows are joined by their keys, a NULL
+key is replaced by a stand-in and a flag (``sealed``), and put back afterwards.
 """
 
 from __future__ import annotations
@@ -36,13 +39,49 @@ def block_of(seq: Column | str, block_rows: int = BLOCK_ROWS) -> Column:
     return F.floor(seq / F.lit(block_rows)).cast("long")
 
 
+_STAND_INS = {"string": "", "binary": "", "date": "1970-01-01", "timestamp": "1970-01-01", "timestamp_ntz": "1970-01-01"}
+
+
+def _flag(key: str) -> str:
+    return f"_null_{key}"
+
+
+def sealed(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
+    """``df`` with keys that are never NULL, and the columns that now name a group: the keys and their flags."""
+    kinds = {f.name: f for f in df.schema}
+    open_keys = [k for k in keys if kinds[k].nullable and _flag(k) not in kinds]
+    made = {}
+    for k in open_keys:
+        kind = kinds[k].dataType.simpleString()
+        made[k] = F.coalesce(F.col(k), F.lit(_STAND_INS.get(kind, 0)).cast(kind))
+        made[_flag(k)] = F.col(k).isNull()
+    return df.withColumns(made) if made else df, [*keys, *[_flag(k) for k in keys if k in open_keys or _flag(k) in kinds]]
+
+
+def opened(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Undoes ``sealed``."""
+    flags = {k: _flag(k) for k in keys if _flag(k) in df.columns}
+    return df.withColumns({k: F.when(~F.col(f), F.col(k)) for k, f in flags.items()}).drop(*flags.values()) if flags else df
+
+
+def _met(here: tuple[DataFrame, list[str]], there: tuple[DataFrame, list[str]], keys: list[str], more: list[str], how: str) -> DataFrame:
+    flags = {*here[1], *there[1]} - {*keys}
+    left, right = (side.withColumns({f: F.lit(False) for f in flags if f not in names}) for side, names in (here, there))
+    return opened(left.join(right, [*keys, *sorted(flags), *more], how), keys)
+
+
+def meet(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join by keys of which NULL is one like any other."""
+    return _met(sealed(left, keys), sealed(right, keys), keys, [], how)
+
+
 class Scan:
     """Ordered expressions over ``keys`` groups, evaluated block by block.
 
     ``order`` is a list of columns that orders the rows of a group totally and
     in which the block never decreases.  A table that has a block column keeps
-    it (and with it its partitioning); else the block is cut from the order
-    column.  A value is a column, or a dict of plain columns that yields a
+    it (and with it its partitioning; ``keep_block`` leaves the keys sealed, for a following scan); else the block is
+    cut from the order column.  A value is a column, or a dict of plain columns that yields a
     struct; ``when`` tells the rows that have the value (default: not null).
     """
 
@@ -50,7 +89,7 @@ class Scan:
                  block_rows: int = BLOCK_ROWS, keep_block: bool = False):
         if block is None and BLOCK not in df.columns:
             block = block_of(order[0], block_rows)
-        self.df = df if block is None else df.withColumn(BLOCK, block)
+        self.df, self.groups = sealed(df if block is None else df.withColumn(BLOCK, block), keys)
         self.keys = keys
         self.order = order
         self.keep_block = keep_block
@@ -82,18 +121,27 @@ class Scan:
         """Sum from the row to the end of its group."""
         return self._ask("rest", name, value)
 
+    def least_before(self, name: str, value: Column) -> "Scan":
+        """Smallest value strictly before the row."""
+        return self._ask("least", name, value)
+
+    def greatest_before(self, name: str, value: Column) -> "Scan":
+        """Largest value strictly before the row."""
+        return self._ask("greatest", name, value)
+
     def result(self) -> DataFrame:
-        where = [*self.keys, BLOCK]
+        where = [*self.groups, BLOCK]
         inside = W.partitionBy(*where)
         # A frame that reaches to the end of its partition is re-read for every
         # row; the same frame over the reversed order is a single pass.
         forward = inside.orderBy(*self.order).rowsBetween(W.unboundedPreceding, 0)
         before = inside.orderBy(*self.order).rowsBetween(W.unboundedPreceding, -1)
         onward = inside.orderBy(*[F.col(o).desc() for o in self.order]).rowsBetween(W.unboundedPreceding, 0)
-        frame = {"last": forward, "previous": before, "next": onward, "total": forward, "rest": onward}
-        earlier = W.partitionBy(*self.keys).orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
-        later = W.partitionBy(*self.keys).orderBy(F.col(BLOCK).desc()).rowsBetween(W.unboundedPreceding, -1)
-        beyond = {"last": earlier, "previous": earlier, "next": later, "total": earlier, "rest": later}
+        frame = {"last": forward, "previous": before, "next": onward, "total": forward, "rest": onward, "least": before, "greatest": before}
+        earlier = W.partitionBy(*self.groups).orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
+        later = W.partitionBy(*self.groups).orderBy(F.col(BLOCK).desc()).rowsBetween(W.unboundedPreceding, -1)
+        beyond = {"last": earlier, "previous": earlier, "next": later, "total": earlier, "rest": later, "least": earlier, "greatest": earlier}
+        ends = {"least": (F.min, F.least), "greatest": (F.max, F.greatest)}
 
         # Edges of a block as plain numbers, so that they aggregate by hash.
         at = F.col(self.order[0]) if len(self.order) == 1 else F.struct(*self.order)
@@ -106,6 +154,13 @@ class Scan:
                 locals_.append(F.sum(value).over(frame[kind]).alias(f"_local_{name}"))
                 out.append(F.when(there.isNull(), here).when(here.isNull(), there).otherwise(here + there).alias(name))
                 continue
+            if kind in ends:
+                best, of_both = ends[kind]
+                edges.append(best(value).alias(f"_e_{name}"))
+                carries.append(best(f"_e_{name}").over(beyond[kind]).alias(f"_carry_{name}"))
+                locals_.append(best(value).over(frame[kind]).alias(f"_local_{name}"))
+                out.append(of_both(here, there).alias(name))
+                continue
             fields = value if isinstance(value, dict) else {"v": value}
             pick = F.min_by if kind == "next" else F.max_by
             edges += [pick(c, F.when(when, at)).alias(f"_e_{name}_{f}") for f, c in fields.items()]
@@ -121,7 +176,8 @@ class Scan:
         carried = self.df.groupBy(*where).agg(*edges).select(*where, *carries)
         joined = self.df.select("*", *locals_).join(carried, where)
         kept = [c for c in self.df.columns if c != BLOCK or self.keep_block]
-        return joined.select(*kept, *out)
+        done = joined.select(*kept, *out)
+        return done if self.keep_block else opened(done, self.keys)
 
 
 def lay_out(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -171,7 +227,8 @@ def attach(df: DataFrame, per_group: DataFrame, keys: list[str], how: str = "inn
     """
     spread = (per_group.withColumn(BLOCK, F.explode(F.sequence(F.lit(0).cast("long"), block_of("last_seq", block_rows))))
               .drop("last_seq"))
-    return df.withColumn(BLOCK, block_of(seq, block_rows)).join(spread, [*keys, BLOCK], how).drop(BLOCK)
+    here = sealed(df.withColumn(BLOCK, block_of(seq, block_rows)), keys)
+    return _met(here, sealed(spread, keys), keys, [BLOCK], how).drop(BLOCK)
 
 
 def last_seq(seq: str = "seq") -> Column:
@@ -189,6 +246,11 @@ def affine_scan(df: DataFrame, keys: list[str], pos: str, value: str, decay: flo
     """
     if decay >= 1.0:
         raise ValueError("decay must be below 1; use a running total instead")
+    held, groups = sealed(df, keys)
+    return opened(_affine(held, groups, pos, value, decay, start, name, block_rows), keys)
+
+
+def _affine(df: DataFrame, keys: list[str], pos: str, value: str, decay: float, start: str, name: str, block_rows: int) -> DataFrame:
     if decay <= 1e-300:  # of an earlier row nothing is left
         return df.withColumn(name, F.col(value))
     rate = -log(decay)
@@ -198,7 +260,7 @@ def affine_scan(df: DataFrame, keys: list[str], pos: str, value: str, decay: flo
     scaled = F.sum(F.col(value) * F.pow(F.lit(decay), -at)).over(inside)
     rows = df.withColumn("_blk", block_of(pos, length)).withColumn("_local", scaled * F.pow(F.lit(decay), at))
     ends = rows.groupBy(*keys, "_blk").agg(F.max_by("_local", pos).alias("_end"), F.min(start).alias("_y0"))
-    summed = affine_scan(ends.withColumnsRenamed({"_blk": "_pos0"}), keys, "_pos0", "_end", decay ** length, "_y0", "_sum", block_rows)
+    summed = _affine(ends.withColumnsRenamed({"_blk": "_pos0"}), keys, "_pos0", "_end", decay ** length, "_y0", "_sum", block_rows)
     handed = F.struct((F.col("_pos0") + 1).alias("_blk"), F.col("_sum").alias("_in"))
     initial = F.struct(F.lit(0).cast("long").alias("_blk"), F.col("_y0").alias("_in"))
     into = summed.select(*keys, F.inline(F.when(F.col("_pos0") == 0, F.array(initial, handed)).otherwise(F.array(handed))))

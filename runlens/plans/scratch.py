@@ -4,7 +4,8 @@ The folder is that of ``spark.checkpoint.dir``, else the one given to
 ``SparkContext.setCheckpointDir``.  Only a local session that has neither
 gets a fresh one of its own; on a cluster a missing setting is an error,
 because a machine-local folder would not survive the loss of an executor.
-Tables stay until ``clear`` is called, since a retried job may read them again.
+Tables stay until ``clear`` is called, since a retried job may read them again; a program of several steps
+that stores each step's result by itself calls ``release`` to let go of what the step before has left.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 _local_folder: dict[str, str] = {}
 _made: dict[str, list[str]] = {}
 _once: dict[tuple[str, str], str] = {}
+_marks: dict[str, int] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -60,14 +62,44 @@ def once(spark: SparkSession, label: str, make: Callable[[str], None]) -> str:
     return _once[key]
 
 
+def delete(spark: SparkSession, paths: list[str]) -> int:
+    """Delete stored tables by their paths; returns their number."""
+    hadoop, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(hadoop).delete(where, True)
+    return len(paths)
+
+
+def mark(spark: SparkSession) -> None:
+    """Where the steps of a program begin: ``release`` does not touch what was stored before."""
+    app = spark.sparkContext.applicationId
+    _marks[app] = len(_made.setdefault(app, []))
+
+
+def release(spark: SparkSession, source: DataFrame) -> int:
+    """Delete the tables stored since the last ``mark`` or ``release``, but for those that ``source`` reads and those of ``once``; returns their number.
+
+    Call it between two steps, with the stored result of the one before as ``source``: a retried job of a later step reads that
+    result, never the tables it was made of.
+    """
+    app = spark.sparkContext.applicationId
+    made = _made.setdefault(app, [])
+    read = {file.rpartition("/")[0].partition(":")[2].lstrip("/") if ":" in file else file.rpartition("/")[0].lstrip("/") for file in source.inputFiles()}
+    kept = {path for (owner, _), path in _once.items() if owner == app}
+    kept |= {path for path in made if (path.partition(":")[2] if ":" in path else path).lstrip("/") in read}
+    first = _marks.get(app)
+    gone = [] if first is None else [path for path in made[first:] if path not in kept]
+    _made[app] = [path for path in made if path not in {*gone}]
+    _marks[app] = len(_made[app])
+    return delete(spark, gone)
+
+
 def clear(spark: SparkSession) -> int:
     """Delete this application's stored tables; call it when no result that reads them is in use.  Returns their number."""
     app = spark.sparkContext.applicationId
     paths = _made.pop(app, [])
+    _marks.pop(app, None)
     for key in [k for k in _once if k[0] == app]:
         del _once[key]
-    hadoop, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
-    for path in paths:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(hadoop).delete(where, True)
-    return len(paths)
+    return delete(spark, paths)

@@ -266,12 +266,16 @@ def _(spark, d):
     return catalogs.parse_sensor_lines(_sensor_lines(spark, d))[1]
 
 
-@query("read_membench", "SELECT l_orderkey AS size, CAST(l_linenumber - 1 AS INTEGER) AS thread, l_quantity AS result FROM (SELECT l_orderkey, l_linenumber, sum(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2) WHERE l_linenumber = 1")
+# A line per order: the results of all its lines as threads, and their sum.
+@query("read_membench", """WITH q AS (SELECT l_orderkey AS size, l_linenumber, sum(l_quantity) AS result FROM lineitem GROUP BY 1, 2)
+SELECT size, CAST(row_number() OVER (PARTITION BY size ORDER BY l_linenumber) - 1 AS INTEGER) AS thread, result FROM q""")
 def _(spark, d):
-    items = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("q")).where("l_linenumber = 1")
-    line = F.concat(F.col("l_orderkey").cast("string"), F.lit("\t"), F.col("q").cast("string"), F.lit("\t∑"), F.col("q").cast("string"))
+    items = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("q"))
+    results = F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "q"))), lambda x: x["q"].cast("string"))
+    lines = items.groupBy("l_orderkey").agg(results.alias("results"), F.sum("q").cast("string").alias("total"))
+    line = F.concat_ws("\t", F.col("l_orderkey").cast("string"), "results", F.concat(F.lit("∑"), F.col("total")))
     path = scratch_path(spark, "mem")
-    items.select(line.alias("value")).write.text(path)
+    lines.select(line.alias("value")).write.text(path)
     return membench.read_membench(spark, path)[0].select("size", "thread", "result")
 
 

@@ -101,12 +101,17 @@ def _(spark, d):
     return windows.energy(long_view(spark, d)).select("run_id", "metric", "seq", rnd("step").alias("step"), rnd("energy").alias("energy"))
 
 
-@query("throttle", f"""WITH {LONG},
-sl AS (SELECT *, CAST(floor((t - first_value(t) OVER (PARTITION BY run_id, metric ORDER BY seq)) / {DAY}) AS BIGINT) AS slot FROM lng)
-SELECT run_id, metric, slot, seq, value FROM sl
-QUALIFY row_number() OVER (PARTITION BY run_id, metric, slot ORDER BY seq) = 1""")
+# From row to row: a row comes out if it is more than a period after the mark, which then moves on by one period.
+@query("throttle", f"""WITH RECURSIVE {LONG},
+num AS (SELECT *, row_number() OVER w AS pos, first_value(t) OVER w AS t0 FROM lng WHERE value IS NOT NULL WINDOW w AS (PARTITION BY run_id, metric ORDER BY seq)),
+e AS (
+  SELECT run_id, metric, pos, t0 AS mark, false AS printed FROM num WHERE pos = 1
+  UNION ALL
+  SELECT n.run_id, n.metric, n.pos, CASE WHEN n.t > e.mark + {DAY} THEN e.mark + {DAY} ELSE e.mark END AS mark, n.t > e.mark + {DAY} AS printed
+  FROM e JOIN num n ON n.run_id = e.run_id AND n.metric = e.metric AND n.pos = e.pos + 1)
+SELECT run_id, metric, seq, {sql_rnd('t')} AS t, value FROM e JOIN num USING (run_id, metric, pos) WHERE printed""")
 def _(spark, d):
-    return windows.throttle(long_view(spark, d), DAY).select("run_id", "metric", "slot", "seq", "value")
+    return windows.throttle(long_view(spark, d), DAY).select("run_id", "metric", "seq", rnd("t").alias("t"), "value")
 
 
 @query("time_to_threshold", f"""WITH {LONG}
@@ -161,13 +166,13 @@ def _(spark, d):
     return joins.align_runs(hourly, "t", "click")
 
 
-@query("align_runs_wide", f"""WITH {LONG}
-SELECT floor(t / 3600) AS x, arg_max(value, seq) FILTER (WHERE run_id = 1) AS run_1, arg_max(value, seq) FILTER (WHERE run_id = 2) AS run_2,
-       arg_max(value, seq) FILTER (WHERE run_id = 3) AS run_3
-FROM lng WHERE metric = 'click' AND run_id IN (1, 2, 3) GROUP BY 1""")
+# The wide table of all runs, told cell by cell: its columns differ from table to table.
+@query("align_runs_wide", f"""WITH {LONG}, cl AS (SELECT run_id, floor(t / 3600) AS x, arg_max(value, seq) AS value FROM lng WHERE metric = 'click' GROUP BY 1, 2)
+SELECT x, concat('run_', run_id) AS run, value FROM (SELECT DISTINCT x FROM cl) CROSS JOIN (SELECT DISTINCT run_id FROM cl) LEFT JOIN cl USING (x, run_id)""")
 def _(spark, d):
     hourly = long_view(spark, d).withColumn("t", F.floor(F.col("t") / 3600).cast("double"))
-    return joins.align_runs(hourly, "t", "click", [1, 2, 3])
+    wide = joins.align_runs_wide(hourly, "t", "click")
+    return wide.unpivot("x", [c for c in wide.columns if c != "x"], "run", "value")
 
 
 @query("sync_sample", f"""WITH {LONG},

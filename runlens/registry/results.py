@@ -82,6 +82,18 @@ def _(spark, d):
     return aggregates.histogram(table(spark, d, "events"), "value", 30).select("bin", rnd("low").alias("low"), "n")
 
 
+@query("histogram_not_finite", f"""WITH v AS (SELECT CASE event_id % 50 WHEN 0 THEN 'inf'::DOUBLE WHEN 1 THEN '-inf'::DOUBLE WHEN 2 THEN 'nan'::DOUBLE ELSE value END AS v FROM events),
+m AS (SELECT min(v) AS a, max(v) AS b, (max(v) - min(v)) / 30 AS w FROM v WHERE isfinite(v)),
+c AS (SELECT CASE WHEN isfinite(v) THEN least(floor((v - a) / w), 29) WHEN isnan(v) THEN NULL WHEN v > 0 THEN 30 ELSE -1 END AS bin, count(*) AS n FROM v CROSS JOIN m GROUP BY 1)
+SELECT CAST(g.bin AS INTEGER) AS bin, {sql_rnd('a + g.bin * w')} AS low, coalesce(n, 0) AS n FROM range(0, 30) g(bin) CROSS JOIN m LEFT JOIN c ON c.bin = g.bin
+UNION ALL SELECT CAST(coalesce(bin, -2) AS INTEGER), NULL, n FROM c WHERE bin IS NULL OR bin NOT BETWEEN 0 AND 29""")
+def _(spark, d):
+    left = F.col("event_id") % 50
+    odd = F.when(left == 0, float("inf")).when(left == 1, float("-inf")).when(left == 2, float("nan")).otherwise(F.col("value"))
+    bins = aggregates.histogram(table(spark, d, "events").withColumn("value", odd), "value", 30)
+    return bins.select(F.coalesce("bin", F.lit(-2)).alias("bin"), F.when(F.col("bin").between(0, 29), rnd("low")).alias("low"), "n")
+
+
 @query("coverage", f"""WITH {SENSOR}, h AS (SELECT DISTINCT run_id, metric FROM sen)
 SELECT 'ambient' AS x, a.run_id, CASE WHEN bool_or(contains(h.metric, 'temp')) THEN 'yes' ELSE 'N/A' END AS "Temperature",
        CASE WHEN bool_or(contains(h.metric, 'cam')) THEN 'yes' ELSE 'N/A' END AS "Camera",

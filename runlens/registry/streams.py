@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators.lines import pack_rows, parse_lines
 from ..plans.scratch import scratch_path
-from ..sources import runfiles
+from ..sources import runfiles, tail
 from ..streaming import sinks, stateful, windows
 from ..views import counter_view, line_view, table
-from .base import LONG, SENSOR, query, rnd, sql_rnd
+from .base import LONG, ORACLES, SENSOR, query, rnd, sql_rnd
 from .files import _written_runs
 from .ordered import _COUNTERS
 
@@ -165,6 +165,21 @@ def _(spark, d):
     return rows.groupBy("metric").agg(F.count("*").alias("n"), rnd(F.sum("value"), 2).alias("total"))
 
 
+# The same rows as the batch reader's, from files followed in several triggers.
+@query("follow_runs", ORACLES["read_runs"])
+def _(spark, d):
+    path = _written_runs(spark, d)
+    third = spark.read.option("recursiveFileLookup", "true").text(path).agg(F.sum(F.octet_length("value") + 1)).first()[0] // 3
+    out = scratch_path(spark, "followed")
+    query_ = (tail.follow_runs(spark, path, max_bytes=third + 1).writeStream.format("parquet")
+              .option("checkpointLocation", scratch_path(spark, "followed-state")).start(out))
+    try:
+        query_.processAllAvailable()
+    finally:
+        query_.stop()
+    return spark.read.parquet(out).select("run_id", "metric", rnd("t", 4).alias("t"), rnd("value", 4).alias("value"), "text")
+
+
 @query("write_runs_stream", f"""SELECT CAST(user_id AS VARCHAR) AS run_id, event_type AS metric, count(*) AS n, {sql_rnd('sum(value)', 3)} AS total FROM events GROUP BY 1, 2""")
 def _(spark, d):
     stream = _timed_stream(spark, d).withColumn("text", F.lit(None).cast("string"))

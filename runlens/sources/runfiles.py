@@ -5,6 +5,11 @@ many blocks; one small row per block carries the line offset and the header,
 and the lines meet it by (file, block).  The lines themselves are not shuffled
 while that table is small enough to broadcast, and spread by block otherwise,
 so one huge file is no hot spot.
+
+Line breaks inside quoted cells.  Whether a line starts a record depends on all lines of the file before it.  So each block
+tells whether it ends inside a cell for both states it may begin in, and these maps are composed over a file's
+blocks, one small row each.  Blocks without such cells go on as they are; in the others lines are joined to records,
+also over cuts.
 """
 
 from __future__ import annotations
@@ -18,7 +23,8 @@ from pyspark.sql import functions as F
 from ..functions.numbers import general_format
 from ..functions.text import base_name
 from ..operators.columns import BASE_UNITS, NO_UNIT, _unit_case
-from ..plans.blocks import BLOCK_ROWS, attach, block_of, last_seq
+from ..plans.blocks import BLOCK_ROWS, attach, block_of, last_seq, meet
+from ..plans.scratch import written
 
 # The parts of the comment line.
 STARTED = "Started at: (....-..-.. ..:..:..)"
@@ -29,6 +35,8 @@ COMMAND = "Generated by: (.*)"
 # A cell after its comma: quoted with doubled quotes, or bare.
 CELL = r',("[^"]*+(?:""[^"]*+)*+"|[^,]*+)'
 RUN_FOLDER = "/run_id=([^/]+)/"
+# A line, read from the start of a record, whose last cell opens quotes and leaves them open.
+LEAVES_OPEN = r'^(?:(?:"[^"]*+(?:""[^"]*+)*+"|[^",][^,]*+)?+,)*+"[^"]*+(?:""[^"]*+)*+$'
 # A line of a whole file; line breaks inside quotes belong to it.
 RECORD = r'(?:[^"\n]|"[^"]*+(?:""[^"]*+)*+")+'
 
@@ -54,6 +62,11 @@ def csv_cell(value: Column) -> Column:
     return F.when(value.rlike('[,"\r\n]'), F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(value)
 
 
+def _no_return(line: Column) -> Column:
+    """Without the carriage return of its line end."""
+    return F.when(line.endswith("\r"), F.substring(line, F.lit(1), F.length(line) - 1)).otherwise(line)
+
+
 def _optional(text: Column) -> Column:
     return F.when(text != "", text)
 
@@ -87,7 +100,66 @@ def _lines(spark: SparkSession, paths) -> DataFrame:
     file = F.col("_metadata.file_path")
     run = F.coalesce(_optional(F.regexp_extract(file, RUN_FOLDER, 1)), file)
     return text.select(run.alias("run_id"), file.alias("file"), F.col("_metadata.file_block_start").alias("start"),
-                       F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", "\r$", "").alias("line"))
+                       F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+
+
+def _toggles(comment: str) -> tuple[Column, Column]:
+    """Of a line: whether it turns 'inside a cell' over, and whether it ends any cell and opens none."""
+    odd = (F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))) % 2 == 1
+    turns = odd & ~F.col("line").startswith(comment) & F.col("line").rlike(LEAVES_OPEN)
+    return turns, odd & ~turns
+
+
+def _block_table(lines: DataFrame, comment: str) -> DataFrame:
+    """One row per block: its lines, the first line that is no comment, comments, and lines with an open quote (by number; at most the block's lines)."""
+    body = ~F.col("line").startswith(comment)
+    turns, ends = _toggles(comment)
+    return lines.groupBy("run_id", "file", "start").agg(
+        F.min("id").alias("first_id"), F.count("*").alias("lines"), F.count_if(body).alias("bodies"),
+        F.min(F.when(body, F.col("id"))).alias("body_id"), F.min_by("line", F.when(body, F.col("id"))).alias("body_line"),
+        F.min_by("line", F.when(~body, F.col("id"))).alias("note"),
+        F.sort_array(F.collect_list(F.when(~body, F.col("id")))).alias("notes"),
+        F.sort_array(F.collect_list(F.when(turns | ends, F.struct("id", turns.alias("turns"))))).alias("odd"))
+
+
+def _opened(blocks: DataFrame) -> DataFrame:
+    """Adds ``inside``: 1 if the block begins inside a quoted cell; and ``touched``: it has to be cut into records."""
+    after = lambda begin: F.aggregate("odd", F.lit(begin), lambda s, x: F.when(x["turns"], 1 - s).otherwise(0))
+    earlier = W.partitionBy("run_id", "file").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
+    told = blocks.withColumn("_out", after(0)).withColumn("_in", after(1))
+    turned = told.withColumn("_turned", F.coalesce(F.sum((F.col("_out") > F.col("_in")).cast("int")).over(earlier), F.lit(0)))
+    settled = F.when(F.col("_out") == F.col("_in"), F.struct(F.col("_out").alias("state"), F.col("_turned").alias("turned")))
+    last = turned.withColumn("_last", F.last(settled, ignorenulls=True).over(earlier))
+    inside = F.coalesce(F.col("_last.state") + F.col("_turned") - F.col("_last.turned"), F.col("_turned")) % 2
+    return (last.withColumn("inside", inside).withColumn("touched", (F.size("odd") > 0) | (F.col("inside") == 1))
+            .drop("_out", "_in", "_turned", "_last"))
+
+
+def _records(lines: DataFrame, blocks: DataFrame, comment: str) -> DataFrame:
+    """The records of the touched blocks, as lines are: numbered densely in the block in which they begin.
+
+    A cell that is never closed goes on to the end of its file.
+    """
+    turns, ends = _toggles(comment)
+    here = ["file", "start"]
+    row = W.partitionBy(*here).orderBy("id")
+    before = row.rowsBetween(W.unboundedPreceding, -1)
+    told = (lines.join(blocks.where("touched").select(*here, "inside", "first_id"), here).withColumn("_turns", turns.cast("int")).withColumn("_ends", ends)
+            .withColumn("_turned", F.coalesce(F.sum("_turns").over(before), F.lit(0)).cast("int")))
+    told = told.withColumn("_ended", F.last(F.when(F.col("_ends"), F.col("_turned")), ignorenulls=True).over(before))
+    told = told.withColumn("_state", F.coalesce(F.col("_turned") - F.col("_ended"), F.col("_turned") + F.col("inside")) % 2)
+    after = F.when(F.col("_ends"), 0).otherwise((F.col("_state") + F.col("_turns")) % 2)
+    told = told.withColumn("_no", F.sum((F.col("_state") == 0).cast("long")).over(row.rowsBetween(W.unboundedPreceding, 0))).withColumn("_after", after)
+    joined = lambda order: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "line"))), lambda x: x["line"]), "\n")
+    pieces = told.groupBy("run_id", *here, "_no").agg(F.min("first_id").alias("first_id"), F.max_by("_after", "id").alias("_open"), joined("id").alias("line"))
+    pieces = pieces.withColumn("id", F.col("first_id") + F.col("_no") - 1)
+    cut = (F.col("_no") == 0) | (F.col("_open") == 1)
+    # What goes on over a cut: a few pieces a block; each belongs to the last record begun before it.
+    begun = F.sum((F.col("_no") > 0).cast("long")).over(W.partitionBy("run_id", "file").orderBy("start", "_no").rowsBetween(W.unboundedPreceding, 0))
+    over = (pieces.where(cut).withColumn("_of", begun).groupBy("run_id", "file", "_of")
+            .agg(F.min("start").alias("_at"), F.min_by("id", F.col("start")).alias("id"), joined("start").alias("line")))
+    return pieces.where(~cut).select("run_id", *here, "id", "line").unionByName(
+        over.select("run_id", "file", F.col("_at").alias("start"), "id", "line"))
 
 
 def read_runs(spark: SparkSession, paths, comment: str = "#", normalize: bool = True, name: str | None = None, **meta) -> RunSet:
@@ -99,11 +171,16 @@ def read_runs(spark: SparkSession, paths, comment: str = "#", normalize: bool =
     """
     lines = _lines(spark, paths)
     body = ~F.col("line").startswith(comment)
-    blocks = lines.groupBy("run_id", "file", "start").agg(
-        F.min("id").alias("first_id"), F.count_if(body).alias("bodies"),
-        F.min(F.when(body, F.col("id"))).alias("body_id"), F.min_by("line", F.when(body, F.col("id"))).alias("body_line"),
-        F.min_by("line", F.when(~body, F.col("id"))).alias("note"),
-        F.sort_array(F.collect_list(F.when(~body, F.col("id")))).alias("notes"))  # numbers of comment lines: few
+    blocks = written(_opened(_block_table(lines, comment)), "blocks")
+    touched = blocks.where("touched").limit(1).count() > 0
+    if touched:
+        records = written(_records(lines, blocks, comment), "records")
+        again = _block_table(records, comment)
+        # A block in which no record begins has none, but is known.
+        empty = blocks.where("touched").join(again.select("file", "start"), ["file", "start"], "left_anti").drop("inside", "touched")
+        nothing = {c: F.lit(None).cast(dict(again.dtypes)[c]) for c in ("body_id", "body_line", "note")}
+        empty = empty.withColumns({**nothing, "bodies": F.lit(0).cast("long"), "notes": F.array().cast("array<bigint>")})
+        blocks = blocks.where("not touched").drop("inside").unionByName(again.unionByName(empty).withColumn("touched", F.lit(True)))
     in_file = W.partitionBy("run_id", "file").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
     opens = F.coalesce(F.sum("bodies").over(in_file), F.lit(0)) == 0
     is_head = opens & F.col("body_line").isNotNull() & F.expr("try_cast(substring_index(body_line, ',', 1) as double) is null")
@@ -113,6 +190,7 @@ def read_runs(spark: SparkSession, paths, comment: str = "#", normalize: bool =
               .withColumn("header", F.last(F.when(F.col("is_head"), F.col("body_line")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)))
               .withColumn("head_id", F.when(F.col("is_head"), F.col("body_id")))
               .withColumn("turn", F.row_number().over(order)))
+    placed = written(placed.withColumns({c: _no_return(F.col(c)) for c in ("header", "note")}).drop("odd", "body_line", "body_id"), "placed")
     headers = split_cells(F.col("header"))
 
     per_run = placed.groupBy("run_id").agg(
@@ -129,12 +207,16 @@ def read_runs(spark: SparkSession, paths, comment: str = "#", normalize: bool =
     named = F.transform(headers, lambda h: F.struct(
         F.split(F.trim(h), "/")[0].alias("metric"),
         F.coalesce(F.try_element_at(F.split(F.trim(h), "/"), F.lit(2)), F.lit(NO_UNIT)).alias("unit")))
-    rows = lines.where(body).join(placed.select(
-        "file", "start", "first_id", "offset", "head_id", "notes", named.alias("names")), ["file", "start"])
+    heads = placed.select("file", "start", "touched", "first_id", "lines", "offset", "head_id", "notes", named.alias("names"))
+    # The table of blocks was made by an earlier reading: if the files are cut otherwise now, fail rather than lose lines.
+    same = F.coalesce((F.col("id") >= F.col("first_id")) & ((F.col("id") < F.col("first_id") + F.col("lines")) | F.col("touched")), F.lit(False))
+    checked = F.when(~same, F.raise_error(F.lit("the files are cut into other blocks than before; read them again"))).otherwise(F.col("names"))
+    plain = lines.where(body).join(heads, ["file", "start"], "left").withColumn("names", checked).where("touched IS NULL OR NOT touched")
+    rows = plain.unionByName(records.where(body).join(heads.where("touched"), ["file", "start"])) if touched else plain
     rows = rows.where("head_id is null or id <> head_id")
     skipped = F.size(F.filter("notes", lambda n: n < F.col("id"))) + F.when(F.col("head_id") < F.col("id"), 1).otherwise(0)
     place = F.col("offset") + F.col("id") - F.col("first_id") - skipped
-    rows = rows.select("run_id", place.alias("seq"), "names", split_cells(F.col("line")).alias("cells"))
+    rows = rows.select("run_id", place.alias("seq"), "names", split_cells(_no_return(F.col("line"))).alias("cells"))
     cells = F.filter(F.zip_with("names", "cells", lambda n, c: F.struct(n["metric"].alias("metric"), n["unit"].alias("unit"), c.alias("text"))),
                      lambda x: x["text"] != "")
     time = F.expr("try_cast(cells[0] as double)") * F.when(F.col("names")[0]["unit"] == "ms", 1e-3).otherwise(1.0)
@@ -195,7 +277,7 @@ def run_lines(samples: DataFrame, columns: DataFrame, runs: DataFrame, block_row
     cell = F.coalesce(F.col("text"), number(F.col("value")))
     lines = (samples.groupBy("run_id", "seq").agg(
         F.min("t").alias("t"), F.map_from_entries(F.collect_list(F.struct("metric", cell.alias("cell")))).alias("cells")))
-    sized = samples.groupBy("run_id").agg(last_seq()).join(heads, "run_id")
+    sized = meet(samples.groupBy("run_id").agg(last_seq()), heads, ["run_id"])
     lines = attach(lines, sized, ["run_id"], block_rows=block_rows)
     texts = F.transform("cols", lambda c: F.coalesce(csv_cell(F.try_element_at("cells", c["metric"])), F.lit("")))
     unknown = F.array_except(F.map_keys("cells"), F.transform("cols", lambda c: c["metric"]))

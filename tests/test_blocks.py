@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from runlens import views
-from runlens.operators import aggregates, joins, windows
+from runlens.operators import aggregates, fitting, joins, windows
 from runlens.plans import blocks
 from runlens.sources import specs
 
@@ -121,3 +121,77 @@ def test_attach_reaches_every_block(spark):
     per = df.groupBy("k").agg(F.sum("seq").alias("s"), blocks.last_seq())
     out = blocks.attach(df, per, ["k"], block_rows=7)
     assert out.count() == 100 and out.select("s").distinct().count() == 1
+
+
+NULL_CASES = CASES | {
+    "decimate": lambda s, b: windows.decimate(s, 3, b),
+    "decimate_ends": lambda s, b: windows.decimate(s, 0, b),
+    "position": lambda s, b: windows.position(s, "pos", b),
+    "number_rows": lambda s, b: blocks.number_rows(s.drop("seq"), ["run_id"], ["t", "metric", "value"], "seq"),
+    "align": lambda s, b: joins.align_runs(s, "t", "cpu_0_temp"),
+    "ops_est": lambda s, b: aggregates.ops_est(s, block_rows=b),
+    "mean_speed": lambda s, b: aggregates.mean_speed(s, block_rows=b),
+    "fit": lambda s, b: fitting.fit(s.withColumn("t", F.col("t") / 3600), 1, rounds=2, points=6).drop("terms"),
+    "sweep": lambda s, b: fitting.fit_sweep(s.withColumn("t", F.col("t") / 3600), [300, 700], 1, rounds=1, points=5).drop("terms"),
+    "residuals": lambda s, b: fitting.residuals(s, fitting.fit(s, 1, rounds=0, taus=[1e3]), b),
+    "coverage": lambda s, b: aggregates.coverage(s, {"temp": "T", "cam": "C"}, ["ambient"]),
+}
+
+
+@pytest.mark.parametrize("name", NULL_CASES)
+def test_runs_and_metrics_without_a_name(hot, name):
+    """A run whose key is NULL is treated as any other run; so is a metric without a name."""
+    unnamed = hot.withColumn("run_id", F.when(F.col("run_id") != 0, F.col("run_id")))
+    named = lambda df: df.withColumn("run_id", F.coalesce("run_id", F.lit(0).cast("long")))
+    got = NULL_CASES[name](unnamed, TINY)
+    assert got.where("run_id IS NULL").count() > 0
+    assert table(named(got)) == table(NULL_CASES[name](hot, TINY))
+
+
+def test_series_without_a_metric(hot):
+    unnamed = hot.withColumn("metric", F.when(F.col("metric") != "ambient", F.col("metric")))
+    for name in ("smooth", "energy", "low_pass", "throttle"):
+        got = CASES[name](unnamed, TINY).drop("label").withColumn("metric", F.coalesce("metric", F.lit("ambient")))
+        assert table(got) == table(CASES[name](hot, TINY).drop("label"))
+
+
+def test_throttle_catches_up(spark):
+    """The mark moves on by one period per row, so rows come closer after a gap; a step back in time is passed over."""
+    rows = [("a", i, float(t), "m", float(i)) for i, t in enumerate([0, 1, 2, 3, 4, 5, 12, 13, 14])]
+    rows += [("b", i, t, "m", 1.0) for i, t in enumerate([0.0, 5.0, 4.0, 4.5, 5.0, 6.0, 6.1, 30.0])] + [("c", 0, 7.0, "m", 1.0), ("d", 0, 1.0, "m", None)]
+    df = spark.createDataFrame(rows, "run_id string, seq long, t double, metric string, value double")
+    for b in (1, 2, 3, 100):
+        got = windows.throttle(df, 2.0, b).orderBy("seq").collect()
+        assert [r.t for r in got if r.run_id == "a"] == [3.0, 5.0, 12.0, 13.0, 14.0]
+        assert [(r.seq, r.t) for r in got if r.run_id == "b"] == [(1, 5.0), (4, 5.0), (6, 6.1), (7, 30.0)]
+        assert {r.run_id for r in got} == {"a", "b"}
+
+
+def test_throttle_follows_the_loop(spark):
+    rng = np.random.default_rng(8)
+    t = np.cumsum(rng.choice([0.0, 0.1, 0.3, 0.7, 5.0], 400))
+    df = spark.createDataFrame([("a", i, float(x), "m", 1.0) for i, x in enumerate(t)], "run_id string, seq long, t double, metric string, value double")
+    moved, want = 0, []
+    for i, x in enumerate(t):
+        if x > t[0] + (moved + 1) * 0.7:
+            moved += 1
+            want.append(i)
+    for b in (3, 50, 1000):
+        assert [r.seq for r in windows.throttle(df, 0.7, b).orderBy("seq").collect()] == want
+
+
+def test_histogram_counts_every_value(spark):
+    df = spark.createDataFrame([(x,) for x in (1.0, 2.0, 3.0, float("inf"), float("inf"), float("-inf"), float("nan"), None)], "v double")
+    got = {r.bin: r.n for r in aggregates.histogram(df, "v", 2).collect()}
+    assert got == {0: 1, 1: 2, 2: 2, -1: 1, None: 1}
+    same = aggregates.histogram(df.where("v = 2"), "v", 3).collect()
+    assert [r.n for r in same] == [1, 0, 0]
+
+
+def test_wide_alignment_is_a_full_outer_join_of_any_number_of_runs(hot):
+    long = joins.align_runs(hot, "t", "cpu_0_temp").toPandas()
+    want = long.pivot(index="x", columns="run_id", values="value").sort_index()
+    for width in (1, 4, 500):
+        got = joins.align_runs_wide(hot, "t", "cpu_0_temp", width=width).toPandas().set_index("x").sort_index()
+        assert list(got.columns) == [f"run_{r}" for r in want.columns]
+        np.testing.assert_array_equal(got.to_numpy(float), want.to_numpy(float))

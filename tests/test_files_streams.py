@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from runlens.operators import windows as batch
 from runlens.plans.scratch import scratch_path
-from runlens.sources import runfiles
+from runlens.sources import runfiles, tail
 from runlens.streaming import sinks, stateful, windows
 
 
@@ -197,3 +197,111 @@ def test_latest_stream_equals_batch(spark, fed):
     out = sinks.drain(windows.latest(stamp(stream()), ["run_id"]), "lat", "update")
     newest = out.groupBy("run_id").agg(F.max_by("value", "batch").alias("value"))
     assert set(map(tuple, newest.collect())) == set(map(tuple, windows.latest(stamp(whole), ["run_id"]).select("run_id", "value").collect()))
+
+
+CELLS = ['plain', 'a "x"', ",", "x,y", '"', '""', "one\ntwo", '\n', "\n\n#\n", 'say "hi\nthere", ok', "cr\rlf\r\nend", '#"\n#', "é\nü", "1\n2,3", 'end"\n']
+
+
+def quoted(cell):
+    return '"' + cell.replace('"', '""') + '"' if any(c in cell for c in ',"\r\n') else cell
+
+
+def hard_file(end="\n"):
+    lines = ['# Generated by: run "odd', 'time/ms,v/m°C,"a ""b"", c",w']
+    want = []
+    for i, cell in enumerate(CELLS):
+        lines.append(f"{i * 1000},{i * 1000},{quoted(cell)},{quoted(CELLS[-1 - i]) if i % 3 == 0 else ''}")
+        want += [(i, float(i), "v", "°C", float(i), None), (i, float(i), 'a "b", c', "no unit", None, cell)]
+        if i % 3 == 0:
+            want.append((i, float(i), "w", "no unit", None, CELLS[-1 - i]))
+        if i % 4 == 2:
+            lines.append('# a remark "with one quote')
+    return end.join(lines) + end, sorted(want, key=str)
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_line_breaks_in_cells_at_every_cut(spark, tmp_path, end):
+    text, want = hard_file(end)
+    path = write(tmp_path, "x", "")
+    (tmp_path / "x").write_bytes(text.encode())
+    saved = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    size = len(text.encode())
+    try:
+        for split in ([5, 17, 64, size // 2, size + 1] if end == "\n" else [31]):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+            got = runfiles.read_runs(spark, path)
+            rows = sorted(((r.seq, r.t, r.metric, r.unit, r.value, r.text) for r in got.samples.collect()), key=str)
+            assert rows == want, split
+            assert [r.n_rows for r in got.runs.collect()] == [len(CELLS)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", saved)
+
+
+def test_written_line_breaks_read_back(spark):
+    rows = [("r", i, float(i), "note", None, c) for i, c in enumerate(CELLS)]
+    samples = spark.createDataFrame(rows, "run_id string, seq long, t double, metric string, value double, text string")
+    columns = spark.createDataFrame([("r", 1, 'no\nte,"', "note")], "run_id string, pos int, raw_name string, metric string")
+    runs = spark.createDataFrame([("r", "1")], "run_id string, version string").select(
+        "*", F.lit(None).cast("timestamp_ntz").alias("started_at"), F.lit(None).cast("string").alias("zone"), F.lit("x").alias("command"))
+    path = scratch_path(spark, "breaks")
+    runfiles.write_runs(samples, columns, runs, path)
+    back = runfiles.read_runs(spark, path)
+    assert sorted((r.seq, r.text) for r in back.samples.collect()) == list(enumerate(CELLS))
+    assert {r.raw_name for r in back.columns.collect()} == {"time/ms", 'no\nte,"'}
+
+
+def test_a_stray_quote_in_a_bare_cell_opens_nothing(spark, tmp_path):
+    path = write(tmp_path, "x.csv", 'time/ms,a,b\n0,5" disk,1\n1000,x,2\n2000,"open\n3000,y,4\n')
+    got = {(r.seq, r.metric): r.text or r.value for r in runfiles.read_runs(spark, path).samples.collect()}
+    assert got[0, "a"] == '5" disk' and got[1, "b"] == 2.0 and (3, "a") not in got
+
+
+def test_files_cut_otherwise_later_fail(spark, tmp_path):
+    path = write(tmp_path, "long.csv", "time/ms,v\n" + "".join(f"{i},{i}\n" for i in range(3000)))
+    got = runfiles.read_runs(spark, path)
+    saved = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        with pytest.raises(Exception, match="cut into other blocks"):
+            got.samples.count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", saved)
+
+
+def test_growing_files_are_read_once(spark, tmp_path):
+    """Files grow between triggers, mid-line and mid-cell; every record comes once, and in the end as the batch reader has it."""
+    text, _ = hard_file()
+    whole = {"a.csv": text, "b.csv": "time/ms,v/m°C\n" + "".join(f"{i * 10},{i}\n" for i in range(500)), "run_id=7/part-1.csv": "# x\ntime/ms,p\n1,2\n",
+             "run_id=7/part-2.csv": "3,4\n5,6\n"}
+    path = tmp_path / "live"
+    out, state = scratch_path(spark, "tail"), scratch_path(spark, "tail-state")
+
+    def run():
+        rows = tail.follow_runs(spark, str(path), split=400)
+        rows.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
+
+    for part in (0.0, 0.13, 0.5, 0.51, 0.87, 1.0):
+        for name, t in whole.items():
+            raw = t.encode()
+            (path / name).parent.mkdir(parents=True, exist_ok=True)
+            (path / name).write_bytes(raw[:int(len(raw) * part)])
+        run()
+    key = ["run_id", "t", "metric", "unit", "value", "text"]
+    got, want = spark.read.parquet(out), runfiles.read_runs(spark, str(path)).samples
+    tidy = lambda df: sorted((str(r.run_id).removeprefix("file:").replace("//", ""), *tuple(r)[1:]) for r in df.select(*key).fillna({"text": "-", "value": -1.0}).collect())
+    assert tidy(got) == tidy(want)
+    order = {(r.file.split("/")[-1], r["at"]): r.t for r in got.collect()}
+    b = [t for (f, _), t in sorted(order.items()) if f == "b.csv"]
+    assert b == sorted(b) and len(b) == 500
+
+
+def test_a_trigger_takes_a_bounded_part(spark, tmp_path):
+    write(tmp_path / "in", "a.csv", "time/ms,v\n" + "".join(f"{i},{i}\n" for i in range(2000)))
+    out, state = scratch_path(spark, "bounded"), scratch_path(spark, "bounded-state")
+    query = (tail.follow_runs(spark, str(tmp_path / "in"), max_bytes=5000).writeStream.format("parquet").option("checkpointLocation", state).start(out))
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert spark.read.parquet(out).count() == 2000
+    assert query.lastProgress is None or len(query.recentProgress) > 2
