@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -73,3 +74,15 @@ def map_texts(df: DataFrame, make: Callable[[pa.RecordBatch, list[str]], dict[st
     types = {f.name: f.dataType.simpleString() for f in df.schema}
     kept = ", ".join(f"`{c}` {types[c]}" for c in keep)
     return df.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, f"{kept}, {schema}" if kept else schema)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Arrow batches of a few packed rows while the block's jobs run."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

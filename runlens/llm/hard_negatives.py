@@ -28,16 +28,15 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import written
-from .common import bounded_sample
+from .common import bounded_sample, small_batches
 
 SAMPLE, STEPS, MOST_WORDS = 4096, 8, 256
 SHARD, GROUP, LANES, FAN_IN = 4096, 256, 4096, 64
@@ -246,18 +245,6 @@ def _packed(rows: pa.Table, made: int, codes: bool, dim: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(out)
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int):
-    """Arrow batches of a few packed rows while the block's jobs run."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def _merged(rows: pa.Table, most: int, lists: int) -> np.ndarray:
     """The rows of ``rows(member, list, id, score)`` that are among the ``most`` best of their (member, list)."""
     member, which = rows.column("member").to_numpy(), rows.column("list").to_numpy()

@@ -13,10 +13,9 @@ components are surely filled are never made, so a document costs about its lengt
 Candidates and links.  Documents with the same text are one node.  Nodes that share a band
 of components are candidates.  Each member of a band's bucket is first checked against the
 bucket's smallest node; members that are then in one component need no further checks
-among each other.  What is left, pairs of different components in one bucket, is checked
-pair by pair, but for pairs that bounds already exclude: the sizes, the distances to the smallest node
-(the triangle inequality holds), and the shingles that a text shares with no other text that is
-left, which can't be in any overlap.  All checks count the real multisets.
+among each other.  Buckets that still hold several components are cut into blocks of members,
+and blocks are compared as a whole: a product of incidence matrices counts the common shingles of all their pairs, and
+only a spanning forest of the links comes out.  All checks count the real multisets.
 
 Defined cases: a text without words (null or empty too) is alone in its class.  A text of one to
 four words is one shingle.  Texts with equal words are similar to degree 1.  Repeated rows are copies.  A null id is kept as it is.
@@ -31,14 +30,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.blocks import ordered_scan
 from ..plans.scratch import written
-from .common import chunks, map_texts, whole_text
+from .common import chunks, map_texts, small_batches, whole_text
 from .components import components
 from .words import Coded, Spelled, mixed
 
 SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 32, 5  # a pair at 0.8 shares no band with probability 3e-6
+BLOCK, TOKENS, SLICE = 256, 1 << 20, 4096  # members and tokens of a block, and tokens compared at once
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
 
@@ -180,67 +181,133 @@ def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.select("a", "b", "text_a", "text").mapInArrow(run, "a long, b long, similarity double")
 
 
-def unshared(texts: DataFrame) -> DataFrame:
-    """(node, own): the weight of each text's shingles that no other of these texts holds."""
-    def run(batches):
-        for batch in batches:
-            for part, chunk in chunks(batch):
-                doc, key, times, _ = shingles(chunk)
-                node = part.column("node").to_numpy()
-                yield pa.RecordBatch.from_pydict({"node": pa.array(node[doc]), "key": pa.array(key.view(np.int64)), "times": pa.array(times)})
-
-    each = texts.select("node", "text").mapInArrow(run, "node long, key long, times long")
-    held = each.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.sum("times").alias("times"))
-    return held.where("n = 1").groupBy("node").agg(F.sum("times").alias("own"))
-
-
 def split_buckets(placed: DataFrame) -> DataFrame:
     """The rows of ``placed(bucket, component, ...)`` whose bucket holds several components."""
     split = placed.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("bucket")
     return placed.join(split, "bucket")
 
 
+def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The shingle multisets as sets, the c-th copy of a shingle being a token of its own: all tokens, and each text's number of them."""
+    doc, key, times, _ = shingles(texts)
+    of = np.repeat(np.arange(len(key)), times)
+    copy = np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
+    return mixed(key[of] + copy.astype(np.uint64) * _C), np.bincount(doc[of], minlength=len(texts))
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Shared tokens of each left and right set, by products of slices of their incidence matrices."""
+    sizes = [np.fromiter(map(len, side), np.int64, len(side)) for side in (left, right)]
+    flat = [np.concatenate(side) if len(side) else np.zeros(0, np.uint64) for side in (left, right)]
+    common = np.intersect1d(*flat)
+    at = []
+    for side, n in zip(flat, sizes):
+        place = np.searchsorted(common, side)
+        found = np.flatnonzero(common[np.minimum(place, len(common) - 1)] == side) if len(common) else np.zeros(0, np.int64)
+        order = found[np.argsort(place[found], kind="stable")]
+        at.append((np.repeat(np.arange(len(n)), n)[order], place[order]))
+    out = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, len(common), SLICE):
+        parts = []
+        for (row, place), n in zip(at, sizes):
+            a, b = np.searchsorted(place, [start, start + SLICE])
+            m = np.zeros((len(n), min(SLICE, len(common) - start)), np.float32)
+            m[row[a:b], place[a:b] - start] = 1.0
+            parts.append(m)
+        out += parts[0] @ parts[1].T  # whole numbers below 2^24: exact
+    return out
+
+
+def _joined(component: np.ndarray, other: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Of the linked ``pairs`` of components those of a spanning forest."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    kept = []
+    for i, (a, b) in enumerate(zip(component[pairs[:, 0]].tolist(), other[pairs[:, 1]].tolist())):
+        x, y = find(a), find(b)
+        if x != y:
+            root[x] = y
+            kept.append(i)
+    return pairs[kept]
+
+
+def links_in_buckets(placed: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """Links (a, b) between nodes of different components that share a bucket: enough of them to join all components that are linked at all.
+
+    The members of a bucket are cut into blocks of ``BLOCK`` members or ``TOKENS`` tokens.  Every block meets every block of its bucket, and all
+    their members are compared at once, as counts of common tokens; what comes out is a spanning forest of the links found.  So no pair of members is a row anywhere,
+    and a bucket of any size is spread over many tasks.
+    """
+    def counted(batches):
+        for batch in batches:
+            for part, chunk in chunks(batch):
+                each, n = tokens(chunk)
+                cuts = np.cumsum(n)[:-1]
+                yield pa.RecordBatch.from_pydict({"node": part.column("node"), "n": pa.array(n.astype(np.int64)),
+                                                  "tokens": pa.array([np.sort(t).tobytes() for t in np.split(each, cuts)], pa.binary())})
+
+    spelled = written(texts.join(placed.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(counted, "node long, n long, tokens binary"), "tokens")
+    sized = placed.select("bucket", "node", "component").join(spelled.select("node", "n"), "node")
+    at = ordered_scan(sized, ["bucket"], ["component", "node"]).total("_at", F.lit(1).cast("long")).total("_sum", F.col("n")).result()
+    # A block has so many members and, but for a single longer text, so many tokens.
+    blocked = (at.withColumn("block", (F.floor((F.col("_at") - 1) / BLOCK) + F.floor(F.col("_sum") / TOKENS)).cast("int"))
+               .select("bucket", "block", "node", "component").join(spelled.select("node", "tokens"), "node"))
+
+    def packed(key, rows: pa.Table) -> pa.Table:
+        long = lambda c: rows.column(c).to_numpy().astype(np.int64).tobytes()
+        sizes = np.fromiter((len(t) // 8 for t in rows.column("tokens").to_pylist()), np.int64, rows.num_rows)
+        return pa.table({"bucket": [key[0].as_py()], "block": pa.array([key[1].as_py()], pa.int32()), "nodes": [long("node")], "components": [long("component")],
+                         "sizes": [sizes.tobytes()], "tokens": [b"".join(rows.column("tokens").to_pylist())]})
+
+    kind = "bucket long, block int, nodes binary, components binary, sizes binary, tokens binary"
+    blocks = written(blocked.groupBy("bucket", "block").applyInArrow(lambda key, rows: packed(key, rows), kind), "blocks")
+    last = blocks.groupBy("bucket").agg(F.max("block").alias("last"))
+    left = (blocks.join(last, "bucket").select(*[F.col(c).alias(f"x_{c}") for c in ("nodes", "components", "sizes", "tokens")], "bucket",
+                                               F.explode(F.sequence("block", "last")).alias("block")))
+
+    def side(row: dict, prefix: str) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        node, component, size = (np.frombuffer(row[prefix + c], np.int64) for c in ("nodes", "components", "sizes"))
+        return node, component, np.split(np.frombuffer(row[prefix + "tokens"], np.uint64), np.cumsum(size)[:-1])
+
+    def compared(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                (xn, xc, xt), (yn, yc, yt) = side(row, "x_"), side(row, "")
+                both = overlaps(xt, yt).astype(np.float64)
+                total = np.fromiter(map(len, xt), np.float64, len(xt))[:, None] + np.fromiter(map(len, yt), np.float64, len(yt))
+                linked = (both / np.maximum(total - both, 1.0) >= similar) & (xc[:, None] != yc)
+                kept = _joined(xc, yc, np.argwhere(linked))
+                yield pa.RecordBatch.from_pydict({"a": pa.array(xn[kept[:, 0]]), "b": pa.array(yn[kept[:, 1]])})
+
+    with small_batches(placed.sparkSession, 16):
+        return written(left.join(blocks, ["bucket", "block"]).drop("bucket", "block").mapInArrow(compared, "a long, b long"), "links")
+
+
 def links(docs: DataFrame, similar: float = SIMILAR, count: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, nodes, component of each linked node)."""
     all_rows, known = nodes(docs, count, rows)
-    bucketed = known.select("node", "weight", F.explode("bands").alias("bucket"))
+    bucketed = known.select("node", F.explode("bands").alias("bucket"))
     leads = bucketed.groupBy("bucket").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = written(bucketed.join(leads, "bucket").select("bucket", "lead", "node", "weight"), "buckets")
+    members = written(bucketed.join(leads, "bucket").select("bucket", "lead", "node"), "buckets")
     stars = members.where("lead <> node").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
 
     wanted = members.select("node").distinct().join(known.select("node", "digest"), "node")
     held = docs.select(whole_text().alias("text")).withColumn("digest", digest(F.col("text")))
     texts = written(held.join(wanted, "digest").select("node", "text").dropDuplicates(["node"]), "texts")
 
-    first = written(checked(stars, texts), "links")
-    linked = first.where(F.col("similarity") >= similar)
-    found = written(components(linked.select("a", "b")), "components")
-
-    # Buckets that still hold several components: pairs of components first, then of their members.
-    placed = (members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-              .join(first.select(F.col("a").alias("lead"), F.col("b").alias("node"), "similarity"), ["lead", "node"], "left")
-              .select("bucket", "node", "weight", "component", (1.0 - F.coalesce("similarity", F.lit(1.0))).alias("far")))
-    placed = written(split_buckets(placed), "split")
-    own = unshared(texts.join(placed.select("node").distinct(), "node", "left_semi"))
-    shared = placed.join(own, "node", "left").withColumn("shared", F.col("weight") - F.coalesce("own", F.lit(0))).drop("own")
-    # A pair at ``similar`` overlaps in that part of either text at least.
-    placed = written(split_buckets(shared.where(F.col("shared") >= similar * F.col("weight"))), "split")
-    kinds = placed.groupBy("bucket", "component").agg(F.min("weight").alias("w0"), F.max("weight").alias("w1"),
-                                                      F.min("far").alias("f0"), F.max("far").alias("f1"))
-    x, y = kinds.alias("x"), kinds.alias("y")
-    near = ((F.col("x.w1") >= similar * F.col("y.w0")) & (F.col("y.w1") >= similar * F.col("x.w0"))
-            & (F.col("x.f0") <= F.col("y.f1") + (1 - similar) + 1e-9) & (F.col("y.f0") <= F.col("x.f1") + (1 - similar) + 1e-9))
-    apart = (x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component")) & near)
-             .select(F.col("x.bucket").alias("bucket"), F.col("x.component").alias("ca"), F.col("y.component").alias("cb")))
-    side = lambda c, s: placed.select("bucket", F.col("component").alias(c), F.col("node").alias(s), F.col("weight").alias(f"w{s}"), F.col("far").alias(f"f{s}"), F.col("shared").alias(f"s{s}"))
-    overlap = F.least("sa", "sb") * (1 + similar) >= similar * (F.col("wa") + F.col("wb")) - 1e-9
-    fits = (overlap & (F.col("wa") >= similar * F.col("wb")) & (F.col("wb") >= similar * F.col("wa"))
-            & (F.abs(F.col("fa") - F.col("fb")) <= (1 - similar) + 1e-9))
-    rest = (apart.join(side("ca", "a"), ["bucket", "ca"]).join(side("cb", "b"), ["bucket", "cb"]).where(fits)
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            .join(first.select("a", "b"), ["a", "b"], "left_anti"))
-    second = written(checked(rest, texts).where(F.col("similarity") >= similar), "links")
-    merged = written(components(linked.select("a", "b").union(second.select("a", "b"))), "components")
+    linked = written(checked(stars, texts).where(F.col("similarity") >= similar).select("a", "b"), "links")
+    found = written(components(linked), "components")
+
+    # Buckets that still hold several components.
+    placed = members.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    second = links_in_buckets(written(split_buckets(placed), "split"), texts, similar)
+    merged = written(components(linked.union(second)), "components")
     return all_rows, known, merged
 
 

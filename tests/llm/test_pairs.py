@@ -173,3 +173,51 @@ def test_beam_follows_recall(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "descent", links)
     monkeypatch.setattr(neighbours, "EXPANDED", 256)
     assert recall(spark, np.random.default_rng(3).standard_normal((2000, 64))) >= 0.9
+
+
+def test_a_group_around_the_limit(spark):
+    """2,000 texts of one family whose pairs lie between 0.7 and 0.9: classes equal those of all pairs."""
+    rng = random.Random(11)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(300)]
+    texts = []
+    for i in range(2000):
+        copy = list(base)
+        for _ in range(rng.choice([2, 3, 4, 5, 6, 7, 8])):
+            copy[rng.randrange(300)] = f"x{i}-{rng.randint(0, 10**6)}"
+        texts.append(" ".join(copy))
+    sets = [shingled(t) for t in texts]
+    often = Counter(s for c in sets for s in c)
+    index = {s: k for k, s in enumerate(s for s, n in often.items() if n > 1)}
+    held = np.zeros((2000, len(index)), np.float32)
+    for i, c in enumerate(sets):
+        held[i, [index[s] for s in c if s in index]] = 1.0
+    both = held @ held.T
+    size = np.array([sum(c.values()) for c in sets], float)
+    linked = both / (size[:, None] + size - both) >= 0.8
+    root = np.arange(2000)
+    while True:  # the least node that links lead to
+        least = np.array([root[row].min() for row in linked])
+        if (least == root).all():
+            break
+        root = least
+    assert 100 < len(set(root)) < 1900 and (linked.sum() - 2000) / 2000**2 > 0.01
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()} == dict(enumerate(root.tolist()))
+
+
+@pytest.mark.parametrize("block, tokens, slice_", [(3, 1 << 20, 50), (256, 900, 4096)])
+def test_blocks_do_not_matter(spark, monkeypatch, block, tokens, slice_):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "TOKENS", tokens)
+    monkeypatch.setattr(minhash, "SLICE", slice_)
+    texts = texts_with_copies(5)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()} == dict(enumerate(classes(texts)))
+
+
+def test_very_long_texts_are_compared_whole(spark):
+    rng = random.Random(12)
+    long = [f"w{rng.randint(0, 10**6)}" for _ in range(200_000)]
+    other = long[:190_000] + [f"y{k}" for k in range(10_000)]
+    docs = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(other)), (3, " ".join(long[100_000:]))], "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3}
