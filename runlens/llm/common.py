@@ -62,11 +62,11 @@ def chunks(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES)
 
 
 def map_texts(df: DataFrame, make: Callable[[pa.RecordBatch, list[str]], dict[str, pa.Array | np.ndarray]], schema: str,
-              keep: list[str]) -> DataFrame:
-    """Columns computed from texts, chunk by chunk; the columns of ``keep`` go through unchanged."""
+              keep: list[str], limit: int = CHUNK_BYTES) -> DataFrame:
+    """Columns computed from texts, in chunks of ``limit`` bytes; the columns of ``keep`` go through unchanged."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in chunks(batch):
+            for part, texts in chunks(batch, limit=limit):
                 made = {k: v if isinstance(v, (pa.Array, pa.ChunkedArray)) else pa.array(v) for k, v in make(part, texts).items()}
                 kept = {k: part.column(k) for k in keep}
                 yield pa.RecordBatch.from_pydict({**kept, **made})

@@ -256,37 +256,43 @@ def links_in_buckets(placed: DataFrame, texts: DataFrame, similar: float) -> Dat
     sized = placed.select("bucket", "node", "component").join(spelled.select("node", "n"), "node")
     at = ordered_scan(sized, ["bucket"], ["component", "node"]).total("_at", F.lit(1).cast("long")).total("_sum", F.col("n")).result()
     # A block has so many members and, but for a single longer text, so many tokens.
-    blocked = (at.withColumn("block", (F.floor((F.col("_at") - 1) / BLOCK) + F.floor(F.col("_sum") / TOKENS)).cast("int"))
-               .select("bucket", "block", "node", "component").join(spelled.select("node", "tokens"), "node"))
+    at = at.select("bucket", "node", "component", (F.floor((F.col("_at") - 1) / BLOCK) + F.floor(F.col("_sum") / TOKENS)).cast("int").alias("block"))
+    ends = at.groupBy("bucket").agg(F.max("block").alias("last"), F.min("block").alias("first"))
+    alone = (F.col("first") == F.col("last")).alias("alone")
+    blocked = at.join(ends, "bucket").select("bucket", "block", "last", alone, "node", "component").join(spelled.select("node", "tokens"), "node")
 
     def packed(key, rows: pa.Table) -> pa.Table:
         long = lambda c: rows.column(c).to_numpy().astype(np.int64).tobytes()
         sizes = np.fromiter((len(t) // 8 for t in rows.column("tokens").to_pylist()), np.int64, rows.num_rows)
-        return pa.table({"bucket": [key[0].as_py()], "block": pa.array([key[1].as_py()], pa.int32()), "nodes": [long("node")], "components": [long("component")],
+        return pa.table({"bucket": [key[0].as_py()], "block": pa.array([key[1].as_py()], pa.int32()), "last": pa.array([key[2].as_py()], pa.int32()),
+                         "alone": [key[3].as_py()], "nodes": [long("node")], "components": [long("component")],
                          "sizes": [sizes.tobytes()], "tokens": [b"".join(rows.column("tokens").to_pylist())]})
 
-    kind = "bucket long, block int, nodes binary, components binary, sizes binary, tokens binary"
-    blocks = written(blocked.groupBy("bucket", "block").applyInArrow(lambda key, rows: packed(key, rows), kind), "blocks")
-    last = blocks.groupBy("bucket").agg(F.max("block").alias("last"))
-    left = (blocks.join(last, "bucket").select(*[F.col(c).alias(f"x_{c}") for c in ("nodes", "components", "sizes", "tokens")], "bucket",
-                                               F.explode(F.sequence("block", "last")).alias("block")))
-
     def side(row: dict, prefix: str) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         node, component, size = (np.frombuffer(row[prefix + c], np.int64) for c in ("nodes", "components", "sizes"))
         return node, component, np.split(np.frombuffer(row[prefix + "tokens"], np.uint64), np.cumsum(size)[:-1])
 
-    def compared(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                (xn, xc, xt), (yn, yc, yt) = side(row, "x_"), side(row, "")
-                both = overlaps(xt, yt).astype(np.float64)
-                total = np.fromiter(map(len, xt), np.float64, len(xt))[:, None] + np.fromiter(map(len, yt), np.float64, len(yt))
-                linked = (both / np.maximum(total - both, 1.0) >= similar) & (xc[:, None] != yc)
-                kept = _joined(xc, yc, np.argwhere(linked))
-                yield pa.RecordBatch.from_pydict({"a": pa.array(xn[kept[:, 0]]), "b": pa.array(yn[kept[:, 1]])})
-
+    def compared(prefix: str):
+        def run(batches):
+            for batch in batches:
+                for row in batch.to_pylist():
+                    (xn, xc, xt), (yn, yc, yt) = side(row, prefix), side(row, "")
+                    both = overlaps(xt, yt).astype(np.float64)
+                    total = np.fromiter(map(len, xt), np.float64, len(xt))[:, None] + np.fromiter(map(len, yt), np.float64, len(yt))
+                    linked = (both / np.maximum(total - both, 1.0) >= similar) & (xc[:, None] != yc)
+                    kept = _joined(xc, yc, np.argwhere(linked))
+                    yield pa.RecordBatch.from_pydict({"a": pa.array(xn[kept[:, 0]]), "b": pa.array(yn[kept[:, 1]])})
+        return run
+
+    held = ["nodes", "components", "sizes", "tokens"]
+    kind = "bucket long, block int, last int, alone boolean, " + ", ".join(f"{c} binary" for c in held)
     with small_batches(placed.sparkSession, 16):
-        return written(left.join(blocks, ["bucket", "block"]).drop("bucket", "block").mapInArrow(compared, "a long, b long"), "links")
+        blocks = written(blocked.groupBy("bucket", "block", "last", "alone").applyInArrow(lambda key, rows: packed(key, rows), kind), "blocks")
+        several = blocks.where("not alone")
+        left = several.select("bucket", *[F.col(c).alias(f"x_{c}") for c in held], F.explode(F.sequence("block", "last")).alias("block"))
+        pairs = left.join(several.select("bucket", "block", *held), ["bucket", "block"]).drop("bucket", "block")
+        inside = blocks.where("alone").select(*held).mapInArrow(compared(""), "a long, b long")
+        return written(inside.union(pairs.mapInArrow(compared("x_"), "a long, b long")), "links")
 
 
 def links(docs: DataFrame, similar: float = SIMILAR, count: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:

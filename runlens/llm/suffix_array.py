@@ -39,6 +39,7 @@ from .words import encoded, mixed
 
 LENGTH = 200
 GROUP = 1 << 14
+CHUNK_BYTES = 2 << 20  # every byte takes some 90 bytes of numbers while it is handled
 
 # What is known of a sample: all its strings repeat; some may; all repeat and it stands for its triple in the merge.
 WHOLE, PART, STANDS = 1, 2, 3
@@ -78,7 +79,7 @@ def sampled(docs: DataFrame, length: int) -> DataFrame:
                 "twice": lists(twice, first), "again": lists(place.astype(np.int32), ~first)}
 
     named = docs.select(whole_text().alias("text")).withColumn("digest", digest(F.col("text")))
-    made = map_texts(named, make, "at array<int>, gram array<long>, triple array<long>, twice array<boolean>, again array<int>", ["digest"])
+    made = map_texts(named, make, "at array<int>, gram array<long>, triple array<long>, twice array<boolean>, again array<int>", ["digest"], CHUNK_BYTES)
     return written(made.withColumn("row", F.monotonically_increasing_id()), "samples")
 
 
@@ -151,7 +152,7 @@ def first_cut(docs: DataFrame, marks: DataFrame, keep: list[str], length: int) -
         return {"spans": pa.array(spans, _SPANS), "strings": pa.array(strings, _STRINGS)}
 
     made = map_texts(joined, make, "spans array<struct<start: long, end: long>>, "
-                                   "strings array<struct<gram: long, start: long, before: int, bytes: binary, stands: boolean>>", [*keep, "text", "marks"])
+                                   "strings array<struct<gram: long, start: long, before: int, bytes: binary, stands: boolean>>", [*keep, "text", "marks"], CHUNK_BYTES)
     return written(made.drop("marks").withColumn("_row", F.monotonically_increasing_id()), "first-cut")
 
 
