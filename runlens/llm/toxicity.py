@@ -1,14 +1,15 @@
 """Toxicity: a Levenshtein automaton intersected with a trie of toxic terms, and scores over context windows.
 
 * The lexicon is learned: words and word beginnings (stems) that stand out in
-  documents labelled toxic, from a bounded sample of labelled rows.
+  documents labelled toxic, from a bounded sample of labelled rows, half of it for each label, so that rare
+  toxic rows are all read.  The curve below is put back to the labels' own shares.
 * All terms live in one trie.  A state of the automaton is the set of (trie node,
   edits so far) that a word read so far can have reached; states and their steps
   are made when first needed and kept, so most words end in the dead state after a
   few letters.  A term of five letters or more may be one edit off, one of nine or more two.
 * Every (term, edits) has a weight, the log odds of documents with such a hit; near
   spellings that clean documents hold too get none.
-* A hit counts in its window of words: inside quotation marks, or beside a word of
+* A hit counts in its context: inside quotation marks, wherever in the text they open and close, or beside a word of
   reporting, it counts for a part of its weight only.  A logistic curve fitted on the
   sample turns a document's evidence into a probability.
 
@@ -27,20 +28,20 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import map_texts
-from .quality_model import labelled_texts
+from .common import bounded_sample, held_out, map_texts, whole_text
 from .words import Coded, mixed
 
 SAMPLE_ROWS = 5000
 MAX_TERMS = 500
 SHORTEST, LONGEST = 4, 12
-REACH = 4  # words on each side of a hit that are looked at
+REACH = 2  # words on each side of a hit among which words of reporting are looked for
 QUOTED = 0.3  # part of its weight that a quoted hit keeps
 MAX_STATES = 100_000
 
-# Marks that open or close a quotation, and words of reporting in the four languages.
-MARKS = "\"“”„«»‘’"
+# Marks that open a quotation with those that close it, and words of reporting in the four languages.
+MARKS = {'"': '"', "“": "”", "„": "“”", "”": "”", "«": "»", "»": "«", "‘": "’"}
 REPORTING = frozenset("said says wrote quote quoted called sagte schrieb zitat dit écrit citation dijo escribió cita".split())
 
 
@@ -84,10 +85,15 @@ def copy_groups(texts: list[str], bands: int = 12, rows: int = 4) -> np.ndarray:
     return np.array([root(i) for i in range(len(texts))])
 
 
-def learn_terms(texts: list[str], toxic: np.ndarray, least: int = 5, share: float = 0.9, part: float = 0.01) -> dict[str, bool]:
+def witnesses_asked(toxic_groups: int) -> int:
+    """Copy groups that must hold a term: five, fewer where there are few toxic ones at all."""
+    return max(2, min(5, toxic_groups // 10))
+
+
+def learn_terms(texts: list[str], toxic: np.ndarray, share: float = 0.9, part: float = 0.01) -> dict[str, bool]:
     """term -> whether it is a stem that words go on from.
 
-    A term is held by toxic documents of ``least`` copy groups and of ``part`` of all groups, and at least ``share``
+    A term is held by toxic documents of ``witnesses_asked`` copy groups and of ``part`` of all toxic ones, and at least ``share``
     of the groups that hold it are toxic.  Of nested candidates the one with the strongest evidence is kept, and
     the longest of those with the same.
     """
@@ -102,7 +108,7 @@ def learn_terms(texts: list[str], toxic: np.ndarray, least: int = 5, share: floa
             if bad and SHORTEST <= len(w) <= LONGEST:
                 ends[w].add(group)
     n1, n0 = (max(1, len(set(groups[toxic == y].tolist()))) for y in (1, 0))
-    found = {}
+    found, least = {}, witnesses_asked(n1)
     for term, witnesses in held[True].items():
         a, b = len(witnesses), len(held[False].get(term, ()))
         if a >= max(least, part * n1) and a >= share * (a + b):
@@ -239,19 +245,37 @@ def hits(texts: list[str], model: Model, weigh: bool = True) -> list[list[tuple[
     flag = np.zeros(len(coded.words), bool)
     flag[list(found)] = True
     ends = np.cumsum(coded.counts)
-    for at in np.flatnonzero(flag[coded.codes]):
+    places = np.flatnonzero(flag[coded.codes])
+    last, words, quoted = -1, [], None
+    for at in places:
         doc, code = int(coded.doc[at]), int(coded.codes[at])
-        a, b = max(int(ends[doc] - coded.counts[doc]), at - REACH), min(int(ends[doc]), at + REACH + 1)
-        window = [coded.words[c].decode("utf-8", "replace") for c in coded.codes[a:b]]
-        out[doc].append((*found[code], window[at - a], in_quotes(window, at - a)))
+        first = int(ends[doc] - coded.counts[doc])
+        if doc != last:
+            last, words = doc, [coded.words[c].decode("utf-8", "replace") for c in coded.codes[first:int(ends[doc])]]
+            quoted = quoted_words(words)
+        here = at - first
+        out[doc].append((*found[code], words[here], bool(quoted[here]) or reported(words, here)))
+    return out
+
+
+def quoted_words(words: list[str]) -> np.ndarray:
+    """Of each word of a text, whether quotation marks enclose it; marks that are never closed enclose nothing."""
+    out = np.zeros(len(words), bool)
+    closing, start = "", 0
+    for i, word in enumerate(words):
+        if word[0] in MARKS and (not closing or word[0] not in closing or word[0] == '"'):
+            closing, start, word = MARKS[word[0]], i, word[1:]
+        if closing:
+            inner = word.rstrip(".,;:!?)")
+            if inner[-1:] and inner[-1] in closing:
+                out[start:i + 1] = True
+                closing = ""
     return out
 
 
-def in_quotes(window: list[str], at: int) -> bool:
-    """Between quotation marks of the window, or beside a word of reporting."""
-    opens = any(w[0] in MARKS for w in window[:at + 1])
-    closes = any(w.rstrip(".,;:!?")[-1:] in MARKS and w.rstrip(".,;:!?") for w in window[at:])
-    return (opens and closes) or any(w.lower().strip(".,;:!?") in REPORTING for w in window[max(0, at - 2):at + 3])
+def reported(words: list[str], at: int) -> bool:
+    """A word of reporting stands beside it."""
+    return any(w.lower().strip(".,;:!?") in REPORTING for w in words[max(0, at - REACH):at + REACH + 1])
 
 
 def evidence(found: list[tuple[str, int, str, bool]], model: Model) -> float:
@@ -294,13 +318,20 @@ def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 100, ridge: float = 1e
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, rows: int = SAMPLE_ROWS) -> Model:
-    pairs = sorted(labelled_texts(docs, labels, "toxic", folds, rows))
-    return fit_texts([t for t, _ in pairs], np.array([y for _, y in pairs], float))
+    """A model of at most ``rows`` labelled texts, half of them for each label; ids are chosen without reading texts."""
+    marked = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id", folds)).select("doc_id", "toxic")
+    total = marked.agg(F.count_if(F.col("toxic") == 1), F.count("*")).first()
+    chosen = [bounded_sample(marked.where(F.col("toxic") == y), rows // 2) for y in (0, 1)]
+    few = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most ``rows`` pairs of numbers
+    pairs = sorted((r[0], r[1]) for r in docs.select("doc_id", whole_text().alias("_text")).join(few, "doc_id").select("_text", "toxic").collect())
+    return fit_texts([t for t, _ in pairs], np.array([y for _, y in pairs], float), (total[0] + 0.5) / (total[1] + 1))
 
 
-def fit_texts(texts: list[str], toxic: np.ndarray) -> Model:
+def fit_texts(texts: list[str], toxic: np.ndarray, share: float | None = None) -> Model:
+    """``share`` is the part of toxic rows among all labelled ones, if it is not that of ``toxic``."""
     n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
-    share = (n1 + 0.5) / (n1 + n0 + 1)
+    own = (n1 + 0.5) / (n1 + n0 + 1)
+    share = own if share is None else share
     flat = (0.0, float(np.log(share / (1 - share))))
     if not n1 or not n0:
         return Model({}, curve=flat)
@@ -308,7 +339,11 @@ def fit_texts(texts: list[str], toxic: np.ndarray) -> Model:
     found = hits(texts, model, weigh=False)
     model.weights = weigh(found, toxic, n1, n0, model.terms)
     x = np.minimum([evidence(h, model) for h in hits(texts, model)], 20.0)
-    model.curve = fit_curve(x, toxic) if len(model.terms) else flat
+    if not model.terms:
+        model.curve = flat
+        return model
+    slope, constant = fit_curve(x, toxic)
+    model.curve = slope, constant + flat[1] - float(np.log(own / (1 - own)))
     return model
 
 
