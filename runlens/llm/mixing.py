@@ -1,8 +1,11 @@
 """Mixing sources to target weights by soft membership; DataFrame functions only.
 
-A multinomial naive Bayes classifier over hashed words is counted on a bounded sample of a
-labelled table and gives every document posterior probabilities of the domains.  Each
-document then gets a nonnegative rate, how often it is to be used.  With t_i words of document i, p_ik
+A classifier over hashed words and word beginnings is counted on a bounded sample of a
+labelled table: a token speaks for a domain by the logarithm of its documents there over those expected, if they differ by more
+than chance does, else not at all.  Sums of such weights are overconfident, as words come together; so rows of the sample that
+were not counted settle how far they are to be trusted: a logistic curve with one slope and a constant per domain is fitted to
+them by Newton's method, a step being one small aggregate.  At its optimum the mean posteriors of these rows are their labels' shares.  The curve gives
+every document posterior probabilities of the domains.  Each document then gets a nonnegative rate, how often it is to be used.  With t_i words of document i, p_ik
 its posteriors, D all words, s_k = sum_i t_i p_ik / D and goals b_k, the rates solve
 
     minimise  sum_k (sum_i r_i t_i p_ik / D - b_k)^2 / s_k + pull * sum_i t_i (r_i - 1)^2 / D,   0 <= r_i <= most,
@@ -16,8 +19,9 @@ to grow; ``total`` sets it as a part of all words.  ``most`` is the highest rate
 With ``whole``, that domain's goal is all its words and the other targets are ceilings in proportion to it: a domain below
 its ceiling has all its words as goal, so that a scarce one does not shrink the others.
 
-Defined cases: a null or empty text has no words; its posteriors are the domains' shares of
-the sample and its rate is that of such a document.  A word bucket unseen in a domain is smoothed.  Null domains and ids
+Defined cases: a null or empty text has no words; its posteriors are those of the curve's constants
+and its rate is that of such a document.  Without rows to settle the curve it is taken as it stands, with the
+domains' shares.  Null domains and ids
 teach nothing, nor do labels without a document; an id labelled twice teaches twice.  A domain without a sampled word has posterior 0.  Without
 any, or without words, every rate is 1, as it is if the domain that is to be whole has none.  Repeated rows get equal rates.  An empty table
 gives an empty result.  Other columns are ignored (``mixed_documents`` keeps them).
@@ -29,10 +33,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import written
-from .common import bounded_sample, whole_text
-
-BUCKETS = 4096
-SMOOTHING = 0.5
+from .common import bounded_sample, fold, whole_text
+
+BUCKETS = 1 << 15
+BEGINNING = 5  # letters of a word's beginning
+CHANCE = 4.0  # standard deviations that chance explains
+SETTLING = 4  # one in so many sampled rows is not counted but settles the curve
+RIDGE = 1e-4
+STEPS = 25
 SAMPLE_ROWS = 10_000
 PULL = 1e-3
 ROUNDS = 60
@@ -46,48 +54,134 @@ def words_of(text: Column) -> Column:
 
 
 def word_rows(docs: DataFrame, *keep: Column | str) -> DataFrame:
-    """One row per word with its bucket; a text without words has one row with a null bucket."""
+    """One row per word with the buckets of the word and of its beginning; a text without words has one row with null buckets."""
     rows = docs.select(*keep, F.explode(words_of(whole_text())).alias("_word"))
-    return rows.select(*[c for c in rows.columns if c != "_word"],
-                       F.when(F.col("_word") != "", F.pmod(F.xxhash64("_word"), F.lit(BUCKETS)).cast("int")).alias("bucket"))
+    place = lambda kind, token: F.when(F.col("_word") != "", F.pmod(F.xxhash64(F.lit(kind), token), F.lit(BUCKETS)).cast("int"))
+    return rows.select(*[c for c in rows.columns if c != "_word"], place("word", F.col("_word")).alias("bucket"),
+                       place("beginning", F.lower(F.substring("_word", 1, BEGINNING))).alias("bucket2"))
 
 
-def word_weights(docs: DataFrame, labelled: DataFrame, domains: list[str], rows: int = SAMPLE_ROWS) -> DataFrame:
-    """One row: per domain the log likelihood of each bucket (``w0`` ...) and the log share of documents (``prior0`` ...)."""
-    spark = docs.sparkSession
+def settling(row_id: Column | str) -> Column:
+    return F.coalesce(fold(row_id, SETTLING) == 0, F.lit(False))
+
+
+def sampled(labelled: DataFrame, domains: list[str], rows: int = SAMPLE_ROWS) -> DataFrame:
+    """At most ``rows`` (doc_id, domain) pairs."""
     known = labelled.where(F.col("doc_id").isNotNull() & F.col("domain").isin(domains)).select("doc_id", "domain")
-    known = F.broadcast(bounded_sample(known, rows))  # at most ``rows`` (id, domain) pairs
-    learned = word_rows(docs.select("doc_id", "text").join(known, "doc_id"), "domain").where("bucket is not null")
-    counts = learned.groupBy("bucket", "domain").count()
-    of = lambda k, c: F.coalesce(F.sum(F.when(F.col("domain") == domains[k], F.col(c))), F.lit(0))
+    return bounded_sample(known, rows)
+
+
+def word_weights(docs: DataFrame, known: DataFrame, domains: list[str]) -> DataFrame:
+    """One row: per domain the weight of each bucket (``w0`` ...) and the log share of documents (``prior0`` ...)."""
+    spark = docs.sparkSession
+    counted = known.where(~settling("doc_id"))
     each = range(len(domains))
+    of = lambda k, c: F.coalesce(F.sum(F.when(F.col("domain") == domains[k], F.col(c))), F.lit(0))
+    # Documents per bucket and domain; a text counts once however often it is copied.
+    texts = docs.select("doc_id", "text").join(F.broadcast(counted), "doc_id").select("text", "domain").distinct()
+    rows = word_rows(texts.withColumn("_row", F.monotonically_increasing_id()), "_row", "domain")
+    held = rows.select("_row", "domain", F.explode(F.array("bucket", "bucket2")).alias("bucket")).where("bucket is not null").distinct()
+    counts = held.groupBy("bucket", "domain").count()
     grid = (spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
             .groupBy("bucket").agg(*[of(k, "count").alias(f"n{k}") for k in each]))
     rows_ = F.sort_array(F.collect_list(F.struct("bucket", *[f"n{k}" for k in each])))  # BUCKETS entries
     table = grid.agg(rows_.alias("g"), *[F.sum(f"n{k}").alias(f"t{k}") for k in each])
-    shares = known.groupBy().agg(*[F.count_if(F.col("domain") == d).alias(f"d{k}") for k, d in enumerate(domains)], F.count("*").alias("d"))
+    shares = counted.groupBy().agg(*[F.count_if(F.col("domain") == d).alias(f"d{k}") for k, d in enumerate(domains)], F.count("*").alias("d"))
     table = table.join(shares)  # one row each
+    total = sum((F.col(f"t{k}") for k in each), F.lit(0))
 
     def weight(k: int) -> Column:
-        seen = F.transform("g", lambda x: F.log((x[f"n{k}"] + SMOOTHING) / (F.col(f"t{k}") + SMOOTHING * BUCKETS)))
-        return F.when(F.col(f"t{k}") > 0, seen).alias(f"w{k}")
+        def one(x: Column) -> Column:
+            expected = sum((x[f"n{j}"] for j in each), F.lit(0)) * F.col(f"t{k}") / total
+            return F.when(F.abs(x[f"n{k}"] - expected) > CHANCE * F.sqrt(expected + 1), F.log((x[f"n{k}"] + 1) / (expected + 1))).otherwise(0.0)
+        return F.when(F.col(f"t{k}") > 0, F.transform("g", one)).alias(f"w{k}")
 
     prior = lambda k: F.when(F.col(f"t{k}") > 0, F.log((F.col(f"d{k}") + 0.5) / (F.col("d") + 0.5 * len(domains)))).alias(f"prior{k}")
     return written(table.select(*[weight(k) for k in each], *[prior(k) for k in each]), "weights")
 
 
-def posteriors(docs: DataFrame, weights: DataFrame, domains: list[str]) -> DataFrame:
-    """(doc_id, n_words, p0, p1, ...) per row of ``docs``, stored."""
+def weighed(docs: DataFrame, weights: DataFrame, domains: list[str]) -> DataFrame:
+    """(doc_id, n_words, z0, z1, ...) per row of ``docs``, stored: the sums of its words' weights."""
     each = range(len(domains))
     rows = word_rows(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row")), "doc_id", "_row")
-    lookup = lambda k: F.element_at(weights.select(f"w{k}").scalar(), F.col("bucket") + 1)
-    summed = rows.groupBy("_row").agg(F.max("doc_id").alias("doc_id"), F.count("bucket").alias("n_words"), *[F.sum(lookup(k)).alias(f"l{k}") for k in each])
-    logit = [F.when(weights.select(f"prior{k}").scalar().isNotNull(), F.coalesce(F.col(f"l{k}"), F.lit(0.0)) + weights.select(f"prior{k}").scalar()) for k in each]
-    named = summed.select("doc_id", "n_words", *[x.alias(f"z{k}") for k, x in enumerate(logit)])
-    top = F.greatest(*[F.col(f"z{k}") for k in each]) if len(domains) > 1 else F.col("z0")
-    raw = named.select("doc_id", "n_words", *[F.coalesce(F.exp(F.col(f"z{k}") - top), F.lit(0.0)).alias(f"e{k}") for k in each])
-    total = sum((F.col(f"e{k}") for k in each), F.lit(0.0))
-    return written(raw.select("doc_id", "n_words", *[F.when(total > 0, F.col(f"e{k}") / total).otherwise(0.0).alias(f"p{k}") for k in each]), "posteriors")
+    lookup = lambda k, b: F.coalesce(F.element_at(weights.select(f"w{k}").scalar(), F.col(b) + 1), F.lit(0.0))
+    summed = rows.groupBy("_row").agg(F.max("doc_id").alias("doc_id"), F.count("bucket").alias("n_words"),
+                                      *[F.sum(lookup(k, "bucket") + lookup(k, "bucket2")).alias(f"z{k}") for k in each])
+    return written(summed.drop("_row"), "weighed")
+
+
+def _probabilities(use: list[int], slope: float, constants: dict[int, float]) -> dict[int, Column]:
+    score = {k: F.col(f"z{k}") * F.lit(slope) + F.lit(constants[k]) for k in use}
+    top = F.greatest(*score.values()) if len(use) > 1 else score[use[0]]
+    raised = {k: F.exp(x - top) for k, x in score.items()}
+    total = sum(raised.values(), F.lit(0.0))
+    return {k: x / total for k, x in raised.items()}
+
+
+def _solved(a: list[list[float]], b: list[float]) -> list[float]:
+    """A small linear system by elimination with pivots."""
+    rows, n = [[*r, x] for r, x in zip(a, b)], len(b)
+    for i in range(n):
+        best = max(range(i, n), key=lambda r: abs(rows[r][i]))
+        rows[i], rows[best] = rows[best], rows[i]
+        if rows[i][i] == 0.0:
+            continue
+        for r in range(n):
+            if r != i:
+                part = rows[r][i] / rows[i][i]
+                rows[r] = [x - part * y for x, y in zip(rows[r], rows[i])]
+    return [r[-1] / r[i] if r[i] else 0.0 for i, r in enumerate(rows)]
+
+
+def settled(scores: DataFrame, known: DataFrame, domains: list[str], use: list[int], shares: dict[int, float]) -> tuple[float, dict[int, float]]:
+    """(slope, constants) of the curve that fits the labels of the sampled rows that were not counted; one small aggregate a step."""
+    slope, constants = 1.0, dict(shares)
+    held = known.where(settling("doc_id") & F.col("domain").isin([domains[k] for k in use]))
+    rows = written(scores.join(F.broadcast(held), "doc_id").drop("doc_id", "n_words"), "settling")
+    free = use[1:]
+    best = None
+    for _ in range(STEPS):
+        p = _probabilities(use, slope, constants)
+        is_ = {k: (F.col("domain") == domains[k]).cast("double") for k in use}
+        mean = sum((p[k] * F.col(f"z{k}") for k in use), F.lit(0.0))
+        own = sum((is_[k] * F.col(f"z{k}") for k in use), F.lit(0.0))
+        cells = {"n": F.count("*"), "fit": F.sum(sum((is_[k] * F.log(F.greatest(p[k], F.lit(1e-300))) for k in use), F.lit(0.0))),
+                 "g": F.sum(own - mean), "h": F.sum(sum((p[k] * F.col(f"z{k}") * F.col(f"z{k}") for k in use), F.lit(0.0)) - mean * mean)}
+        cells |= {f"g{k}": F.sum(is_[k] - p[k]) for k in free} | {f"h{k}": F.sum(p[k] * (F.col(f"z{k}") - mean)) for k in free}
+        cells |= {f"h{k}_{j}": F.sum(p[k] * ((1.0 if k == j else 0.0) - p[j])) for k in free for j in free}
+        row = rows.agg(*[c.alias(name) for name, c in cells.items()]).first()
+        if not row["n"]:
+            return 1.0, dict(shares)
+        pull = RIDGE * row["n"]
+        value = row["fit"] - pull * (slope * slope + sum(constants[k] ** 2 for k in free)) / 2
+        if best is not None and value < best[0] - 1e-9:  # too long a step
+            move = [x / 2 for x in move]
+        else:
+            done = best is not None and value < best[0] + 1e-7 * row["n"]
+            best = (value, slope, dict(constants))
+            if done:
+                break
+            grad = [row["g"] - pull * slope, *[row[f"g{k}"] - pull * constants[k] for k in free]]
+            hess = [[row["h"] + pull, *[row[f"h{k}"] for k in free]]]
+            hess += [[row[f"h{k}"], *[row[f"h{k}_{j}"] + (pull if k == j else 0.0) for j in free]] for k in free]
+            move = _solved(hess, grad)
+        slope = best[1] + move[0]
+        constants = {**best[2], **{k: best[2][k] + m for k, m in zip(free, move[1:])}}
+    return best[1], best[2]
+
+
+def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(doc_id, n_words, p0, p1, ...) per row of ``docs``, stored; ``labelled(doc_id, domain)`` names the domains of some."""
+    each = range(len(domains))
+    known = written(sampled(labelled, domains, rows), "known")
+    weights = word_weights(docs, known, domains)
+    shares = weights.select(*[f"prior{k}" for k in each]).first()
+    use = [k for k in each if shares[k] is not None]
+    scores = weighed(docs, weights, domains)
+    if not use:
+        return scores.select("doc_id", "n_words", *[F.lit(0.0).alias(f"p{k}") for k in each])
+    p = _probabilities(use, *settled(scores, known, domains, use, {k: shares[k] for k in use}))
+    return written(scores.select("doc_id", "n_words", *[p.get(k, F.lit(0.0)).alias(f"p{k}") for k in each]), "posteriors")
 
 
 def solve(placed: DataFrame, targets: list[float], total: float | None = None, most: float | None = None, pull: float = PULL,
@@ -127,7 +221,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total:
         whole: str | None = None) -> DataFrame:
     """(doc_id, n_words, p_<domain> ..., rate) per row of ``docs``; ``labelled(doc_id, domain)`` names the domains of some."""
     domains = sorted(targets)
-    placed = posteriors(docs, word_weights(docs, labelled, domains), domains)
+    placed = posteriors(docs, labelled, domains)
     rated = solve(placed, [targets[d] for d in domains], total, most, whole=None if whole is None else domains.index(whole))
     return rated.select("doc_id", "n_words", *[F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(domains)], "rate")
 

@@ -91,6 +91,48 @@ def test_automaton_equals_distances():
         assert dict(automaton.matches(word)) == expected, word
 
 
+def test_rare_toxicity(spark):
+    """Five rows in ten thousand are toxic: all of them are read, and unseen ones are found."""
+    rng = random.Random(2)
+    common = [f"w{k}" for k in range(3000)]
+    rows = []
+    for i in range(10_000):
+        words = [rng.choice(common) for _ in range(rng.randint(20, 60))]
+        toxic = i % 2000 == 7
+        if toxic:
+            words[3] = rng.choice(["blockheads", "blockhead"])
+        rows.append((i, " ".join(words), int(toxic)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int"), rows=2000)
+    assert any(t.startswith("block") for t in model.terms)
+    clean, rude = toxicity.probabilities([" ".join(rng.choice(common) for _ in range(40)), "you blockhead " + rows[0][1]], model)
+    assert clean < 0.01 and rude > 0.5, (clean, rude)
+
+
+def test_quotations_are_found_in_the_whole_text():
+    long = [f"w{k}" for k in range(60)]
+    model = toxicity.Model({"blockhead": True}, {("blockhead", e): 8.0 for e in range(3)}, (1.0, -4.0))
+    said = " ".join(["He", "told", '"you', *long[:30], "blockhead", *long[30:], 'all".', *long])
+    plain = said.replace('"', "")
+    unclosed = said.replace('all".', "all.")
+    after = " ".join(['"a', 'quote"', *long, "blockhead", *long, '"another', 'one"'])
+    german = " ".join(["„du", *long, "blockhead", *long, "du“"])
+    found = toxicity.probabilities([said, plain, unclosed, after, german], model)
+    assert (found >= 0.5).tolist() == [False, True, True, True, False]
+    assert toxicity.quoted_words('a “b c” d «e» f "g" h "i j'.split()).tolist() == [False, True, True, False, True, False, True, False, False, False]
+
+
+def test_toxicity_of_empty_and_long_texts(spark, tables):
+    _, docs, labels = tables
+    empty = docs.where("false")
+    assert toxicity.score(empty, toxicity.fit(empty, labels), ["doc_id"]).count() == 0
+    assert quality_model.score(empty, quality_model.fit(empty, labels.where("false")), ["doc_id"]).count() == 0
+    model = toxicity.fit(docs, labels)
+    text = "the of and thing " * 75_000
+    p, q = toxicity.probabilities([text, text + " blockhead"], model)
+    assert p < 0.5 < q
+
+
 def test_without_labels(spark, tables):
     _, docs, labels = tables
     none = labels.where("false")
@@ -163,25 +205,69 @@ def test_mixing_reaches_targets_and_optimum(tables):
     assert np.abs(grad[rate > 1e-9]).max() * d / t.max() < 1e-6 and (grad[rate <= 1e-9] >= -1e-9).all()
 
 
-def test_mixing_posteriors_by_hand(tables):
+def test_mixing_weights_and_posteriors_by_hand(tables):
+    """Bucket weights from document counts, and the curve at its optimum."""
     rows, docs, labels = tables
     named = labels.selectExpr("doc_id", "CASE quality WHEN 1 THEN 'good' WHEN 0 THEN 'bad' END AS domain")
-    known = {}
-    for r in named.collect():
-        known.setdefault(r.doc_id, []).append(r.domain)
-    bucket = lambda w: (xxhash.xxh64_intdigest(w.encode(), 42) + (1 << 63)) % (1 << 64) - (1 << 63)
+    known = {r.doc_id: r.domain for r in named.collect() if r.doc_id is not None and r.domain}
+    signed = lambda x: (x + (1 << 63)) % (1 << 64) - (1 << 63)
+
+    def bucket(kind, token):
+        seed = xxhash.xxh64_intdigest(kind.encode(), 42)
+        return signed(xxhash.xxh64_intdigest(token.encode(), seed)) % mixing.BUCKETS
+
+    tokens = lambda t: [x for w in (t or "").split() for x in (bucket("word", w), bucket("beginning", w[:5].lower()))]
+    settles = lambda i: crc32(str(i).encode()) % mixing.SETTLING == 0
+    text = {r.doc_id: r.text for r in docs.collect()}
     counts = {d: Counter() for d in ("bad", "good")}
-    for r in docs.collect():
-        for d in known.get(r.doc_id, []):
-            if d and r.doc_id is not None:
-                counts[d].update(bucket(w) % mixing.BUCKETS for w in (r.text or "").split())
+    for t, d in {(text[i], d) for i, d in known.items() if i in text and not settles(i)}:
+        counts[d].update(set(tokens(t)))
     n = {d: sum(c.values()) for d, c in counts.items()}
-    share = Counter(d for k, v in known.items() if k is not None for d in v if d)
-    text = {r.doc_id: r.text for r in docs.collect()}
-    for r in mixing.mix(docs, named, {"bad": 0.5, "good": 0.5}).collect():
-        z = {d: math.log((share[d] + 0.5) / (sum(share.values()) + 1)) + sum(math.log((counts[d][bucket(w) % mixing.BUCKETS] + 0.5) / (n[d] + 0.5 * mixing.BUCKETS))
-             for w in (text[r.doc_id] or "").split()) for d in counts}
-        assert r.p_bad == pytest.approx(1 / (1 + math.exp(z["good"] - z["bad"])), abs=1e-9)
+
+    def weight(d, b):
+        expected = sum(c[b] for c in counts.values()) * n[d] / sum(n.values())
+        return math.log((counts[d][b] + 1) / (expected + 1)) if abs(counts[d][b] - expected) > mixing.CHANCE * math.sqrt(expected + 1) else 0.0
+
+    got = mixing.mix(docs, named, {"bad": 0.5, "good": 0.5}).collect()
+    z = {r.doc_id: sum(weight("bad", b) - weight("good", b) for b in tokens(text[r.doc_id])) for r in got}
+    logit = {r.doc_id: math.log(r.p_bad / r.p_good) for r in got if 0 < r.p_bad < 1}
+    some = sorted(logit, key=lambda i: z[i])
+    slope = (logit[some[-1]] - logit[some[0]]) / (z[some[-1]] - z[some[0]])
+    constant = logit[some[0]] - slope * z[some[0]]
+    assert slope > 0 and max(abs(logit[i] - slope * z[i] - constant) for i in some) < 1e-6
+    held = [i for i in known if i in text and settles(i)]
+    p_bad = {r.doc_id: r.p_bad for r in got}
+    mean = sum(p_bad[i] for i in held) / len(held)
+    assert mean == pytest.approx(sum(known[i] == "bad" for i in held) / len(held), abs=0.01)
+
+
+def test_mix_has_its_targets_in_held_out_labels(spark):
+    """Words of the kept rows by their true labels, on rows whose labels nothing was learned from."""
+    rng = random.Random(21)
+    common = [f"word{k}" for k in range(800)]
+    rude = [f"rude{k}x" for k in range(12)]
+    rows = []
+    for i in range(4000):
+        kind = "toxic" if rng.random() < 0.12 else "poor" if rng.random() < 0.1 else "good"
+        words = [rng.choice(common) for _ in range(rng.randint(60, 300))]
+        if kind == "toxic":
+            for _ in range(rng.randint(2, 5)):
+                words[rng.randrange(len(words))] = rng.choice(rude) + rng.choice(["", "", "s", "!"])
+        if kind == "poor":
+            words = [w.upper() if rng.random() < 0.5 else w for w in words]
+        rows.append((i, " ".join(words), kind, i < 2500))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, k) for i, _, k, shown in rows if shown], "doc_id long, domain string")
+    targets = {"good": 0.97, "poor": 0.02, "toxic": 0.01}
+    rate = {r.doc_id: r.rate for r in mixing.mix(docs, labels, targets, most=1.0).collect()}
+    words = Counter()
+    for i, text, kind, shown in rows:
+        if not shown:
+            words[kind] += rate[i] * len(text.split())
+    total = sum(words.values())
+    for kind, target in targets.items():
+        odds = words[kind] / (total - words[kind]) / (target / (1 - target))
+        assert 0.75 < odds < 1.35, (kind, words[kind] / total)
 
 
 def test_mixed_documents(spark, tables):
@@ -193,8 +279,8 @@ def test_mixed_documents(spark, tables):
     assert mixing.mix(docs.where("false"), named, {"bad": 0.5, "good": 0.5}).count() == 0
 
 
-def test_all_eleven_are_registered():
+def test_all_are_registered():
     import __spark_entry__
 
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in QUERIES}
     assert set(QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
