@@ -1,35 +1,38 @@
 """Box-bounded fits of T(t) = T_inf + sum k*exp(-t/tau) for every series at once.
 
-For given time constants the model is linear, so only the taus are searched.
+For given time constants the model is linear, so only the taus are searched: on a grid, and from its best
+point by Gauss-Newton steps (``functions/exponentials.py``).
 One pass over the samples reduces each series to moments in time bins whose
 width grows with t; every exponential sum follows from the moments to about
 double precision.  A series has a few hundred bins at most, however long it
-is, so all later steps (grid, zoom rounds) work on a small table that is
-partitioned by series once.
+is, so all later steps work on a small table that is partitioned by series once.
 """
 
 from __future__ import annotations
 
-from math import factorial, log
+from collections.abc import Iterator
+from math import factorial
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.boxed import solve_boxed
+from ..functions.exponentials import STEPS, Bins, grid_best, normal_equations, refined
 from ..functions.model import component_expr, jacobian, model_expr
 from ..functions.numbers import clamp, t_critical
 from ..functions.text import common_prefix, fit_text
 from ..plans.blocks import BLOCK_ROWS, attach, last_seq, meet, opened, sealed
-from ..plans.grids import K_BOUNDS, MIN_RATIO, T_BOUNDS, TAU_BOUNDS, expand_bounds, spacing, tau_tuples
+from ..plans.grids import K_BOUNDS, T_BOUNDS, TAU_BOUNDS, expand_bounds, tau_tuples
 from ..plans.scratch import written
 from .windows import SERIES
 
 BINS_PER_FOLD = 64
 MOMENTS = 6
-# Zoom rounds and grid steps to each side per round, by order.
-ROUNDS = {1: 5, 2: 6, 3: 8}
-REACH = {1: 4, 2: 4, 3: 2}
+# Rows of moments that a task takes at least, and that it handles at once.
+TASK_ROWS, CHUNK_ROWS = 200_000, 50_000
 
 
 def _from_origin(samples: DataFrame, keys: list[str], t_origin: str, block_rows: int) -> DataFrame:
@@ -89,7 +92,7 @@ def _tuples(values: list[tuple[float, ...]]) -> str:
     return f"array({rows})"
 
 
-def _best(sums: DataFrame, keys: list[str], order: int, boxes: list[tuple[float, float]]) -> DataFrame:
+def _best(sums: DataFrame, keys: list[str], order: int, boxes: list[tuple[float, float]], width: int) -> DataFrame:
     """Least residual sum per series over its tau tuples, coefficients inside their box.
 
     Each batch of aggregated rows is solved at once and keeps its best row per
@@ -116,49 +119,74 @@ def _best(sums: DataFrame, keys: list[str], order: int, boxes: list[tuple[float,
     schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "n double", "rss double", *[f"{c} double" for c in [*coefs, *taus]]])
     some = sums.mapInPandas(solved, schema)
     row = F.struct("n", "rss", *coefs, *taus)
-    return some.repartition(_width(sums), *keys).groupBy(*keys).agg(F.min_by(row, F.struct(F.round("rss", 9), *taus)).alias("p")).select(*keys, "p.*")
-
-
-def _around(order: int, reach: int, tau_boxes: list[tuple[str, str]]) -> Column:
-    """Tau tuples around each series' best, ``reach`` times column ``step`` to each side, inside the boxes."""
-    offsets = ", ".join(f"{float(d)!r}D" for d in range(-reach, reach + 1))
-    axes = [f"array_distinct(transform(array({offsets}), d -> greatest(least(x{i} * exp(d * step), {hi}), {lo})))"
-            for i, (lo, hi) in enumerate(tau_boxes)]
-    tuples = "struct(" + ", ".join(f"p{i} as x{i}" for i in range(order)) + ")"
-    for i in reversed(range(order)):
-        inner = f"transform({axes[i]}, p{i} -> {tuples})"
-        tuples = inner if i == order - 1 else f"flatten({inner})"
-    apart = [f"(t.x{i} / t.x{j} >= {MIN_RATIO}D or t.x{j} / t.x{i} >= {MIN_RATIO}D)" for i in range(order) for j in range(i)]
-    return F.expr(f"filter({tuples}, t -> {' and '.join(apart)})" if apart else tuples)
+    return some.repartition(width, *keys).groupBy(*keys).agg(F.min_by(row, F.struct(F.round("rss", 9), *taus)).alias("p")).select(*keys, "p.*")
 
 
 def _width(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Tasks for a table of moments: few bytes but much work, so they must not be merged by size."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // TASK_ROWS))
 
 
 def _search(summary: DataFrame, keys: list[str], order: int, tau_bounds, k_bounds, t_bounds, points, rounds, taus,
-            seeds: DataFrame | None = None, frac: float | None = None) -> DataFrame:
+            seeds: DataFrame | None = None) -> DataFrame:
+    """(keys, n, rss, v0 ..., x0 ...): the best grid point, refined by at most ``rounds`` steps; from ``seeds`` without a grid."""
     boxes = [tuple(map(float, t_bounds)), *expand_bounds(k_bounds, order)]
-    # A given number of partitions: few bytes but much work, so they must not be merged by size.
-    spread = summary.repartition(_width(summary), *keys)
-    if seeds is None:
-        tau_boxes = [(f"{lo!r}D", f"{hi!r}D") for lo, hi in expand_bounds(tau_bounds, order)]
-        tried = spread.select("*", F.inline(F.expr(_tuples(tau_tuples(order, tau_bounds, points, taus)))))
-        best = _best(_linear_sums(tried, keys, order), keys, order, boxes)
-        step = spacing(tau_bounds, order, points)
+    seeded = seeds is not None
+    tuples = [] if seeded else tau_tuples(order, tau_bounds, points, taus)
+    width = _width(summary)
+    if not rounds:
+        tried = summary.repartition(width, *keys).select("*", F.inline(F.expr(_tuples(tuples))))
+        return _best(_linear_sums(tried, keys, order), keys, order, boxes, width)
+    rows, bounds = summary, None
+    given = [f"{c}{i}" for i in range(order) for c in ("x", "lo", "hi")]
+    if seeded:
+        rows = summary.join(seeds.select(*keys, *given), keys)
     else:
-        tau_boxes = [(f"lo{i}", f"hi{i}") for i in range(order)]
-        best, step = seeds, log(1 + frac)
-    edges = None if seeds is None else seeds.select(*keys, *[f"{e}{i}" for i in range(order) for e in ("lo", "hi")])
-    reach = REACH[order]
-    for _ in range(rounds):
-        step /= reach
-        # The step is a column so that every round compiles to the same code.
-        near = best if edges is None or "lo0" in best.columns else best.join(edges, keys)
-        near = near.withColumn("step", F.lit(step)).select(*keys, _around(order, reach, tau_boxes).alias("near"))
-        tried = spread.join(near, keys).select(*summary.columns, F.inline("near"))
-        best = _best(_linear_sums(tried, keys, order), keys, order, boxes)
-    return best
+        bounds = np.array(expand_bounds(tau_bounds, order))
+
+    def solved(table: pa.Table) -> pa.RecordBatch:
+        new = np.zeros(table.num_rows, bool)
+        new[0] = True
+        for k in keys:
+            column = table.column(k).combine_chunks()
+            new[1:] |= np.asarray(pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)))
+        heads = np.flatnonzero(new)
+        numbers = lambda c: table.column(c).to_numpy().astype(float)
+        bins = Bins(heads, numbers("centre"), *(np.stack([numbers(f"{w}{i}") for i in range(MOMENTS)]) for w in "my"), numbers("yy"))
+        if not seeded:
+            low, high = (np.broadcast_to(bounds[:, i], (bins.n, order)) for i in (0, 1))
+            start, v, rss = grid_best(bins, tuples, boxes)
+        else:
+            low, start, high = (np.stack([numbers(f"{c}{i}")[heads] for i in range(order)], axis=1) for c in ("lo", "x", "hi"))
+            v, rss = solve_boxed(*normal_equations(bins, start), bins.yy, boxes)
+        start, v, rss = refined(bins, start, v, rss, low, high, boxes, rounds)
+        found = np.flatnonzero(np.isfinite(rss))
+        out = {k: table.column(k).take(pa.array(heads[found])).combine_chunks() for k in keys}
+        out |= {"n": pa.array(np.add.reduceat(numbers("m0"), heads)[found]), "rss": pa.array(rss[found])}
+        out |= {f"v{i}": pa.array(v[found, i]) for i in range(order + 1)} | {f"x{i}": pa.array(start[found, i]) for i in range(order)}
+        return pa.RecordBatch.from_pydict(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            held = part if held is None else pa.concat_tables([held, part])
+            if held.num_rows < CHUNK_ROWS:
+                continue
+            last = held.select(keys).slice(held.num_rows - 1).to_pylist()[0]
+            end = held.num_rows  # the last series may go on in the next batch
+            while end and held.select(keys).slice(end - 1, 1).to_pylist()[0] == last:
+                end -= 1
+            if end:
+                yield solved(held.slice(0, end))
+                held = held.slice(end)
+        if held is not None and held.num_rows:
+            yield solved(held)
+
+    types = {f.name: f.dataType.simpleString() for f in summary.schema}
+    schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "n double", "rss double", *[f"v{i} double" for i in range(order + 1)], *[f"x{i} double" for i in range(order)]])
+    needed = [*keys, "centre", "yy", *[f"{w}{i}" for w in "my" for i in range(MOMENTS)], *(given if seeded else [])]
+    return rows.select(*needed).repartition(width, *keys).sortWithinPartitions(*keys, "centre").mapInArrow(run, schema)
 
 
 def _finish(best: DataFrame, ends: DataFrame, keys: list[str], order: int, compat_rmse: bool) -> DataFrame:
@@ -184,11 +212,11 @@ def fit(samples: DataFrame, order: int = 2, tau_bounds=TAU_BOUNDS, k_bounds=K_BO
         compat_rmse: bool = False, keys: list[str] = SERIES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Fit every series: keys, n, rss, rmse, tinf, terms(k, tau) by rising tau, t_first, t_last.
 
-    ``points`` and ``rounds`` set the start grid and the zoom; ``rounds=0`` with
+    ``points`` sets the start grid, ``rounds`` the most Gauss-Newton steps from its best point; ``rounds=0`` with
     ``taus`` searches exactly the given values.  Series with no more rows than
     parameters keep NULL results.
     """
-    rounds = ROUNDS[order] if rounds is None else rounds
+    rounds = STEPS if rounds is None else rounds
     floor = min(lo for lo, _ in expand_bounds(tau_bounds, order))
     held, groups = sealed(_from_origin(samples, keys, t_origin, block_rows), keys)
     summary = written(summarize(held, groups, floor), "moments")
@@ -211,7 +239,7 @@ def fit_saturating(samples: DataFrame, **options) -> DataFrame:
 
 
 def refit_around(samples: DataFrame, fits: DataFrame, order: int, frac: float = 0.05, k_bounds=K_BOUNDS,
-                 t_bounds=T_BOUNDS, rounds: int = 3, compat_rmse: bool = False, t_origin: str = "absolute", keys: list[str] = SERIES,
+                 t_bounds=T_BOUNDS, rounds: int = STEPS, compat_rmse: bool = False, t_origin: str = "absolute", keys: list[str] = SERIES,
                  block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Fit again with every tau kept within ``frac`` of an earlier fit.
 
@@ -227,12 +255,12 @@ def refit_around(samples: DataFrame, fits: DataFrame, order: int, frac: float =
     seeds = seeds.select(*groups, *[f"{n}{i}" for i in range(order) for n in ("x", "lo", "hi")])
     floor = seeds.agg(F.min(F.least(*[F.col(f"lo{i}") for i in range(order)]) if order > 1 else F.col("lo0"))).first()[0] or 1.0
     summary = written(summarize(held, groups, floor), "moments")
-    best = _search(summary, groups, order, None, k_bounds, t_bounds, None, rounds, None, seeds, frac)
+    best = _search(summary, groups, order, None, k_bounds, t_bounds, None, rounds, None, seeds)
     return opened(_finish(best, _ends(summary, groups), groups, order, compat_rmse), keys)
 
 
 def fit_sweep(samples: DataFrame, horizons: list[float], order: int = 2, tau_bounds=TAU_BOUNDS, k_bounds=K_BOUNDS,
-              t_bounds=T_BOUNDS, points: int | None = None, rounds: int = 4, taus: list[float] | None = None,
+              t_bounds=T_BOUNDS, points: int | None = None, rounds: int = STEPS, taus: list[float] | None = None,
               compat_rmse: bool = False) -> DataFrame:
     """One fit per (series, horizon) over the rows before the horizon.
 
@@ -253,6 +281,42 @@ def fit_sweep(samples: DataFrame, horizons: list[float], order: int = 2, tau_bou
     return opened(_finish(best, _ends(summary, keys), keys, order, compat_rmse), SERIES)
 
 
+def certified(samples: DataFrame, fits: DataFrame, order: int = 2, tau_bounds=TAU_BOUNDS, k_bounds=K_BOUNDS, t_bounds=T_BOUNDS,
+              tolerance: float = 1e-4, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Fits with ``optimal``: whether the conditions of an optimum in the box hold on the samples themselves.
+
+    Every parameter lies in its box.  Seen from the residuals no column of the Jacobian points inwards: its cosine with them is
+    ``tolerance`` at most, in either direction inside the box and in the direction into the box at a bound.  Terms sit in any of their boxes' order.
+    """
+    sums = normal_sums(samples, fits, order, block_rows)
+    joined = meet(fits, sums.drop("n").withColumnRenamed("rss", "_rss"), SERIES, "left")
+    terms = expand_bounds(tau_bounds, order), expand_bounds(k_bounds, order)
+    same = len(set(terms[0])) == len(set(terms[1])) == 1
+    checks = []
+
+    def check(value: Column, at: int, box: tuple[float, float]) -> Column:
+        cosine = F.try_divide(F.col(f"jr_{at}"), F.sqrt(F.col(f"jj_{at}_{at}") * F.col("_rss")))
+        cosine = F.coalesce(cosine, F.lit(0.0))
+        slack = 1e-9 * max(1.0, *(abs(e) for e in box if abs(e) != float("inf")), 1.0)
+        low, high = value <= box[0] + slack, value >= box[1] - slack
+        return (value >= box[0] - slack) & (value <= box[1] + slack) & ((cosine <= tolerance) | high) & ((cosine >= -tolerance) | low)
+
+    checks.append(check(F.col("tinf"), 0, tuple(map(float, t_bounds))))
+    for i in range(order):
+        for kind, box in (("k", terms[1]), ("tau", terms[0])):
+            # Terms come sorted by tau; where they have boxes of their own, any of these may be theirs.
+            allowed = [box[0]] if same else sorted(set(box))
+            term = F.col("terms")[i][kind]
+            hit = check(term, 1 + 2 * i + (kind == "tau"), allowed[0])
+            for other in allowed[1:]:
+                hit = hit | check(term, 1 + 2 * i + (kind == "tau"), other)
+            checks.append(hit)
+    whole = checks[0]
+    for c in checks[1:]:
+        whole = whole & c
+    return joined.select(*fits.columns, F.when(F.col("terms").isNotNull(), whole).alias("optimal"))
+
+
 def initial_guess(samples: DataFrame, order: int = 2, tau_bounds=TAU_BOUNDS, k_bounds=K_BOUNDS, t_bounds=T_BOUNDS) -> DataFrame:
     """Start point of a local search: last value, even share of the drop, box midpoints."""
     known = samples.where(F.col("value").isNotNull())

@@ -11,8 +11,10 @@ that stores each step's result by itself calls ``release`` to let go of what the
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +22,7 @@ _local_folder: dict[str, str] = {}
 _made: dict[str, list[str]] = {}
 _once: dict[tuple[str, str], str] = {}
 _marks: dict[str, int] = {}
+_here = threading.local()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,10 +39,24 @@ def shared_folder(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    if getattr(_here, "paths", None) is not None:
+        _here.paths.append(path)
+    else:
+        _made.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables that this thread stores inside go at the end: what is made of them must be stored elsewhere by then."""
+    outer, _here.paths = getattr(_here, "paths", None), []
+    try:
+        yield
+    finally:
+        inner, _here.paths = _here.paths, outer
+        delete(spark, inner)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and go on from the stored table.
 

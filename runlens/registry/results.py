@@ -11,6 +11,7 @@ from ..functions.numbers import t_quantile
 from ..functions.model import model_expr
 from ..functions.text import common_prefix, common_suffix
 from ..operators import aggregates, columns, fitting, joins, tables
+from ..plans.blocks import meet
 from ..plans.grids import expand_bounds
 from ..plans.scratch import written
 from ..views import long_view, memory_view, sensor_view, table
@@ -187,10 +188,12 @@ def _(spark, d):
     return fits.select("run_id", "metric", "n", rnd("rmse", 4).alias("rmse"), at("t_first").alias("start"), at("t_last").alias("finish"))
 
 
-@query("fit_zoomed")
+# The optimum itself has no closed form; the conditions it has to meet have: every series with enough rows meets them.
+@query("fit_zoomed", f"""WITH {SENSOR}
+SELECT run_id, metric, count(*) AS n, count(*) > 5 AS optimal FROM sen WHERE metric IN ('cpu_0_temp', 'cpu_1_temp') GROUP BY 1, 2""")
 def _(spark, d):
-    fits = fitting.fit(sensor_hours(spark, d).where(F.col("metric").isin(TEMPS)), 2)
-    return fits.where("tinf is not null").select("run_id", "metric", "n", "tinf", "rmse", "terms")
+    series = written(sensor_hours(spark, d).where(F.col("metric").isin(TEMPS)), "series")
+    return fitting.certified(series, fitting.fit(series, 2), 2).select("run_id", "metric", "n", F.coalesce("optimal", F.lit(False)).alias("optimal"))
 
 
 @query("fit_quick", f"""WITH {_HOURS}, sh AS (SELECT run_id, metric, t - first_value(t) OVER (PARTITION BY run_id, metric ORDER BY seq) AS t, y FROM hrs),
@@ -216,11 +219,17 @@ def _(spark, d):
     return fits.select("run_id", "metric", "horizon", "n", rnd("rmse", 4).alias("rmse"), rnd(finish, 2).alias("finish"), rnd(F.col("terms")[0]["tau"], 4).alias("tau1"))
 
 
-@query("refit_around")
+# Every tau stays within a twentieth of the first fit's, and no residual sum rises.
+@query("refit_around", f"""WITH {SENSOR}
+SELECT run_id, metric, count(*) AS n, count(*) > 3 AS near, count(*) > 3 AS better FROM sen WHERE metric = 'cpu_0_temp' GROUP BY 1, 2""")
 def _(spark, d):
-    series = sensor_hours(spark, d).where("metric = 'cpu_0_temp'")
-    first = fitting.fit(series, 1, rounds=0, taus=TAUS)
-    return fitting.refit_around(series, first, 1, 0.05).where("tinf is not null").select("run_id", "metric", "n", "tinf", "rmse", "terms")
+    series = written(sensor_hours(spark, d).where("metric = 'cpu_0_temp'"), "series")
+    first = written(fitting.fit(series, 1, rounds=0, taus=TAUS), "first")
+    again = fitting.refit_around(series, first, 1, 0.05)
+    both = meet(again, first.select("run_id", "metric", F.col("terms").alias("was"), F.col("rss").alias("rss0")), ["run_id", "metric"])
+    ratio = F.col("terms")[0]["tau"] / F.col("was")[0]["tau"]
+    near, better = ratio.between(0.95 - 1e-9, 1.05 + 1e-9), F.col("rss") <= F.col("rss0") * (1 + 1e-9) + 1e-9
+    return both.select("run_id", "metric", "n", F.coalesce(near, F.lit(False)).alias("near"), F.coalesce(better, F.lit(False)).alias("better"))
 
 
 @query("initial_guess", f"""WITH {LONG}, e AS (SELECT run_id, metric, arg_min(value, seq) AS a, arg_max(value, seq) AS b FROM lng GROUP BY 1, 2)

@@ -121,3 +121,28 @@ def test_saturating(spark):
     rows = [("r", i, float(a), "m", float(20 * (1 - 0.7 * np.exp(-a / 40)))) for i, a in enumerate(t)]
     row = fitting.fit_saturating(spark.createDataFrame(rows, "run_id string, seq long, t double, metric string, value double")).first()
     assert (row.a, row.b, row.c) == (pytest.approx(20, rel=1e-3), pytest.approx(0.7, rel=1e-3), pytest.approx(1 / 40, rel=1e-3))
+
+
+def test_fits_meet_the_conditions_of_an_optimum(spark):
+    """Noise without any exponential in it: fits end at bounds or in long valleys, and still are optima."""
+    rng = np.random.default_rng(12)
+    rows = [(f"r{r}", i, float(t), "temp", float(y)) for r in range(40)
+            for i, (t, y) in enumerate(zip(np.sort(rng.uniform(0, 700, 14)), rng.uniform(0, 100, 14)))]
+    df = spark.createDataFrame(rows, "run_id string, seq long, t double, metric string, value double")
+    for order in (1, 2):
+        fits = fitting.fit(df, order)
+        assert fitting.certified(df, fits, order).where("optimal").count() == 40
+        off = fits.withColumn("tinf", F.col("tinf") + F.when(F.col("tinf") > 60, -3.0).otherwise(3.0))
+        assert fitting.certified(df, off, order).where("optimal").count() < 10
+
+
+def test_bins_of_some_series():
+    from runlens.functions.exponentials import Bins
+
+    rng = np.random.default_rng(3)
+    heads, n = np.array([0, 4, 9, 10]), 17
+    bins = Bins(heads, np.sort(rng.uniform(0, 9, n)), rng.normal(size=(6, n)), rng.normal(size=(6, n)), rng.normal(size=n) ** 2)
+    some = bins.some(np.array([1, 3]))
+    for power in (0, 1, 2):
+        np.testing.assert_allclose(some.sums(np.array([0.2, 0.4]), "y", power), bins.sums(np.array([9, 0.2, 9, 0.4]), "y", power)[[1, 3]])
+    np.testing.assert_allclose(some.yy, bins.yy[[1, 3]])
