@@ -1,10 +1,10 @@
 """Mixing sources to target weights by soft membership; DataFrame functions only.
 
-A classifier over hashed words and word beginnings is counted on a bounded sample of a
+A classifier over hashed words, word beginnings and word endings is counted on a bounded sample of a
 labelled table: a token speaks for a domain by the logarithm of its documents there over those expected, if they differ by more
 than chance does, else not at all.  Sums of such weights are overconfident, as words come together; so rows of the sample that
-were not counted settle how far they are to be trusted: a logistic curve with one slope and a constant per domain is fitted to
-them by Newton's method, a step being one small aggregate.  At its optimum the mean posteriors of these rows are their labels' shares.  The curve gives
+were not counted settle how far they are to be trusted: over the sums divided by the root of the number of words a logistic
+curve with a slope and a constant per domain is fitted to them by Newton's method, a step being one small aggregate.  At its optimum the mean posteriors of these rows are their labels' shares.  The curve gives
 every document posterior probabilities of the domains.  Each document then gets a nonnegative rate, how often it is to be used.  With t_i words of document i, p_ik
 its posteriors, D all words, s_k = sum_i t_i p_ik / D and goals b_k, the rates solve
 
@@ -36,7 +36,7 @@ from ..plans.scratch import written
 from .common import bounded_sample, fold, whole_text
 
 BUCKETS = 1 << 15
-BEGINNING = 5  # letters of a word's beginning
+EDGE = 5  # letters of a word's beginning and ending
 CHANCE = 4.0  # standard deviations that chance explains
 SETTLING = 4  # one in so many sampled rows is not counted but settles the curve
 RIDGE = 1e-4
@@ -54,11 +54,11 @@ def words_of(text: Column) -> Column:
 
 
 def word_rows(docs: DataFrame, *keep: Column | str) -> DataFrame:
-    """One row per word with the buckets of the word and of its beginning; a text without words has one row with null buckets."""
+    """One row per word with the buckets of the word, its beginning and its ending; a text without words has one row with null buckets."""
     rows = docs.select(*keep, F.explode(words_of(whole_text())).alias("_word"))
     place = lambda kind, token: F.when(F.col("_word") != "", F.pmod(F.xxhash64(F.lit(kind), token), F.lit(BUCKETS)).cast("int"))
     return rows.select(*[c for c in rows.columns if c != "_word"], place("word", F.col("_word")).alias("bucket"),
-                       place("beginning", F.lower(F.substring("_word", 1, BEGINNING))).alias("bucket2"))
+                       place("beginning", F.lower(F.substring("_word", 1, EDGE))).alias("bucket2"), place("ending", F.lower(F.right("_word", F.lit(EDGE)))).alias("bucket3"))
 
 
 def settling(row_id: Column | str) -> Column:
@@ -80,7 +80,7 @@ def word_weights(docs: DataFrame, known: DataFrame, domains: list[str]) -> DataF
     # Documents per bucket and domain; a text counts once however often it is copied.
     texts = docs.select("doc_id", "text").join(F.broadcast(counted), "doc_id").select("text", "domain").distinct()
     rows = word_rows(texts.withColumn("_row", F.monotonically_increasing_id()), "_row", "domain")
-    held = rows.select("_row", "domain", F.explode(F.array("bucket", "bucket2")).alias("bucket")).where("bucket is not null").distinct()
+    held = rows.select("_row", "domain", F.explode(F.array("bucket", "bucket2", "bucket3")).alias("bucket")).where("bucket is not null").distinct()
     counts = held.groupBy("bucket", "domain").count()
     grid = (spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
             .groupBy("bucket").agg(*[of(k, "count").alias(f"n{k}") for k in each]))
@@ -101,17 +101,18 @@ def word_weights(docs: DataFrame, known: DataFrame, domains: list[str]) -> DataF
 
 
 def weighed(docs: DataFrame, weights: DataFrame, domains: list[str]) -> DataFrame:
-    """(doc_id, n_words, z0, z1, ...) per row of ``docs``, stored: the sums of its words' weights."""
+    """(doc_id, n_words, z0, z1, ...) per row of ``docs``, stored: the sums of its words' weights over the root of their number."""
     each = range(len(domains))
     rows = word_rows(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row")), "doc_id", "_row")
     lookup = lambda k, b: F.coalesce(F.element_at(weights.select(f"w{k}").scalar(), F.col(b) + 1), F.lit(0.0))
     summed = rows.groupBy("_row").agg(F.max("doc_id").alias("doc_id"), F.count("bucket").alias("n_words"),
-                                      *[F.sum(lookup(k, "bucket") + lookup(k, "bucket2")).alias(f"z{k}") for k in each])
-    return written(summed.drop("_row"), "weighed")
+                                      *[F.sum(lookup(k, "bucket") + lookup(k, "bucket2") + lookup(k, "bucket3")).alias(f"z{k}") for k in each])
+    size = F.sqrt(F.col("n_words") + 1.0)
+    return written(summed.select("doc_id", "n_words", *[(F.coalesce(F.col(f"z{k}"), F.lit(0.0)) / size).alias(f"z{k}") for k in each]), "weighed")
 
 
-def _probabilities(use: list[int], slope: float, constants: dict[int, float]) -> dict[int, Column]:
-    score = {k: F.col(f"z{k}") * F.lit(slope) + F.lit(constants[k]) for k in use}
+def _probabilities(use: list[int], slopes: dict[int, float], constants: dict[int, float]) -> dict[int, Column]:
+    score = {k: F.col(f"z{k}") * F.lit(slopes[k]) + F.lit(constants[k]) for k in use}
     top = F.greatest(*score.values()) if len(use) > 1 else score[use[0]]
     raised = {k: F.exp(x - top) for k, x in score.items()}
     total = sum(raised.values(), F.lit(0.0))
@@ -133,41 +134,37 @@ def _solved(a: list[list[float]], b: list[float]) -> list[float]:
     return [r[-1] / r[i] if r[i] else 0.0 for i, r in enumerate(rows)]
 
 
-def settled(scores: DataFrame, known: DataFrame, domains: list[str], use: list[int], shares: dict[int, float]) -> tuple[float, dict[int, float]]:
-    """(slope, constants) of the curve that fits the labels of the sampled rows that were not counted; one small aggregate a step."""
-    slope, constants = 1.0, dict(shares)
+def settled(scores: DataFrame, known: DataFrame, domains: list[str], use: list[int], shares: dict[int, float]) -> tuple[dict[int, float], dict[int, float]]:
+    """(slopes, constants) of the curve that fits the labels of the sampled rows that were not counted; one small aggregate a step."""
     held = known.where(settling("doc_id") & F.col("domain").isin([domains[k] for k in use]))
     rows = written(scores.join(F.broadcast(held), "doc_id").drop("doc_id", "n_words"), "settling")
-    free = use[1:]
-    best = None
+    names = [*(("a", k) for k in use), *(("c", k) for k in use[1:])]  # the first constant stays
+    at = {**{("a", k): 0.0 for k in use}, **{("c", k): shares[k] for k in use}}
+    factor = lambda name: F.col(f"z{name[1]}") if name[0] == "a" else F.lit(1.0)
+    best, move = None, []
     for _ in range(STEPS):
-        p = _probabilities(use, slope, constants)
+        p = _probabilities(use, {k: at["a", k] for k in use}, {k: at["c", k] for k in use})
         is_ = {k: (F.col("domain") == domains[k]).cast("double") for k in use}
-        mean = sum((p[k] * F.col(f"z{k}") for k in use), F.lit(0.0))
-        own = sum((is_[k] * F.col(f"z{k}") for k in use), F.lit(0.0))
-        cells = {"n": F.count("*"), "fit": F.sum(sum((is_[k] * F.log(F.greatest(p[k], F.lit(1e-300))) for k in use), F.lit(0.0))),
-                 "g": F.sum(own - mean), "h": F.sum(sum((p[k] * F.col(f"z{k}") * F.col(f"z{k}") for k in use), F.lit(0.0)) - mean * mean)}
-        cells |= {f"g{k}": F.sum(is_[k] - p[k]) for k in free} | {f"h{k}": F.sum(p[k] * (F.col(f"z{k}") - mean)) for k in free}
-        cells |= {f"h{k}_{j}": F.sum(p[k] * ((1.0 if k == j else 0.0) - p[j])) for k in free for j in free}
+        cells = {"n": F.count("*"), "fit": F.sum(sum((is_[k] * F.log(F.greatest(p[k], F.lit(1e-300))) for k in use), F.lit(0.0)))}
+        cells |= {f"g{i}": F.sum(factor(x) * (is_[x[1]] - p[x[1]])) for i, x in enumerate(names)}
+        cells |= {f"h{i}_{j}": F.sum(factor(x) * factor(y) * p[x[1]] * ((1.0 if x[1] == y[1] else 0.0) - p[y[1]])) for i, x in enumerate(names) for j, y in enumerate(names[:i + 1])}
         row = rows.agg(*[c.alias(name) for name, c in cells.items()]).first()
         if not row["n"]:
-            return 1.0, dict(shares)
+            return {k: 1.0 for k in use}, dict(shares)
         pull = RIDGE * row["n"]
-        value = row["fit"] - pull * (slope * slope + sum(constants[k] ** 2 for k in free)) / 2
+        value = row["fit"] - pull * sum(at[x] ** 2 for x in names) / 2
         if best is not None and value < best[0] - 1e-9:  # too long a step
             move = [x / 2 for x in move]
         else:
             done = best is not None and value < best[0] + 1e-7 * row["n"]
-            best = (value, slope, dict(constants))
+            best = value, dict(at)
             if done:
                 break
-            grad = [row["g"] - pull * slope, *[row[f"g{k}"] - pull * constants[k] for k in free]]
-            hess = [[row["h"] + pull, *[row[f"h{k}"] for k in free]]]
-            hess += [[row[f"h{k}"], *[row[f"h{k}_{j}"] + (pull if k == j else 0.0) for j in free]] for k in free]
-            move = _solved(hess, grad)
-        slope = best[1] + move[0]
-        constants = {**best[2], **{k: best[2][k] + m for k, m in zip(free, move[1:])}}
-    return best[1], best[2]
+            size = range(len(names))
+            hess = [[row[f"h{max(i, j)}_{min(i, j)}"] + (pull if i == j else 0.0) for j in size] for i in size]
+            move = _solved(hess, [row[f"g{i}"] - pull * at[x] for i, x in enumerate(names)])
+        at = {**best[1], **{x: best[1][x] + m for x, m in zip(names, move)}}
+    return {k: best[1]["a", k] for k in use}, {k: best[1]["c", k] for k in use}
 
 
 def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -216,7 +216,7 @@ def test_mixing_weights_and_posteriors_by_hand(tables):
         seed = xxhash.xxh64_intdigest(kind.encode(), 42)
         return signed(xxhash.xxh64_intdigest(token.encode(), seed)) % mixing.BUCKETS
 
-    tokens = lambda t: [x for w in (t or "").split() for x in (bucket("word", w), bucket("beginning", w[:5].lower()))]
+    tokens = lambda t: [x for w in (t or "").split() for x in (bucket("word", w), bucket("beginning", w[:5].lower()), bucket("ending", w[-5:].lower()))]
     settles = lambda i: crc32(str(i).encode()) % mixing.SETTLING == 0
     text = {r.doc_id: r.text for r in docs.collect()}
     counts = {d: Counter() for d in ("bad", "good")}
@@ -229,12 +229,12 @@ def test_mixing_weights_and_posteriors_by_hand(tables):
         return math.log((counts[d][b] + 1) / (expected + 1)) if abs(counts[d][b] - expected) > mixing.CHANCE * math.sqrt(expected + 1) else 0.0
 
     got = mixing.mix(docs, named, {"bad": 0.5, "good": 0.5}).collect()
-    z = {r.doc_id: sum(weight("bad", b) - weight("good", b) for b in tokens(text[r.doc_id])) for r in got}
-    logit = {r.doc_id: math.log(r.p_bad / r.p_good) for r in got if 0 < r.p_bad < 1}
-    some = sorted(logit, key=lambda i: z[i])
-    slope = (logit[some[-1]] - logit[some[0]]) / (z[some[-1]] - z[some[0]])
-    constant = logit[some[0]] - slope * z[some[0]]
-    assert slope > 0 and max(abs(logit[i] - slope * z[i] - constant) for i in some) < 1e-6
+    logit = {r.doc_id: math.log(r.p_bad / r.p_good) for r in got if 1e-9 < r.p_bad < 1 - 1e-9}
+    some = list(logit)
+    z = np.array([[sum(weight(d, b) for b in tokens(text[i])) / math.sqrt(len((text[i] or "").split()) + 1) for d in ("bad", "good")] + [1.0] for i in some])
+    (bad, good, _), _, rank, _ = np.linalg.lstsq(z, np.array([logit[i] for i in some]), rcond=None)
+    curve = np.linalg.lstsq(z, np.array([logit[i] for i in some]), rcond=None)[0]
+    assert rank == 3 and bad > 0 > good and np.abs(z @ curve - np.array([logit[i] for i in some])).max() < 1e-6
     held = [i for i in known if i in text and settles(i)]
     p_bad = {r.doc_id: r.p_bad for r in got}
     mean = sum(p_bad[i] for i in held) / len(held)
