@@ -57,15 +57,15 @@ def temporary(spark: SparkSession) -> Iterator[None]:
         delete(spark, inner)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from the stored table.
+def written(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """Write ``df`` to the shared folder and go on from the stored table; ``options`` are the writer's.
 
     Cuts the lineage and pins every nondeterministic column (partition ids,
     row ids) so that later branches of a plan agree on it.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
