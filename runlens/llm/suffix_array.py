@@ -153,7 +153,7 @@ def first_cut(docs: DataFrame, marks: DataFrame, keep: list[str], length: int) -
 
     made = map_texts(joined, make, "spans array<struct<start: long, end: long>>, "
                                    "strings array<struct<gram: long, start: long, before: int, bytes: binary, stands: boolean>>", [*keep, "text", "marks"], CHUNK_BYTES)
-    return written(made.drop("marks").withColumn("_row", F.monotonically_increasing_id()), "first-cut")
+    return written(made.drop("marks").withColumn("_row", F.monotonically_increasing_id()), "first-cut", compression="zstd")
 
 
 def merged(pending: DataFrame, length: int, group: int) -> DataFrame:
