@@ -55,7 +55,7 @@ def _merkle() -> str:
         steps.append(f"f_{i + 1} AS (SELECT * REPLACE (CASE WHEN {n}m_{k} > 1 THEN sha256({n}l_{k} || h || {n}r_{k}) ELSE h END AS h) FROM f_{i})")
     ctes = [
         f"""d AS (SELECT CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS key, doc_id, {_leaf('text')} AS digest,
-            CASE WHEN {crc} % 5 = 0 THEN {_leaf(f"translate(text, '{upper}', '{lower}')")} ELSE {_leaf('text')} END AS other,
+            CASE WHEN doc_id IS NOT NULL AND {crc} % 5 = 0 THEN {_leaf(f"translate(text, '{upper}', '{lower}')")} ELSE {_leaf('text')} END AS other,
             row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, {_leaf('text')}) - 1 AS rank, count(*) OVER (PARTITION BY source) AS n FROM documents)""",
         *_tree("a", "d"),
         f"s AS (SELECT 0 AS key, key AS key_name, row_number() OVER (ORDER BY encode(key)) - 1 AS rank, count(*) OVER () AS n, digest FROM a_{_LEVELS})",

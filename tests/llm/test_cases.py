@@ -5,7 +5,8 @@ import random
 import duckdb
 import pytest
 
-from runlens.llm.queries import ORACLES, QUERIES
+from runlens.llm.oracles import CRC32
+from runlens.llm.queries import QUERIES
 
 TEXTS = [n for n in QUERIES if n.split("_")[0] not in ("op8", "op11")]
 
@@ -73,8 +74,8 @@ def test_base_columns_of_the_quality_rules_in_sql(spark, short):
 
 def test_base_score_in_sql(spark, short):
     lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    crc = ORACLES["op13_merkle_manifest"].split("CASE WHEN xor")[1].split("% 5 = 0")[0]
-    sql = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(xor{crc} % 10 = 0, false) AS held, list_append({WORDS.replace("coalesce(text, '')", lower)}, chr(10)) AS ws FROM documents),
+    crc = CRC32.format("doc_id::VARCHAR")
+    sql = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, doc_id IS NOT NULL AND {crc} % 10 = 0 AS held, list_append({WORDS.replace("coalesce(text, '')", lower)}, chr(10)) AS ws FROM documents),
       t AS (SELECT r, doc_id, held, unnest(ws) AS w FROM d), c AS (SELECT w, count(*) AS c FROM t WHERE NOT held GROUP BY w), n AS (SELECT sum(c) AS n, count(*) AS v FROM c)
       SELECT doc_id, held, count(*), count(c.c), max(n.n), sum(log10((coalesce(c.c, 0) + 0.1) / (n.n + 0.1 * (n.v + 1)))) FROM t LEFT JOIN c USING (w) CROSS JOIN n GROUP BY r, doc_id, held"""
     want = sorted(connected(short).execute(sql).fetchall(), key=str)
