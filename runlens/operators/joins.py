@@ -48,15 +48,22 @@ def align_runs(samples: DataFrame, x: str, metric: str, runs: list | None = None
     return with_axis(samples, x, metric).groupBy("run_id", "x").agg(F.max_by("value", "seq").alias("value"))
 
 
-def align_runs_wide(samples: DataFrame, x: str, metric: str, runs: list | None = None, width: int = PIVOT_WIDTH) -> DataFrame:
+def align_runs_wide(samples: DataFrame, x: str, metric: str, runs: list | None = None, width: int = PIVOT_WIDTH, packed: bool = False) -> DataFrame:
     """The full outer join of one column of all runs: a row per x, a column ``run_<id>`` per run.
 
     The runs are those that have the column, or those given; rows without x drop out.  The names of the result's columns are known to the
     planner, so their list is the one thing the driver holds.  The values are aggregated in long rows
     once and stored; then every ``width`` runs are turned into columns by one aggregate, and these blocks of
     columns are put side by side.
+
+    A planner takes some thousands of columns at most.  With ``packed`` a row of the wide table comes as rows (x, block, runs, values), each with
+    the columns of ``width`` runs in two arrays, NULL where a run has no value: for any number of runs.
     """
     points = align_runs(samples, x, metric).where(F.col("x").isNotNull())
+    if packed:
+        points = written(points, "aligned")
+        return _packed(points, points.select("run_id").distinct() if runs is None
+                       else points.sparkSession.createDataFrame([(r,) for r in dict.fromkeys(runs)], points.select("run_id").schema), width)
     points = written(points if runs is None else points.where(F.col("run_id").isin(runs)), "aligned")
     if runs is None:
         runs = [r[0] for r in points.select("run_id").distinct().orderBy("run_id").collect()]
@@ -72,6 +79,17 @@ def align_runs_wide(samples: DataFrame, x: str, metric: str, runs: list | None =
     return table
 
 
+def _packed(points: DataFrame, runs: DataFrame, width: int) -> DataFrame:
+    """The rows of the wide table in blocks of ``width`` columns."""
+    numbered = number_rows(runs.withColumn("_all", F.lit(0)), ["_all"], ["run_id"], "at")
+    placed = written(numbered.select("run_id", F.floor(F.col("at") / width).alias("block"), (F.col("at") % width).cast("int").alias("at")), "placed")
+    heads = placed.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "run_id"))).alias("heads"))
+    cells = meet(points, placed, ["run_id"]).groupBy("x", "block").agg(F.map_from_entries(F.collect_list(F.struct("at", "value"))).alias("cells"))
+    table = points.select("x").distinct().crossJoin(heads).join(cells, ["x", "block"], "left")
+    return table.select("x", "block", F.transform("heads", lambda h: h["run_id"]).alias("runs"),
+                        F.transform("heads", lambda h: F.try_element_at("cells", h["at"])).alias("values"))
+
+
 def sync_sample(events: DataFrame, ticks: DataFrame, keys: list[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Last value of each key since the previous tick, NULL if none came.
 

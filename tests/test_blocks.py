@@ -195,3 +195,19 @@ def test_wide_alignment_is_a_full_outer_join_of_any_number_of_runs(hot):
         got = joins.align_runs_wide(hot, "t", "cpu_0_temp", width=width).toPandas().set_index("x").sort_index()
         assert list(got.columns) == [f"run_{r}" for r in want.columns]
         np.testing.assert_array_equal(got.to_numpy(float), want.to_numpy(float))
+
+
+def test_packed_alignment_has_every_cell_of_the_wide_one(spark, hot):
+    wide = joins.align_runs_wide(hot, "t", "cpu_0_temp").toPandas().set_index("x")
+    want = {(x, c): None if v != v else v for c in wide.columns for x, v in wide[c].items()}
+    for width in (1, 4, 500):
+        blocks = joins.align_runs_wide(hot, "t", "cpu_0_temp", width=width, packed=True).collect()
+        assert all(len(r["runs"]) <= width for r in blocks)
+        assert {(r.x, f"run_{i}"): v for r in blocks for i, v in zip(r["runs"], r["values"])} == want
+
+
+def test_packed_alignment_of_given_and_unnamed_runs(spark):
+    rows = [(1, 0, 0.0, "v", 5.0), (1, 1, 1.0, "v", None), (None, 0, 1.0, "v", 6.0), (2, 0, 2.0, "v", 7.0)]
+    df = spark.createDataFrame(rows, "run_id long, seq long, t double, metric string, value double")
+    got = {(r.x, i): v for r in joins.align_runs_wide(df, "t", "v", packed=True).collect() for i, v in zip(r["runs"], r["values"])}
+    assert got == {(x, i): {(0.0, 1): 5.0, (1.0, None): 6.0, (2.0, 2): 7.0}.get((x, i)) for x in (0.0, 1.0, 2.0) for i in (None, 1, 2)}
