@@ -14,8 +14,15 @@ also over cuts.
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,7 +31,7 @@ from ..functions.numbers import general_format
 from ..functions.text import base_name
 from ..operators.columns import BASE_UNITS, NO_UNIT, _unit_case
 from ..plans.blocks import BLOCK_ROWS, attach, block_of, last_seq, meet
-from ..plans.scratch import written
+from ..plans.scratch import delete, written
 
 # The parts of the comment line.
 STARTED = "Started at: (....-..-.. ..:..:..)"
@@ -37,6 +44,11 @@ CELL = r',("[^"]*+(?:""[^"]*+)*+"|[^,]*+)'
 RUN_FOLDER = "/run_id=([^/]+)/"
 # A line, read from the start of a record, whose last cell opens quotes and leaves them open.
 LEAVES_OPEN = r'^(?:(?:"[^"]*+(?:""[^"]*+)*+"|[^",][^,]*+)?+,)*+"[^"]*+(?:""[^"]*+)*+$'
+# What Spark writes as %XX in the name of a partition's folder, and its name for NULL and empty text.
+IN_FOLDER = re.compile("[\x01-\x1f\x7f\"#%'*/:=?\\\\{\\[\\]^]")
+NO_NAME = "__HIVE_DEFAULT_PARTITION__"
+# Listing tasks per core: Spark's own number (10,000) costs more than listing a folder.
+LISTINGS = 8
 # A line of a whole file; line breaks inside quotes belong to it.
 RECORD = r'(?:[^"\n]|"[^"]*+(?:""[^"]*+)*+")+'
 
@@ -95,8 +107,21 @@ def rename(runs: DataFrame, run_id, name: str) -> DataFrame:
     return runs.withColumn("name", F.when(F.col("run_id") == run_id, F.lit(name)).otherwise(F.col("name")))
 
 
+@contextmanager
+def few_listings(spark: SparkSession) -> Iterator[None]:
+    """While it holds, files are found by a few tasks per core."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    saved = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(saved), LISTINGS * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, saved)
+
+
 def _lines(spark: SparkSession, paths) -> DataFrame:
-    text = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(paths)
+    with few_listings(spark):
+        text = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(paths)
     file = F.col("_metadata.file_path")
     run = F.coalesce(_optional(F.regexp_extract(file, RUN_FOLDER, 1)), file)
     return text.select(run.alias("run_id"), file.alias("file"), F.col("_metadata.file_block_start").alias("start"),
@@ -292,12 +317,67 @@ def run_lines(samples: DataFrame, columns: DataFrame, runs: DataFrame, block_row
     return data.unionByName(header).unionByName(notes)
 
 
+def _folder(run: str | None, part: str) -> str:
+    """The folder of a file, named as Spark names the folders of partitions."""
+    name = IN_FOLDER.sub(lambda m: f"%{ord(m[0]):02X}", run) if run else NO_NAME
+    return f"run_id={name}/part={part}"
+
+
+def _write_files(batches: Iterator[pa.RecordBatch], top: str) -> Iterator[pa.RecordBatch]:
+    """Writes sorted (run, part, value) as files below ``top``, each under a hidden name until it is whole; their number."""
+    here, out, files = None, None, 0
+
+    def close() -> None:
+        out.close()
+        os.replace(out.name, f"{os.path.dirname(out.name)}/part-00000.txt")
+
+    for batch in batches:
+        for run, part, value in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if out is None or (run, part) != here:
+                if out is not None:
+                    close()
+                here, files = (run, part), files + 1
+                folder = f"{top}/{_folder(run, part)}"
+                os.makedirs(folder, exist_ok=True)
+                out = open(f"{folder}/_{uuid.uuid4().hex}", "wb")
+            out.write((value or "").encode() + b"\n")
+    if out is not None:
+        close()
+    yield pa.RecordBatch.from_pydict({"files": pa.array([files], pa.int64())})
+
+
+def _local_path(spark: SparkSession, path: str) -> str | None:
+    """The path on the (shared) disk, if that is where Spark's path leads."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    uri = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toUri()
+    return uri.getPath() if uri.getScheme() == "file" else None
+
+
 def write_runs(samples: DataFrame, columns: DataFrame, runs: DataFrame, path: str, block_rows: int = BLOCK_ROWS,
                mode: str = "errorifexists", compact: bool = False, drop_unlisted: bool = False) -> None:
-    """One folder per run; a run is one file unless it has more than ``block_rows`` rows, then one per part."""
+    """One folder per run; a run is one file unless it has more than ``block_rows`` rows, then one per part.
+
+    There may be hundreds of thousands of small files, so the number of tasks is fixed, not merged by bytes.  For each folder and file on a disk
+    Hadoop's writer starts processes that set permissions; there the tasks write the files themselves, into a
+    hidden folder that gets its name when all are whole.
+    """
     lines = run_lines(samples, columns, runs, block_rows, compact, drop_unlisted).withColumn("part", F.format_string("%08d", "part"))
-    (lines.repartition("run_id", "part").sortWithinPartitions("run_id", "part", "seq")
-     .select("value", "run_id", "part").write.mode(mode).partitionBy("run_id", "part").text(path))
+    spark = lines.sparkSession
+    laid = lines.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "run_id", "part").sortWithinPartitions("run_id", "part", "seq")
+    local = _local_path(spark, path)
+    if local is None or mode not in ("error", "errorifexists", "overwrite") or (mode != "overwrite" and os.path.exists(local)):
+        laid.select("value", "run_id", "part").write.mode(mode).partitionBy("run_id", "part").text(path)
+        return
+    top = f"{os.path.dirname(local)}/.{os.path.basename(local)}.{uuid.uuid4().hex}"
+    os.makedirs(top)
+    try:
+        laid.select(F.col("run_id").cast("string"), "part", "value").mapInArrow(partial(_write_files, top=top), "files long").agg(F.sum("files")).collect()
+        if mode == "overwrite":
+            delete(spark, [f"file://{local}"])
+        os.rename(top, local)
+    except BaseException:
+        delete(spark, [f"file://{top}"])
+        raise
 
 
 def read_runs_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -305,8 +385,9 @@ def read_runs_stream(spark: SparkSession, path: str, max_files: int | None = Non
 
     A live collector's file is read whole, as one row, so it has to fit into one (2 GB); so files that
     appear later need no table of headers made beforehand, and line breaks inside quotes are kept.
+    Files in folders below ``path`` are read too.
     """
-    reader = spark.readStream
+    reader = spark.readStream.option("recursiveFileLookup", "true")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     records = F.regexp_extract_all("value", F.lit(RECORD), F.lit(0))

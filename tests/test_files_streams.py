@@ -1,5 +1,7 @@
 """Files cut into blocks, sinks, and streams fed in several batches."""
 
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -305,3 +307,64 @@ def test_a_trigger_takes_a_bounded_part(spark, tmp_path):
         query.stop()
     assert spark.read.parquet(out).count() == 2000
     assert query.lastProgress is None or len(query.recentProgress) > 2
+
+
+def test_run_files_are_named_as_spark_names_them_and_start_no_processes(spark):
+    """Hadoop's writer on a disk starts processes for every file and leaves a checksum file beside it."""
+    ids = ["plain", "a/b=c:d", "", None, "ü %[x]^{", "two words"]
+    rows = [(r, i, float(i), "v", float(i), None) for r in ids for i in range(5)]
+    samples = spark.createDataFrame(rows, "run_id string, seq long, t double, metric string, value double, text string")
+    columns = spark.createDataFrame([(r, 1, "v", "v") for r in ids], "run_id string, pos int, raw_name string, metric string")
+    runs = spark.createDataFrame([(r, "1") for r in ids], "run_id string, version string").select(
+        "*", F.lit(None).cast("timestamp_ntz").alias("started_at"), F.lit(None).cast("string").alias("zone"), F.lit("x").alias("command"))
+
+    path, plain = scratch_path(spark, "ours"), scratch_path(spark, "plain")
+    kept = F.coalesce(F.col("run_id"), F.lit("?")) != ""
+    given = [df.where(kept) for df in (samples, columns, runs)]
+    runfiles.write_runs(*given, path, block_rows=3)
+    lines = runfiles.run_lines(*given, 3).withColumn("part", F.format_string("%08d", "part"))
+    lines.repartition("run_id", "part").sortWithinPartitions("run_id", "part", "seq").select("value", "run_id", "part").write.partitionBy("run_id", "part").text(plain)
+    read = lambda top: {str(f.parent.relative_to(top)): f.read_text() for f in Path(top).rglob("*.txt")}
+    assert read(path) == read(plain) and len(read(path)) == 10
+    assert not [f for f in Path(path).rglob("*") if f.name.startswith((".", "_")) or f.suffix == ".crc"]
+    runfiles.write_runs(*given, path, block_rows=3, mode="overwrite")
+    assert read(path) == read(plain)
+    with pytest.raises(Exception, match="ALREADY_EXISTS"):
+        runfiles.write_runs(*given, path, block_rows=3)
+
+
+def test_the_stream_finds_files_in_folders(spark, tmp_path):
+    for i in range(3):
+        write(tmp_path / "in" / f"run_id={i}" / "part=0", "a.txt", f"time/ms,v\n0,{i}\n")
+    out, state = scratch_path(spark, "deep"), scratch_path(spark, "deep-state")
+    rows = runfiles.read_runs_stream(spark, str(tmp_path / "in"))
+    rows.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
+    assert sorted(r.value for r in spark.read.parquet(out).collect()) == [0.0, 1.0, 2.0]
+
+
+def test_small_files_share_partitions(tmp_path):
+    """Planning looks at each file once, and a partition reads many."""
+    for i in range(400):
+        write(tmp_path / f"run_id={i}", "a.csv", f"time/ms,v\n0,{i}\n")
+    reader = tail.RunTailReader({"path": str(tmp_path)})
+    parts = reader.partitions({}, reader.latestOffset())
+    assert len(parts) < 10
+    cells = [c for p in parts for b in reader.read(p) for c in b.column("cell").to_pylist()]
+    assert sorted(map(int, cells)) == list(range(400))
+
+
+def test_whole_records_agree_with_a_walk_over_lines():
+    import random
+    pick = random.Random(5)
+    for _ in range(300):
+        text = "".join(pick.choice(["1,2\n", '1,"a""b"\n', '1,"x\ny"\n', '2,5" disk\n', '"\n', ',"\n', "# \"\n", "\n", "3"]) for _ in range(pick.randint(0, 30))).encode()
+        size = pick.choice([3, 7, 64])
+        pieces = lambda: (text[i:i + size] for i in range(0, len(text), size))
+        for most in (None, 1, 9, 40):
+            end, cuts = 0, [0]
+            for begin, end, _ in tail.records(pieces(), 0, b"#"):
+                if begin - cuts[-1] >= 8:
+                    cuts.append(begin)
+                if most is not None and end >= most:
+                    break
+            assert tail.whole_records(pieces(), 0, b"#", 8, most) == (end, cuts), (text, size, most)
