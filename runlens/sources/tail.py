@@ -1,7 +1,7 @@
 """Run files that grow: a streaming source whose offset is the end of the last whole record of each file.
 
 What a trigger finds new in a file, from one record's end to another's, is cut at record starts into ranges of
-bytes, and each range is one partition, read where Spark places it.  A half-written record at the end of a file
+bytes; a partition is one large range or many small ones, read where Spark places it.  A half-written record at the end of a file
 waits for the next trigger; quoted cells may hold line breaks.  Planning reads the new bytes too, to find where records
 end, in constant memory: this source is for files as live programs write them, a backlog belongs to ``read_runs``.
 
@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +28,9 @@ from .runfiles import CELL, LEAVES_OPEN, RUN_FOLDER
 SCHEMA = "run_id string, file string, at long, time string, time_unit string, metric string, unit string, cell string"
 #: Bytes of a partition, of one read while planning, and cells of an Arrow batch.
 SPLIT, PIECE, BATCH = 32 << 20, 4 << 20, 50_000
+#: What opening a file counts as, in bytes of a partition; files looked at together while planning.
+OPENING, THREADS = 128 << 10, 16
+HEAD = 64 << 10  # bytes of one read for a header
 
 _CELL, _RUN = re.compile(CELL), re.compile(RUN_FOLDER)
 _OPEN = re.compile(LEAVES_OPEN.encode())
@@ -63,8 +68,47 @@ def records(pieces: Iterator[bytes], at: int, comment: bytes) -> Iterator[tuple[
                 held.append(line)
 
 
+def whole_records(pieces: Iterator[bytes], at: int, comment: bytes, split: int, most: int | None) -> tuple[int, list[int]]:
+    """As told by ``records``: the end of the last record (the first one that reaches ``most`` bytes, if any does), and starts at least ``split`` apart.
+
+    Only lines with an odd number of quotes are looked at one by one.
+    """
+    cut, end, cuts, first, rest = Records(comment), at, [at], at, b""
+    for piece in pieces:
+        text = rest + piece
+        raw = np.frombuffer(text, np.uint8)
+        breaks = np.flatnonzero(raw == 10)
+        rest = text[int(breaks[-1]) + 1:] if len(breaks) else text
+        if not len(breaks):
+            continue
+        ends = np.full(len(breaks), not cut.inside)
+        if b'"' in text:
+            quotes = np.searchsorted(np.flatnonzero(raw == 34), breaks)
+            begin = 0
+            for i in np.flatnonzero(np.diff(quotes, prepend=0) % 2):
+                ends[begin:i] = not cut.inside
+                ends[i] = cut.ends(text[int(breaks[i - 1]) + 1 if i else 0:int(breaks[i])])
+                begin = i + 1
+            ends[begin:] = not cut.inside
+        stops = at + breaks[ends] + 1
+        if most is not None and len(stops) and stops[-1] - first >= most:
+            stops = stops[:np.searchsorted(stops, first + most) + 1]
+        # A record starts where the one before it ends.
+        starts = np.append(end, stops[:-1])
+        i = np.searchsorted(starts, cuts[-1] + split)
+        while i < len(starts) and len(stops):
+            cuts.append(int(starts[i]))
+            i = np.searchsorted(starts, cuts[-1] + split)
+        if len(stops):
+            end = int(stops[-1])
+            if most is not None and end - first >= most:
+                break
+        at += int(breaks[-1]) + 1
+    return end, cuts
+
+
 @dataclass
-class Stretch(InputPartition):
+class Stretch:
     """Whole records of a file, from byte ``start`` to byte ``end``; its own header, if any, is at ``header_at``."""
 
     file: str
@@ -74,8 +118,25 @@ class Stretch(InputPartition):
     start: int
     end: int
 
+
+@dataclass
+class Stretches(InputPartition):
+    parts: list[Stretch]
+
     def __post_init__(self):
-        self.value = self.file
+        self.value = self.parts[0].file
+
+
+def packed(parts: list[Stretch], split: int) -> list[Stretches]:
+    """Stretches in their order, about ``split`` bytes to a partition."""
+    out, held, size = [], [], 0
+    for part in parts:
+        if held and size + part.end - part.start > split:
+            out.append(Stretches(held))
+            held, size = [], 0
+        held.append(part)
+        size += part.end - part.start + OPENING
+    return [*out, Stretches(held)] if held else out
 
 
 class RunTailReader(DataSourceStreamReader):
@@ -91,10 +152,10 @@ class RunTailReader(DataSourceStreamReader):
     def _store(self) -> tuple[pafs.FileSystem, str]:
         return pafs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (pafs.LocalFileSystem(), self.path)
 
-    def _pieces(self, store: pafs.FileSystem, file: str, start: int, end: int | None = None) -> Iterator[bytes]:
+    def _pieces(self, store: pafs.FileSystem, file: str, start: int, end: int | None = None, piece_bytes: int = PIECE) -> Iterator[bytes]:
         with store.open_input_file(file) as f:
             f.seek(start)
-            while (n := PIECE if end is None else min(PIECE, end - start)) and (piece := f.read(n)):
+            while (n := piece_bytes if end is None else min(piece_bytes, end - start)) and (piece := f.read(n)):
                 start += len(piece)
                 yield piece
 
@@ -104,10 +165,21 @@ class RunTailReader(DataSourceStreamReader):
         named = {f.path: f.size for f in found if f.is_file and not f.base_name.startswith(("_", "."))}
         return store, dict(sorted(named.items()))
 
-    def _header(self, store: pafs.FileSystem, file: str, files: list[str]) -> tuple[list[str], int] | None:
+    @staticmethod
+    def _before(files: dict[str, int]) -> dict[str, str]:
+        """Of each file the part before it in its folder."""
+        last, before = {}, {}
+        for file in files:
+            folder = file.rpartition("/")[0]
+            if folder in last:
+                before[file] = last[folder]
+            last[folder] = file
+        return before
+
+    def _header(self, store: pafs.FileSystem, file: str, before: dict[str, str]) -> tuple[list[str], int] | None:
         """The file's own header and its place, else that of the part before it in its folder; None while it has no whole first record."""
         if file not in self.heads:
-            first = next(((at, r) for at, _, r in records(self._pieces(store, file, 0), 0, self.comment) if not r.startswith(self.comment)), None)
+            first = next(((at, r) for at, _, r in records(self._pieces(store, file, 0, piece_bytes=HEAD), 0, self.comment) if not r.startswith(self.comment)), None)
             if first is None:
                 return None
             cells = cells_of(first[1].decode("utf-8", "replace").removesuffix("\r"))
@@ -116,8 +188,7 @@ class RunTailReader(DataSourceStreamReader):
             except ValueError:
                 self.heads[file] = cells, first[0]
             else:
-                before = [f for f in files if f < file and f.rpartition("/")[0] == file.rpartition("/")[0]]
-                inherited = self._header(store, before[-1], files) if before else ([], -1)
+                inherited = self._header(store, before[file], before) if file in before else ([], -1)
                 if inherited is None:
                     return None  # the part before has not come so far
                 self.heads[file] = inherited[0], -1
@@ -125,13 +196,7 @@ class RunTailReader(DataSourceStreamReader):
 
     def _whole(self, store: pafs.FileSystem, file: str, start: int, size: int, most: int | None) -> int:
         """The end of the last whole record between ``start`` and ``size``; notes where partitions may be cut on the way."""
-        end, cuts = start, [start]
-        for begin, end, _ in records(self._pieces(store, file, start, size), start, self.comment):
-            if begin - cuts[-1] >= self.split:
-                cuts.append(begin)
-            if most is not None and end - start >= most:
-                break
-        self.cuts[file, start] = cuts
+        end, self.cuts[file, start] = whole_records(self._pieces(store, file, start, size), start, self.comment, self.split, most)
         return end
 
     def initialOffset(self) -> dict:
@@ -139,20 +204,26 @@ class RunTailReader(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         store, files = self._files()
+        before = self._before(files)
         news = [f for f, size in files.items() if size > self.ends.get(f, 0)]
         most = None if self.most is None else max(1, self.most // max(1, len(news)))
-        for file in news:
-            if self._header(store, file, list(files)) is not None:
-                self.ends[file] = self._whole(store, file, self.ends.get(file, 0), files[file], most)
+
+        def end(file: str) -> int | None:
+            if self._header(store, file, before) is None:
+                return None
+            return self._whole(store, file, self.ends.get(file, 0), files[file], most)
+
+        with ThreadPoolExecutor(THREADS) as pool:
+            self.ends |= {f: e for f, e in zip(news, pool.map(end, news)) if e is not None}
         return {f: e for f, e in sorted(self.ends.items()) if e}
 
-    def partitions(self, start: dict, end: dict) -> list[Stretch]:
+    def partitions(self, start: dict, end: dict) -> list[Stretches]:
         store, files = self._files()
-        out = []
+        before, out = self._before(files), []
         for file, to in end.items():
             begin = start.get(file, 0)
             self.ends[file] = max(self.ends.get(file, 0), to)
-            header = self._header(store, file, list(files))
+            header = self._header(store, file, before)
             if to <= begin or not header or not header[0]:
                 continue
             if (file, begin) not in self.cuts:  # after a restart
@@ -160,15 +231,13 @@ class RunTailReader(DataSourceStreamReader):
             cuts = [c for c in self.cuts[file, begin] if c < to]
             run = _RUN.search(file)
             out += [Stretch(file, run.group(1) if run else file, *header, a, b) for a, b in zip(cuts, [*cuts[1:], to])]
-        return out
+        return packed(out, self.split)
 
     def commit(self, end: dict) -> None:
         self.cuts = {(f, a): c for (f, a), c in self.cuts.items() if a >= end.get(f, 0)}
 
-    def read(self, part: Stretch) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Stretches) -> Iterator[pa.RecordBatch]:
         store, _ = self._store()
-        names = [h.strip().split("/") for h in part.header]
-        names = [(n[0], n[1] if len(n) > 1 else NO_UNIT) for n in names]
         columns: list[list] = [[] for _ in SCHEMA.split(", ")]
 
         def batch() -> pa.RecordBatch:
@@ -178,16 +247,19 @@ class RunTailReader(DataSourceStreamReader):
                 c.clear()
             return made
 
-        for at, _, record in records(self._pieces(store, part.file, part.start, part.end), part.start, self.comment):
-            if record.startswith(self.comment) or at == part.header_at:
-                continue
-            cells = cells_of(record.decode("utf-8", "replace").removesuffix("\r"))
-            for (name, unit), cell in zip(names[1:], cells[1:]):
-                if cell != "":
-                    for column, value in zip(columns, (part.run_id, part.file, at, cells[0], names[0][1], name, unit, cell)):
-                        column.append(value)
-            if len(columns[0]) >= BATCH:
-                yield batch()
+        for one in part.parts:
+            names = [h.strip().split("/") for h in one.header]
+            names = [(n[0], n[1] if len(n) > 1 else NO_UNIT) for n in names]
+            for at, _, record in records(self._pieces(store, one.file, one.start, one.end), one.start, self.comment):
+                if record.startswith(self.comment) or at == one.header_at:
+                    continue
+                cells = cells_of(record.decode("utf-8", "replace").removesuffix("\r"))
+                for (name, unit), cell in zip(names[1:], cells[1:]):
+                    if cell != "":
+                        for column, value in zip(columns, (one.run_id, one.file, at, cells[0], names[0][1], name, unit, cell)):
+                            column.append(value)
+                if len(columns[0]) >= BATCH:
+                    yield batch()
         if columns[0]:
             yield batch()
 
