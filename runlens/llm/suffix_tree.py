@@ -41,6 +41,7 @@ LEAST = 5e-7
 ENTRY_PART = 64  # next symbols rarer than LEAST / ENTRY_PART are left to the suffix
 COMMON = 1e-6
 SYMBOLS = 256
+SENT_ROWS = 100_000  # of one Arrow batch of counts: the JVM takes each batch as one piece of memory outside its heap
 CHUNK_BYTES = 2 << 20  # every byte takes some 40 bytes of numbers while it is handled
 BEFORE, BETWEEN, END = b"\r", b" ", b"\n"  # never part of a word
 
@@ -88,6 +89,12 @@ def word_hashes(coded: Coded) -> np.ndarray:
 END_HASH = Spelled([END]).hashes()[0]
 
 
+def sent(kind: int, counts: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(counts[0]), SENT_ROWS):
+        keys, n = (c[at:at + SENT_ROWS] for c in counts)
+        yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(keys), kind, np.int32)), "key": pa.array(keys.view(np.int64)), "n": pa.array(n.astype(np.int64))})
+
+
 def count(train: DataFrame) -> DataFrame:
     """(kind, key, n): places (kind 0) and words (kind 1) of the training texts, added up and stored."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,17 +112,13 @@ def count(train: DataFrame) -> DataFrame:
                     while len(tables) > 1 and len(tables[-1][0]) * 2 > len(tables[-2][0]):  # like sizes are merged
                         tables[-2:] = [added(tables[-2], tables[-1])]
                     if len(tables[0][0]) > 1_000_000:  # bounds the memory; Spark adds up what is sent on
-                        yield sent(kind, tables.pop(0))
+                        yield from sent(kind, tables.pop(0))
                         tables.append(nothing)
         for kind, tables in held.items():
             whole = nothing
             for t in tables:
                 whole = added(whole, t)
-            yield sent(kind, whole)
-
-    def sent(kind: int, counts: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(counts[0]), kind, np.int32)), "key": pa.array(counts[0].view(np.int64)),
-                                           "n": pa.array(counts[1].astype(np.int64))})
+            yield from sent(kind, whole)
 
     rows = train.select(whole_text().alias("text")).mapInArrow(run, "kind int, key long, n long")
     return written(rows.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")

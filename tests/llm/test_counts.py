@@ -7,7 +7,7 @@ from zlib import crc32
 import numpy as np
 import pytest
 
-from runlens.llm import packing, quality_rules
+from runlens.llm import packing, quality_rules, suffix_tree
 from runlens.llm.words import Coded, Spelled
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, open int"
@@ -109,3 +109,11 @@ def test_spelled_hashes_tell_words_apart():
     words = [b"a", b"b", b"ab", b"ba", b"abc" * 50, b"\x00", b"\x00\x00"]
     assert len(set(Spelled(words).hashes().tolist())) == len(words)
     assert Coded(["b a b", None or ""]).codes.tolist() == [0, 1, 0]
+
+
+def test_counts_go_to_spark_in_small_batches():
+    n = 2 * suffix_tree.SENT_ROWS + 7
+    keys = np.arange(n, dtype=np.uint64)
+    batches = list(suffix_tree.sent(1, (keys, np.ones(n, np.int64))))
+    assert [b.num_rows for b in batches] == [suffix_tree.SENT_ROWS, suffix_tree.SENT_ROWS, 7]
+    assert np.array_equal(np.concatenate([b.column("key").to_numpy() for b in batches]), keys.view(np.int64))
