@@ -4,7 +4,8 @@ Files are read as text, so that each keeps its header.  A file may be cut into
 many blocks; one small row per block carries the line offset and the header,
 and the lines meet it by (file, block).  The lines themselves are not shuffled
 while that table is small enough to broadcast, and spread by block otherwise,
-so one huge file is no hot spot.
+so one huge file is no hot spot.  ``MANY`` files or more on a disk are opened once, by the tasks themselves, and
+their lines stored: opening a file takes Spark's reader some milliseconds, twice.
 
 Line breaks inside quoted cells.  Whether a line starts a record depends on all lines of the file before it.  So each block
 tells whether it ends inside a cell for both states it may begin in, and these maps are composed over a file's
@@ -16,11 +17,13 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import partial
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,6 +52,15 @@ IN_FOLDER = re.compile("[\x01-\x1f\x7f\"#%'*/:=?\\\\{\\[\\]^]")
 NO_NAME = "__HIVE_DEFAULT_PARTITION__"
 # Listing tasks per core: Spark's own number (10,000) costs more than listing a folder.
 LISTINGS = 8
+MANY = 1000
+# Entries that a task lists below a folder before it hands on the rest.
+LISTED = 1000
+CUT_BYTES = 32 << 20  # of one block of a file on a disk
+SENT_BYTES = 1 << 20
+MARK = b"\xef\xbb\xbf"
+# Characters that stand for themselves in a file's URI, besides those beyond ASCII.
+IN_URI = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789-_.!~*'():@&=+$,;/")
+PACKED = r"\.(gz|gzip|bz2|deflate|lz4|snappy|zst|xz|lzo)$"  # left to Spark's reader
 # A line of a whole file; line breaks inside quotes belong to it.
 RECORD = r'(?:[^"\n]|"[^"]*+(?:""[^"]*+)*+")+'
 
@@ -119,7 +131,125 @@ def few_listings(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, saved)
 
 
+def _file_uri(path: str) -> str:
+    """The name that Spark gives a file on the disk."""
+    odd = lambda c: c not in IN_URI if c.isascii() else unicodedata.category(c) in ("Zs", "Zl", "Zp", "Cc")
+    return "file:" + "".join("".join(f"%{b:02X}" for b in c.encode()) if odd(c) else c for c in path)
+
+
+def _hidden(name: str) -> bool:
+    """Names that Spark passes over."""
+    if name.startswith(("_common_metadata", "_metadata")):
+        return False
+    return (name.startswith("_") and "=" not in name) or name.startswith(".") or name.endswith("._COPYING_")
+
+
+def _many(tops: list[str]) -> bool:
+    names = (name for top in tops for _, _, files in os.walk(top, followlinks=True) for name in files)
+    return sum(1 for _ in islice(names, MANY)) == MANY
+
+
+def _list_some(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """(path, size) of files below the given folders, and with size -1 the folders not yet listed."""
+    for batch in batches:
+        found = []
+        for top in batch.column(0).to_pylist():
+            todo, listed = [top], 0
+            while todo and listed < most:
+                with os.scandir(todo.pop()) as entries:
+                    for e in entries:
+                        listed += 1
+                        if _hidden(e.name):
+                            continue
+                        if e.is_dir():
+                            todo.append(e.path)
+                        else:
+                            found.append((e.path, e.stat().st_size))
+            found += [(folder, -1) for folder in todo]
+        yield pa.RecordBatch.from_pydict({"path": pa.array([f[0] for f in found], pa.string()), "size": pa.array([f[1] for f in found], pa.int64())})
+
+
+def _listed(spark: SparkSession, tops: list[str], most: int = LISTED) -> DataFrame:
+    """(path, size) of all files below the folders, listed by tasks; stored."""
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = spark.createDataFrame([(p, os.path.getsize(p)) for p in tops if os.path.isfile(p) and not _hidden(os.path.basename(p))], "path string, size long")
+    left = spark.createDataFrame([(p,) for p in tops if os.path.isdir(p)], "path string").coalesce(1)
+    while True:
+        found = written(left.mapInArrow(partial(_list_some, most=most), "path string, size long"), "listing")
+        files = files.unionByName(found.where("size >= 0"))
+        left = found.where("size < 0").select("path")
+        if not left.take(1):
+            return files
+        left = left.repartition(tasks, "path")
+
+
+def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of blocks (path, start, end): those that begin in the block."""
+    names, starts, lines, held = [], [], [], 0
+    schema = pa.schema([("run_id", pa.string()), ("file", pa.string()), ("start", pa.int64()), ("line", pa.binary())])
+
+    def sent() -> pa.RecordBatch:
+        runs = [None if (m := re.search(RUN_FOLDER, n)) is None else m[1] for n in names]
+        counts = [len(x) for x in lines]
+        each = pa.array([i for i, n in enumerate(counts) for _ in range(n)], pa.int64())
+        files = pa.array(names, pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(runs, pa.string()).take(each), files.take(each), pa.array(starts, pa.int64()).take(each),
+                                           pa.array([line for x in lines for line in x], pa.binary())], schema=schema)
+
+    for batch in batches:
+        for path, start, end in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            name, at = _file_uri(path), max(0, start - 1)
+            with open(path, "rb") as file:
+                file.seek(at)
+                if start:
+                    at += len(file.readline())
+                while at < end:
+                    some = file.readlines(min(SENT_BYTES, end - at))
+                    if not some:
+                        break
+                    # The last lines may begin behind the end of the block.
+                    read = at
+                    for n, line in enumerate(some):
+                        if read >= end:
+                            del some[n:]
+                            break
+                        read += len(line)
+                    if not at and some[0].startswith(MARK):
+                        some[0] = some[0][len(MARK):]
+                    at = read
+                    names.append(name)
+                    starts.append(start)
+                    lines.append([x[:-1] if x.endswith(b"\n") else x for x in some])
+                    held += sum(map(len, some))
+                    if held >= SENT_BYTES:
+                        yield sent()
+                        names, starts, lines, held = [], [], [], 0
+    if lines:
+        yield sent()
+
+
+def _stored_lines(spark: SparkSession, tops: list[str], cut_bytes: int = CUT_BYTES, most: int = LISTED) -> DataFrame | None:
+    """Lines of files on the disk, read by tasks that open each file once; none if a file is compressed."""
+    files = _listed(spark, tops, most)
+    if files.where(F.lower("path").rlike(PACKED)).take(1):
+        return None
+    cuts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(cut_bytes).cast("long")))
+    blocks = files.where("size > 0").select("path", "size", cuts.alias("start")).select("path", "start", F.least("size", F.col("start") + cut_bytes).alias("end"))
+    spread = blocks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "start")
+    read = spread.mapInArrow(_read_files, "run_id string, file string, start long, line binary")
+    run = F.coalesce(_optional(F.col("run_id")), F.col("file"))
+    return written(read.select(run.alias("run_id"), "file", "start", F.monotonically_increasing_id().alias("id"), F.col("line").cast("string").alias("line")), "lines")
+
+
 def _lines(spark: SparkSession, paths) -> DataFrame:
+    given = [paths] if isinstance(paths, str) else list(paths)
+    tops = [None if re.search(r"[{}\[\]*?\\]", p) else _local_path(spark, p) for p in given]
+    apart = all(p is not None and os.path.exists(p) for p in tops) and not any(
+        a == b or b.startswith(f"{a}/") for i, a in enumerate(tops) for j, b in enumerate(tops) if i != j)
+    if tops and apart and _many(tops):
+        stored = _stored_lines(spark, tops)
+        if stored is not None:
+            return stored
     with few_listings(spark):
         text = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(paths)
     file = F.col("_metadata.file_path")

@@ -368,3 +368,34 @@ def test_whole_records_agree_with_a_walk_over_lines():
                 if most is not None and end >= most:
                     break
             assert tail.whole_records(pieces(), 0, b"#", 8, most) == (end, cuts), (text, size, most)
+
+
+ODD_NAMES = ["a b.csv", "run_id=ü é%/p#1.csv", "run_id=x%2Fy/part=0/f.txt", "run_id=q'[]{}^`|\"<>/z.csv", "_x/h.csv", ".h/i.csv", "_k=1/a.csv", "u\u00a0v\u3000/t.csv",
+             "d/e/f/~!$&()*+,;=@.csv", "c._COPYING_", "tab\tx.csv", "o/1.txt", "o/2.txt", "o/3.txt", "o/run_id=4/part=1/4"]
+BYTES = [b"", b"\xef\xbb\xbfa,b\n1,2\n", b"x\n\n\ny", b"q\r\nw\r\n\n", b"\xff\xfe bad\nk" + b"z" * 100 + b"\nlast"]
+
+
+@pytest.mark.parametrize("cut, most", [(runfiles.CUT_BYTES, runfiles.LISTED), (7, 1), (1, 2)])
+def test_tasks_read_files_as_spark_does(spark, tmp_path, cut, most):
+    for i, name in enumerate(ODD_NAMES):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(BYTES[i % 5] + f"n{i}\n".encode() * (i % 3))
+
+    def rows(lines, order):
+        got = {}
+        for r in lines.withColumn("line", F.col("line").cast("binary")).collect():
+            got.setdefault((r.run_id, r.file), []).append((*(r[c] for c in order), bytes(r.line)))
+        return {k: [x[-1] for x in sorted(v)] for k, v in got.items()}
+
+    assert rows(runfiles._stored_lines(spark, [str(tmp_path)], cut, most), ["start", "id"]) == rows(runfiles._lines(spark, str(tmp_path)), ["id"])
+
+
+def test_many_files_are_opened_once(spark, tmp_path):
+    for i in range(runfiles.MANY):
+        (tmp_path / f"run_id={i}").mkdir()
+        (tmp_path / f"run_id={i}" / "x.csv").write_text(f"# Version: {i}\ntime/ms,v/m°C,note\n0,{i * 1000},\n1000,,\"a\n,{i}\"\n")
+    got = runfiles.read_runs(spark, str(tmp_path))
+    assert "FileScan text" not in got.samples._jdf.queryExecution().toString()
+    rows = {(r.run_id, r.seq, r.t, r.metric, r.unit, r.value, r.text) for r in got.samples.collect()}
+    assert rows == {x for i in range(runfiles.MANY) for x in ((str(i), 0, 0.0, "v", "°C", float(i), None), (str(i), 1, 1.0, "note", "no unit", None, f"a\n,{i}"))}
+    assert {(r.run_id, r.version, r.n_rows) for r in got.runs.collect()} == {(str(i), str(i), 2) for i in range(runfiles.MANY)}
