@@ -14,11 +14,11 @@ each for itself.  An empty table gives an empty result.  Other columns are ignor
 from __future__ import annotations
 
 import re
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from zlib import crc32
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -34,17 +34,16 @@ CACHED_WORDS = 500_000
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
-_WHITE = re.compile("[\t\n\x0b\x0c\r ]+")
 #: Letters whose normal form is their lower case.
 _PLAIN = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
-_MARKS = ".,;:!?"
+_MARKS = b".,;:!?"
 #: How the tokenizer writes the bytes of Latin-1 letters: printable bytes as themselves, the others from 256 on.
 _ODD = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
 _BYTE = {b: chr(256 + _ODD.index(b)) if b in _ODD else chr(b) for b in range(256)}
 
 
-class Words:
-    """Token ids of words, with two bounded generations of words seen before.
+class Words(dict):
+    """Token ids of words (UTF-8), with two bounded generations of words seen before.
 
     The tokenizer drops white space and never joins across it, so a text's ids are its
     words' ids in order.  It splits letters from marks too, so a plain word with marks behind it is
@@ -54,40 +53,45 @@ class Words:
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_str(spec)
         self.model = self.tokenizer.model
-        self.seen: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def ids(self, text: str) -> np.ndarray:
-        words = _WHITE.split(text)
-        if len(self.seen) > CACHED_WORDS:
-            self.seen, self.older = {"": b""}, self.seen
-        seen = self.seen
-        try:
-            return np.frombuffer(b"".join([seen[w] for w in words]), "<u4")
-        except KeyError:
-            for w in words:
-                if w not in seen:
-                    seen[w] = self.older.get(w) or self.learn(w)
-        return np.frombuffer(b"".join([seen[w] for w in words]), "<u4")
-
-    def learn(self, word: str) -> bytes:
+        self.older: dict[bytes, bytes] = {}
+
+    def ids(self, text: bytes) -> bytes:
+        """The ids of a text as little-endian 32-bit numbers."""
+        if len(self) > CACHED_WORDS:
+            self.older = dict(self)
+            self.clear()
+        # ``split`` of bytes cuts at ASCII white space only.
+        return b"".join(map(self.__getitem__, text.split()))
+
+    def __missing__(self, word: bytes) -> bytes:
+        made = self[word] = self.older.get(word) or self.learn(word)
+        return made
+
+    def learn(self, word: bytes) -> bytes:
         core = word.rstrip(_MARKS)
-        if not _PLAIN.fullmatch(core):
-            return np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        low = core.lower()
-        made = self.seen.get(low) or self.older.get(low)
+        if core.isalpha():  # ASCII letters
+            low = core.lower()
+            spelled = low.decode()
+        elif _PLAIN.fullmatch(text := core.decode()):
+            low = text.lower().encode()
+            spelled = "".join([_BYTE[b] for b in low])
+        else:
+            return self.encoded(word)
+        made = self.get(low) or self.older.get(low)
         if not made:
-            spelled = low if low.isascii() else "".join([_BYTE[b] for b in low.encode()])
-            made = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
-        self.seen[low] = made
+            made = self[low] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
         return made if len(core) == len(word) else made + self.marks(word[len(core):])
 
-    def marks(self, run: str) -> bytes:
-        if run not in self.seen:
-            self.seen[run] = np.asarray(self.tokenizer.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
-        return self.seen[run]
+    def marks(self, run: bytes) -> bytes:
+        if run not in self:
+            self[run] = self.encoded(run)
+        return self[run]
+
+    def encoded(self, word: bytes) -> bytes:
+        return array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
 
 
 _loaded: dict[int, Words] = {}
@@ -160,11 +164,11 @@ def first_pass(docs: DataFrame, spec: str, window: int, open_windows: int) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of(shared.value)
         packer = Packer(TaskContext.get().partitionId() << 32, window, open_windows)
-        tail = np.asarray([END], "<u4")
+        tail = array("I", [END]).tobytes()
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.concatenate([words.ids(text.as_py() or ""), tail])
-                raw, n = memoryview(ids.tobytes()), len(ids)
+                raw = memoryview(words.ids(memoryview(text.as_buffer()).tobytes() if text.is_valid else b"") + tail)
+                n = len(raw) // 4
                 for start in range(0, n, window):
                     length = min(window, n - start)
                     packer.add((doc_id, start, length, crc32(raw[4 * start:4 * (start + length)]), n), length)

@@ -117,3 +117,9 @@ def test_counts_go_to_spark_in_small_batches():
     batches = list(suffix_tree.sent(1, (keys, np.ones(n, np.int64))))
     assert [b.num_rows for b in batches] == [suffix_tree.SENT_ROWS, suffix_tree.SENT_ROWS, 7]
     assert np.array_equal(np.concatenate([b.column("key").to_numpy() for b in batches]), keys.view(np.int64))
+
+
+def test_ids_come_from_the_bytes_of_a_text():
+    words = packing.Words(open(tokenizer(), encoding="utf-8").read())
+    for text in [t or "" for t in TEXTS] + ["a\x1cb c\x85d e f\u3000g", "X.Y,,, ... ÀÉ! straße. É É é.", "\x0bA\x0cB\x1f x\x00y"]:
+        assert words.ids(text.encode()) == np.array(words.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
