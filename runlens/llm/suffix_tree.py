@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ..plans.scratch import written
 from .common import chunks, held_out, whole_text
-from .words import Coded, Spelled, encoded
+from .words import Coded, Spelled, words_in
 
 DEPTH = 6
 LEAST = 5e-7
@@ -46,13 +46,13 @@ CHUNK_BYTES = 2 << 20  # every byte takes some 40 bytes of numbers while it is h
 BEFORE, BETWEEN, END = b"\r", b" ", b"\n"  # never part of a word
 
 
-def spelled(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spelled(texts: list[str], lists: list[list[bytes]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All places of the texts: (packed context and symbol, number of the text), and words per text.
 
     A packed number holds the symbol in its lowest byte and the context in its highest, latest symbol first, so
     that a shorter context is a prefix of a longer one.
     """
-    lists = [encoded(t).lower().split() for t in texts]
+    lists = words_in(texts, lower=True) if lists is None else lists
     parts = [BEFORE * DEPTH + BETWEEN.join(x) + END for x in lists]
     raw = np.frombuffer(b"".join(parts), np.uint8)
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
@@ -102,8 +102,9 @@ def count(train: DataFrame) -> DataFrame:
         held = {0: [nothing], 1: [nothing]}
         for batch in batches:
             for _, texts in chunks(batch, limit=CHUNK_BYTES):
-                held[0].append(counted(spelled(texts)[0]))
-                coded = Coded(texts, lower=True)
+                lists = words_in(texts, lower=True)
+                held[0].append(counted(spelled(texts, lists)[0]))
+                coded = Coded(texts, lists=lists)
                 h = word_hashes(coded)
                 order = np.argsort(h)
                 n = np.bincount(coded.codes, minlength=len(h))
@@ -121,7 +122,8 @@ def count(train: DataFrame) -> DataFrame:
             yield from sent(kind, whole)
 
     rows = train.select(whole_text().alias("text")).mapInArrow(run, "kind int, key long, n long")
-    return written(rows.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+    # Tasks have added up their own: laid out first, the rows are not put through another table before the shuffle.
+    return written(rows.repartition("kind", "key").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
 
 
 @dataclass
@@ -141,21 +143,24 @@ class Tree:
 
     def probabilities(self, keys: np.ndarray) -> np.ndarray:
         """Probability of the symbol of each packed place; ``keys`` sorted for speed."""
-        symbol = keys & np.uint64(255)
-        p = self.root[symbol]
+        p = self.root[keys & np.uint64(255)]
+        left = np.arange(len(keys))  # places whose context so far is there: only of these a longer one can be
         for d, level in enumerate(self.levels, 1):
-            if not len(level.contexts):
+            if not len(level.contexts) or not len(left):
                 break
             context = keys & mask(d)
-            at = np.minimum(np.searchsorted(level.contexts, context), len(level.contexts) - 1)
-            there = level.contexts[at] == context
-            if not there.any():
-                break
+            first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+            at = np.minimum(np.searchsorted(level.contexts, context[first]), len(level.contexts) - 1)
+            there = level.contexts[at] == context[first]
+            times = np.diff(np.append(first, len(keys)))
+            goes_on = np.repeat(there, times)
+            keys, left = keys[goes_on], left[goes_on]
             share = np.zeros(len(keys))
             if len(level.entries):
-                e = np.minimum(np.searchsorted(level.entries, context | symbol), len(level.entries) - 1)
-                share = np.where(level.entries[e] == (context | symbol), level.share[e], 0.0)
-            p = np.where(there, share + level.rest[at] * p, p)
+                entry = context[goes_on] | (keys & np.uint64(255))
+                e = np.minimum(np.searchsorted(level.entries, entry), len(level.entries) - 1)
+                share = np.where(level.entries[e] == entry, level.share[e], 0.0)
+            p[left] = share + np.repeat(level.rest[at[there]], times[there]) * p[left]
         return p
 
 
@@ -248,11 +253,12 @@ def score(docs: DataFrame, tree: Tree, common: tuple[np.ndarray, np.ndarray], to
         model, known, known_n = shared.value
         for batch in batches:
             for part, texts in chunks(batch, limit=CHUNK_BYTES):
-                key, doc, words = spelled(texts)
+                lists = words_in(texts, lower=True)
+                key, doc, words = spelled(texts, lists)
                 keys = counted(key)[0]
                 logs = np.log10(np.maximum(model.probabilities(keys), 1e-300))
                 total = np.bincount(doc, weights=logs[located(keys, key)], minlength=len(texts))
-                coded = Coded(texts, lower=True)
+                coded = Coded(texts, lists=lists)
                 h = np.append(word_hashes(coded), END_HASH)
                 at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
                 found = known[at] == h if len(known) else np.zeros(len(h), bool)

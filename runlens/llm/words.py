@@ -19,11 +19,15 @@ def encoded(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
 
 
+def words_in(texts: list[str], lower: bool = False) -> list[list[bytes]]:
+    return [(encoded(t).lower() if lower else encoded(t)).split() for t in texts]
+
+
 class Coded:
-    """Distinct words, the word number at each place, and the number of words of each document."""
+    """Distinct words, the word number at each place, and the number of words of each document; ``lists`` are the texts' words, if known."""
 
-    def __init__(self, texts: list[str], lower: bool = False):
-        lists = [(encoded(t).lower() if lower else encoded(t)).split() for t in texts]
+    def __init__(self, texts: list[str], lower: bool = False, lists: list[list[bytes]] | None = None):
+        lists = words_in(texts, lower) if lists is None else lists
         index: defaultdict[bytes, int] = defaultdict(count().__next__)
         self.counts = np.fromiter(map(len, lists), np.int64, len(lists))
         total = int(self.counts.sum())

@@ -123,3 +123,27 @@ def test_ids_come_from_the_bytes_of_a_text():
     words = packing.Words(open(tokenizer(), encoding="utf-8").read())
     for text in [t or "" for t in TEXTS] + ["a\x1cb c\x85d e f\u3000g", "X.Y,,, ... ÀÉ! straße. É É é.", "\x0bA\x0cB\x1f x\x00y"]:
         assert words.ids(text.encode()) == np.array(words.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_a_place_is_searched_only_below_contexts_that_are_there(monkeypatch):
+    rng = np.random.default_rng(2)
+    places = np.sort(rng.integers(0, 1 << 63, 5000, dtype=np.uint64) & (suffix_tree.mask(2) | np.uint64(255)))
+    levels, searched = [], []
+    for d in (1, 2):
+        contexts = np.unique(places[:500 // d] & suffix_tree.mask(d))
+        entries = np.unique(places[:500 // d] & (suffix_tree.mask(d) | np.uint64(255)))
+        levels.append(suffix_tree.Level(contexts, rng.random(len(contexts)), entries, rng.random(len(entries))))
+    tree = suffix_tree.Tree(np.full(256, 1 / 256), levels)
+    want = []
+    for key in places:
+        p = 1 / 256
+        for d, level in enumerate(levels, 1):
+            where = np.flatnonzero(level.contexts == key & suffix_tree.mask(d))
+            if len(where):
+                here = level.share[level.entries == (key & (suffix_tree.mask(d) | np.uint64(255)))].sum()
+                p = here + level.rest[where[0]] * p
+        want.append(p)
+    search = np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda known, x, *a, **k: searched.append(len(x)) or search(known, x, *a, **k))
+    assert tree.probabilities(places).tolist() == want
+    assert sum(searched) < len(places)
