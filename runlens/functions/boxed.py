@@ -9,21 +9,20 @@ import numpy as np
 SINGULAR = 1e-11
 
 
-def _solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Elimination over the leading axis; rows that are close to singular give NaN."""
-    a, b = a.copy(), b.copy()
-    size = b.shape[1]
-    scale = np.einsum("nii->ni", a).copy()
+def _solve(a: list[list[np.ndarray]], b: list[np.ndarray]) -> list[np.ndarray]:
+    """Elimination, a coefficient of all rows at once; rows that are close to singular give NaN."""
+    a, b, size = [[*row] for row in a], [*b], len(b)
+    scale = [a[i][i] for i in range(size)]
     for i in range(size):
-        pivot = np.where(a[:, i, i] > SINGULAR * scale[:, i], a[:, i, i], np.nan)
+        a[i][i] = np.where(a[i][i] > SINGULAR * scale[i], a[i][i], np.nan)
         for j in range(i + 1, size):
-            factor = a[:, j, i] / pivot
-            a[:, j] -= factor[:, None] * a[:, i]
-            b[:, j] -= factor * b[:, i]
-        a[:, i, i] = pivot
-    v = np.empty_like(b)
+            factor = a[j][i] / a[i][i]
+            for k in range(i + 1, size):
+                a[j][k] = a[j][k] - factor * a[i][k]
+            b[j] = b[j] - factor * b[i]
+    v = [*b]
     for i in reversed(range(size)):
-        v[:, i] = (b[:, i] - np.einsum("nj,nj->n", a[:, i, i + 1:], v[:, i + 1:])) / a[:, i, i]
+        v[i] = (b[i] - sum(a[i][j] * v[j] for j in range(i + 1, size))) / a[i][i]
     return v
 
 
@@ -32,35 +31,43 @@ def solve_boxed(a: np.ndarray, b: np.ndarray, yy: np.ndarray, boxes) -> tuple[np
 
     The optimum of a quadratic in a box is the stationary point of one of its
     faces, so the best feasible face solution is the optimum.  Faces are tried
-    only for rows whose free solution leaves the box.
+    only for rows whose free solution leaves the box; a face leaves its free coefficients to solve for.
     """
     low, high = (np.array([box[i] for box in boxes], float) for i in (0, 1))
     finite = np.concatenate([low[np.isfinite(low)], high[np.isfinite(high)], [1.0]])
     slack = 1e-9 * np.abs(finite).max()
     size = len(boxes)
-    best, best_rss = np.full_like(b, np.nan), np.full(len(b), np.inf)
+    best, best_rss = np.full((size, len(b)), np.nan), np.full(len(b), np.inf)
 
-    def consider(rows, v):
+    def taken(rows):
+        """The coefficients of some rows, each in one piece."""
+        return [[np.ascontiguousarray(a[rows, i, j]) for j in range(size)] for i in range(size)], [np.ascontiguousarray(b[rows, i]) for i in range(size)]
+
+    def consider(rows, m, r, y, v):
+        ok = True
         with np.errstate(invalid="ignore"):
-            ok = ((v >= low - slack) & (v <= high + slack)).all(axis=1)
-        rss = yy[rows] - 2 * np.einsum("ni,ni->n", v, b[rows]) + np.einsum("ni,nij,nj->n", v, a[rows], v)
+            for i in range(size):
+                ok = ok & (v[i] >= low[i] - slack) & (v[i] <= high[i] + slack)
+        rss = y - 2 * sum(v[i] * r[i] for i in range(size)) + sum(v[i] * m[i][j] * v[j] for i in range(size) for j in range(size))
         rss = np.where(ok, np.maximum(rss, 0.0), np.inf)
         better = rss < best_rss[rows]
-        best_rss[rows[better]], best[rows[better]] = rss[better], v[better]
+        at = rows[better]
+        best_rss[at] = rss[better]
+        for i in range(size):
+            best[i, at] = np.broadcast_to(v[i], rss.shape)[better]
 
-    consider(np.arange(len(b)), _solve(a, b))
+    m, r = taken(slice(None))
+    consider(np.arange(len(b)), m, r, yy, _solve(m, r))
     rows = np.flatnonzero(~np.isfinite(best_rss))
     edges = [[None] + [e for e in box if np.isfinite(e)] for box in boxes]
+    (m, r), y = taken(rows), yy[rows]
     for face in product(*edges):
-        pinned = np.array([e is not None for e in face])
-        if not pinned.any() or not len(rows):
+        free = [i for i, e in enumerate(face) if e is None]
+        if len(free) == size or not len(rows):
             continue
-        at = np.array([0.0 if e is None else e for e in face])
-        rhs = b[rows] - a[rows] @ at
-        rhs[:, pinned] = at[pinned]
-        m = a[rows].copy()
-        m[:, pinned, :] = 0.0
-        m[:, :, pinned] = 0.0
-        m[:, pinned, pinned] = 1.0
-        consider(rows, _solve(m, rhs))
-    return best, best_rss
+        rhs = [r[i] - sum(m[i][j] * e for j, e in enumerate(face) if e is not None) for i in free]
+        v = [*face]
+        for i, x in zip(free, _solve([[m[i][j] for j in free] for i in free], rhs)):
+            v[i] = x
+        consider(rows, m, r, y, v)
+    return np.ascontiguousarray(best.T), best_rss

@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from runlens.functions.boxed import solve_boxed
+from runlens.functions.exponentials import Bins, grid_best, refined
 from runlens.operators import fitting
+from runlens.plans.grids import K_BOUNDS, T_BOUNDS, TAU_BOUNDS, expand_bounds, tau_tuples
 
 TRUTH = {
     1: [(40.0, [(-10.0, 100.0)])],
@@ -146,3 +148,19 @@ def test_bins_of_some_series():
     for power in (0, 1, 2):
         np.testing.assert_allclose(some.sums(np.array([0.2, 0.4]), "y", power), bins.sums(np.array([9, 0.2, 9, 0.4]), "y", power)[[1, 3]])
     np.testing.assert_allclose(some.yy, bins.yy[[1, 3]])
+
+
+def test_a_singular_step_of_one_series_does_not_stop_the_others():
+    # Two points, both terms at the same bound of k and nothing left to fit: the matrix of the step is exactly singular.
+    few = [339.02386638555555, 519.7068742916666], [1.77, 35.18]
+    many = list(np.arange(40.0) * 9), list(50 - 20 * np.exp(-np.arange(40.0) * 9 / 30) - 10 * np.exp(-np.arange(40.0) * 9 / 200))
+    t, y = (np.array(few[i] + many[i]) for i in (0, 1))
+    centre = np.sinh((np.floor(np.arcsinh(t) * fitting.BINS_PER_FOLD) + 0.5) / fitting.BINS_PER_FOLD)
+    powers = np.stack([(t - centre) ** i for i in range(fitting.MOMENTS)])
+    bins = Bins(np.array([0, 2]), centre, powers, powers * y, y * y)
+    boxes = [T_BOUNDS, *expand_bounds(K_BOUNDS, 2)]
+    low, high = np.full((2, 2), 1.0), np.full((2, 2), 3600.0)
+    with np.errstate(all="ignore"):
+        taus, v, rss = refined(bins, *grid_best(bins, tau_tuples(2, TAU_BOUNDS), boxes), low, high, boxes)
+    assert rss[0] == pytest.approx(0, abs=1e-9) and rss[1] == pytest.approx(0, abs=1e-6)
+    assert sorted(taus[1]) == pytest.approx([30, 200], rel=1e-3)
