@@ -256,6 +256,18 @@ def _merged(rows: pa.Table, most: int, lists: int) -> np.ndarray:
     return order[place < most]
 
 
+def met(groups: DataFrame, shards: DataFrame, lanes: int) -> DataFrame:
+    """Every group beside every shard: a copy of the group, its columns as ``g_...``, goes to each lane of shards.
+
+    The copies grow with groups times shards while Spark takes them for as small as the groups, so they are never broadcast.
+    """
+    spread = shards.withColumn("lane", F.pmod(F.xxhash64("number"), F.lit(max(1, lanes))))
+    copies = groups.select(F.col("number").alias("group"), F.col("n").alias("g_n"), F.col("ids").alias("g_ids"), F.col("labels").alias("g_labels"),
+                           F.col("v").alias("g_v"), *[c for c in groups.columns if c not in ("number", "n", "ids", "labels", "v")],
+                           F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, lanes - 1)).cast("long"))).alias("lane"))
+    return copies.hint("merge").join(spread, "lane")
+
+
 def passed(groups: DataFrame, shards: DataFrame, index: Index, label: str, asks, lists: int, most: int) -> DataFrame:
     """(group, member, list, id, score): the ``most`` best rows for each of an anchor's ``lists`` lists over all shards.
 
@@ -263,11 +275,7 @@ def passed(groups: DataFrame, shards: DataFrame, index: Index, label: str, asks,
     shards; what a task finds for a group it merges before it hands it on, and lanes are merged ``FAN_IN`` at a time.
     """
     spark = groups.sparkSession
-    lanes = min(LANES, shards.count())
-    spread = shards.withColumn("lane", F.pmod(F.xxhash64("number"), F.lit(max(1, lanes))))
-    copies = groups.select(F.col("number").alias("group"), F.col("n").alias("g_n"), F.col("ids").alias("g_ids"), F.col("labels").alias("g_labels"),
-                           F.col("v").alias("g_v"), *[c for c in groups.columns if c not in ("number", "n", "ids", "labels", "v")],
-                           F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, lanes - 1)).cast("long"))).alias("lane"))
+    paired = met(groups, shards, min(LANES, shards.count()))
     dim = index.dim
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +295,7 @@ def passed(groups: DataFrame, shards: DataFrame, index: Index, label: str, asks,
                 found = {}
         yield from _rows(found)
 
-    made = copies.join(spread, "lane").mapInArrow(run, "group long, part long, member int, list int, id long, score long")
+    made = paired.mapInArrow(run, "group long, part long, member int, list int, id long, score long")
     with small_batches(spark, 16):
         made = written(made, label)
 

@@ -97,3 +97,13 @@ def test_query_and_empty(spark, tmp_path):
     assert mine(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 10 == 0).collect() == []
     one = spark.createDataFrame([(0, [1.0], 1, 1, "g", "l")], SCHEMA)
     assert mine(one, F.col("vec_id") % 10 == 0).collect() == []
+
+
+def test_copies_of_groups_are_never_broadcast(spark):
+    packed = "number long, n int, ids binary, labels binary, v binary"
+    one = bytearray(8)
+    groups = spark.createDataFrame([(i, 1, one, one, one) for i in range(3)], packed)
+    shards = spark.createDataFrame([(i, 1, one, one, one, one) for i in range(5)], f"{packed}, codes binary")
+    pairs = hard_negatives.met(groups, shards, 4)
+    assert sorted((r["group"], r["number"]) for r in pairs.collect()) == [(g, s) for g in range(3) for s in range(5)]
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
