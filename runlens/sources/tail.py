@@ -1,4 +1,4 @@
-"""Run files that grow: a streaming source whose offset is the end of the last whole record of each file.
+"""Run files that grow: a streaming source whose offset stands for the end of the last whole record of each file.
 
 What a trigger finds new in a file, from one record's end to another's, is cut at record starts into ranges of
 bytes; a partition is one large range or many small ones, read where Spark places it.  A half-written record at the end of a file
@@ -6,23 +6,35 @@ waits for the next trigger; quoted cells may hold line breaks.  Planning reads t
 end, in constant memory: this source is for files as live programs write them, a backlog belongs to ``read_runs``.
 
 Files are found again by every trigger, in all folders below the path.  A file may grow, not shrink; it keeps the header it began with.
+
+The ends of all files are a table in a folder of their own, one per trigger that finds something new (the last ``KEPT`` stay); an offset names
+that table and does not grow with the files.  Planning holds a file as its name and four numbers, and hands partitions out packed.
 """
 
 from __future__ import annotations
 
+import hashlib
+import os
+import pickle
 import re
-from collections.abc import Iterator
+import tempfile
+import uuid
+import zlib
+from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from contextlib import suppress
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from ..operators.columns import BASE_UNITS, NO_UNIT, _unit_case
+from ..plans.scratch import shared_folder
 from .runfiles import CELL, LEAVES_OPEN, RUN_FOLDER
 
 SCHEMA = "run_id string, file string, at long, time string, time_unit string, metric string, unit string, cell string"
@@ -31,6 +43,8 @@ SPLIT, PIECE, BATCH = 32 << 20, 4 << 20, 50_000
 #: What opening a file counts as, in bytes of a partition; files looked at together while planning.
 OPENING, THREADS = 128 << 10, 16
 HEAD = 64 << 10  # bytes of one read for a header
+#: Files handed to the planning threads, or turned to Arrow, at once; tables of ends that stay, as many as the offsets Spark keeps.
+FILES, KEPT = 10_000, 100
 
 _CELL, _RUN = re.compile(CELL), re.compile(RUN_FOLDER)
 _OPEN = re.compile(LEAVES_OPEN.encode())
@@ -107,8 +121,7 @@ def whole_records(pieces: Iterator[bytes], at: int, comment: bytes, split: int,
     return end, cuts
 
 
-@dataclass
-class Stretch:
+class Stretch(NamedTuple):
     """Whole records of a file, from byte ``start`` to byte ``end``; its own header, if any, is at ``header_at``."""
 
     file: str
@@ -119,15 +132,19 @@ class Stretch:
     end: int
 
 
-@dataclass
 class Stretches(InputPartition):
-    parts: list[Stretch]
+    """Stretches, compressed: the driver holds those of all new files at once."""
+
+    def __init__(self, parts: list[Stretch]):
+        super().__init__(parts[0].file)
+        self.packed = zlib.compress(pickle.dumps([tuple(p) for p in parts]))
 
-    def __post_init__(self):
-        self.value = self.parts[0].file
+    @property
+    def parts(self) -> list[Stretch]:
+        return [Stretch(*p) for p in pickle.loads(zlib.decompress(self.packed))]
 
 
-def packed(parts: list[Stretch], split: int) -> list[Stretches]:
+def packed(parts: Iterable[Stretch], split: int) -> list[Stretches]:
     """Stretches in their order, about ``split`` bytes to a partition."""
     out, held, size = [], [], 0
     for part in parts:
@@ -139,18 +156,36 @@ def packed(parts: list[Stretch], split: int) -> list[Stretches]:
     return [*out, Stretches(held)] if held else out
 
 
+def _places(files: pa.Array, among: pa.Array) -> np.ndarray:
+    """Where each file is among others; -1: nowhere."""
+    return pc.fill_null(pc.index_in(files, value_set=among), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _names(files: list[str]) -> pa.Array:
+    return pa.array(files, pa.large_string())
+
+
 class RunTailReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.path = options["path"]
         self.comment = options.get("comment", "#").encode()
         self.split = int(options.get("split", SPLIT))
         self.most = int(options["maxbytespertrigger"]) if "maxbytespertrigger" in options else None
-        self.heads: dict[str, tuple[list[str], int]] = {}
-        self.ends: dict[str, int] = {}
+        self.state = options.get("state")
+        # Of every file found so far, by name: its size, how far it was taken, its header (None: not known) and where that is, and the part before it in its folder.
+        self.files, self.sizes, self.ends, self.header_at, self.before = _names([]), *(np.zeros(0, np.int64) for _ in range(4))
+        self.heads = np.full(0, None)
+        self.headers: dict[tuple[str, ...], list[str]] = {}  # files of equal headers share one
         self.cuts: dict[tuple[str, int], list[int]] = {}
+        self.saved: tuple[dict, pa.Array, np.ndarray] = {}, _names([]), np.zeros(0, np.int64)
+        self.tables: list[str] = []
 
     def _store(self) -> tuple[pafs.FileSystem, str]:
-        return pafs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (pafs.LocalFileSystem(), self.path)
+        return self._at(self.path)
+
+    @staticmethod
+    def _at(path: str) -> tuple[pafs.FileSystem, str]:
+        return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
     def _pieces(self, store: pafs.FileSystem, file: str, start: int, end: int | None = None, piece_bytes: int = PIECE) -> Iterator[bytes]:
         with store.open_input_file(file) as f:
@@ -159,82 +194,159 @@ class RunTailReader(DataSourceStreamReader):
                 start += len(piece)
                 yield piece
 
-    def _files(self) -> tuple[pafs.FileSystem, dict[str, int]]:
-        store, path = self._store()
-        found = store.get_file_info(pafs.FileSelector(path, recursive=True, allow_not_found=True))
-        named = {f.path: f.size for f in found if f.is_file and not f.base_name.startswith(("_", "."))}
-        return store, dict(sorted(named.items()))
-
     @staticmethod
-    def _before(files: dict[str, int]) -> dict[str, str]:
-        """Of each file the part before it in its folder."""
-        last, before = {}, {}
-        for file in files:
-            folder = file.rpartition("/")[0]
-            if folder in last:
-                before[file] = last[folder]
-            last[folder] = file
-        return before
-
-    def _header(self, store: pafs.FileSystem, file: str, before: dict[str, str]) -> tuple[list[str], int] | None:
-        """The file's own header and its place, else that of the part before it in its folder; None while it has no whole first record."""
-        if file not in self.heads:
-            first = next(((at, r) for at, _, r in records(self._pieces(store, file, 0, piece_bytes=HEAD), 0, self.comment) if not r.startswith(self.comment)), None)
+    def _found(store: pafs.FileSystem, path: str) -> Iterator[tuple[str, int]]:
+        """Names and sizes of the files, folder by folder."""
+        if isinstance(store, pafs.LocalFileSystem):
+            with suppress(FileNotFoundError), os.scandir(path) as entries:
+                for e in entries:
+                    with suppress(FileNotFoundError):  # gone meanwhile
+                        if e.is_dir():
+                            yield from RunTailReader._found(store, e.path)
+                        elif e.is_file() and not e.name.startswith(("_", ".")):
+                            yield e.path, e.stat().st_size
+            return
+        for f in store.get_file_info(pafs.FileSelector(path, allow_not_found=True)):
+            if f.type == pafs.FileType.Directory:
+                yield from RunTailReader._found(store, f.path)
+            elif f.is_file and not f.base_name.startswith(("_", ".")):
+                yield f.path, f.size
+
+    def _look(self, more: pa.Array | None = None) -> pafs.FileSystem:
+        """Lists the files; what is known of them stays, and so do known files that are not there."""
+        store, path = self._store()
+        names, sizes, some, bytes_ = [], [], [], []
+        for name, size in self._found(store, path if path == "/" else path.rstrip("/")):
+            some.append(name)
+            bytes_.append(size)
+            if len(some) >= FILES:
+                names, sizes, some, bytes_ = [*names, _names(some)], [*sizes, np.array(bytes_, np.int64)], [], []
+        files, size = pa.concat_arrays([*names, _names(some)]), np.concatenate([*sizes, np.array(bytes_, np.int64)])
+        there = len(files)
+        for known in (self.files, more):
+            if known is not None and len(known):
+                gone = known.filter(pc.equal(pa.array(_places(known, files)), -1))
+                files, size = pa.concat_arrays([files, gone]), np.append(size, np.zeros(len(gone), np.int64))
+        order = pc.sort_indices(files).to_numpy()
+        files, size, there = files.take(pa.array(order)), size[order], (order < there)
+        at = _places(files, self.files)
+        old = lambda column, none: np.where(at >= 0, column[at], none) if len(column) else np.full(len(files), none)
+        self.ends, self.heads, self.header_at = old(self.ends, 0), old(self.heads, None), old(self.header_at, -1)
+        self.files, self.sizes = files, size
+        # Of each file that is there the one before it in its folder.
+        folder = pc.replace_substring_regex(files, "/[^/]*$", "").dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        here = np.flatnonzero(there)
+        by_folder = here[np.argsort(folder[here], kind="stable")]
+        self.before = np.full(len(files), -1)
+        same = folder[by_folder[1:]] == folder[by_folder[:-1]]
+        self.before[by_folder[1:][same]] = by_folder[:-1][same]
+        return store
+
+    def _header(self, store: pafs.FileSystem, row: int) -> bool:
+        """Notes the file's own header and its place, else that of the part before it in its folder; false while it has no whole first record."""
+        if self.heads[row] is None:
+            first = next(((at, r) for at, _, r in records(self._pieces(store, self.files[row].as_py(), 0, piece_bytes=HEAD), 0, self.comment) if not r.startswith(self.comment)), None)
             if first is None:
-                return None
+                return False
             cells = cells_of(first[1].decode("utf-8", "replace").removesuffix("\r"))
+            before = self.before[row]
             try:
                 float(cells[0])
             except ValueError:
-                self.heads[file] = cells, first[0]
+                self.header_at[row], self.heads[row] = first[0], self.headers.setdefault(tuple(cells), cells)
             else:
-                inherited = self._header(store, before[file], before) if file in before else ([], -1)
-                if inherited is None:
-                    return None  # the part before has not come so far
-                self.heads[file] = inherited[0], -1
-        return self.heads[file]
+                if before >= 0 and not self._header(store, before):
+                    return False  # the part before has not come so far
+                self.heads[row] = self.heads[before] if before >= 0 else []
+        return True
 
     def _whole(self, store: pafs.FileSystem, file: str, start: int, size: int, most: int | None) -> int:
         """The end of the last whole record between ``start`` and ``size``; notes where partitions may be cut on the way."""
-        end, self.cuts[file, start] = whole_records(self._pieces(store, file, start, size), start, self.comment, self.split, most)
+        end, cuts = whole_records(self._pieces(store, file, start, size), start, self.comment, self.split, most)
+        if len(cuts) > 1:
+            self.cuts[file, start] = cuts
         return end
 
+    def _offset(self) -> dict:
+        """Names a table of the ends, a new one if they are not those of the last."""
+        some = np.flatnonzero(self.ends)
+        files, ends = self.files.take(pa.array(some)), self.ends[some]
+        if not np.array_equal(ends, self.saved[2]) or not files.equals(self.saved[1]):
+            if self.state is None:
+                self.state = tempfile.mkdtemp(prefix="run-")
+            path = f"{self.state}/{uuid.uuid4().hex}.arrow"
+            store, where = self._at(path)
+            store.create_dir(where.rpartition("/")[0], recursive=True)
+            table = pa.table({"file": files, "end": ends})
+            with store.open_output_stream(where) as out, pa.ipc.new_file(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_table(table)
+            self.saved = {"state": path, "files": len(files), "bytes": int(ends.sum())}, files, ends
+            self.tables.append(path)
+        return self.saved[0]
+
+    def _ends_of(self, offset: dict) -> tuple[pa.Array, np.ndarray]:
+        if offset == self.saved[0]:
+            return self.saved[1:]
+        if not isinstance(offset.get("state"), str):  # nothing, or an offset that names every file
+            return _names(sorted(offset)), np.array([offset[f] for f in sorted(offset)], np.int64)
+        store, where = self._at(offset["state"])
+        with store.open_input_file(where) as f:
+            table = pa.ipc.open_file(f).read_all().combine_chunks()
+        return pa.concat_arrays([_names([]), *table.column("file").chunks]), table.column("end").to_numpy()
+
     def initialOffset(self) -> dict:
         return {}
 
     def latestOffset(self) -> dict:
-        store, files = self._files()
-        before = self._before(files)
-        news = [f for f, size in files.items() if size > self.ends.get(f, 0)]
+        store = self._look()
+        news = np.flatnonzero(self.sizes > self.ends)
         most = None if self.most is None else max(1, self.most // max(1, len(news)))
 
-        def end(file: str) -> int | None:
-            if self._header(store, file, before) is None:
+        def end(row: int) -> int | None:
+            if not self._header(store, row):
                 return None
-            return self._whole(store, file, self.ends.get(file, 0), files[file], most)
+            return self._whole(store, self.files[row].as_py(), int(self.ends[row]), int(self.sizes[row]), most)
 
         with ThreadPoolExecutor(THREADS) as pool:
-            self.ends |= {f: e for f, e in zip(news, pool.map(end, news)) if e is not None}
-        return {f: e for f, e in sorted(self.ends.items()) if e}
+            for some in (news[a:a + FILES].tolist() for a in range(0, len(news), FILES)):
+                for row, to in zip(some, pool.map(end, some)):
+                    if to is not None:
+                        self.ends[row] = to
+        return self._offset()
 
     def partitions(self, start: dict, end: dict) -> list[Stretches]:
-        store, files = self._files()
-        before, out = self._before(files), []
-        for file, to in end.items():
-            begin = start.get(file, 0)
-            self.ends[file] = max(self.ends.get(file, 0), to)
-            header = self._header(store, file, before)
-            if to <= begin or not header or not header[0]:
-                continue
-            if (file, begin) not in self.cuts:  # after a restart
-                self._whole(store, file, begin, to, None)
-            cuts = [c for c in self.cuts[file, begin] if c < to]
-            run = _RUN.search(file)
-            out += [Stretch(file, run.group(1) if run else file, *header, a, b) for a, b in zip(cuts, [*cuts[1:], to])]
-        return packed(out, self.split)
+        store, _ = self._store()
+        (files, to), (before, begun) = self._ends_of(end), self._ends_of(start)
+        at, was = _places(files, self.files), _places(files, before)
+        if (at < 0).any():  # after a restart
+            store = self._look(files)
+            at = _places(files, self.files)
+        begin = np.where(was >= 0, begun[was], 0) if len(begun) else np.zeros(len(files), np.int64)
+        self.ends[at] = np.maximum(self.ends[at], to)
+
+        def stretches() -> Iterator[Stretch]:
+            for i in np.flatnonzero(to > begin).tolist():
+                file, row, a, b = files[i].as_py(), int(at[i]), int(begin[i]), int(to[i])
+                if not self._header(store, row) or not self.heads[row]:
+                    continue
+                if b - a > self.split and (file, a) not in self.cuts:
+                    self._whole(store, file, a, b, None)
+                cuts = [c for c in self.cuts.get((file, a), [a]) if c < b]
+                run = _RUN.search(file)
+                for c, d in zip(cuts, [*cuts[1:], b]):
+                    yield Stretch(file, run.group(1) if run else file, self.heads[row], int(self.header_at[row]), c, d)
+
+        return packed(stretches(), self.split)
 
     def commit(self, end: dict) -> None:
-        self.cuts = {(f, a): c for (f, a), c in self.cuts.items() if a >= end.get(f, 0)}
+        if self.cuts:
+            files, to = self._ends_of(end)
+            at = _places(_names([f for f, _ in self.cuts]), files)
+            self.cuts = {(f, a): c for i, ((f, a), c) in zip(at, self.cuts.items()) if i < 0 or a >= to[i]}
+        while len(self.tables) > KEPT:
+            store, where = self._at(self.tables.pop(0))
+            with suppress(FileNotFoundError):
+                store.delete_file(where)
 
     def read(self, part: Stretches) -> Iterator[pa.RecordBatch]:
         store, _ = self._store()
@@ -279,15 +391,18 @@ class RunTail(DataSource):
         return RunTailReader({k.lower(): v for k, v in self.options.items()})
 
 
-def follow_runs(spark: SparkSession, path: str, max_bytes: int | None = None, split: int = SPLIT, comment: str = "#", normalize: bool = True) -> DataFrame:
+def follow_runs(spark: SparkSession, path: str, max_bytes: int | None = None, split: int = SPLIT, comment: str = "#", normalize: bool = True,
+                state: str | None = None) -> DataFrame:
     """Samples of run files as they are appended: (run_id, file, at, t, metric, unit, value, text).
 
     ``at`` is the byte at which a sample's record begins, so it orders the records of a file.  ``max_bytes`` bounds what a trigger takes, about
     evenly over the files that grew; a trigger always takes whole records, one per such file at least.  With ``availableNow``, which is a
-    single trigger here, leave it out.
+    single trigger here, leave it out.  ``state`` is the folder for the ends of the files: give one that lives as long as the query's checkpoint
+    (default: one in the shared folder, which ``scratch.clear`` does not touch).
     """
     spark.dataSource.register(RunTail)
-    reader = spark.readStream.format("run_tail").option("path", path).option("split", split).option("comment", comment)
+    state = state or f"{shared_folder(spark)}/followed-{hashlib.md5(path.encode()).hexdigest()}"
+    reader = spark.readStream.format("run_tail").option("path", path).option("split", split).option("comment", comment).option("state", state)
     if max_bytes is not None:
         reader = reader.option("maxBytesPerTrigger", max_bytes)
     rows = reader.load()

@@ -399,3 +399,31 @@ def test_many_files_are_opened_once(spark, tmp_path):
     rows = {(r.run_id, r.seq, r.t, r.metric, r.unit, r.value, r.text) for r in got.samples.collect()}
     assert rows == {x for i in range(runfiles.MANY) for x in ((str(i), 0, 0.0, "v", "°C", float(i), None), (str(i), 1, 1.0, "note", "no unit", None, f"a\n,{i}"))}
     assert {(r.run_id, r.version, r.n_rows) for r in got.runs.collect()} == {(str(i), str(i), 2) for i in range(runfiles.MANY)}
+
+
+def test_offsets_and_plans_do_not_grow_with_the_names_of_files(tmp_path):
+    """The driver holds offsets in its log and its progress, and the partitions of a trigger."""
+    import json
+    import pickle
+
+    for i in range(400):
+        write(tmp_path / "in" / f"run_id={i}" / "part=0", "a.csv", f"time/ms,v\n0,{i}\n")
+    options = {"path": str(tmp_path / "in"), "state": str(tmp_path / "ends")}
+    cells = lambda reader, parts: sorted(int(c) for p in parts for b in reader.read(p) for c in b.column("cell").to_pylist())
+    reader = tail.RunTailReader(options)
+    first = reader.latestOffset()
+    assert len(json.dumps(first)) < 500 and reader.latestOffset() == first
+    parts = reader.partitions({}, first)
+    assert sum(len(pickle.dumps(p)) for p in parts) < 400 * 50
+    assert cells(reader, parts) == list(range(400))
+    for i in range(0, 400, 100):
+        with open(tmp_path / "in" / f"run_id={i}" / "part=0" / "a.csv", "a") as f:
+            f.write(f"1,{1000 + i}\n2,")
+    second = reader.latestOffset()
+    assert second != first
+    again = tail.RunTailReader(options)  # after a restart
+    named = {f"{tmp_path}/in/run_id={i}/part=0/a.csv": len(f"time/ms,v\n0,{i}\n") for i in range(400)}  # as offsets of older queries are
+    for one, start in ((reader, first), (again, first), (tail.RunTailReader(options), named)):
+        assert cells(one, one.partitions(start, second)) == [1000, 1100, 1200, 1300]
+    assert cells(again, again.partitions({}, second)) == [*range(400), 1000, 1100, 1200, 1300]
+    reader.commit(second)
