@@ -174,9 +174,7 @@ def _(spark, d):
 @query("follow_runs", ORACLES["read_runs"])
 def _(spark, d):
     path = _written_runs(spark, d)
-    with runfiles.few_listings(spark):
-        text = spark.read.option("recursiveFileLookup", "true").text(path)
-    third = text.agg(F.sum(F.octet_length("value") + 1)).first()[0] // 3
+    third = runfiles.stored_bytes(spark, path) // 3
     out = scratch_path(spark, "followed")
     query_ = (tail.follow_runs(spark, path, max_bytes=third + 1).writeStream.format("parquet")
               .option("checkpointLocation", scratch_path(spark, "followed-state")).start(out))

@@ -183,6 +183,16 @@ def _listed(spark: SparkSession, tops: list[str], most: int = LISTED) -> DataFra
         left = left.repartition(tasks, "path")
 
 
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of the run files below a folder.  On a disk tasks list them, so that the driver holds no list."""
+    top = _local_path(spark, path)
+    if top is not None and os.path.isdir(top):
+        return _listed(spark, [top]).agg(F.sum("size")).first()[0] or 0
+    with few_listings(spark):
+        text = spark.read.option("recursiveFileLookup", "true").text(path)
+    return text.agg(F.sum(F.octet_length("value") + 1)).first()[0] or 0
+
+
 def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The lines of blocks (path, start, end): those that begin in the block."""
     names, starts, lines, held = [], [], [], 0

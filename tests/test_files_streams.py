@@ -427,3 +427,11 @@ def test_offsets_and_plans_do_not_grow_with_the_names_of_files(tmp_path):
         assert cells(one, one.partitions(start, second)) == [1000, 1100, 1200, 1300]
     assert cells(again, again.partitions({}, second)) == [*range(400), 1000, 1100, 1200, 1300]
     reader.commit(second)
+
+
+def test_bytes_are_counted_without_a_list_on_the_driver(spark, tmp_path, monkeypatch):
+    for i in range(30):
+        write(tmp_path / f"run_id={i}" / "part=0", "a.txt", "time/ms,v\n" + "0,ü\n" * i)
+    want = sum(f.stat().st_size for f in tmp_path.rglob("*.txt"))
+    monkeypatch.setattr(type(spark.read), "text", None)
+    assert runfiles.stored_bytes(spark, str(tmp_path)) == runfiles.stored_bytes(spark, f"file://{tmp_path}") == want
